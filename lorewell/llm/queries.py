@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, urls
+from . import exact_dedup, langid, media, mixing, tokens, urls
 from .common import load
 
 
@@ -13,14 +13,31 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts before and after replacing personal data, re-encoding only around the replacements."""
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return tokens.count_edited(tokens.personal_data_edits(docs)).withColumnRenamed("id", "doc_id")
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(load(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.exact_dedup(load(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """feature: how many peak pairs the fingerprint has, and a hash of their codes in order of time."""
+    out = media.wav_columns(load(spark, sf_dir, "documents"))
+    feature = F.concat_ws(":", F.size("fingerprint"), F.hex(F.xxhash64("fingerprint")))
+    return out.withColumn("feature", feature).drop("fingerprint")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = load(spark, sf_dir, "pages")
     return urls.judge_urls(pages, urls.junk_outcomes(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_exact_dedup, op8_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op3_language_id, op4_exact_dedup, op6_media_columns, op8_url_filter)}
