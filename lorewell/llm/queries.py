@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, media, mixing, tokens, urls
+from . import exact_dedup, jaccard, langid, media, mixing, tokens, urls
 from .common import load
 
 
@@ -35,9 +35,13 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("feature", feature).drop("fingerprint")
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(load(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = load(spark, sf_dir, "pages")
     return urls.judge_urls(pages, urls.junk_outcomes(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op3_language_id, op4_exact_dedup, op6_media_columns, op8_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op3_language_id, op4_exact_dedup, op6_media_columns, op7_ngram_jaccard, op8_url_filter)}
