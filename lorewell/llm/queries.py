@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard, langid, media, mixing, substrings, tokens, urls
+from . import exact_dedup, jaccard, langid, media, mixing, perplexity, substrings, tokens, urls
 from .common import load
 
 
@@ -48,4 +48,8 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.drop_repeats(load(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op3_language_id, op4_exact_dedup, op6_media_columns, op7_ngram_jaccard, op8_url_filter, op9_substring_dedup)}
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.score_texts(load(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op3_language_id, op4_exact_dedup, op6_media_columns, op7_ngram_jaccard, op8_url_filter, op9_substring_dedup, op10_lm_score)}
