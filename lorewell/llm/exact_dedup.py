@@ -10,8 +10,14 @@ from pyspark.sql import types as T
 
 from .common import SPACES, shared_dir, store
 
-# Spark's disk-backed state store.
-_STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+# Spark's disk-backed state store. Without fallocate a store takes the room its state needs, not fixed megabytes for
+# every partition; changelogs upload what a batch changed.
+_ROCKS = "spark.sql.streaming.stateStore.rocksdb"
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_ROCKS}.allowFAllocate": "false",
+    f"{_ROCKS}.changelogCheckpointing.enabled": "true",
+}
 
 
 @contextmanager
