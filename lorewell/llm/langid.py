@@ -133,16 +133,18 @@ def fit(labelled: DataFrame, per_lang: int = 600, clusters: int = 3, rounds: int
     return Model([r["lang"] for r in made], np.stack([np.frombuffer(r["c"], np.float32) for r in made]), np.array([r["floor"] for r in made]), idf) if made else Model([], np.zeros((0, DIMS), np.float32), np.zeros(0), idf)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds nothing but (id, lang_pred, score, rejected) for (id, text): the language of the nearest centroid and
-    its cosine. `und` with score 0, rejected, if the text is null or has no letter, or nothing was learned; rejected
-    too if the cosine is below the language's floor. The model, of fixed size, travels with the tasks."""
+def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """docs with lang_pred, score and rejected (columns of these names are replaced): the language of the nearest
+    centroid and its cosine. `und` with score 0, rejected, if the text is null or has no letter, or nothing was learned;
+    rejected too if the cosine is below the language's floor. The model, of fixed size, travels with the tasks."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop("lang_pred", "score", "rejected")
+    at = docs.columns.index(text_col)
 
     def run(batches):
         m = shared.value
         for batch in batches:
-            texts = [t if t is not None and _LETTER.search(t) else "" for t in batch.column(1).to_pylist()]
+            texts = [t if t is not None and _LETTER.search(t) else "" for t in batch.column(at).to_pylist()]
             lang, score, rejected = [], [], []
             for _, block in in_blocks(texts):
                 if not m.langs:
@@ -156,9 +158,20 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     lang.append(m.langs[j] if t else "und")
                     score.append(min(1.0, max(0.0, s)) if t else 0.0)
                     rejected.append(not t or s < m.floors[j])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ["id", "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], [*batch.schema.names, "lang_pred", "score", "rejected"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
+    added = {"lang_pred": F.lit(None).cast("string"), "score": F.lit(None).cast("double"), "rejected": F.lit(None).cast("boolean")}
+    return docs.mapInArrow(run, docs.withColumns(added).schema)
+
+
+def learn(docs: DataFrame, folds: int = 4, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Fit on the rows whose crc32 of the id as text is not held_out modulo folds."""
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    return fit(docs.filter(~_out_of_fit("id", folds, held_out)))
+
+
+def _out_of_fit(id_col: str, folds: int, held_out: int) -> F.Column:
+    return (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds) == held_out
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_out: int = 2) -> DataFrame:
@@ -168,8 +181,5 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     Null or letterless texts are `und`; null ids count as the text '' in the fold; rows without a language are only
     predicted; equal texts get equal results (ties go to the first language by name); repeated rows are predicted one
     by one; an empty table gives an empty result; other columns are ignored."""
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    out_of_fit = (F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")) % folds) == held_out
-    model = fit(docs.filter(~out_of_fit))
-    out = predict(docs.select("id", "text"), model)
-    return out.select(F.col("id").alias("doc_id"), out_of_fit.alias("held_out"), "lang_pred", "score", "rejected")
+    out = predict(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), learn(docs, folds, held_out, id_col, text_col, lang_col))
+    return out.select("doc_id", _out_of_fit("doc_id", folds, held_out).alias("held_out"), "lang_pred", "score", "rejected")

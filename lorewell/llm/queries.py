@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard, langid, media, mixing, perplexity, substrings, tokens, urls
+from . import exact_dedup, jaccard, langid, media, mixing, perplexity, pieces, substrings, tokens, urls
 from .common import load
 
 
@@ -28,6 +28,13 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text in pieces and back: how many, a hash of the ids, and whether the decoded text is the text."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pieces.decode_ids(pieces.encode_texts(docs))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.hex(F.xxhash64("ids")).alias("ids_hash"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """feature: how many peak pairs the fingerprint has, and a hash of their codes in order of time."""
     out = media.wav_columns(load(spark, sf_dir, "documents"))
@@ -52,4 +59,4 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.score_texts(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op3_language_id, op4_exact_dedup, op6_media_columns, op7_ngram_jaccard, op8_url_filter, op9_substring_dedup, op10_lm_score)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op3_language_id, op4_exact_dedup, op5_sentencepiece, op6_media_columns, op7_ngram_jaccard, op8_url_filter, op9_substring_dedup, op10_lm_score)}
