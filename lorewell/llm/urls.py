@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import store
+
 # Fixed values: (host, path prefix, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -53,7 +55,7 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
     host shrunk to its registered domain (last two labels), that to its suffix (last label), that to all pages.
     Counts are pre-aggregated per host before anything else, so a host with a third of all pages costs one row a task."""
     hosts = outcomes.filter("host <> '' and bad is not null").groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum("bad").cast("double").alias("bad"))
-    hosts = hosts.withColumns({"domain": F.substring_index("host", ".", -2), "suffix": F.substring_index("host", ".", -1)})
+    hosts = store(hosts, "host-counts").withColumns({"domain": F.substring_index("host", ".", -2), "suffix": F.substring_index("host", ".", -1)})
     total = hosts.agg(F.sum("n"), F.sum("bad")).first()
     rate = (total[1] + 0.5) / (total[0] + 1) if total[0] else 0.5
     sums = (F.sum("n").alias("n"), F.sum("bad").alias("bad"))
