@@ -21,15 +21,24 @@ from .common import pack_sorted, partitions, rolling, store, unpack_sorted, word
 from .groups import by_part, deal, frame, from_blobs, to_blob
 
 SPAN = 35
+#: Groups of texts for each shuffle partition.
+GROUPS = 2
 _U64 = np.uint64
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and which of them occur twice."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(np.append(first, len(keys))) > 1
+
+
 def _requests(g: int, keys: np.ndarray, index: np.ndarray, parts: int, shift: int) -> list[tuple]:
     """Rows (part, g, keys, flags): distinct keys of a group, and which of them are in its index and which occur twice."""
-    distinct, inverse, count = np.unique(keys, return_inverse=True, return_counts=True)
+    distinct, twice = _distinct(keys)
     indexed = np.zeros(len(distinct), bool)
-    indexed[inverse[index]] = True
-    return [(part, g, pack_sorted(distinct[at] >> _U64(shift)), np.packbits(indexed[at]).tobytes() + np.packbits(count[at] > 1).tobytes()) for part, at in by_part(distinct, parts)]
+    indexed[np.searchsorted(distinct, keys[index])] = True
+    return [(part, g, pack_sorted(distinct[at] >> _U64(shift)), np.packbits(indexed[at]).tobytes() + np.packbits(twice[at]).tobytes()) for part, at in by_part(distinct, parts)]
 
 
 def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -52,15 +61,14 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     return frame(rows, ["g", "part", "bits"])
 
 
-def _answered(keys: np.ndarray, index: np.ndarray, answers: pd.DataFrame, parts: int) -> np.ndarray:
-    """For the indexed ones among keys: whether they occur elsewhere."""
-    distinct = np.unique(keys)
-    indexed = np.unique(keys[index])
+def _answered(keys: np.ndarray, answers: pd.DataFrame, parts: int) -> np.ndarray:
+    """For keys of a group's index: whether they occur elsewhere."""
+    indexed = _distinct(keys)[0]
     hit = np.zeros(len(indexed), bool)
     bits = dict(zip(answers["part"], answers["bits"]))
     for part, at in by_part(indexed, parts):
         hit[at] = np.unpackbits(np.frombuffer(bits[part], np.uint8), count=len(at)).astype(bool)
-    return hit[np.searchsorted(indexed, keys[index])]
+    return hit[np.searchsorted(indexed, keys)]
 
 
 def _kept(data: bytes, start: np.ndarray, end: np.ndarray, gone: np.ndarray) -> str:
@@ -80,38 +88,46 @@ def drop_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text
     parts = partitions(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
-    dealt = deal(rows, parts)
-
-    def probes(texts):
-        """Of the texts of span words or more: rolling windows end to end, which of them are blocks, and each text's."""
-        words = [word_hashes(t, lower=False)[0] for t in texts]
-        each = [rolling(w, block) if len(w) >= span else w[:0] for w in words]
-        blocks = [np.arange(len(x)) % block == 0 for x in each]
-        return words, np.concatenate([np.empty(0, np.uint64), *each]), np.concatenate([np.empty(0, bool), *blocks]), [int(b.sum()) for b in blocks]
+    dealt = deal(rows, GROUPS * parts)
+    names = ["g", "blob", "doc_id", "n_words", "n_removed", "kept_sha256", "removed"]
+    result = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, removed array<array<int>>"
 
     def ask(pdf: pd.DataFrame) -> pd.DataFrame:
-        texts = from_blobs(pdf["blob"]).column("text").to_pylist()
-        _, keys, index, _ = probes(texts)
-        return frame(_requests(int(pdf["g"].iloc[0]), keys, index, parts, 24), ["part", "g", "keys", "flags"])
+        keys, index = [np.empty(0, np.uint64)], [np.empty(0, bool)]
+        for text in from_blobs(pdf["blob"]).column("text"):
+            words = word_hashes(text.as_py(), lower=False)[0]
+            if len(words) >= span:
+                keys.append(rolling(words, block))
+                index.append(np.arange(len(keys[-1])) % block == 0)
+        return frame(_requests(int(pdf["g"].iloc[0]), np.concatenate(keys), np.concatenate(index), parts, 24), ["part", "g", "keys", "flags"])
 
     def settle(key, pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         """Texts none of whose blocks is hit are done; the others go on with their hits."""
         if not len(pdf):
-            return frame([], ["g", "blob"])
+            return frame([], names)
         table = from_blobs(pdf["blob"])
-        texts = table.column("text").to_pylist()
-        words, keys, index, sizes = probes(texts)
-        hit = _answered(keys, index, answers, parts) if index.any() else np.zeros(0, bool)
-        hits = [h for h in np.split(hit, np.cumsum(sizes)[:-1])]
-        table = table.append_column("hits", pa.array([np.packbits(h).tobytes() if h.any() else None for h in hits], pa.binary()))
-        return frame([(int(key[0]), to_blob(table.combine_chunks()))], ["g", "blob"])
+        found, keys, done, hits = [], [np.empty(0, np.uint64)], [], []
+        for text in table.column("text"):
+            words, start, _ = word_hashes(text.as_py(), lower=False)
+            own = rolling(words, block)[::block] if len(words) >= span else words[:0]
+            found.append((len(start), len(own)))
+            keys.append(own)
+        keys = np.concatenate(keys)
+        hit = _answered(keys, answers, parts) if len(keys) else np.zeros(0, bool)
+        at = 0
+        for i, text, (n, own) in zip(table.column("id").to_pylist(), table.column("text"), found):
+            mine, at = hit[at : at + own], at + own
+            hits.append(np.packbits(mine).tobytes() if mine.any() else None)
+            if not mine.any():
+                done.append((None, None, i, n, 0, hashlib.sha256(b" ".join(text.as_py().split())).hexdigest(), []))
+        going = table.append_column("hits", pa.array(hits, pa.binary())).filter(pa.array([h is not None for h in hits], pa.bool_()))
+        if going.num_rows:
+            done.append((int(key[0]), to_blob(going.combine_chunks()), None, None, None, None, None))
+        return frame(done, names).astype({"g": "Int32", "n_words": "Int64", "n_removed": "Int64"})
 
     def candidates(table: pa.Table):
         """For each text the hashes of its windows of span words around a hit block, and where they start."""
         for text, bits in zip(table.column("text").to_pylist(), table.column("hits").to_pylist()):
-            if bits is None:
-                yield text, np.empty(0, np.uint64), np.empty(0, np.int64)
-                continue
             words = word_hashes(text, lower=False)[0]
             full = rolling(words, span)
             at = np.arange(len(full))
@@ -128,13 +144,12 @@ def drop_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text
                     yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], ["part", "g", "keys", "flags"])
 
     def finish(key, pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        names = ["doc_id", "n_words", "n_removed", "kept_sha256", "removed"]
         if not len(pdf):
-            return frame([], names)
+            return frame([], names[2:])
         table = from_blobs(pdf["blob"])
         found = list(candidates(table))
         keys = np.concatenate([np.empty(0, np.uint64), *(k for _, k, _ in found)])
-        again = _answered(keys, np.ones(len(keys), bool), answers, parts) if len(keys) else np.zeros(0, bool)
+        again = _answered(keys, answers, parts) if len(keys) else np.zeros(0, bool)
         out, done = [], 0
         for i, (text, mine, at) in zip(table.column("id").to_pylist(), found):
             _, start, end = word_hashes(text, lower=False)
@@ -146,12 +161,12 @@ def drop_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text
             gone = np.cumsum(cover)[:-1] > 0
             edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
             out.append((i, len(start), int(gone.sum()), _kept(text, start, end, gone), [[int(a), int(b - a)] for a, b in edge]))
-        return frame(out, names)
+        return frame(out, names[2:])
 
     asked = dealt.groupBy("g").applyInPandas(ask, "part int, g int, keys binary, flags binary")
     answers = asked.groupBy("part").applyInPandas(_answer, "g int, part int, bits binary")
-    # Read and dealt anew rather than stored: text is the larger part, and its second shuffle is smaller than a copy and a shuffle.
-    settled = deal(rows, parts).groupBy("g").cogroup(answers.groupBy("g")).applyInPandas(settle, "g int, blob binary")
-    settled = store(settled, "anchored")
-    exact = settled.mapInArrow(extend, "part int, g int, keys binary, flags binary").groupBy("part").applyInPandas(_answer, "g int, part int, bits binary")
-    return settled.groupBy("g").cogroup(exact.groupBy("g")).applyInPandas(finish, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, removed array<array<int>>")
+    settled = store(dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInPandas(settle, f"g int, blob binary, {result}"), "anchored")
+    going = settled.filter("g is not null").select("g", "blob")
+    exact = going.mapInArrow(extend, "part int, g int, keys binary, flags binary").groupBy("part").applyInPandas(_answer, "g int, part int, bits binary")
+    rest = going.groupBy("g").cogroup(exact.groupBy("g")).applyInPandas(finish, result)
+    return settled.filter("g is null").select("doc_id", "n_words", "n_removed", "kept_sha256", "removed").unionByName(rest)
