@@ -6,4 +6,21 @@ with n as (select doc_id, sha256(translate(coalesce(text, ''), chr(32)||chr(9)||
                   length(coalesce(text, '')) as n_chars, translate(coalesce(text, ''), chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13), '') as body from documents),
 w as (select doc_id, text_sha256, first_value(doc_id) over (partition by body order by n_chars desc, doc_id) as keep_id, count(*) over (partition by body) as group_size from n)
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from w""",
+    "op8_url_filter": r"""
+with p as (select page_id, case when instr(coalesce(url, ''), '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest,
+             regexp_replace(regexp_replace(html, '(?s)<script\b.*?</script>|<style\b.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g') as seen from pages),
+q as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) as path,
+        len(regexp_extract_all(seen, '###|\*\*\*|\$\$\$|%%%|&amp;&amp;&amp;')) >= 0.05 * greatest(len(regexp_extract_all(seen, '[^\x20\x09-\x0D]+')), 1) as bad, seen from p),
+h as (select host, count(*)::double as n, sum(bad::int)::double as bad, list_aggregate(string_split(host, '.')[-2:], 'string_agg', '.') as domain, string_split(host, '.')[-1] as suffix from q where host <> '' and seen is not null group by host),
+s0 as (select suffix, sum(n) as n, sum(bad) as bad, (select (sum(bad) + 0.5) / (sum(n) + 1) from h) as m from h group by 1),
+s1 as (select *, (select case when sum(n * (n - 1) * m * (1 - m)) > 0 and sum(pow(bad - n * m, 2)) > sum(n * m * (1 - m)) then least(1000, greatest(1, sum(n * (n - 1) * m * (1 - m)) / (sum(pow(bad - n * m, 2)) - sum(n * m * (1 - m))) - 1)) else 1000 end from s0) as k from s0),
+d0 as (select domain, h.suffix, sum(h.n) as n, sum(h.bad) as bad, any_value((k * m + s1.bad) / (k + s1.n)) as m from h join s1 on s1.suffix = h.suffix group by 1, 2),
+d1 as (select *, (select case when sum(n * (n - 1) * m * (1 - m)) > 0 and sum(pow(bad - n * m, 2)) > sum(n * m * (1 - m)) then least(1000, greatest(1, sum(n * (n - 1) * m * (1 - m)) / (sum(pow(bad - n * m, 2)) - sum(n * m * (1 - m))) - 1)) else 1000 end from d0) as k from d0),
+h0 as (select host, h.n, h.bad, (k * m + d1.bad) / (k + d1.n) as m from h join d1 on d1.domain = h.domain),
+h1 as (select *, (select case when sum(n * (n - 1) * m * (1 - m)) > 0 and sum(pow(bad - n * m, 2)) > sum(n * m * (1 - m)) then least(1000, greatest(1, sum(n * (n - 1) * m * (1 - m)) / (sum(pow(bad - n * m, 2)) - sum(n * m * (1 - m))) - 1)) else 1000 end from h0) as k from h0),
+post as (select host, k * m + bad as a, k * (1 - m) + n - bad as b from h1),
+rated as (select host, a / (a + b) - 1.645 * sqrt(a * b / (pow(a + b, 2) * (a + b + 1))) as bound from post),
+r(rule_host, rule_path, verdict) as (values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+fit as (select page_id, first(rule_host || rule_path order by length(rule_host || rule_path) desc) as rule, first(r.verdict order by length(rule_host || rule_path) desc) as verdict from q join r on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path) group by 1)
+select q.page_id, q.host, q.path, rule, coalesce(fit.verdict, case when bound > 0.5 then 'block' else 'allow' end) as verdict from q left join fit on fit.page_id = q.page_id left join rated on rated.host = q.host""",
 }
