@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+# Fixed value: where a sentence ends.
 _BREAK = re.compile(r"(?<=[.!?])\s+(?=[A-Z])")
 _SPANS = "array<struct<start:int,end:int,text:string>>"
 
