@@ -23,10 +23,19 @@ from .common import mix, pack_sorted, partitions, rolling, store, unpack_sorted,
 from .components import components
 
 WORDS = 5
-#: Candidate plans of a band: segments per token of its largest set, and the share of segments of weight 2.
-PLANS = [(f, g) for f in (0.27, 0.31, 0.36, 0.45, 0.7, 1.5, 8.0) for g in (0.0, 0.3, 1.0)]
+#: Candidate plans of a band: segments per token of its largest set, the share of segments of weight 2, and the largest
+#: set for which the plan is measured. Long sets never need many segments.
+PLANS = [(0.31, 0.0, 1 << 40), (0.36, 0.0, 1 << 40), (0.45, 0.0, 1 << 40), (0.45, 1.0, 1 << 40), (0.7, 0.0, 1 << 40), (1.5, 0.0, 128), (8.0, 0.0, 128)]
+#: For sets whose keys are hot: few, long segments, each with one token left out in turn. The first that fits is taken.
+COARSE = [(f, 1.0, 1 << 40) for f in (0.12, 0.135, 0.15, 0.18, 0.25, 0.4, 0.8)] + [(1.5, 0.0, 128), (8.0, 0.0, 128)]
 #: A key is hot if more sets share it.
-HOT = 64
+HOT = 12
+#: Rounds in which every bucket that is not yet of one class compares its members with one of them.
+ROUNDS = 2
+#: Sets that are compared with one another, by parity bits, in one step of a task.
+BLOCK = 512
+#: Pairs up to which the ids in them are broadcast to pick their texts: 8 bytes each.
+FEW = 50_000
 _U64 = np.uint64
 
 
@@ -110,7 +119,7 @@ def _blocks(texts, words: int, most: int = 1 << 18) -> Iterator[list[np.ndarray]
     """The shingle sets of texts, in blocks of bounded size."""
     sets, held = [], 0
     for text in texts:
-        sets.append(shingle_set(text.as_py(), words))
+        sets.append(shingle_set(_plain(text.as_py()), words))
         held += len(sets[-1])
         if held >= most:
             yield sets
@@ -119,11 +128,113 @@ def _blocks(texts, words: int, most: int = 1 << 18) -> Iterator[list[np.ndarray]
         yield sets
 
 
+_CODEC = pa.Codec("zstd")
+
+
+def _pack(text: bytes) -> bytes:
+    """Compressed text behind its length; the first byte, 255, begins no UTF-8 text."""
+    return b"\xff" + len(text).to_bytes(4, "little") + _CODEC.compress(text, asbytes=True)
+
+
+def _plain(text: bytes | None) -> bytes | None:
+    return _CODEC.decompress(text[5:], int.from_bytes(text[1:5], "little"), asbytes=True) if text and text[0] == 255 else text
+
+
 def _node(s: np.ndarray) -> int | None:
     return int(mix(mix(s).sum(keepdims=True) + _U64(len(s))).view(np.int64)[0]) if len(s) else None
 
 
-def _describe(bands: Bands, words: int):
+def parity(s: np.ndarray) -> bytes:
+    """One bit for each residue of tokens, set if an odd number of them have it; as many bits, a power of two, as make
+    at least one a token, 64 at least. Where two sets' bits differ, a token differs; longer ones are folded."""
+    bits = max(64, 1 << (len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & _U64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def _fold(a: np.ndarray, size: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(a.reshape(-1, size), axis=0)
+
+
+def _may_link(per: int):
+    """Drops pairs (u, v, n_u, n_v, s_u, s_v) whose bits differ in more places than linked sets can."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for n_u, n_v, a, b in zip(*(batch.column(c).to_pylist() for c in ("n_u", "n_v", "s_u", "s_v"))):
+                a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+                size = min(len(a), len(b))
+                differ = int(np.bitwise_count(_fold(a, size) ^ _fold(b, size)).sum())
+                keep.append(differ * (100 + per) <= (n_u + n_v) * (100 - per))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["u", "v", "n_u", "n_v"])
+
+    return run
+
+
+def _within(per: int):
+    """Group step of some small buckets (bucket, node, n, root, parity): their pairs of different classes which sizes and
+    parity bits let link. Row i meets row i + 1, i + 2 and so on while the bucket lasts; only those pairs leave the task."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["bucket", "node"], kind="stable")
+        bucket, node, n, root = (pdf[c].to_numpy() for c in ("bucket", "node", "n", "root"))
+        bits = [np.frombuffer(x, np.uint8) for x in pdf["parity"]]
+        short = np.stack([_fold(x, 8) for x in bits])
+        out, step = [np.zeros((0, 2), np.int64)], 1
+        while True:
+            i = np.flatnonzero(bucket[:-step] == bucket[step:])
+            if not len(i):
+                break
+            j = i + step
+            total = n[i] + n[j]
+            fits = (root[i] != root[j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * per) & (np.bitwise_count(short[i] ^ short[j]).sum(axis=1, dtype=np.int64) * (100 + per) <= total * (100 - per))
+            out.append(np.stack([i[fits], j[fits]], 1))
+            step += 1
+        seen, keep = set(), []
+        for i, j in np.concatenate(out).tolist():
+            pair = (node[i], node[j])
+            if pair not in seen:
+                seen.add(pair)
+                size = min(len(bits[i]), len(bits[j]))
+                if int(np.bitwise_count(_fold(bits[i], size) ^ _fold(bits[j], size)).sum()) * (100 + per) <= (n[i] + n[j]) * (100 - per):
+                    keep.append((*pair, n[i], n[j]))
+        return pd.DataFrame(keep, columns=["u", "v", "n_u", "n_v"]) if keep else pd.DataFrame({c: [] for c in ("u", "v", "n_u", "n_v")})
+
+    return run
+
+
+def _cross(per: int):
+    """Group step of two blocks of sets (node, n, root, parity, block): all pairs of different classes across the blocks
+    (within, if they are the same) which sizes and parity bits let link. Only those leave the task."""
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        _, a, b = key
+        out = []
+        parts = {}
+        for (k, size), g in pdf.groupby(["block", pdf["parity"].map(len)]):
+            parts[k, size] = (g, np.stack([np.frombuffer(x, np.uint8) for x in g["parity"]]))
+        for (k1, size1), (g1, p1) in parts.items():
+            for (k2, size2), (g2, p2) in parts.items():
+                if k1 != a or k2 != b:
+                    continue
+                size = min(size1, size2)
+                f1, f2 = (np.bitwise_xor.reduce(p.reshape(len(p), -1, size), axis=1) for p in (p1, p2))
+                n1, n2, r1, r2, v1, v2 = (g[c].to_numpy() for c in ("n", "root", "node") for g in (g1, g2))
+                for at in range(0, len(f1), max(1, (1 << 24) // (len(f2) * size))):
+                    some = slice(at, at + max(1, (1 << 24) // (len(f2) * size)))
+                    differ = np.bitwise_count(f1[some, None] ^ f2[None]).sum(axis=2, dtype=np.int64)
+                    total = n1[some, None] + n2[None]
+                    fits = (differ * (100 + per) <= total * (100 - per)) & (r1[some, None] != r2[None]) & (np.minimum(n1[some, None], n2[None]) * 100 >= np.maximum(n1[some, None], n2[None]) * per)
+                    i, j = np.nonzero(fits)
+                    i = i + at
+                    low = v1[i] < v2[j]
+                    out.append(np.stack([np.where(low, v1[i], v2[j]), np.where(low, v2[j], v1[i]), np.where(low, n1[i], n2[j]), np.where(low, n2[j], n1[i])], 1))
+        return pd.DataFrame(np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 4), np.int64), columns=["u", "v", "n_u", "n_v"])
+
+    return run
+
+
+def _describe(bands: Bands, words: int, plans=PLANS):
     """Map step: (id, n, node) per row, and per task one row (band, plan, spare, cost) for each plan it measured."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,46 +242,58 @@ def _describe(bands: Bands, words: int):
         cost: dict[tuple[int, int], float] = defaultdict(float)
         kind = pa.int64()
         for batch in batches:
-            ids, ns, nodes = batch.column(0), [], []
+            ids, ns, nodes, bits = batch.column(0), [], [], []
             kind = ids.type
             for sets in _blocks(batch.column(1), words):
                 ns += [len(s) for s in sets]
                 nodes += [_node(s) for s in sets]
+                bits += [parity(s) if len(s) else None for s in sets]
                 sets = [s for s in sets if len(s)]
                 if not sets:
                     continue
-                block = Block(sets)
-                band = bands.band(block.n)
-                for k, (per_token, share) in enumerate(PLANS):
-                    if not share:
+                cut = done = None
+                for k, (per_token, share, largest) in enumerate(plans):
+                    if (per_token, largest) != cut:
+                        cut, mine = (per_token, largest), [x for x in sets if bands.largest(bands.band(len(x))) <= largest]
+                    if not mine:
+                        continue
+                    if cut != done:
+                        done = cut
+                        block = Block(mine)
+                        band = bands.band(block.n)
                         block.cut(segments(per_token, bands.largest(band)))
                     double = block.double(np.ceil(share * block.m))
                     left = block.weight(double) - bands.need(block.n)
                     price = block.cost(double)
                     for b in np.unique(band):
-                        mine = band == b
-                        spare[b, k] = min(spare.get((b, k), 1 << 30), int(left[mine].min()))
-                        cost[b, k] += float(price[mine].sum())
+                        mine_too = band == b
+                        spare[b, k] = min(spare.get((b, k), 1 << 30), int(left[mine_too].min()))
+                        cost[b, k] += float(price[mine_too].sum())
             empty = pa.nulls(len(ns))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), empty.cast(pa.int32()), empty.cast(pa.int32()), empty.cast(pa.int64()), empty.cast(pa.float64())], _NAMES)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bits, pa.binary()), empty.cast(pa.int32()), empty.cast(pa.int32()), empty.cast(pa.int64()), empty.cast(pa.float64())], _NAMES)
         at = sorted(spare)
         none = pa.nulls(len(at))
-        yield pa.RecordBatch.from_arrays([none.cast(kind), none.cast(pa.int64()), none.cast(pa.int64()), pa.array([x[0] for x in at], pa.int32()), pa.array([x[1] for x in at], pa.int32()), pa.array([spare[x] for x in at], pa.int64()), pa.array([cost[x] for x in at], pa.float64())], _NAMES)
+        yield pa.RecordBatch.from_arrays([none.cast(kind), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array([x[0] for x in at], pa.int32()), pa.array([x[1] for x in at], pa.int32()), pa.array([spare[x] for x in at], pa.int64()), pa.array([cost[x] for x in at], pa.float64())], _NAMES)
 
     return run
 
 
-_NAMES = ["id", "n", "node", "band", "plan", "spare", "cost"]
+_NAMES = ["id", "n", "node", "parity", "band", "plan", "spare", "cost"]
 
 
-def choose_plans(measured: DataFrame) -> dict[int, tuple[float, float]]:
-    """The cheapest plan of each band under which no set of the band lacks weight. At most one row per band and plan
-    reaches the driver, a few hundred whatever the input."""
+def choose_plans(measured: DataFrame, plans=PLANS, cheapest: bool = True) -> dict[int, tuple[float, float]]:
+    """The cheapest plan of each band, or the first, under which no set of the band lacks weight. At most one row per
+    band and plan reaches the driver, a few hundred whatever the input."""
     best: dict[int, tuple[float, int]] = {}
+    bands = set()
     for band, k, spare, cost in measured.groupBy("band", "plan").agg(F.min("spare"), F.sum("cost")).collect():
-        if spare >= 0 and (band not in best or (cost, k) < best[band]):
-            best[band] = (cost, k)
-    return {band: PLANS[k] for band, (_, k) in best.items()}
+        bands.add(band)
+        rank = (cost if cheapest else 0.0, k)
+        if spare >= 0 and (band not in best or rank < best[band]):
+            best[band] = rank
+    if bands - set(best):
+        raise ValueError(f"no plan fits the size bands {sorted(bands - set(best))}")
+    return {band: plans[k][:2] for band, (_, k) in best.items()}
 
 
 def _index(bands: Bands, plans: dict[int, tuple[float, float]], parts: int, words: int, most: int = 1 << 20):
@@ -235,7 +358,7 @@ def _index(bands: Bands, plans: dict[int, tuple[float, float]], parts: int, word
     return run
 
 
-def _buckets(bands: Bands, plans: dict[int, tuple[float, float]]):
+def _buckets(bands: Bands, plans: dict[int, tuple[float, float]], most: int = HOT):
     """Group step of one part: the sets that share a key. Rows (bucket, node, n, up, hot, spare, weight): a bucket
     is named by its sets, so equal ones, from any key, are one; weight is what a set's hot keys of this part weigh."""
 
@@ -272,7 +395,7 @@ def _buckets(bands: Bands, plans: dict[int, tuple[float, float]]):
         name = np.add.reduceat(mix(node[at].astype(np.uint64)), np.cumsum(count) - count)
         name = mix(name + count.astype(np.uint64)).view(np.int64)
         up_of = (refs[first] & 1).astype(np.int64)
-        hot = count > HOT
+        hot = count > most
         pick = np.unique(np.stack([name, up_of], 1), axis=0, return_index=True)[1]
         # A hot bucket weighs as often as its key occurs, also where its name repeats.
         at = np.repeat(first[pick], count[pick]) + _ramp(count[pick])
@@ -299,17 +422,14 @@ def _ramp(counts: np.ndarray) -> np.ndarray:
 
 
 def _compress(batches):
-    codec = pa.Codec("zstd")
     for batch in batches:
         batch = batch.filter(pc.is_valid(batch.column(1)))
-        packed = [len(x).to_bytes(4, "little") + codec.compress(x, asbytes=True) for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["id", "z"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_pack(x) for x in batch.column(1).to_pylist()], pa.binary())], ["id", "z"])
 
 
 def _verify(words: int):
     def run(batches):
-        codec, last = pa.Codec("zstd"), (None, None)
-        get = lambda z: shingle_set(codec.decompress(z[4:], int.from_bytes(z[:4], "little"), asbytes=True), words)
+        last, get = (None, None), lambda z: shingle_set(_plain(z), words)
         for batch in batches:
             u, v = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             both = []
@@ -330,11 +450,12 @@ def similar_groups(docs: DataFrame, per: int = 80, words: int = WORDS, id_col: s
     1. Equal sets are one node, named by a 64-bit hash of the set. The same pass measures every plan on every set.
     2. Every set is indexed under its own band's plan and the next larger band's; keys travel packed, in as many
        parts as there are shuffle partitions. Keys that sets share make buckets.
-    3. A key that more than HOT sets share is left to those sets which its loss could cost a partner: the others
-       keep enough weight in other keys. So a passage in a third of all texts makes no large bucket.
-    4. Each bucket's least node is compared with its others, exactly, on the texts. What that links is merged; only
-       pairs of a bucket that are still apart, and which their distances to that node don't rule out (the Jaccard
-       distance is a metric), are compared one by one.
+    3. Keys that more than HOT sets share are left out for all sets that keep enough weight in other keys. So a passage
+       in a third of all texts makes no large bucket. The sets that don't (near copies of one text, or little but the
+       passage) are indexed among themselves again, under plans of few, long segments with one-deletion neighbourhoods.
+    4. In each of ROUNDS rounds one node of a bucket is compared with all its others of other classes, exactly, on the
+       texts, and what that links is merged. What is still apart then in clusters of shared buckets is compared in
+       blocks. Sizes and parity bits rule out what cannot link before texts are fetched.
 
     Null and wordless texts have 0 shingles and are alone. Rows with equal texts, repeated ids included, share their
     component; null ids are the smallest. Other columns are ignored; an empty table gives an empty result."""
@@ -342,53 +463,93 @@ def similar_groups(docs: DataFrame, per: int = 80, words: int = WORDS, id_col: s
     bands = Bands(per)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    measured = store(rows.mapInArrow(_describe(bands, words), f"id {kind}, n long, node long, band int, plan int, spare long, cost double"), "sets")
+    measured = store(rows.mapInArrow(_describe(bands, words), f"id {kind}, n long, node long, parity binary, band int, plan int, spare long, cost double"), "sets")
     plans = choose_plans(measured.filter("band is not null"))
     found = measured.filter("band is null").select("id", "n", "node")
-    firsts = found.filter("node is not null").groupBy("node").agg(F.min("id").alias("first"), F.max("n").alias("n"))
+    firsts = found.filter("node is not null").groupBy("node").agg(F.min("id").alias("first"))
+    signs = measured.filter("node is not null").select("node", "parity")
 
     parts = partitions(spark)
     packed = rows.select("text").mapInArrow(_index(bands, plans, parts, words), "part int, keys binary, refs binary, nodes binary")
     buckets = store(packed.groupBy("part").applyInPandas(_buckets(bands, plans), "bucket long, node long, n long, up int, hot boolean, spare long, weight long"), "buckets")
-    members = buckets.filter("bucket is not null and not hot").select("bucket", "node", "n", "hot").distinct()
-    free = buckets.filter("bucket is null").groupBy("node", "up").agg((F.first("spare") >= F.sum("weight")).alias("free")).filter("free").select("node", "up")
-    kept = buckets.filter("bucket is not null and hot").join(free, ["node", "up"], "left_anti").select("bucket", "node", "n", "hot").distinct()
-    members = store(members.union(kept), "members")
-
-    centres = members.groupBy("bucket").agg(F.min("node").alias("u"), F.min_by("n", "node").alias("n_u"), F.count("*").alias("size")).filter("size > 1")
-    near = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * per
-    spokes = members.join(centres, "bucket").filter("node <> u")
-    stars = spokes.filter(near(F.col("n"), F.col("n_u"))).select("u", F.col("node").alias("v"), "n_u", F.col("n").alias("n_v")).distinct()
-    stars = store(stars, "star-pairs")
-    wanted = stars.select(F.col("u").alias("node")).union(stars.select("v")).union(members.join(centres.filter("size > 2").select("bucket"), "bucket", "left_semi").select("node")).distinct()
-    wanted = wanted.join(firsts, "node").select("node", F.col("first").alias("id"))
-    texts = rows.mapInArrow(_compress, f"id {kind}, z binary").join(wanted, "id").select("node", "z").dropDuplicates(["node"])
-    texts = store(texts, "texts")
-
-    def compare(pairs: DataFrame) -> DataFrame:
-        a, b = texts.select(F.col("node").alias("u"), F.col("z").alias("z_u")), texts.select(F.col("node").alias("v"), F.col("z").alias("z_v"))
-        full = pairs.select("u", "v").join(b, "v").join(a, "u").select("u", "v", "z_u", "z_v")
-        return store(full.mapInArrow(_verify(words), "u long, v long, both long").join(pairs, ["u", "v"]).withColumn("union", F.col("n_u") + F.col("n_v") - F.col("both")), "compared")
-
-    compared = compare(stars)
-    linked = (F.col("both") * 100 >= F.col("union") * per)
-    links = compared.filter(linked).select("u", "v")
-    roots = store(components(links), "roots")
-    # What is still apart within a bucket.
-    placed = members.join(centres.filter("size > 2").select("bucket", "u", "n_u"), "bucket").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("bucket")
-    placed = placed.join(apart, "bucket", "left_semi").join(compared.select("u", F.col("v").alias("node"), (1 - F.col("both") / F.col("union")).alias("d")), ["u", "node"], "left")
-    # The node itself is at distance 0; one too unlike in size to be compared is at least as far as the sizes say.
-    placed = placed.withColumn("d", F.when(F.col("u") == F.col("node"), 0.0).otherwise(F.col("d"))).select("bucket", "u", "node", "n", "root", "d")
-    placed = store(placed, "apart")
-    left, right = (placed.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "root", "d"))) for s in ("1", "2"))
-    reach = F.coalesce(F.abs(F.col("d_1") - F.col("d_2")) <= (100 - per) / 100 + 1e-9, F.lit(True))
-    again = left.join(right, "bucket").filter((F.col("node_1") < F.col("node_2")) & (F.col("root_1") != F.col("root_2")) & near(F.col("n_1"), F.col("n_2")) & reach & ~(F.coalesce(F.col("d_1"), F.lit(1.0)) == 0.0))
-    again = again.select(F.col("node_1").alias("u"), F.col("node_2").alias("v"), F.col("n_1").alias("n_u"), F.col("n_2").alias("n_v")).distinct()
-    again = store(again, "apart-pairs")
-    if not again.isEmpty():
-        more = compare(again).filter(linked).select("u", "v")
-        roots = store(components(links.union(more)), "roots")
+    members = buckets.filter("bucket is not null and not hot").select("bucket", "node", "n").distinct()
+    poor = buckets.filter("bucket is null").groupBy("node", "up").agg((F.first("spare") < F.sum("weight")).alias("poor")).filter("poor").select("node").distinct()
+    poor = store(poor, "poor")
+
+    wanted = members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
+    wanted = members.join(wanted, "bucket", "left_semi").select("node").union(poor).distinct().join(firsts, "node").select("node", F.col("first").alias("id"))
+    texts = store(rows.mapInArrow(_compress, f"id {kind}, z binary").join(wanted, "id").select("node", "z").dropDuplicates(["node"]), "texts")
+
+    again = texts.join(poor, "node", "left_semi").select("node", F.col("z").alias("text"))
+    coarse = choose_plans(again.mapInArrow(_describe(bands, words, COARSE), "id long, n long, node long, parity binary, band int, plan int, spare long, cost double").filter("band is not null"), COARSE, cheapest=False)
+    if coarse:
+        packed = again.select("text").mapInArrow(_index(bands, coarse, parts, words), "part int, keys binary, refs binary, nodes binary")
+        fine = packed.groupBy("part").applyInPandas(_buckets(bands, coarse, 1 << 62), "bucket long, node long, n long, up int, hot boolean, spare long, weight long")
+        members = members.union(fine.select("bucket", "node", "n")).distinct()
+    members = store(members, "members")
+
+    near = F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * per
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Of distinct pairs (u, v, n_u, n_v), u < v, those that are linked: by size, then parity bits, then texts."""
+        signed = pairs.filter(near).join(signs.toDF("u", "s_u").dropDuplicates(["u"]), "u").join(signs.toDF("v", "s_v").dropDuplicates(["v"]), "v")
+        pairs = store(signed.mapInArrow(_may_link(per), "u long, v long, n_u long, n_v long"), "pairs")
+        some = texts
+        if pairs.count() <= FEW:
+            ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+            some = texts.join(F.broadcast(ends), "node", "left_semi")
+        full = pairs.select("u", "v").join(some.toDF("v", "z_v"), "v").join(some.toDF("u", "z_u"), "u").select("u", "v", "z_u", "z_v")
+        both = full.mapInArrow(_verify(words), "u long, v long, both long").join(pairs, ["u", "v"])
+        return store(both.filter(F.col("both") * 100 >= (F.col("n_u") + F.col("n_v") - F.col("both")) * per).select("u", "v"), "links")
+
+    def pair(a: str, n_a: str, b: str, n_b: str) -> list:
+        low = F.col(a) < F.col(b)
+        return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v"), F.when(low, F.col(n_a)).otherwise(F.col(n_b)).alias("n_u"), F.when(low, F.col(n_b)).otherwise(F.col(n_a)).alias("n_v")]
+
+    def still_apart(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+        """Members of the buckets that hold more than one class. Two members have met in the first round."""
+        placed = members.drop("root").withColumn("root", F.col("node")) if roots is None else members.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("size")).filter("a <> b" if roots is None else "a <> b and size > 2").select("bucket")
+        return store(placed.join(mixed, "bucket", "left_semi").select("bucket", "node", "n", "root"), "apart")
+
+    def across(members: DataFrame) -> DataFrame:
+        """Pairs of classes that are still apart. Buckets of up to HOT nodes look at all their pairs. Larger ones join
+        into clusters of nodes that they connect, so that no pair is looked at for each of its many buckets; a cluster
+        is dealt to blocks of about BLOCK nodes and each pair of blocks is one group. Only pairs that may link leave."""
+        size = members.groupBy("bucket").agg(F.count("*").alias("size"))
+        members = members.join(size, "bucket")
+        bits = signs.dropDuplicates(["node"])
+        small = members.filter(F.col("size") <= HOT).join(bits, "node").withColumn("g", F.pmod("bucket", F.lit(8 * parts)))
+        near_by = small.repartition(4 * parts, "g").groupBy("g").applyInPandas(_within(per), "u long, v long, n_u long, n_v long")
+        large = store(members.filter(F.col("size") > HOT).select("bucket", "node", "n", "root"), "large")
+        if large.isEmpty():
+            return near_by
+        least = large.groupBy("bucket").agg(F.min("node").alias("v"))
+        cluster = components(large.join(least, "bucket").select(F.col("node").alias("u"), "v")).toDF("node", "cluster")
+        nodes = large.select("node", "n", "root").distinct().join(cluster.distinct(), "node").join(bits, "node")
+        blocks = nodes.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        nodes = nodes.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        nodes = nodes.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        nodes = nodes.withColumns({"a": F.least("block", "other"), "b": F.greatest("block", "other")}).select("cluster", "a", "b", "node", "n", "root", "parity", "block")
+        # A number of partitions of its own: small rows, but each group takes long.
+        return near_by.union(nodes.repartition(4 * parts, "cluster", "a", "b").groupBy("cluster", "a", "b").applyInPandas(_cross(per), "u long, v long, n_u long, n_v long"))
+
+    links = roots = None
+    for turn in range(ROUNDS + 1):
+        members = still_apart(members, roots)
+        if members.isEmpty():
+            break
+        if turn < ROUNDS:
+            # Another centre each time: whatever belongs to a class meets most of it soon.
+            centre = members.groupBy("bucket").agg(F.min_by(F.struct("node", "n", "root"), F.xxhash64(F.lit(turn), "node")).alias("c"))
+            pairs = members.join(centre, "bucket").filter("root <> c.root").select(*pair("node", "n", "c.node", "c.n"))
+        else:
+            pairs = across(members)
+        found_now = linked(pairs.distinct())
+        links = found_now if links is None else links.union(found_now)
+        roots = store(components(links), "roots")
+    if roots is None:
+        roots = spark.createDataFrame([], "node long, root long")
     least = firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = least.groupBy("root").agg(F.min("first").alias("component_id"))
     named = least.join(names, "root").select("node", "component_id")
