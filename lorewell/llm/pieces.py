@@ -361,7 +361,7 @@ class _Model:
         return self.sent.value
 
 
-def encode_texts(docs: DataFrame, path: str = MODEL, text_col: str = "text", block_chars: int = 2 << 20) -> DataFrame:
+def encode_texts(docs: DataFrame, path: str = MODEL, text_col: str = "text", block_chars: int = 3 << 18) -> DataFrame:
     """docs with a column ids, array<int>: every whole text in pieces of the model. Null stays null, empty text has no
     ids; repeated rows and equal texts encode alike; all columns of docs pass through (one named ids is replaced).
 
