@@ -1,19 +1,22 @@
 """LM scoring by a hierarchical Pitman-Yor model of words.
 
-Two levels of restaurants: one for each of CONTEXTS classes of the word before (a hash of it), all sharing one parent,
-the restaurant of words alone, whose base is uniform over the training vocabulary and one unknown word. Documents are
-grouped; each group asks once for its distinct (word, class) pairs, and the part that a word belongs to holds all its
-counts. Only totals per class, a table of fixed size, pass through the driver.
-
-Seating is Gibbs-sampled: a sweep takes each dish of a restaurant in turn, removes its customers and seats them anew
-given all other dishes. Up to EXACT customers the number of their tables is drawn from its full conditional (the
-arrangements of customers at tables are summed out by generalised Stirling numbers); more customers sit down one
-after the other, by the Chinese-restaurant rule, in growing blocks. Predictive probabilities are averaged over the
-sweeps after the burn-in.
+Two levels of restaurants: one for each distinct word before (and one for starts of texts), all sharing one parent, the
+restaurant of words alone, whose base is uniform over the training vocabulary and one unknown word. Documents are
+grouped; each group asks once for its distinct (word, word before) pairs, and the part that a word belongs to holds all
+its counts. Totals per restaurant live in Spark tables: each part adds up its own pairs of a word before and sends
+one entry to the part that owns that word before, which returns the sum over all parts. Only model-wide sums, a few
+numbers a sweep, pass through the driver.
+
+Seating is Gibbs-sampled: a sweep removes the customers of each dish of a restaurant and seats them anew given all
+other dishes as the sweep before left them, summed over all parts. Up to EXACT customers the number of their tables is
+drawn from its full conditional (the arrangements of customers at tables are summed out by generalised Stirling
+numbers); more customers sit down one after the other, by the Chinese-restaurant rule, in growing blocks. The state
+is written to the shared folder between sweeps. Predictive probabilities are averaged over the sweeps after the burn-in.
 """
 
 from __future__ import annotations
 
+import io
 from functools import lru_cache
 
 import numpy as np
@@ -25,20 +28,20 @@ from pyspark.sql import functions as F
 from .common import mix, pack_sorted, partitions, store, unpack_sorted, word_hashes
 from .groups import by_part, deal, frame, from_blobs, squeeze, unsqueeze
 
-CONTEXTS, SWEEPS, BURN_IN, EXACT = 64, 6, 3, 48
+SWEEPS, BURN_IN, EXACT = 6, 3, 48
 STRENGTH = 1.0
 _U64 = np.uint64
 END = mix(np.array([1], np.uint64))[0]
-START = 0  # its class
+START = _U64(0)  # stands before the first word
+#: What parts write: their counts and what was asked of them, their seating, sums sent to owners and totals sent back.
+MODEL, STATE, SENT, TOTAL = range(4)
+LETTER = "part int, kind int, src int, keys binary, data binary, asked binary, sums array<double>"
+_LETTER_NAMES = ["part", "kind", "src", "keys", "data", "asked", "sums"]
 
 
-def tokens(text: bytes, contexts: int = CONTEXTS) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes with END last, and the class of what stands before each."""
-    w = np.append(word_hashes(text, lower=True)[0], END)
-    k = np.empty(len(w), np.int64)
-    k[0] = START
-    k[1:] = (mix(w[:-1]) % _U64(contexts)).astype(np.int64)
-    return w, k
+def tokens(text: bytes) -> np.ndarray:
+    """Word hashes with END last."""
+    return np.append(word_hashes(text, lower=True)[0], END)
 
 
 @lru_cache(2)
@@ -81,71 +84,144 @@ def seat(rng: np.random.Generator, count: np.ndarray, tables_else: np.ndarray, b
     return out
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
+
+
+def _bundle(**arrays: np.ndarray) -> bytes:
+    sink = io.BytesIO()
+    np.savez(sink, **arrays)
+    return squeeze(np.frombuffer(sink.getvalue(), np.uint8))
+
+
+def _unbundle(data: bytes) -> dict[str, np.ndarray]:
+    with np.load(io.BytesIO(unsqueeze(data, "u1").tobytes())) as arrays:
+        return {k: arrays[k] for k in arrays.files}
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Positions as differences, which compress well; `_places` undoes it."""
+    return np.diff(x.astype(np.int64), prepend=0).astype(np.int32)
+
+
+def _places(x: np.ndarray) -> np.ndarray:
+    return np.cumsum(x.astype(np.int64))
+
+
+def _sent(part: int, contexts: np.ndarray, values: np.ndarray, parts: int) -> list[tuple]:
+    """This part's sums (one row of values or more) per restaurant, to the owners of the restaurants."""
+    return [(owner, SENT, part, pack_sorted(contexts[at]), squeeze(values[:, at].astype("<u8")), None, None) for owner, at in by_part(contexts, parts)]
+
+
+def _gather(parts: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """One part's words and pairs, with counts summed over groups, and what each group asked for; one table a pair."""
+        part, pdf = int(pdf["part"].iloc[0]), pdf.sort_values("g")
+        words, before = [unpack_sorted(x) for x in pdf["words"]], [unpack_sorted(x) for x in pdf["before"]]
+        per = [unsqueeze(x, "<u4").astype(np.int64) for x in pdf["per"]]
+        contexts, at = np.unique(np.concatenate(before), return_inverse=True)
+        shift = np.cumsum([0] + [len(x) for x in before])
+        cls = np.concatenate([at[unsqueeze(x, "<u4").astype(np.int64) + s] for x, s in zip(pdf["at"], shift)])
+        counts = np.concatenate([unsqueeze(x, "<u4") for x in pdf["counts"]]).astype(np.int64)
+        names, asked_words = np.unique(np.concatenate(words), return_inverse=True)
+        pairs, asked_pairs = np.unique(np.repeat(asked_words, np.concatenate(per)) * len(contexts) + cls, return_inverse=True)
+        count = np.bincount(asked_pairs, counts, len(pairs)).astype(np.int64)
+        word, cls = pairs // len(contexts), pairs % len(contexts)
+        word_count = np.bincount(word, count, len(names)).astype(np.int64)
+        tables = np.minimum(count, 1)
+        mine = np.bincount(word, tables, len(names)).astype(np.int64)
+        top = np.minimum(mine, 1)
+        asked = _bundle(groups=pdf["g"].to_numpy(np.int32), n_words=_narrow(np.array([len(w) for w in words])), n_pairs=_narrow(np.array([int(p.sum()) for p in per])), words=_steps(asked_words), pairs=_steps(asked_pairs), word_count=_narrow(word_count))
+        model = _bundle(contexts=contexts, per=_narrow(np.bincount(word, minlength=len(names))), cls=_narrow(cls), count=_narrow(count))
+        state = _bundle(tables=_narrow(tables), top=_narrow(top))
+        sums = [tables.sum(), top.sum(), word_count.sum(), (count == 1).sum(), (count == 2).sum(), (mine == 1).sum(), (mine == 2).sum()]
+        totals = np.stack([np.bincount(cls, x, len(contexts)) for x in (tables, count)])
+        return frame([(part, MODEL, part, None, model, asked, None), (part, STATE, part, None, state, None, [float(x) for x in sums]), *_sent(part, contexts, totals, parts)], _LETTER_NAMES)
+
+    return run
+
+
+def _add_up(pdf: pd.DataFrame) -> pd.DataFrame:
+    """At the owner of restaurants: the sums over all parts, back to each part in the order it sent its own."""
+    keys = [unpack_sorted(x) for x in pdf["keys"]]
+    values = np.concatenate([unsqueeze(x, "<u8").reshape(-1, len(k)) for x, k in zip(pdf["data"], keys)], axis=1)
+    _, where = np.unique(np.concatenate(keys), return_inverse=True)
+    totals = np.stack([np.bincount(where, v)[where] for v in values]).astype("<u8")
+    cut = np.cumsum([len(k) for k in keys])[:-1]
+    owner = int(pdf["part"].iloc[0])
+    return frame([(src, TOTAL, owner, None, squeeze(np.ascontiguousarray(x)), None, None) for src, x in zip(pdf["src"], np.split(totals, cut, axis=1))], _LETTER_NAMES)
+
+
 class Part:
-    """All of one part's words: for each asking group its words and pairs, and the counts summed over groups."""
-
-    def __init__(self, requests: list[tuple[int, bytes, bytes, bytes, bytes]], contexts: int):
-        self.contexts, self.groups = contexts, [r[0] for r in requests]
-        words = [unpack_sorted(r[1]) for r in requests]
-        per = [unsqueeze(r[2], "<u2").astype(np.int64) for r in requests]
-        classes = np.concatenate([unsqueeze(r[3], "u1") for r in requests]).astype(np.int64)
-        counts = np.concatenate([unsqueeze(r[4], "<u4") for r in requests]).astype(np.int64)
-        self.words, where = np.unique(np.concatenate(words), return_inverse=True)
-        self.asked_words = np.split(where, np.cumsum([len(w) for w in words])[:-1])
-        pairs = np.repeat(where, np.concatenate(per)) * contexts + classes
-        self.pairs, where = np.unique(pairs, return_inverse=True)
-        self.asked_pairs = np.split(where, np.cumsum([int(p.sum()) for p in per])[:-1])
-        self.count = np.bincount(where, counts, len(self.pairs)).astype(np.int64)
-        self.word, self.cls = self.pairs // contexts, self.pairs % contexts
-        self.word_count = np.bincount(self.word, self.count, len(self.words)).astype(np.int64)
-
-    def by_class(self, values: np.ndarray) -> np.ndarray:
-        return np.bincount(self.cls, values, self.contexts)
-
-    def samples(self, part: int, known: dict):
-        """The sweeps: yields, from the last of the burn-in on, tables of each pair and of each word at the parent. Tables of
-        other parts are taken to grow and shrink as this part's do from the common start of one table a pair."""
-        rng = np.random.Generator(np.random.PCG64([20240607, part]))
-        d, d0, b = known["discount"], known["parent_discount"], STRENGTH
-        tables = np.minimum(self.count, 1)
-        start = np.maximum(self.by_class(tables), 1)
-        scale = known["pairs"] / start
-        top = np.minimum(np.bincount(self.word, tables, len(self.words)), 1).astype(np.int64)
-        for sweep in range(SWEEPS):
-            mine = np.bincount(self.word, tables, len(self.words))
-            grown = tables.sum() / max(1, start.sum())
-            customers, at_top = known["pairs"].sum() * grown, known["vocabulary"] * top.sum() / max(1, np.minimum(self.word_count, 1).sum())
-            parent = (np.maximum(mine - d0 * top, 0) + (b + d0 * at_top) * known["base"]) / (customers + b)
-            tables = seat(rng, self.count, np.maximum(self.by_class(tables) * scale, 1)[self.cls] - tables, parent[self.word], d, b)
-            mine = np.bincount(self.word, tables, len(self.words)).astype(np.int64)
-            top = seat(rng, mine, np.maximum(at_top - top, 0), np.full(len(mine), known["base"]), d0, b)
-            if sweep >= BURN_IN:
-                yield tables, mine, top
-
-
-def _merged(known_contexts: int):
+    """One part before a sweep: its counts and seating, and the totals over all parts of its restaurants."""
+
+    def __init__(self, pdf: pd.DataFrame, parts: int):
+        self.part = int(pdf["part"].iloc[0])
+        row = {k: pdf[pdf["kind"] == k].iloc[0] for k in (MODEL, STATE)}
+        model, self.state, self.asked = _unbundle(row[MODEL]["data"]), _unbundle(row[STATE]["data"]), row[MODEL]["asked"]
+        self.contexts, self.cls = model["contexts"], model["cls"].astype(np.int64)
+        self.n_words = len(model["per"])
+        self.word, self.count = np.repeat(np.arange(self.n_words), model["per"]), model["count"].astype(np.int64)
+        owned, totals = dict(by_part(self.contexts, parts)), None
+        for src, data in pdf.loc[pdf["kind"] == TOTAL, ["src", "data"]].itertuples(index=False):
+            values = unsqueeze(data, "<u8").reshape(-1, len(owned[src]))
+            if totals is None:
+                totals = np.zeros((len(values), len(self.contexts)), np.int64)
+            totals[:, owned[src]] = values
+        self.totals = totals[0]  # tables per restaurant
+        self.state.setdefault("customers", _narrow(totals[-1]))
+
+    def seating(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tables of each pair, of each word over all restaurants, and of each word at the parent."""
+        tables = self.state["tables"].astype(np.int64)
+        return tables, np.bincount(self.word, tables, self.n_words).astype(np.int64), self.state["top"].astype(np.int64)
+
+    def keep(self, sweep: int, sums: np.ndarray) -> None:
+        """Sums the predictive probabilities of the pairs after a kept sweep's seating need are noted in the state."""
+        self.state |= {f"tables{sweep}": self.state["tables"], f"top{sweep}": self.state["top"], f"totals{sweep}": _narrow(self.totals), f"sums{sweep}": sums[:2]}
+
+
+def _parent(mine: np.ndarray, top: np.ndarray, sums: np.ndarray, known: dict) -> np.ndarray:
+    """Probability of each word at the parent; sums: customers and tables there, over all parts."""
+    d0, b = known["parent_discount"], STRENGTH
+    return (np.maximum(mine - d0 * top, 0) + (b + d0 * sums[1]) * known["base"]) / (sums[0] + b)
+
+
+def _sweep(sweep: int, sums: np.ndarray, known: dict, parts: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """One row a part: its requests, kept whole for the sweeps to come, and what its counts add to the totals."""
-        rows = list(zip(pdf["g"], pdf["words"], pdf["per"], pdf["classes"], pdf["counts"]))
-        p = Part(rows, known_contexts)
-        seen = p.count > 0
-        tables = np.bincount(p.word[seen], minlength=len(p.words))
-        totals = [p.by_class(p.count), p.by_class(seen)]
-        scalars = [p.word_count.sum(), (p.word_count > 0).sum(), (p.count == 1).sum(), (p.count == 2).sum(), (tables == 1).sum(), (tables == 2).sum()]
-        packed = pa.table({"g": pa.array(pdf["g"], pa.int32()), **{c: pa.array(pdf[c], pa.binary()) for c in ("words", "per", "classes", "counts")}})
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, packed.schema) as w:
-            w.write_table(packed)
-        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "requests": [sink.getvalue().to_pybytes()], "totals": [np.concatenate([*totals, scalars]).astype(float)]})
+        """One sweep over a part. sums and the part's totals are those of all parts as the sweep before left them."""
+        p = Part(pdf, parts)
+        if sweep > BURN_IN:
+            p.keep(sweep - 1, sums)
+        rng = np.random.Generator(np.random.PCG64([20240607, p.part, sweep]))
+        tables, mine, top = p.seating()
+        tables = seat(rng, p.count, p.totals[p.cls] - tables, _parent(mine, top, sums, known)[p.word], known["discount"], STRENGTH)
+        mine = np.bincount(p.word, tables, p.n_words).astype(np.int64)
+        top = seat(rng, mine, sums[1] - top, np.full(p.n_words, known["base"]), known["parent_discount"], STRENGTH)
+        state = _bundle(**p.state | {"tables": _narrow(tables), "top": _narrow(top)})
+        own = np.bincount(p.cls, tables, len(p.contexts))[None, :]
+        return frame([(p.part, STATE, p.part, None, state, None, [float(mine.sum()), float(top.sum())]), *_sent(p.part, p.contexts, own, parts)], _LETTER_NAMES)
 
     return run
 
 
-def _parts(batches, contexts: int):
-    for batch in batches:
-        for part, requests in zip(batch.column(0).to_pylist(), batch.column(1)):
-            t = pa.ipc.open_stream(requests.as_buffer()).read_all()
-            yield part, Part(list(zip(*(t.column(c).to_pylist() for c in ("g", "words", "per", "classes", "counts")))), contexts)
+def _answer(sums: np.ndarray, known: dict, parts: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """To each group: counts of the words it asked for and log10 probabilities of its pairs, averaged over the kept sweeps."""
+        p = Part(pdf, parts)
+        p.keep(SWEEPS - 1, sums)
+        d, b, total = known["discount"], STRENGTH, 0.0
+        for k in range(BURN_IN, SWEEPS):
+            tables, seated = p.state[f"tables{k}"].astype(np.int64), p.state[f"totals{k}"].astype(np.int64)
+            mine = np.bincount(p.word, tables, p.n_words)
+            parent = _parent(mine, p.state[f"top{k}"].astype(np.int64), p.state[f"sums{k}"], known)
+            total = total + (np.maximum(p.count - d * tables, 0) + (b + d * seated)[p.cls] * parent[p.word]) / (p.state["customers"].astype(np.int64) + b)[p.cls]
+        value, asked = np.log10(total / (SWEEPS - BURN_IN)).astype("<f4"), _unbundle(p.asked)
+        counts, words, pairs = asked["word_count"].astype("<u4"), _places(asked["words"]), _places(asked["pairs"])
+        split = lambda x, n: np.split(x, np.cumsum(n.astype(np.int64))[:-1])
+        return frame([(int(g), p.part, squeeze(counts[w]), squeeze(value[k])) for g, w, k in zip(asked["groups"], split(words, asked["n_words"]), split(pairs, asked["n_pairs"]))], ["g", "part", "counts", "scores"])
+
+    return run
 
 
 def _summed(df: DataFrame, column: str, n: int) -> np.ndarray:
@@ -157,7 +233,7 @@ def _summed(df: DataFrame, column: str, n: int) -> np.ndarray:
     return out
 
 
-def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, contexts: int = CONTEXTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity): log10 probabilities of whole
     texts under the add-one unigram base and the hierarchical Pitman-Yor model, both learned from all rows whose crc32
     of the id as text is not `held_out` modulo `folds`. Tokens are words, A-Z in lower case, and one end.
@@ -170,57 +246,50 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, contexts: in
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"), fold.alias("held_out"))
 
     def pairs(table: pa.Table):
-        """Of a group: distinct words, distinct (word, class) pairs as positions, each token's pair, tokens of each text."""
-        each = [tokens(t, contexts) for t in table.column("text").to_pylist()]
-        sizes = np.array([len(w) for w, _ in each])
-        words, where = np.unique(np.concatenate([w for w, _ in each]), return_inverse=True)
-        both, token_pair = np.unique(where * contexts + np.concatenate([k for _, k in each]), return_inverse=True)
-        return words, both, token_pair, where, sizes
+        """Of a group: distinct words, distinct pairs as word and place of the word before (from 1; 0 is START), each token's
+        pair and word, tokens of each text."""
+        each = [tokens(t) for t in table.column("text").to_pylist()]
+        sizes = np.array([len(w) for w in each])
+        words, where = np.unique(np.concatenate(each), return_inverse=True)
+        before = np.append(0, where[:-1] + 1)
+        before[np.cumsum(sizes) - sizes] = 0
+        both, token_pair = np.unique(where * (len(words) + 1) + before, return_inverse=True)
+        return words, both // (len(words) + 1), both % (len(words) + 1), token_pair, where, sizes
 
     def ask(pdf: pd.DataFrame) -> pd.DataFrame:
         table = from_blobs(pdf["blob"])
-        words, both, token_pair, _, sizes = pairs(table)
+        words, word, before, token_pair, _, sizes = pairs(table)
         train = np.repeat(~np.array(table.column("held_out").to_pylist(), bool), sizes)
-        count = np.bincount(token_pair, train, len(both)).astype("<u4")
-        per = np.bincount(both // contexts, minlength=len(words))
+        count = np.bincount(token_pair, train, len(word)).astype("<u4")
+        per = np.bincount(word, minlength=len(words))
+        names = np.append(START, words)
         start, g, out = np.cumsum(per) - per, int(pdf["g"].iloc[0]), []
         for part, at in by_part(words, parts):
             mine = np.repeat(start[at] - np.cumsum(per[at]) + per[at], per[at]) + np.arange(per[at].sum())
-            out.append((part, g, pack_sorted(words[at]), squeeze(per[at].astype("<u2")), squeeze((both[mine] % contexts).astype("u1")), squeeze(count[mine])))
-        return frame(out, ["part", "g", "words", "per", "classes", "counts"])
-
-    asked = deal(rows, parts).groupBy("g").applyInPandas(ask, "part int, g int, words binary, per binary, classes binary, counts binary")
-    merged = store(asked.groupBy("part").applyInPandas(_merged(contexts), "part int, requests binary, totals array<double>"), "lm-parts")
-    sums = _summed(merged, "totals", 2 * contexts + 6)
-    n, vocabulary, one, two, one_up, two_up = (float(x) for x in sums[-6:])
+            some, place = np.unique(before[mine], return_inverse=True)
+            out.append((part, g, pack_sorted(words[at]), squeeze(per[at].astype("<u4")), pack_sorted(names[some]), squeeze(place.astype("<u4")), squeeze(count[mine])))
+        return frame(out, ["part", "g", "words", "per", "before", "at", "counts"])
+
+    asked = deal(rows, parts).groupBy("g").applyInPandas(ask, "part int, g int, words binary, per binary, before binary, at binary, counts binary")
+    model = store(asked.groupBy("part").applyInPandas(_gather(parts), LETTER), "lm-parts")
+    sums = _summed(model.filter(F.col("kind") == STATE), "sums", 7)
+    n, one, two, one_up, two_up = (float(x) for x in sums[2:])
+    vocabulary = float(sums[1])  # one table at the parent for each word
     rate = lambda a, b: float(round(min(0.95, max(0.05, a / (a + 2 * b))), 3)) if a + b else 0.5
-    known = {"customers": sums[:contexts], "pairs": sums[contexts : 2 * contexts], "tokens": n, "vocabulary": vocabulary, "base": 1 / (vocabulary + 1), "discount": rate(one, two), "parent_discount": rate(one_up, two_up)}
-
-    def sweep(batches):
-        """Totals after each kept sweep: tables by class, then customers and tables of the parent."""
-        for part, p in _parts(batches, contexts):
-            out = [np.concatenate([p.by_class(t), [mine.sum(), top.sum()]]) for t, mine, top in p.samples(part, known)]
-            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(out)], pa.list_(pa.float64()))], ["totals"])
-
-    kept = SWEEPS - BURN_IN
-    totals = _summed(merged.select("part", "requests").mapInArrow(sweep, "totals array<double>"), "totals", kept * (contexts + 2)).reshape(kept, contexts + 2)
-
-    def predictive(p: Part, part: int) -> np.ndarray:
-        """Probability of each pair, averaged over the kept sweeps, whose seating is drawn again from the same seeds."""
-        d, d0, b, total = known["discount"], known["parent_discount"], STRENGTH, 0.0
-        for (tables, mine, top), sums in zip(p.samples(part, known), totals):
-            customers, at_top = sums[-2:]
-            parent = (np.maximum(mine - d0 * top, 0) + (b + d0 * at_top) * known["base"]) / (customers + b)
-            total = total + (np.maximum(p.count - d * tables, 0) + (b + d * sums[:contexts])[p.cls] * parent[p.word]) / (known["customers"] + b)[p.cls]
-        return total / kept
-
-    def answer(batches):
-        for part, p in _parts(batches, contexts):
-            value = np.log10(predictive(p, part)).astype("<f4")
-            counts = p.word_count.astype("<u4")
-            out = [(g, part, squeeze(counts[w]), squeeze(value[k])) for g, w, k in zip(p.groups, p.asked_words, p.asked_pairs)]
-            cols = list(zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["g", "part", "counts", "scores"])
+    known = {"base": 1 / (vocabulary + 1), "discount": rate(one, two), "parent_discount": rate(one_up, two_up)}
+
+    def inbox(state: DataFrame, asked: bool) -> DataFrame:
+        """For each part its counts, its seating and the totals over all parts."""
+        counts = model.filter(F.col("kind") == MODEL)
+        counts = counts if asked else counts.withColumn("asked", F.lit(None).cast("binary"))
+        totals = state.filter(F.col("kind") == SENT).groupBy("part").applyInPandas(_add_up, LETTER)
+        return counts.union(state.filter(F.col("kind") == STATE)).union(totals).groupBy("part")
+
+    state = model
+    for sweep in range(SWEEPS):
+        state = store(inbox(state, False).applyInPandas(_sweep(sweep, sums, known, parts), LETTER), "lm-sweep")
+        sums = _summed(state.filter(F.col("kind") == STATE), "sums", 2)
+    answers = inbox(state, True).applyInPandas(_answer(sums, known, parts), "g int, part int, counts binary, scores binary")
 
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
 
@@ -228,10 +297,10 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, contexts: in
         if not len(pdf):
             return frame([], names)
         table = from_blobs(pdf["blob"])
-        words, both, token_pair, token_word, sizes = pairs(table)
-        per = np.bincount(both // contexts, minlength=len(words))
+        words, word, _, token_pair, token_word, sizes = pairs(table)
+        per = np.bincount(word, minlength=len(words))
         start = np.cumsum(per) - per
-        count, value = np.zeros(len(words), np.int64), np.zeros(len(both))
+        count, value = np.zeros(len(words), np.int64), np.zeros(len(word))
         told = {part: (c, s) for part, c, s in zip(answers["part"], answers["counts"], answers["scores"])}
         for part, at in by_part(words, parts):
             mine = np.repeat(start[at] - np.cumsum(per[at]) + per[at], per[at]) + np.arange(per[at].sum())
@@ -242,5 +311,4 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, contexts: in
         total = np.bincount(owner, value[token_pair], len(sizes))
         return pd.DataFrame({"doc_id": table.column("id").to_pylist(), "held_out": table.column("held_out").to_pylist(), "n_tokens": sizes, "n_known": np.bincount(owner, c > 0, len(sizes)).astype(np.int64), "train_tokens": int(n), "base_score": base, "score": total, "perplexity": 10 ** (-total / sizes)})
 
-    answers = merged.select("part", "requests").mapInArrow(answer, "g int, part int, counts binary, scores binary")
     return deal(rows, parts).groupBy("g").cogroup(answers.groupBy("g")).applyInPandas(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")

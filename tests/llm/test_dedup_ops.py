@@ -121,6 +121,14 @@ def test_scores(spark):
     assert perplexity.score_texts(frame(spark, [])).count() == 0
 
 
+def test_scores_know_the_word_before(spark):
+    rng = random.Random(6)
+    starts = [rng.randrange(600) for _ in range(300)]
+    rows = [(i, " ".join(f"w{(a + k) % 600}" for k in range(40))) for i, a in enumerate(starts)]
+    held = [r for r in perplexity.score_texts(frame(spark, rows)).collect() if r["held_out"]]
+    assert held and max(r["perplexity"] for r in held) < 2  # each of the 600 words has one successor
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 103), (101, 103)], "u long, v long")
     got = {r["node"]: r["root"] for r in components.components(links).collect()}
