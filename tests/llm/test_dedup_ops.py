@@ -129,6 +129,21 @@ def test_scores_know_the_word_before(spark):
     assert held and max(r["perplexity"] for r in held) < 2  # each of the 600 words has one successor
 
 
+def test_scores_do_not_hang_on_the_parts(spark):
+    rng = random.Random(7)
+    rows = [(i, " ".join(x for _ in range(60) for x in (f"r{rng.randrange(400)}", "hot"))) for i in range(120)]
+    found = {}
+    for parts in (1, 3, 8):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            found[parts] = {r["doc_id"]: r["score"] for r in perplexity.score_texts(frame(spark, rows)).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 3)
+    for parts in (3, 8):
+        off = [abs(s / found[1][i] - 1) for i, s in found[parts].items()]
+        assert sum(off) / len(off) < 0.002, (parts, sum(off) / len(off))
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 103), (101, 103)], "u long, v long")
     got = {r["node"]: r["root"] for r in components.components(links).collect()}
