@@ -234,8 +234,9 @@ def _cross(per: int):
     return run
 
 
-def _describe(bands: Bands, words: int, plans=PLANS):
-    """Map step: (id, n, node) per row, and per task one row (band, plan, spare, cost) for each plan it measured."""
+def _describe(bands: Bands, words: int, plans=PLANS, texts: bool = False):
+    """Map step: (id, n, node) per row, with texts its compressed text z too, and per task one row (band, plan, spare,
+    cost) for each plan it measured."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spare: dict[tuple[int, int], int] = {}
@@ -270,15 +271,16 @@ def _describe(bands: Bands, words: int, plans=PLANS):
                         spare[b, k] = min(spare.get((b, k), 1 << 30), int(left[mine_too].min()))
                         cost[b, k] += float(price[mine_too].sum())
             empty = pa.nulls(len(ns))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bits, pa.binary()), empty.cast(pa.int32()), empty.cast(pa.int32()), empty.cast(pa.int64()), empty.cast(pa.float64())], _NAMES)
+            z = pa.array([_pack(x) if n else None for x, n in zip(batch.column(1).to_pylist(), ns)], pa.binary()) if texts else empty.cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([ids, pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bits, pa.binary()), empty.cast(pa.int32()), empty.cast(pa.int32()), empty.cast(pa.int64()), empty.cast(pa.float64()), z], _NAMES)
         at = sorted(spare)
         none = pa.nulls(len(at))
-        yield pa.RecordBatch.from_arrays([none.cast(kind), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array([x[0] for x in at], pa.int32()), pa.array([x[1] for x in at], pa.int32()), pa.array([spare[x] for x in at], pa.int64()), pa.array([cost[x] for x in at], pa.float64())], _NAMES)
+        yield pa.RecordBatch.from_arrays([none.cast(kind), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array([x[0] for x in at], pa.int32()), pa.array([x[1] for x in at], pa.int32()), pa.array([spare[x] for x in at], pa.int64()), pa.array([cost[x] for x in at], pa.float64()), none.cast(pa.binary())], _NAMES)
 
     return run
 
 
-_NAMES = ["id", "n", "node", "parity", "band", "plan", "spare", "cost"]
+_NAMES = ["id", "n", "node", "parity", "band", "plan", "spare", "cost", "z"]
 
 
 def choose_plans(measured: DataFrame, plans=PLANS, cheapest: bool = True) -> dict[int, tuple[float, float]]:
@@ -421,12 +423,6 @@ def _ramp(counts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
 
 
-def _compress(batches):
-    for batch in batches:
-        batch = batch.filter(pc.is_valid(batch.column(1)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_pack(x) for x in batch.column(1).to_pylist()], pa.binary())], ["id", "z"])
-
-
 def _verify(words: int):
     def run(batches):
         last, get = (None, None), lambda z: shingle_set(_plain(z), words)
@@ -458,15 +454,16 @@ def similar_groups(docs: DataFrame, per: int = 80, words: int = WORDS, id_col: s
        blocks. Sizes and parity bits rule out what cannot link before texts are fetched.
 
     Null and wordless texts have 0 shingles and are alone. Rows with equal texts, repeated ids included, share their
-    component; null ids are the smallest. Other columns are ignored; an empty table gives an empty result."""
+    component; null ids are the smallest, so the component of one is null (set_id still tells sets apart). Other columns are ignored; an empty table gives an empty result."""
     spark = docs.sparkSession
     bands = Bands(per)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    measured = store(rows.mapInArrow(_describe(bands, words), f"id {kind}, n long, node long, parity binary, band int, plan int, spare long, cost double"), "sets")
+    measured = store(rows.mapInArrow(_describe(bands, words, texts=True), f"id {kind}, n long, node long, parity binary, band int, plan int, spare long, cost double, z binary"), "sets")
     plans = choose_plans(measured.filter("band is not null"))
     found = measured.filter("band is null").select("id", "n", "node")
-    firsts = found.filter("node is not null").groupBy("node").agg(F.min("id").alias("first"))
+    # A struct, for F.min leaves nulls out: a null id is the smallest.
+    firsts = found.filter("node is not null").groupBy("node").agg(F.min(F.struct("id")).alias("first"))
     signs = measured.filter("node is not null").select("node", "parity")
 
     parts = partitions(spark)
@@ -477,11 +474,11 @@ def similar_groups(docs: DataFrame, per: int = 80, words: int = WORDS, id_col: s
     poor = store(poor, "poor")
 
     wanted = members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
-    wanted = members.join(wanted, "bucket", "left_semi").select("node").union(poor).distinct().join(firsts, "node").select("node", F.col("first").alias("id"))
-    texts = store(rows.mapInArrow(_compress, f"id {kind}, z binary").join(wanted, "id").select("node", "z").dropDuplicates(["node"]), "texts")
+    wanted = members.join(wanted, "bucket", "left_semi").select("node").union(poor).distinct()
+    texts = store(measured.filter("node is not null").select("node", "z").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "texts")
 
     again = texts.join(poor, "node", "left_semi").select("node", F.col("z").alias("text"))
-    coarse = choose_plans(again.mapInArrow(_describe(bands, words, COARSE), "id long, n long, node long, parity binary, band int, plan int, spare long, cost double").filter("band is not null"), COARSE, cheapest=False)
+    coarse = choose_plans(again.mapInArrow(_describe(bands, words, COARSE), "id long, n long, node long, parity binary, band int, plan int, spare long, cost double, z binary").filter("band is not null"), COARSE, cheapest=False)
     if coarse:
         packed = again.select("text").mapInArrow(_index(bands, coarse, parts, words), "part int, keys binary, refs binary, nodes binary")
         fine = packed.groupBy("part").applyInPandas(_buckets(bands, coarse, 1 << 62), "bucket long, node long, n long, up int, hot boolean, spare long, weight long")
@@ -551,7 +548,7 @@ def similar_groups(docs: DataFrame, per: int = 80, words: int = WORDS, id_col: s
     if roots is None:
         roots = spark.createDataFrame([], "node long, root long")
     least = firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    names = least.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = least.join(names, "root").select("node", "component_id")
+    names = least.groupBy("root").agg(F.min("first").alias("least"))
+    named = least.join(names, "root").select("node", F.col("least.id").alias("component_id"))
     out = found.join(named, "node", "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.col("node").alias("set_id"))

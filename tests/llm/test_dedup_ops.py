@@ -67,6 +67,19 @@ def test_jaccard_groups_are_brute_force(spark, monkeypatch):
     assert jaccard.similar_groups(frame(spark, [])).count() == 0
 
 
+def test_jaccard_with_null_and_reused_ids(spark):
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(999)}" for _ in range(80)] for _ in range(4)]
+    a, b, c, d = (" ".join(w) for w in base)
+    near = lambda w: " ".join([*w[:-1], "end"])
+    # Null ids with a link to 7 and to one another; id 1 has three unlike texts, two of which have near copies.
+    rows = [(None, a), (7, near(base[0])), (None, b), (None, near(base[1])), (1, c), (1, d), (1, "alone"), (2, near(base[2])), (3, near(base[3]))]
+    out = {}
+    for r in jaccard.similar_groups(frame(spark, rows)).collect():
+        out.setdefault(r["doc_id"], []).append(r["component_id"])
+    assert out == {None: [None] * 3, 7: [None], 1: [1] * 3, 2: [1], 3: [1]}
+
+
 def test_exact_dedup_with_colliding_digests(spark):
     rows = texts(2)
     squash = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
