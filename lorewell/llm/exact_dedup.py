@@ -18,6 +18,7 @@ _STATE = {
     f"{_ROCKS}.allowFAllocate": "false",
     f"{_ROCKS}.changelogCheckpointing.enabled": "true",
 }
+SALTS = 16
 
 
 @contextmanager
@@ -90,14 +91,15 @@ def exact_dedup(docs: DataFrame, digest=sha256_digest, files_per_batch: int | No
     keys, groups = run_stream(found, spark, files_per_batch)
     groups = store(groups, "dedup-latest")
     out = keys.join(groups, "digest")
-    hits = out.filter("group_size > 1").select(F.col("doc_id").alias("hit"), F.col("digest"))
-    bodies = docs.join(hits, F.col("doc_id").eqNullSafe(F.col("hit"))).select("digest", normalised(F.col("text")).alias("body"), "doc_id", F.char_length(F.coalesce("text", F.lit(""))).alias("n_chars"))
-    differ = store(bodies.groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high")).filter("low <> high").select("digest"), "dedup-collisions")
+    bodies = docs.select("doc_id", digest(normalised(F.col("text"))).alias("digest"), normalised(F.col("text")).alias("body"), F.coalesce(F.char_length("text"), F.lit(0)).alias("n_chars"), "place")
+    # Salted, so that the copies of one text are spread over SALTS tasks.
+    hits = groups.filter("group_size > 1").select("digest", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    hit = bodies.withColumn("salt", (F.monotonically_increasing_id() % SALTS).cast("int")).join(hits, ["digest", "salt"], "left_semi")
+    differ = store(hit.groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high")).filter("low <> high").select("digest"), "dedup-collisions")
     columns = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest", "keep_place"]
     if differ.isEmpty():
         return out.select(*columns)
-    split = bodies.join(differ, "digest").dropDuplicates(["digest", "doc_id", "body"])
-    own = split.groupBy("digest", "body").agg(F.min(F.struct((-F.col("n_chars")).alias("less"), "doc_id")).alias("first"), F.count("*").alias("group_size"))
-    apart = split.join(own, ["digest", "body"]).select("digest", "doc_id", F.col("first.doc_id").alias("own_id"), own["group_size"].alias("own_size"))
-    out = out.join(apart, ["digest", "doc_id"], "left").withColumns({"keep_id": F.coalesce("own_id", "keep_id"), "group_size": F.coalesce("own_size", "group_size")})
-    return out.select(*columns)
+    split = bodies.join(differ, "digest", "left_semi")
+    own = split.groupBy("digest", "body").agg(F.min(F.struct((-F.col("n_chars")).alias("less"), "doc_id", "place")).alias("first"), F.count("*").alias("group_size"))
+    apart = split.join(own, ["digest", "body"]).withColumns({"keep_id": F.col("first.doc_id"), "keep_place": F.col("first.place")})
+    return out.join(differ, "digest", "left_anti").select(*columns).union(apart.select(*columns))

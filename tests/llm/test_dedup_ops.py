@@ -98,6 +98,15 @@ def test_exact_dedup_with_colliding_digests(spark):
     assert exact_dedup.exact_dedup(frame(spark, [])).count() == 0
 
 
+def test_exact_dedup_of_ids_with_two_texts(spark):
+    rows = [(1, "a"), (1, "b"), (2, "a"), (None, "c"), (3, "c"), (4, "d"), (4, "d")]
+    want = [(1, 1, 2), (1, 1, 1), (2, 1, 2), (None, None, 2), (3, None, 2), (4, 4, 2), (4, 4, 2)]
+    one = lambda text: F.lit("x")
+    for digest in (exact_dedup.sha256_digest, one):
+        out = exact_dedup.exact_dedup(frame(spark, rows), digest).collect()
+        assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["keep_id"], r["group_size"])) for r in out)
+
+
 def test_repeats_are_brute_force(spark):
     rows = texts(3)
     words = [(i, (t or "").encode().split()) for i, t in rows]
