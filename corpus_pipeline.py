@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and all that the one before it kept, and returns a DataFrame, which is written
 as Parquet and read again as the next stage's docs. All but the last return the columns of documents.
+
+Decisions are taken per row, not per doc_id: exact_copies, near_copies and mixture number the rows and join what was
+decided back on that number. Null ids are ids like others (the smallest), rows that share an id are rows of their own,
+and a row that is repeated whole is a copy of itself, of which one stays.
 """
 
 from __future__ import annotations
@@ -18,22 +22,33 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.learn(docs)).filter(~F.col("rejected")).select(docs.columns)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, _row, and (doc_id, _row) as _key, which orders like doc_id, nulls first. Written
+    to the shared folder, so that a row has the same number wherever it is read."""
+    return store(docs.withColumn("_row", F.monotonically_increasing_id()), "rows").withColumn("_key", F.struct("doc_id", "_row"))
+
+
+def _kept(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    return docs.join(keys.select(F.col("doc_id._row").alias("_row")), "_row", "left_semi")
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal without white space, the longest stays."""
-    kept = exact_dedup.exact_dedup(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """Of rows whose texts are equal without white space, one stays: the longest, then the smallest id."""
+    rows = _numbered(docs)
+    return _kept(rows, exact_dedup.exact_dedup(rows, id_col="_key").filter("kept")).select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a word-shingle Jaccard similarity of 0.8 or more, the one with the smallest id stays."""
-    kept = jaccard.similar_groups(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """Of rows linked by a word-shingle Jaccard similarity of 0.8 or more, the one with the smallest id stays."""
+    rows = _numbered(docs)
+    return _kept(rows, jaccard.similar_groups(rows, id_col="_key").filter("doc_id <=> component_id")).select(docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    copies = mixing.mix_sources(docs).filter("copies > 0").select("doc_id", "copies")
-    return docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(docs.columns)
+    """Each row as often as the mix takes it."""
+    rows = _numbered(docs)
+    copies = mixing.mix_sources(rows, row_col="_row").filter("copies > 0").select("_row", "copies")
+    return rows.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

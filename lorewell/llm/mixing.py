@@ -84,8 +84,8 @@ def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[["sid", "size"]].assign(every=every, extra=fit_budget(sizes, counts, budget) if whole else 0 * counts)
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), seed: int = 17, salts: int = 256, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken): how often the mix takes each document.
+def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), seed: int = 17, salts: int = 256, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken), with row_col that column as well: how often the mix takes each document.
 
     Documents are counted by exact word length per source; a target above a source's size takes whole rounds of it,
     and the remaining budget is fitted on that histogram (one row per length, so at most the longest text's words)
@@ -95,9 +95,10 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), seed: int
 
     Null text has size 0 and is never taken; null sources form one source, the last; ties and repeated rows count
     one by one; an empty table gives an empty result. Other columns of docs are ignored. No document is taken more
-    than REPEATS times.
+    than REPEATS times. row_col, a unique number of the row, tells rows of one id apart and decides ties among them.
     """
-    sizes = store(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")), "mix-sizes")
+    row = [row_col] if row_col else []
+    sizes = store(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), *row), "mix-sizes")
     sizes = sizes.withColumn("salt", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(salts)))
     targets = store(source_targets(sizes, weights).withColumn("sid", F.xxhash64(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")))), "mix-targets")
     # The numeric key of a source stands in for its name, so that null sources join like any other.
@@ -109,7 +110,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), seed: int
     cells = cells.withColumn("earlier", F.coalesce(F.sum("n").over(in_turn), F.lit(0))).join(plan, ["sid", "size"])
     cells = cells.select("sid", "size", "salt", "every", F.least(F.greatest(F.col("extra") - F.col("earlier"), F.lit(0)), F.col("n")).alias("more"))
     cells = cells.join(targets.select("sid", "source_size", "target"), "sid")
-    ranked = Window.partitionBy("sid", "size", "salt").orderBy(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), "doc_id")
+    ranked = Window.partitionBy("sid", "size", "salt").orderBy(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), "doc_id", *row)
     out = sizes.join(cells, ["sid", "size", "salt"]).withColumn("copies", F.col("every") + (F.row_number().over(ranked) <= F.col("more")).cast("int"))
     out = out.withColumn("copies", F.when(F.col("size") == 0, 0).otherwise(F.col("copies")))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *row)

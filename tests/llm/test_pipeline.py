@@ -45,6 +45,27 @@ def test_stages_on_a_small_corpus(spark, tmp_path):
     assert all(r["round_trip"] for r in seen["encoding"]) and sorted(r["doc_id"] for r in seen["encoding"]) == sorted(got)
 
 
+def test_stages_with_null_and_repeated_ids(spark, tmp_path):
+    text = lambda k: " ".join(f"word{k}x{j}" for j in range(40))
+    # Two null ids; id 1 on two texts; 2 on a row that stands there twice; 3 an exact and 4 a near copy of a null id's.
+    rows = [(None, text(0)), (None, text(1)), (1, text(2)), (1, text(3)), (2, text(4)), (2, text(4)), (3, text(0)), (4, text(1) + " end")]
+    rows = [(i, t, "en", "s", len(t)) for i, t in rows]
+    spark.createDataFrame(rows, COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    key = lambda found: sorted((-1 if r[0] is None else r[0], r[1]) for r in found)
+    left = {"language": rows, "exact_copies": rows[:5] + rows[7:], "near_copies": rows[:5], "mixture": rows[:5]}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        if name in left:
+            assert key(docs.select("doc_id", "text").collect()) == key(left[name]), name
+    out = docs.collect()
+    assert key((r["doc_id"], "") for r in out) == key((i, "") for i, *_ in rows[:5]) and all(r["round_trip"] for r in out)
+    # A row that stands twice and is due once a row leaves the mixture twice, not four times.
+    twice = spark.createDataFrame([rows[4]] * 2 + [rows[0]], COLUMNS)
+    assert key(corpus_pipeline.mixture(spark, twice, "").select("doc_id", "text").collect()) == key([rows[0], rows[4], rows[4]])
+
+
 def test_entry_lists_them():
     entry = importlib.import_module("__spark_entry__")
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
