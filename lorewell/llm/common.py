@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,20 +23,74 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder that the driver and all executors share: under spark.checkpoint.dir, or, where that is unset
-    (local runs and tests), under the machine's temporary folder."""
+def scratch(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables, which the driver and all executors share: under
+    spark.checkpoint.dir. Where that is unset, a local master has the machine's temporary folder; a cluster has none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = os.path.join(tempfile.gettempdir(), f"lorewell-{spark.sparkContext.applicationId}")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.gettempdir()
+    return f"{base.rstrip('/')}/lorewell-{spark.sparkContext.applicationId}"
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder in the scratch folder."""
+    return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete folders wherever Spark can write."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; call it when no result is read any more."""
+    remove(spark, scratch(spark))
+
+
+class Stored:
+    """Tables of one run by name: written once as Parquet, read back, and deleted when the run has no use for them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        """Store df; an older table of the name is deleted after df is written, which may read it."""
+        path = shared_dir(self.spark, name)
+        df.write.parquet(path)
+        self.drop(name)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        remove(self.spark, *(self.paths.pop(n) for n in names if n in self.paths))
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, and lost executors lose nothing."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Stored(df.sparkSession).put(df, name)
+
+
+def give_back() -> None:
+    """Python workers serve task after task: hand memory that a step has freed back to the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # not this C library
+
+
+def tidy(step):
+    """An Arrow map step that gives its memory back when its task ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from step(batches)
+        give_back()
+
+    return run
 
 
 def partitions(spark: SparkSession) -> int:
@@ -44,10 +102,9 @@ def word_count(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-# Random but fixed multipliers of the byte and word hashes.
-_rng = np.random.Generator(np.random.PCG64(20240601))
-BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ROOT = np.uint64(0x9E3779B97F4A7C15 | 1)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 TO_LOWER = np.arange(256, dtype=np.uint8)
@@ -61,48 +118,51 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_POWERS = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """root**i and root**-i modulo 2**64 for i < n at least."""
-    have = _POWERS.get("n", 0)
-    if have < n:
-        n = max(n, 2 * have, 1 << 16)
-        inverse = np.uint64(pow(int(_ROOT), -1, 2**64))
-        up, down = np.empty(n, np.uint64), np.empty(n, np.uint64)
-        up[0] = down[0] = 1
-        up[1:], down[1:] = _ROOT, inverse
-        _POWERS.update(n=n, up=np.multiply.accumulate(up), down=np.multiply.accumulate(down))
-    return _POWERS["up"], _POWERS["down"]
-
-
-def word_hashes(data: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hash, first byte and end of every word of UTF-8 data, from one prefix sum over its bytes."""
-    b = np.frombuffer(data, np.uint8)
+def word_hashes(data: bytes, lower: bool, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hash, first byte and end of every word of UTF-8 data. Words take in eight bytes at a time, all words of a
+    text together, each step mixed before the next; long words go through BLAKE2b one by one. So no pattern of letters
+    (as there is for polynomials modulo 2**64) makes two words equal. Another salt gives other hashes."""
+    b = np.zeros(len(data) + 8, np.uint8)
+    b[: len(data)] = np.frombuffer(data, np.uint8)
     if lower:
         b = TO_LOWER[b]
-    inside = np.empty(len(b) + 2, bool)
+    inside = np.empty(len(data) + 2, bool)
     inside[0] = inside[-1] = False
-    np.logical_not(IS_SPACE[b], out=inside[1:-1])
+    np.logical_not(IS_SPACE[b[: len(data)]], out=inside[1:-1])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edges[::2], edges[1::2]
-    up, down = _powers(len(b) + 1)
-    total = np.empty(len(b) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(BYTE_CODE[b] * up[: len(b)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)), start, end
+    size = end - start
+    eight = np.ndarray((len(data) + 1,), "<u8", b, strides=(1,))  # eight bytes from every place on
+    h = size.astype(np.uint64) * _SPREAD + np.uint64(salt)
+    on, at = np.flatnonzero(size <= LONG_WORD), 0
+    while len(on):
+        left = (size[on] - at).astype(np.uint64)
+        piece = eight[start[on] + at]
+        short = left < 8
+        piece[short] &= (np.uint64(1) << (left[short] << np.uint64(3))) - np.uint64(1)
+        h[on] = mix(h[on] ^ piece)
+        at += 8
+        on = on[size[on] > at]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(b[start[i] : end[i]].tobytes(), digest_size=8, salt=salt.to_bytes(8, "little")).digest(), "little")
+    return h, start, end
 
 
 def rolling(words: np.ndarray, n: int) -> np.ndarray:
-    """64-bit hashes of all runs of n consecutive words; none if there are fewer."""
-    if len(words) < n:
+    """64-bit hashes of all runs of n consecutive words; none if there are fewer. Runs of 1, 2, 4 words and so on are
+    mixed from two halves, and n is put together from those."""
+    m = len(words) - n + 1
+    if m < 1 or n < 1:
         return np.empty(0, np.uint64)
-    up, down = _powers(len(words) + 1)
-    total = np.empty(len(words) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(words * up[: len(words)], out=total[1:])
-    return mix((total[n:] - total[:-n]) * down[: len(words) - n + 1])
+    out, run, size, at = None, words, 1, 0
+    while size <= n:
+        if n & size:
+            piece = run[at : at + m]
+            out = piece if out is None else mix(out * _SPREAD + piece)
+            at += size
+        run = mix(run[:-size] * _SPREAD + run[size:]) if 2 * size <= n else run
+        size *= 2
+    return out
 
 
 def pack_sorted(x: np.ndarray) -> bytes:
