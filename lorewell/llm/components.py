@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import Stored
 
 
 def _star(edges: DataFrame, both: bool) -> DataFrame:
@@ -22,15 +22,19 @@ def _star(edges: DataFrame, both: bool) -> DataFrame:
     return out.filter("u > v").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, tables: Stored | None = None, name: str = "roots") -> DataFrame:
     """(node, root) for every node with a link (u, v): root is the least node it reaches. Each round is written to
-    the shared folder; rounds end when a checksum of the edges stands still. Counts alone reach the driver."""
-    edges = store(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct(), "stars")
+    the shared folder, where only the last stays, as table `name` of tables; rounds end when a checksum of the edges
+    stands still. Counts alone reach the driver."""
+    tables = tables or Stored(links.sparkSession)
+    edges = tables.put(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct(), f"{name}-stars")
     mark = None
     while True:
-        edges = store(_star(_star(edges, True), False), "stars")
+        edges = tables.put(_star(_star(edges, True), False), f"{name}-stars")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == mark:
             break
         mark = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", F.col("v").alias("root")).distinct())
+    out = tables.put(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", F.col("v").alias("root")).distinct()), name)
+    tables.drop(f"{name}-stars")
+    return out

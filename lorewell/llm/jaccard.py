@@ -5,10 +5,13 @@ set sizes. Two sets whose difference is smaller than the sum of their segments'
 the whole of it (weight 1), or up to one token (weight 2; both sets then index the segment with each token left out
 too). Empty segments agree trivially, so they carry no weight; M and the weights of a band are the cheapest, over
 measured numbers of keys, under which every set of the band keeps enough weight in what is left. So no pair is lost.
+
+Tokens are 64-bit hashes of shingles while candidates are searched; what is linked is decided on the words themselves.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -19,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, pack_sorted, partitions, rolling, store, unpack_sorted, word_hashes
+from .common import TO_LOWER, Stored, give_back, mix, pack_sorted, partitions, rolling, tidy, unpack_sorted, word_hashes
 from .components import components
 
 WORDS = 5
@@ -39,12 +42,50 @@ FEW = 50_000
 _U64 = np.uint64
 
 
-def shingle_set(text: bytes | None, n: int = WORDS) -> np.ndarray:
+_LOWER = TO_LOWER.tobytes()
+
+
+def shingle_set(text: bytes | None, n: int = WORDS, salt: int = 0) -> np.ndarray:
     """Distinct 64-bit hashes of the runs of n words (all words if there are fewer), ascending; A-Z in lower case."""
-    words = word_hashes(text or b"", lower=True)[0]
+    words = word_hashes(text or b"", lower=True, salt=salt)[0]
     return np.unique(rolling(words, min(n, len(words)))) if len(words) else words
 
 
+def word_list(text: bytes) -> list[bytes]:
+    """The words of a text, A-Z in lower case (bytes.split cuts at the six blanks)."""
+    return text.translate(_LOWER).split()
+
+
+class Exact:
+    """Sets of shingles by their words, which are numbered as they come: rows of whole numbers, distinct and sorted."""
+
+    def __init__(self, n: int):
+        self.n, self.number, self.epoch = n, {}, 0
+
+    def __call__(self, text: bytes) -> np.ndarray:
+        words = word_list(text)
+        if len(self.number) + len(words) >= 1 << 20:
+            self.number, self.epoch = {}, self.epoch + 1
+        number = self.number
+        at = np.array([number.setdefault(w, len(number)) for w in words], np.int64)
+        k = min(self.n, len(at))
+        # Two words to an integer; a text of fewer words than n says how many.
+        rows = np.lib.stride_tricks.sliding_window_view(at, k)
+        packed = [rows[:, i] << 32 | (rows[:, i + 1] if i + 1 < k else 0) for i in range(0, k, 2)]
+        return _distinct_rows(np.stack([*packed, np.full(len(rows), k)], 1))
+
+
+def _distinct_rows(rows: np.ndarray) -> np.ndarray:
+    rows = rows[np.lexsort(rows.T)]
+    return rows[np.append(True, (rows[1:] != rows[:-1]).any(axis=1))]
+
+
+def in_both(a: np.ndarray, b: np.ndarray) -> int:
+    if a.shape[1] != b.shape[1]:
+        return 0
+    return len(a) + len(b) - len(_distinct_rows(np.concatenate([a, b])))
+
+
 class Bands:
     """Size bands whose largest set is at most 100 / per times the smallest; per / 100 is the threshold."""
 
@@ -115,11 +156,11 @@ class Block:
         return mix(np.concatenate([total[full], total[self.gid[part]] - code[part]])), np.concatenate([self.set_of[full], self.owner[part]])
 
 
-def _blocks(texts, words: int, most: int = 1 << 18) -> Iterator[list[np.ndarray]]:
+def _blocks(texts, words: int, salt: int, most: int = 1 << 15) -> Iterator[list[np.ndarray]]:
     """The shingle sets of texts, in blocks of bounded size."""
     sets, held = [], 0
     for text in texts:
-        sets.append(shingle_set(_plain(text.as_py()), words))
+        sets.append(shingle_set(_plain(text.as_py()), words, salt))
         held += len(sets[-1])
         if held >= most:
             yield sets
@@ -234,9 +275,9 @@ def _cross(per: int):
     return run
 
 
-def _describe(bands: Bands, words: int, plans=PLANS, texts: bool = False):
-    """Map step: (id, n, node) per row, with texts its compressed text z too, and per task one row (band, plan, spare,
-    cost) for each plan it measured."""
+def _describe(bands: Bands, words: int, salt: int, plans=PLANS, texts: bool = False):
+    """Map step: (id, n, node) per row, with texts its compressed text z and a digest of its words too, and per task one
+    row (band, plan, spare, cost) for each plan it measured."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spare: dict[tuple[int, int], int] = {}
@@ -245,7 +286,7 @@ def _describe(bands: Bands, words: int, plans=PLANS, texts: bool = False):
         for batch in batches:
             ids, ns, nodes, bits = batch.column(0), [], [], []
             kind = ids.type
-            for sets in _blocks(batch.column(1), words):
+            for sets in _blocks(batch.column(1), words, salt):
                 ns += [len(s) for s in sets]
                 nodes += [_node(s) for s in sets]
                 bits += [parity(s) if len(s) else None for s in sets]
@@ -271,16 +312,21 @@ def _describe(bands: Bands, words: int, plans=PLANS, texts: bool = False):
                         spare[b, k] = min(spare.get((b, k), 1 << 30), int(left[mine_too].min()))
                         cost[b, k] += float(price[mine_too].sum())
             empty = pa.nulls(len(ns))
-            z = pa.array([_pack(x) if n else None for x, n in zip(batch.column(1).to_pylist(), ns)], pa.binary()) if texts else empty.cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bits, pa.binary()), empty.cast(pa.int32()), empty.cast(pa.int32()), empty.cast(pa.int64()), empty.cast(pa.float64()), z], _NAMES)
+            z = digest = empty.cast(pa.binary())
+            if texts:
+                full = [x if n else None for x, n in zip(batch.column(1).to_pylist(), ns)]
+                z = pa.array([x and _pack(x) for x in full], pa.binary())
+                digest = pa.array([x and hashlib.blake2b(b" ".join(word_list(x)), digest_size=32).digest() for x in full], pa.binary())
+            yield pa.RecordBatch.from_arrays([ids, pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bits, pa.binary()), empty.cast(pa.int32()), empty.cast(pa.int32()), empty.cast(pa.int64()), empty.cast(pa.float64()), z, digest], _NAMES)
         at = sorted(spare)
         none = pa.nulls(len(at))
-        yield pa.RecordBatch.from_arrays([none.cast(kind), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array([x[0] for x in at], pa.int32()), pa.array([x[1] for x in at], pa.int32()), pa.array([spare[x] for x in at], pa.int64()), pa.array([cost[x] for x in at], pa.float64()), none.cast(pa.binary())], _NAMES)
+        yield pa.RecordBatch.from_arrays([none.cast(kind), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array([x[0] for x in at], pa.int32()), pa.array([x[1] for x in at], pa.int32()), pa.array([spare[x] for x in at], pa.int64()), pa.array([cost[x] for x in at], pa.float64()), none.cast(pa.binary()), none.cast(pa.binary())], _NAMES)
 
     return run
 
 
-_NAMES = ["id", "n", "node", "parity", "band", "plan", "spare", "cost", "z"]
+_NAMES = ["id", "n", "node", "parity", "band", "plan", "spare", "cost", "z", "digest"]
+_SHAPE = "n long, node long, parity binary, band int, plan int, spare long, cost double, z binary, digest binary"
 
 
 def choose_plans(measured: DataFrame, plans=PLANS, cheapest: bool = True) -> dict[int, tuple[float, float]]:
@@ -298,35 +344,52 @@ def choose_plans(measured: DataFrame, plans=PLANS, cheapest: bool = True) -> dic
     return {band: plans[k][:2] for band, (_, k) in best.items()}
 
 
-def _index(bands: Bands, plans: dict[int, tuple[float, float]], parts: int, words: int, most: int = 1 << 20):
-    """Map step: keys dealt to parts, packed. A row is (part, keys, refs, nodes): ascending differences of keys; for
-    each key its set's place in nodes, with bit 15 set for keys under the plan of the next larger band; and per
-    set its node, size and the weight it can spare under either plan. Copies in one block are indexed once."""
+def _index(bands: Bands, plans: dict[int, tuple[float, float]], parts: int, words: int, salt: int, most: int = 1 << 18):
+    """Map step: keys dealt to parts, packed. A row is (part, keys, refs, nodes, known): ascending differences of keys;
+    for each key its set's place in nodes, with bit 15 set for keys under the plan of the next larger band; and per set
+    its node, size and the weight it can spare under either plan. Copies in one block are indexed once.
+
+    A key that more than HOT sets of a block share is hot whatever other blocks hold: HOT + 1 of them tell so to the
+    key's part, and what the rest are to learn from it goes, as rows of whole numbers (key, node, n, up, spare, weight),
+    to parts dealt by node. So a key in a third of all sets sends a few places a block to one part, not all."""
+    limit = HOT
 
     def flush(keys, refs, table):
         keys, refs = np.concatenate(keys), np.concatenate(refs)
         part = (keys % _U64(parts)).astype(np.int64)
         order = np.lexsort((keys, part))
-        keys, refs, part = keys[order] >> _U64(24), refs[order], part[order]
+        keys, refs, part = keys[order], refs[order], part[order]
         table = np.array(table, np.int64)
-        cut = np.flatnonzero(np.diff(part, prepend=-1))
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        place = np.arange(len(keys)) - np.repeat(first, np.diff(np.append(first, len(keys))))
+        rest = np.flatnonzero(place > limit)
         out = []
+        if len(rest):
+            row, up = table[refs[rest] & 0x7FFF], refs[rest] >> 15
+            band = bands.band(row[:, 1]) + up
+            known = np.stack([_named(keys[rest] >> _U64(24)), row[:, 0], row[:, 1], up, row[np.arange(len(rest)), 2 + up], 1 + double_band[band]], 1)
+            to = (mix(row[:, 0].astype(np.uint64)) % _U64(parts)).astype(np.int64)
+            out += [(int(p), b"", b"", b"", known[to == p].astype("<i8").tobytes()) for p in np.unique(to)]
+        stay = place <= limit
+        keys, refs, part = keys[stay] >> _U64(24), refs[stay], part[stay]
+        cut = np.flatnonzero(np.diff(part, prepend=-1))
         for a, b in zip(cut, [*cut[1:], len(part)]):
             used, ref = np.unique(refs[a:b] & 0x7FFF, return_inverse=True)
             mine = (ref | (refs[a:b] & 0x8000)).astype("<u2")
             rows = table[used]
             packed = rows[:, 0].astype("<i8").tobytes() + rows[:, 1:].astype("<i4").tobytes()
-            out.append((int(part[a]), pack_sorted(keys[a:b]), mine.tobytes(), packed))
+            out.append((int(part[a]), pack_sorted(keys[a:b]), mine.tobytes(), packed, None))
         cols = list(zip(*out))
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["part", "keys", "refs", "nodes"])
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["part", "keys", "refs", "nodes", "known"])
 
     per_token = np.array([plans.get(b, (0, 0))[0] for b in range(len(bands.low) + 1)])
     share = np.array([plans.get(b, (0, 0))[1] for b in range(len(bands.low) + 1)])
+    double_band = (share > 0).astype(np.int64)
 
     def run(batches):
         keys, refs, table, seen, held = [], [], [], set(), 0
         for batch in batches:
-            for sets in _blocks(batch.column(0), words):
+            for sets in _blocks(batch.column(0), words, salt):
                 named = {_node(s): s for s in sets if len(s)}
                 named = {k: s for k, s in named.items() if k not in seen}
                 if len(table) + len(named) > 0x7FFF:
@@ -357,15 +420,27 @@ def _index(bands: Bands, plans: dict[int, tuple[float, float]], parts: int, word
         if held:
             yield flush(keys, refs, table)
 
-    return run
+    return tidy(run)
+
+
+_INDEX = "part int, keys binary, refs binary, nodes binary, known binary"
+
+
+def _named(keys: np.ndarray) -> np.ndarray:
+    """The name of the bucket of a hot key; keys without the bits that tell the part."""
+    return mix(keys + _U64(1 << 50)).view(np.int64)
 
 
-def _buckets(bands: Bands, plans: dict[int, tuple[float, float]], most: int = HOT):
-    """Group step of one part: the sets that share a key. Rows (bucket, node, n, up, hot, spare, weight): a bucket
-    is named by its sets, so equal ones, from any key, are one; weight is what a set's hot keys of this part weigh."""
+def _buckets(bands: Bands, plans: dict[int, tuple[float, float]], gather: bool = False):
+    """Group step of one part: the sets that share a key. Rows (bucket, node, n, up, spare, weight): a bucket is named
+    by its sets, so equal ones, from any key, are one. Keys of more than HOT sets make no bucket, but rows of no bucket
+    that tell what each set's hot keys of this part weigh; with gather they do make buckets, named by the key."""
+    limit = HOT
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, refs, nodes, sizes, spares, base = [], [], [], [], [], 0
+        known = np.concatenate([np.frombuffer(x, "<i8") for x in pdf["known"] if x is not None] or [np.zeros(0, np.int64)]).reshape(-1, 6)
+        pdf = pdf[pdf["known"].isna()]
+        keys, refs, nodes, sizes, spares, base = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros((0, 2), np.int32)], 0
         for k, r, t in zip(pdf["keys"], pdf["refs"], pdf["nodes"]):
             n = len(t) // 20
             nodes.append(np.frombuffer(t, "<i8", n))
@@ -381,7 +456,7 @@ def _buckets(bands: Bands, plans: dict[int, tuple[float, float]], most: int = HO
         order = np.argsort(keys, kind="stable")
         keys, refs = keys[order], refs[order]
         same = keys[1:] == keys[:-1]
-        keep = np.append(same, False) | np.append(False, same)
+        keep = np.append(same, False) | np.append(False, same) if len(keys) else np.zeros(0, bool)
         keys, refs = keys[keep], refs[keep]
         node = nodes[refs >> 1]
         order = np.lexsort((node, keys))
@@ -390,32 +465,35 @@ def _buckets(bands: Bands, plans: dict[int, tuple[float, float]], most: int = HO
         keys, refs, node = keys[fresh], refs[fresh], node[fresh]
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
         count = np.diff(np.append(first, len(keys)))
-        first, count = first[count > 1], count[count > 1]
-        if not len(first):
-            return pd.DataFrame({c: [] for c in _BUCKET_NAMES}).astype({"up": int, "hot": bool})
-        at = np.repeat(first, count) + _ramp(count)
-        name = np.add.reduceat(mix(node[at].astype(np.uint64)), np.cumsum(count) - count)
-        name = mix(name + count.astype(np.uint64)).view(np.int64)
-        up_of = (refs[first] & 1).astype(np.int64)
-        hot = count > most
-        pick = np.unique(np.stack([name, up_of], 1), axis=0, return_index=True)[1]
-        # A hot bucket weighs as often as its key occurs, also where its name repeats.
-        at = np.repeat(first[pick], count[pick]) + _ramp(count[pick])
-        out = pd.DataFrame({"bucket": np.repeat(name[pick], count[pick]), "node": node[at], "n": sizes[refs[at] >> 1].astype(np.int64), "up": refs[at] & 1, "hot": np.repeat(hot[pick], count[pick]), "spare": 0, "weight": 0})
+        hot = count > limit
+        out = [known] if gather else []
         if hot.any():
             at = np.repeat(first[hot], count[hot]) + _ramp(count[hot])
-            n, up = sizes[refs[at] >> 1], refs[at] & 1
-            band = bands.band(n) + up
-            double = np.isin(band, [b for b, plan in plans.items() if plan[1] > 0])
-            h = pd.DataFrame({"node": node[at], "up": up, "spare": spares[refs[at] >> 1, up].astype(np.int64), "weight": 1 + double})
-            h = h.groupby(["node", "up"], as_index=False).agg(spare=("spare", "first"), weight=("weight", "sum"))
-            out = pd.concat([out, h.assign(bucket=None, n=0, hot=True)])
-        return out[_BUCKET_NAMES]
+            n, up = sizes[refs[at] >> 1].astype(np.int64), refs[at] & 1
+            double = np.isin(bands.band(n) + up, [b for b, plan in plans.items() if plan[1] > 0])
+            known_here = np.stack([np.repeat(_named(keys[first[hot]]), count[hot]), node[at], n, up, spares[refs[at] >> 1, up].astype(np.int64), 1 + double], 1)
+            out, known = ([*out, known_here], known) if gather else (out, np.concatenate([known, known_here]))
+        first, count = first[(count > 1) & ~hot], count[(count > 1) & ~hot]
+        if len(first):
+            at = np.repeat(first, count) + _ramp(count)
+            name = np.add.reduceat(mix(node[at].astype(np.uint64)), np.cumsum(count) - count)
+            name = mix(name + count.astype(np.uint64)).view(np.int64)
+            pick = np.unique(np.stack([name, (refs[first] & 1).astype(np.int64)], 1), axis=0, return_index=True)[1]
+            at = np.repeat(first[pick], count[pick]) + _ramp(count[pick])
+            zero = np.zeros(len(at), np.int64)
+            out.append(np.stack([np.repeat(name[pick], count[pick]), node[at], sizes[refs[at] >> 1].astype(np.int64), refs[at] & 1, zero, zero], 1))
+        found = pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 6), np.int64), columns=_BUCKET_NAMES).astype({"bucket": "Int64"})
+        if not gather and len(known):
+            h = pd.DataFrame(known, columns=_BUCKET_NAMES).groupby(["node", "up"], as_index=False).agg(n=("n", "first"), spare=("spare", "first"), weight=("weight", "sum"))
+            found = pd.concat([found, h.assign(bucket=pd.NA).astype({"bucket": "Int64"})[_BUCKET_NAMES]])
+        give_back()
+        return found
 
     return run
 
 
-_BUCKET_NAMES = ["bucket", "node", "n", "up", "hot", "spare", "weight"]
+_BUCKET_NAMES = ["bucket", "node", "n", "up", "spare", "weight"]
+_BUCKET_SHAPE = "bucket long, node long, n long, up int, spare long, weight long"
 
 
 def _ramp(counts: np.ndarray) -> np.ndarray:
@@ -424,80 +502,96 @@ def _ramp(counts: np.ndarray) -> np.ndarray:
 
 
 def _verify(words: int):
+    """Map step of pairs (u, v, z_u, z_v): how many shingles each text has and how many are in both, counted on words."""
+
     def run(batches):
-        last, get = (None, None), lambda z: shingle_set(_plain(z), words)
+        exact, last, own = Exact(words), None, None
         for batch in batches:
-            u, v = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            both = []
+            u, rows = batch.column(0).to_pylist(), []
             for a, za, zb in zip(u, batch.column(2), batch.column(3)):
-                if last[0] != a:
-                    last = (a, get(za.as_py()))
-                other = get(zb.as_py())
-                both.append(len(np.intersect1d(last[1], other, assume_unique=True)))
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(both, pa.int64())], ["u", "v", "both"])
+                if last != (a, exact.epoch):
+                    own = exact(_plain(za.as_py()))
+                    last = (a, exact.epoch)
+                other = exact(_plain(zb.as_py()))
+                if exact.epoch != last[1]:  # numbers began anew
+                    own = exact(_plain(za.as_py()))
+                    last = (a, exact.epoch)
+                rows.append((len(own), len(other), in_both(own, other)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ((), (), ())))], ["u", "v", "m_u", "m_v", "both"])
+
+    return tidy(run)
 
-    return run
 
+_PAIRS = "u long, v long, m_u long, m_v long, both long"
 
-def similar_groups(docs: DataFrame, per: int = 80, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def similar_groups(docs: DataFrame, per: int = 80, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", salt: int = 0) -> DataFrame:
     """(doc_id, n_shingles, component_id, set_id): exact classes of texts linked by a Jaccard similarity of per / 100
     or more of their sets of distinct word shingles. component_id is the smallest id reachable, its own included.
 
-    1. Equal sets are one node, named by a 64-bit hash of the set. The same pass measures every plan on every set.
+    1. Equal sets are one node, named by a 64-bit hash of the set. Texts of a node whose words are not in the same order
+       (BLAKE2b of all words) are compared on their words; if two sets share a name, all starts anew with another salt.
+       The same pass measures every plan on every set.
     2. Every set is indexed under its own band's plan and the next larger band's; keys travel packed, in as many
        parts as there are shuffle partitions. Keys that sets share make buckets.
     3. Keys that more than HOT sets share are left out for all sets that keep enough weight in other keys. So a passage
        in a third of all texts makes no large bucket. The sets that don't (near copies of one text, or little but the
        passage) are indexed among themselves again, under plans of few, long segments with one-deletion neighbourhoods.
-    4. In each of ROUNDS rounds one node of a bucket is compared with all its others of other classes, exactly, on the
-       texts, and what that links is merged. What is still apart then in clusters of shared buckets is compared in
+    4. In each of ROUNDS rounds one node of a bucket is compared with all its others of other classes, on the words of
+       the texts, and what that links is merged. What is still apart then in clusters of shared buckets is compared in
        blocks. Sizes and parity bits rule out what cannot link before texts are fetched.
 
     Null and wordless texts have 0 shingles and are alone. Rows with equal texts, repeated ids included, share their
-    component; null ids are the smallest, so the component of one is null (set_id still tells sets apart). Other columns are ignored; an empty table gives an empty result."""
+    component; null ids are the smallest, so the component of one is null (set_id still tells sets apart). Other columns,
+    whatever their names, are ignored; an empty table gives an empty result."""
     spark = docs.sparkSession
-    bands = Bands(per)
+    bands, tables = Bands(per), Stored(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    measured = store(rows.mapInArrow(_describe(bands, words, texts=True), f"id {kind}, n long, node long, parity binary, band int, plan int, spare long, cost double, z binary"), "sets")
+    measured = tables.put(rows.mapInArrow(tidy(_describe(bands, words, salt, texts=True)), f"id {kind}, {_SHAPE}"), "sets")
     plans = choose_plans(measured.filter("band is not null"))
     found = measured.filter("band is null").select("id", "n", "node")
     # A struct, for F.min leaves nulls out: a null id is the smallest.
-    firsts = found.filter("node is not null").groupBy("node").agg(F.min(F.struct("id")).alias("first"))
+    firsts = measured.filter("node is not null").groupBy("node").agg(F.min(F.struct("id")).alias("first"), F.min("digest").alias("low"), F.max("digest").alias("high"))
+    firsts = tables.put(firsts, "firsts")
+    if _names_clash(measured, firsts, words):
+        tables.drop("sets", "firsts")
+        return similar_groups(docs, per, words, id_col, text_col, salt + 1)
     signs = measured.filter("node is not null").select("node", "parity")
 
     parts = partitions(spark)
-    packed = rows.select("text").mapInArrow(_index(bands, plans, parts, words), "part int, keys binary, refs binary, nodes binary")
-    buckets = store(packed.groupBy("part").applyInPandas(_buckets(bands, plans), "bucket long, node long, n long, up int, hot boolean, spare long, weight long"), "buckets")
-    members = buckets.filter("bucket is not null and not hot").select("bucket", "node", "n").distinct()
+    packed = rows.select("text").mapInArrow(_index(bands, plans, parts, words, salt), _INDEX)
+    buckets = tables.put(packed.groupBy("part").applyInPandas(_buckets(bands, plans), _BUCKET_SHAPE), "buckets")
+    members = buckets.filter("bucket is not null").select("bucket", "node", "n").distinct()
     poor = buckets.filter("bucket is null").groupBy("node", "up").agg((F.first("spare") < F.sum("weight")).alias("poor")).filter("poor").select("node").distinct()
-    poor = store(poor, "poor")
+    poor = tables.put(poor, "poor")
 
     wanted = members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
     wanted = members.join(wanted, "bucket", "left_semi").select("node").union(poor).distinct()
-    texts = store(measured.filter("node is not null").select("node", "z").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "texts")
+    texts = tables.put(measured.filter("node is not null").select("node", "z").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "texts")
 
     again = texts.join(poor, "node", "left_semi").select("node", F.col("z").alias("text"))
-    coarse = choose_plans(again.mapInArrow(_describe(bands, words, COARSE), "id long, n long, node long, parity binary, band int, plan int, spare long, cost double, z binary").filter("band is not null"), COARSE, cheapest=False)
+    coarse = choose_plans(again.mapInArrow(tidy(_describe(bands, words, salt, COARSE)), f"id long, {_SHAPE}").filter("band is not null"), COARSE, cheapest=False)
     if coarse:
-        packed = again.select("text").mapInArrow(_index(bands, coarse, parts, words), "part int, keys binary, refs binary, nodes binary")
-        fine = packed.groupBy("part").applyInPandas(_buckets(bands, coarse, 1 << 62), "bucket long, node long, n long, up int, hot boolean, spare long, weight long")
+        packed = again.select("text").mapInArrow(_index(bands, coarse, parts, words, salt), _INDEX)
+        fine = packed.groupBy("part").applyInPandas(_buckets(bands, coarse, gather=True), _BUCKET_SHAPE)
         members = members.union(fine.select("bucket", "node", "n")).distinct()
-    members = store(members, "members")
+    members = tables.put(members, "members")
+    tables.drop("buckets", "poor")
 
     near = F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * per
 
-    def linked(pairs: DataFrame) -> DataFrame:
+    def linked(pairs: DataFrame, turn: int) -> DataFrame:
         """Of distinct pairs (u, v, n_u, n_v), u < v, those that are linked: by size, then parity bits, then texts."""
         signed = pairs.filter(near).join(signs.toDF("u", "s_u").dropDuplicates(["u"]), "u").join(signs.toDF("v", "s_v").dropDuplicates(["v"]), "v")
-        pairs = store(signed.mapInArrow(_may_link(per), "u long, v long, n_u long, n_v long"), "pairs")
+        pairs = tables.put(signed.mapInArrow(tidy(_may_link(per)), "u long, v long, n_u long, n_v long"), "pairs")
         some = texts
         if pairs.count() <= FEW:
             ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
             some = texts.join(F.broadcast(ends), "node", "left_semi")
         full = pairs.select("u", "v").join(some.toDF("v", "z_v"), "v").join(some.toDF("u", "z_u"), "u").select("u", "v", "z_u", "z_v")
-        both = full.mapInArrow(_verify(words), "u long, v long, both long").join(pairs, ["u", "v"])
-        return store(both.filter(F.col("both") * 100 >= (F.col("n_u") + F.col("n_v") - F.col("both")) * per).select("u", "v"), "links")
+        both = full.mapInArrow(_verify(words), _PAIRS)
+        return tables.put(both.filter(F.col("both") * 100 >= (F.col("m_u") + F.col("m_v") - F.col("both")) * per).select("u", "v"), f"links{turn}")
 
     def pair(a: str, n_a: str, b: str, n_b: str) -> list:
         low = F.col(a) < F.col(b)
@@ -507,7 +601,7 @@ def similar_groups(docs: DataFrame, per: int = 80, words: int = WORDS, id_col: s
         """Members of the buckets that hold more than one class. Two members have met in the first round."""
         placed = members.drop("root").withColumn("root", F.col("node")) if roots is None else members.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("size")).filter("a <> b" if roots is None else "a <> b and size > 2").select("bucket")
-        return store(placed.join(mixed, "bucket", "left_semi").select("bucket", "node", "n", "root"), "apart")
+        return tables.put(placed.join(mixed, "bucket", "left_semi").select("bucket", "node", "n", "root"), "apart")
 
     def across(members: DataFrame) -> DataFrame:
         """Pairs of classes that are still apart. Buckets of up to HOT nodes look at all their pairs. Larger ones join
@@ -518,11 +612,11 @@ def similar_groups(docs: DataFrame, per: int = 80, words: int = WORDS, id_col: s
         bits = signs.dropDuplicates(["node"])
         small = members.filter(F.col("size") <= HOT).join(bits, "node").withColumn("g", F.pmod("bucket", F.lit(8 * parts)))
         near_by = small.repartition(4 * parts, "g").groupBy("g").applyInPandas(_within(per), "u long, v long, n_u long, n_v long")
-        large = store(members.filter(F.col("size") > HOT).select("bucket", "node", "n", "root"), "large")
+        large = tables.put(members.filter(F.col("size") > HOT).select("bucket", "node", "n", "root"), "large")
         if large.isEmpty():
             return near_by
         least = large.groupBy("bucket").agg(F.min("node").alias("v"))
-        cluster = components(large.join(least, "bucket").select(F.col("node").alias("u"), "v")).toDF("node", "cluster")
+        cluster = components(large.join(least, "bucket").select(F.col("node").alias("u"), "v"), tables, "clusters").toDF("node", "cluster")
         nodes = large.select("node", "n", "root").distinct().join(cluster.distinct(), "node").join(bits, "node")
         blocks = nodes.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
         nodes = nodes.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -542,13 +636,26 @@ def similar_groups(docs: DataFrame, per: int = 80, words: int = WORDS, id_col: s
             pairs = members.join(centre, "bucket").filter("root <> c.root").select(*pair("node", "n", "c.node", "c.n"))
         else:
             pairs = across(members)
-        found_now = linked(pairs.distinct())
+        found_now = linked(pairs.distinct(), turn)
         links = found_now if links is None else links.union(found_now)
-        roots = store(components(links), "roots")
+        roots = components(links, tables, "roots")
     if roots is None:
         roots = spark.createDataFrame([], "node long, root long")
-    least = firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = firsts.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = least.groupBy("root").agg(F.min("first").alias("least"))
-    named = least.join(names, "root").select("node", F.col("least.id").alias("component_id"))
+    named = tables.put(least.join(names, "root").select("node", F.col("least.id").alias("component_id")), "named")
+    tables.drop(*(n for n in list(tables.paths) if n not in ("sets", "named")))
     out = found.join(named, "node", "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.col("node").alias("set_id"))
+
+
+def _names_clash(measured: DataFrame, firsts: DataFrame, words: int) -> bool:
+    """Whether some texts of one node have different sets of shingles, by their words. Only texts whose words differ
+    from those of the node's first digest are looked at, one for each digest."""
+    mixed = firsts.filter("low <> high")
+    if mixed.isEmpty():
+        return False
+    forms = measured.filter("node is not null").select("node", "digest", "z").join(mixed.select("node", "low"), "node").dropDuplicates(["node", "digest"])
+    first = forms.filter("digest = low").select("node", F.col("z").alias("z_u"))
+    pairs = forms.filter("digest <> low").join(first, "node").select(F.col("node").alias("u"), F.col("node").alias("v"), "z_u", F.col("z").alias("z_v"))
+    return not pairs.mapInArrow(_verify(words), _PAIRS).filter("both <> m_u or both <> m_v").isEmpty()
