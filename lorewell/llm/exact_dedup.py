@@ -2,35 +2,34 @@
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACES, shared_dir, store
+from .common import SPACES, Stored, shared_dir
 
 # Spark's disk-backed state store. Without fallocate a store takes the room its state needs, not fixed megabytes for
-# every partition; changelogs upload what a batch changed.
+# every partition; changelogs upload what a batch changed; all stores of an executor share bounded buffers and caches.
 _ROCKS = "spark.sql.streaming.stateStore.rocksdb"
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     f"{_ROCKS}.allowFAllocate": "false",
     f"{_ROCKS}.changelogCheckpointing.enabled": "true",
+    f"{_ROCKS}.boundedMemoryUsage": "true",
+    f"{_ROCKS}.maxMemoryUsageMB": "96",
 }
+_KEPT = ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone")
 SALTS = 16
 
 
-@contextmanager
-def _settings(spark: SparkSession, values: dict[str, str]):
-    before = {k: spark.conf.get(k, None) for k in values}
-    try:
-        for k, v in values.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+def _own_session(spark: SparkSession) -> SparkSession:
+    """A session of this application with the stream's settings, so that no other query of spark sees them."""
+    own = spark.newSession()
+    for name in _KEPT:
+        own.conf.set(name, spark.conf.get(name))
+    for name, value in _STATE.items():
+        own.conf.set(name, value)
+    return own
 
 
 def normalised(text) -> F.Column:
@@ -51,30 +50,42 @@ def digest_state(keys: DataFrame) -> DataFrame:
     return state.select("digest", F.col("first.doc_id").alias("keep_id"), (-F.col("first.less")).alias("keep_chars"), F.col("first.place").alias("keep_place"), "group_size")
 
 
-def run_stream(keys: DataFrame, spark: SparkSession, files_per_batch: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Store the keys, feed that table through the stream until all of it is consumed, and return it with the last
-    state of each digest. Every micro-batch appends the digests it touched to its own folder, so a batch run twice replaces itself."""
-    source, out, state = shared_dir(spark, "dedup-keys"), shared_dir(spark, "dedup-groups"), shared_dir(spark, "dedup-state")
-    keys.write.parquet(source)
-    reader = spark.readStream.schema(keys.schema)
+def run_stream(keys: DataFrame, spark: SparkSession, folder: str, files_per_batch: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Append the keys to folder/keys, feed what is new there through the stream until all of it is consumed, and return
+    the new keys, the older ones and the last state of each digest. The stream's state stays in folder/state, so the
+    next call finds the copies of every row before. Every micro-batch writes the digests it touched to a folder of its
+    own, so a batch run twice replaces itself."""
+    source = shared_dir(spark, "x").rsplit("-", 1)[1]
+    spark.createDataFrame([], keys.schema).write.mode("overwrite").parquet(f"{folder}/keys/none")
+    older = _read(spark, f"{folder}/keys", keys.schema)  # lists the files that are there now
+    keys.write.parquet(f"{folder}/keys/{source}")
+    own = _own_session(spark)
+    reader = own.readStream.schema(keys.schema).option("recursiveFileLookup", "true")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
     def append(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}/rows")
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/groups/batch={number}/rows")
 
-    groups = digest_state(reader.parquet(source))
+    groups = digest_state(reader.parquet(f"{folder}/keys"))
     schema = T.StructType([*groups.schema.fields, T.StructField("batch", T.IntegerType())])
-    spark.createDataFrame([], schema).write.parquet(f"{out}/batch=none/rows")  # so that no rows at all read as none
-    with _settings(spark, _STATE):
-        query = groups.writeStream.outputMode("update").foreachBatch(append).option("checkpointLocation", state).trigger(availableNow=True).start()
-        query.awaitTermination()
-    files = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(out)
-    latest = files.groupBy("digest").agg(F.max_by(F.struct("keep_id", "keep_chars", "keep_place", "group_size"), "batch").alias("s")) if files_per_batch else files.select("digest", F.struct("keep_id", "keep_chars", "keep_place", "group_size").alias("s"))
-    return spark.read.schema(keys.schema).parquet(source), latest.select("digest", "s.*")
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{folder}/groups/batch=none/rows")  # so that no rows at all read as none
+    query = groups.writeStream.outputMode("update").foreachBatch(append).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    latest = _read(spark, f"{folder}/groups", schema).groupBy("digest").agg(F.max_by(F.struct("keep_id", "keep_chars", "keep_place", "group_size"), "batch").alias("s"))
+    return spark.read.schema(keys.schema).parquet(f"{folder}/keys/{source}"), older, latest.select("digest", "s.*")
+
+
+def _read(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+
 
+def _facts(docs: DataFrame, digest, body: bool = False) -> DataFrame:
+    columns = [digest(normalised(F.col("text"))).alias("digest"), F.coalesce(F.char_length("text"), F.lit(0)).alias("n_chars"), "place"]
+    return docs.select("doc_id", *columns, *([normalised(F.col("text")).alias("body")] if body else []))
 
-def exact_dedup(docs: DataFrame, digest=sha256_digest, files_per_batch: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def exact_dedup(docs: DataFrame, digest=sha256_digest, files_per_batch: int | None = None, id_col: str = "doc_id", text_col: str = "text", state: str | None = None) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, digest, keep_place), one row per row of docs.
 
     Rows are equal when their texts are identical without white space. The stream keeps one state per digest; every
@@ -82,24 +93,45 @@ def exact_dedup(docs: DataFrame, digest=sha256_digest, files_per_batch: int | No
     text of a digest must be one. Both are pre-aggregated in each task, so thousands of copies meet as one row a
     task. Digests whose texts differ are regrouped by the text itself, so a collision never merges two texts.
 
+    With `state`, a folder that all executors share, the state outlives the call: rows of a later call with the same
+    folder meet those of all calls before, in groups that count both, and the texts of older rows that they hit are
+    read back for the check from where the state's locators say they are (Parquet files with the same two columns,
+    still in place). Older rows are not returned again, and a row that was kept stays in what was returned then.
+
     Null text counts as empty. Repeated rows are rows: they count in group_size, and rows that share the id that
-    stays are all kept. Null ids sort first among equals. Other columns of docs are ignored; no rows give no rows.
+    stays are all kept. An id may stand on several texts, and each is judged by itself. Null ids sort first among
+    equals. Other columns of docs, whatever their names, are ignored; no rows give no rows.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.input_file_name().alias("place"))
-    found = docs.select("doc_id", digest(normalised(F.col("text"))).alias("digest"), F.coalesce(F.char_length("text"), F.lit(0)).alias("n_chars"), "place")
-    keys, groups = run_stream(found, spark, files_per_batch)
-    groups = store(groups, "dedup-latest")
+    tables = Stored(spark)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.input_file_name().alias("place"))
+    keys, older, groups = run_stream(_facts(rows, digest), spark, state or shared_dir(spark, "dedup"), files_per_batch)
+    groups = tables.put(groups.join(keys.select("digest"), "digest", "left_semi"), "dedup-latest")
     out = keys.join(groups, "digest")
-    bodies = docs.select("doc_id", digest(normalised(F.col("text"))).alias("digest"), normalised(F.col("text")).alias("body"), F.coalesce(F.char_length("text"), F.lit(0)).alias("n_chars"), "place")
+    bodies = _facts(rows, digest, body=True)
+    if state:
+        bodies = bodies.unionByName(_read_back(spark, older, groups, digest, id_col, text_col, docs.schema))
     # Salted, so that the copies of one text are spread over SALTS tasks.
     hits = groups.filter("group_size > 1").select("digest", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
     hit = bodies.withColumn("salt", (F.monotonically_increasing_id() % SALTS).cast("int")).join(hits, ["digest", "salt"], "left_semi")
-    differ = store(hit.groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high")).filter("low <> high").select("digest"), "dedup-collisions")
+    differ = tables.put(hit.groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high")).filter("low <> high").select("digest"), "dedup-collisions")
     columns = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest", "keep_place"]
     if differ.isEmpty():
         return out.select(*columns)
     split = bodies.join(differ, "digest", "left_semi")
     own = split.groupBy("digest", "body").agg(F.min(F.struct((-F.col("n_chars")).alias("less"), "doc_id", "place")).alias("first"), F.count("*").alias("group_size"))
-    apart = split.join(own, ["digest", "body"]).withColumns({"keep_id": F.col("first.doc_id"), "keep_place": F.col("first.place")})
+    apart = _facts(rows, digest, body=True).join(differ, "digest", "left_semi").join(own, ["digest", "body"]).withColumns({"keep_id": F.col("first.doc_id"), "keep_place": F.col("first.place")})
     return out.join(differ, "digest", "left_anti").select(*columns).union(apart.select(*columns))
+
+
+def _read_back(spark: SparkSession, older: DataFrame, groups: DataFrame, digest, id_col: str, text_col: str, schema: T.StructType) -> DataFrame:
+    """The rows of earlier calls whose digest is hit again, read from the files that their locators name. The driver
+    gets the names of those files, as for any scan."""
+    hit = older.join(groups.select("digest"), "digest", "left_semi")
+    places = [r[0] for r in hit.select("place").distinct().collect()]
+    if "" in places:
+        raise ValueError("rows of an earlier call come from no file and cannot be read back")
+    if not places:
+        return hit.withColumn("body", F.lit("")).select("doc_id", "digest", "n_chars", "place", "body")
+    rows = spark.read.schema(schema).parquet(*places).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.input_file_name().alias("place"))
+    return _facts(rows, digest, body=True).join(groups.select("digest"), "digest", "left_semi")
