@@ -12,6 +12,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 BITS = 13
 DIMS = 1 << BITS
 _LETTER = regex.compile(r"\p{L}")
@@ -95,25 +97,22 @@ def _cluster(v: np.ndarray, k: int, rounds: int) -> np.ndarray:
     return c
 
 
-def fit(labelled: DataFrame, per_lang: int = 600, clusters: int = 3, rounds: int = 8, slack: float = 0.25, seed: int = 5) -> Model:
+def fit(labelled: DataFrame, per_lang: int = 600, clusters: int = 3, rounds: int = 8, false_reject: float = 0.002, slack: float = 0.9, seed: int = 5) -> Model:
     """Fit on (id, text, lang). Document frequencies cover all labelled rows. The centroids come from a bounded
     sample: about `per_lang` rows of each language, chosen by a hash of the id, clustered in one task a language.
-    A language's floor is `slack` times the 1st percentile of its sample's cosines. The driver gets a number per
-    n-gram slot, a count per language, and the centroids."""
+    A language's floor is `slack` times the cosine that a share `false_reject` of its sample lies below. The driver gets a number per
+    n-gram slot and the centroids: `clusters` a language, however many rows there are."""
     spark = labelled.sparkSession
     labelled = labelled.filter("lang is not null and text is not null")
-    rows = labelled.select("text").mapInArrow(_document_frequencies, "slot long, n long").groupBy("slot").agg(F.sum("n")).collect()
+    rows = labelled.select("text").mapInArrow(tidy(_document_frequencies), "slot long, n long").groupBy("slot").agg(F.sum("n")).collect()
     found = dict(rows)
     df = np.zeros(DIMS)
     for slot, n in found.items():
         if slot >= 0:
             df[slot] = n
     idf = (np.log((1 + found.get(-1, 0)) / (1 + df)) + 1).astype(np.float32)
-    sizes = dict(labelled.groupBy("lang").count().collect())
-    if not sizes:
-        return Model([], np.zeros((0, DIMS), np.float32), np.zeros(0), idf)
-    share = F.create_map(*(x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_lang / n)))))
-    part = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("rows"))
+    part = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) < F.least(F.lit(1.0), per_lang / F.col("rows")) * (1 << 30)
 
     def encode(batches):
         for batch in batches:
@@ -125,10 +124,10 @@ def fit(labelled: DataFrame, per_lang: int = 600, clusters: int = 3, rounds: int
     def centroids(pdf: pd.DataFrame) -> pd.DataFrame:
         v = np.stack([np.frombuffer(x, np.float16) for x in sorted(pdf["v"])]).astype(np.float32)
         c = _cluster(v, clusters, rounds)
-        floor = slack * float(np.quantile((v @ c.T).max(axis=1), 0.01))
+        floor = slack * float(np.quantile((v @ c.T).max(axis=1), false_reject))
         return pd.DataFrame({"lang": pdf["lang"].iloc[0], "k": range(len(c)), "c": [x.astype(np.float32).tobytes() for x in c], "floor": floor})
 
-    sample = labelled.filter(part).select("text", "lang").mapInArrow(encode, "lang string, v binary")
+    sample = labelled.join(sizes, "lang").filter(part).select("text", "lang").mapInArrow(tidy(encode), "lang string, v binary")
     made = sorted(sample.groupBy("lang").applyInPandas(centroids, "lang string, k int, c binary, floor double").collect())
     return Model([r["lang"] for r in made], np.stack([np.frombuffer(r["c"], np.float32) for r in made]), np.array([r["floor"] for r in made]), idf) if made else Model([], np.zeros((0, DIMS), np.float32), np.zeros(0), idf)
 
@@ -152,7 +151,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                     score += [0.0] * len(block)
                     rejected += [True] * len(block)
                     continue
-                cos = vectors(ngram_counts(block), m.idf) @ m.centroids.T
+                # In double precision and rounded: a product's last bits hang on how many texts the block has.
+                cos = np.round(vectors(ngram_counts(block), m.idf).astype(np.float64) @ m.centroids.T.astype(np.float64), 9)
                 best = cos.argmax(axis=1)
                 for t, j, s in zip(block, best.tolist(), cos[np.arange(len(block)), best].tolist()):
                     lang.append(m.langs[j] if t else "und")
@@ -161,7 +161,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], [*batch.schema.names, "lang_pred", "score", "rejected"])
 
     added = {"lang_pred": F.lit(None).cast("string"), "score": F.lit(None).cast("double"), "rejected": F.lit(None).cast("boolean")}
-    return docs.mapInArrow(run, docs.withColumns(added).schema)
+    return docs.mapInArrow(tidy(run), docs.withColumns(added).schema)
 
 
 def learn(docs: DataFrame, folds: int = 4, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
