@@ -7,11 +7,15 @@ of the substrings that end there probe the sorted piece keys, and the best admis
 For a unigram model a piece's value is the best sum of scores before it plus its own. A BPE model's encoding is not the
 one of the best sum; it is the only one in which no two neighbours would have merged differently. So there a piece is
 admissible behind the last piece of the prefix only if replaying both pieces' merges, latest first, meets no better merge
-across their border; one remains at each position. Both give the ids of the sentencepiece library.
+across their border. One piece remains at each position then: for a BPE model the pass has a Viterbi pass's shape (batches,
+hash probes, backpointers), but the tests of borders decide and the maxima have no choice. Both give the ids of the
+sentencepiece library.
 """
 
 from __future__ import annotations
 
+import hashlib
+import hashlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,16 +23,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, _powers, mix
+from .common import mix, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = 0x2581
 _U64 = np.uint64
+LONG = 40  # characters; longer words are told apart by BLAKE2b and encoded in smaller batches
 _FAR = 0x200000  # added to a literal blank mark, so that no piece holds it and it is kept as bytes
 
 
+# Random but fixed odd numbers of the polynomials that name substrings.
+_ROOT, _POINT, _LENGTH = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0xAEF17502108EF2D9
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """root**i and root**-i modulo 2**64 for i < n."""
+    up, down = np.full(n, _ROOT, np.uint64), np.full(n, pow(_ROOT, -1, 2**64), np.uint64)
+    up[:1] = down[:1] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
 def code_of(points: np.ndarray) -> np.ndarray:
-    return mix(points.astype(np.uint64) + BYTE_CODE[7])
+    return mix(points.astype(np.uint64) + _U64(_POINT))
+
+
+def pair_code(points: np.ndarray) -> np.ndarray:
+    """One number for each two neighbours."""
+    return points[:-1] << 22 | points[1:]
 
 
 @dataclass
@@ -50,6 +71,7 @@ class Pieces:
     byte: np.ndarray  # ids of the byte pieces
     unigram: bool
     longest: int
+    inside: np.ndarray  # pairs of neighbouring characters that some piece holds, ascending
     runs: dict[int, list[int]] = field(default_factory=dict)
 
     def find(self, h: np.ndarray) -> np.ndarray:
@@ -63,7 +85,7 @@ class Pieces:
 
 
 def _hash(raw: np.ndarray, length: np.ndarray) -> np.ndarray:
-    return mix(raw + length.astype(np.uint64) * BYTE_CODE[9])
+    return mix(raw + length.astype(np.uint64) * _U64(_LENGTH))
 
 
 def load_pieces(path: str = MODEL) -> Pieces:
@@ -98,7 +120,8 @@ def load_pieces(path: str = MODEL) -> Pieces:
         parts, last = _replay(names[i], by_name, score)
         usable[i] = len(parts) == 1
         left[i], right[i] = last
-    out = Pieces(text, keys[at], plain[at], maybe, raw, length, score, order, left, right, usable | unigram, known, np.array(is_byte), unigram, int(length.max()))
+    inside = np.unique(np.concatenate([pair_code(np.frombuffer(names[i].encode("utf-32-le"), "<u4").astype(np.int64)) for i in plain.tolist()]))
+    out = Pieces(text, keys[at], plain[at], maybe, raw, length, score, order, left, right, usable | unigram, known, np.array(is_byte), unigram, int(length.max()), inside)
     marks = chr(MARK)
     most = max((int(length[i]) for i in plain.tolist() if set(names[i]) == {marks}), default=1)
     for m in range(1, 4 * most + 1):
@@ -243,18 +266,27 @@ class Encoder:
         start[ends[size > 0] - size[size > 0]] = True
         first = np.flatnonzero(start)
         length = np.diff(np.append(first, len(points)))
+        # Long runs without blanks are cut where no piece can lie across.
+        for a, n in zip(first[length > LONG].tolist(), length[length > LONG].tolist()):
+            pair = pair_code(points[a : a + n])
+            where = np.minimum(np.searchsorted(p.inside, pair), len(p.inside) - 1)
+            start[a + 1 : a + n] |= p.inside[where] != pair
+        first = np.flatnonzero(start)
+        length = np.diff(np.append(first, len(points)))
         # Distinct words by hash, in short stretches so that powers stay within their table.
         up, down = _powers(len(points) + 1)
         total = np.zeros(len(points) + 1, np.uint64)
         np.cumsum(code_of(points) * up[: len(points)], out=total[1:])
         name = mix((total[first + length] - total[first]) * down[first] + length.astype(np.uint64))
+        for i in np.flatnonzero(length > LONG).tolist():  # a polynomial can miss differences of long patterns
+            name[i] = int.from_bytes(hashlib.blake2b(points[first[i] : first[i] + length[i]].tobytes(), digest_size=8).digest(), "little")
         _, sample, word = np.unique(name, return_index=True, return_inverse=True)
         at, size_of = first[sample], length[sample]
         counts, offsets, flat, done = np.zeros(len(sample), np.int64), np.zeros(len(sample), np.int64), [], 0
         lone = ~known[at]
         flat.append(-points[at[lone]] - 1)
         counts[lone], offsets[lone], done = 1, np.arange(lone.sum()), int(lone.sum())
-        long = size_of > 40
+        long = size_of > LONG
         for n in np.unique(size_of[~lone & ~long]).tolist():
             mine = np.flatnonzero(~lone & (size_of == n))
             for a in range(0, len(mine), 1 << 14):
@@ -361,30 +393,38 @@ class _Model:
         return self.sent.value
 
 
-def encode_texts(docs: DataFrame, path: str = MODEL, text_col: str = "text", block_chars: int = 3 << 18) -> DataFrame:
-    """docs with a column ids, array<int>: every whole text in pieces of the model. Null stays null, empty text has no
-    ids; repeated rows and equal texts encode alike; all columns of docs pass through (one named ids is replaced).
+def encode_texts(docs: DataFrame, path: str = MODEL, text_col: str = "text", block_chars: int = 3 << 18, decode_too: bool = False) -> DataFrame:
+    """docs with a column ids, array<int>: every whole text in pieces of the model, and with decode_too a column decoded
+    of the texts that those ids spell, from the same pass. Null stays null, empty text has no ids; repeated rows and equal
+    texts encode alike; all columns of docs pass through (those named ids, and decoded if it is added, are replaced);
+    an empty table gives an empty one.
 
-    The model, of fixed size, is broadcast. A block of texts is bounded in characters, or one longer text."""
+    The model, of fixed size, is broadcast. A block of texts is bounded in characters, or one longer text. A word without
+    blanks is cut where no piece can lie across; what is left of it, such as one letter a million times over, advances a
+    character a step."""
     model = _Model(docs.sparkSession, path)
-    docs = docs.drop("ids")
+    added = {"ids": F.lit(None).cast("array<int>")} | ({"decoded": F.lit(None).cast("string")} if decode_too else {})
+    names, docs = list(added), docs.drop(*added)
     at = docs.columns.index(text_col)
 
     def run(batches):
         encoder = _encoder(model)
+        table = piece_table(encoder.p)
         for batch in batches:
             texts, lo, held = batch.column(at).to_pylist(), 0, 0
             for i, t in enumerate(texts + [None]):
                 if i == len(texts) or (i > lo and held + len(t or "") > block_chars):
-                    ids = encoder.encode([x or "" for x in texts[lo:i]])
-                    column = pa.array([None if x is None else y for x, y in zip(texts[lo:i], ids)], pa.list_(pa.int32()))
+                    some = texts[lo:i]
+                    ids = [None if x is None else y for x, y in zip(some, encoder.encode([x or "" for x in some]))]
+                    new = [pa.array(ids, pa.list_(pa.int32()))]
+                    if decode_too:
+                        new.append(pa.array([None if y is None else decode(y, encoder.p, table).decode("utf-8", "surrogatepass") for y in ids], pa.string()))
                     part = batch.slice(lo, i - lo)
-                    yield pa.RecordBatch.from_arrays([*part.columns, column], [*part.schema.names, "ids"])
+                    yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, *names])
                     lo, held = i, 0
                 held += len(t or "")
 
-    schema = docs.select("*", F.lit(None).cast("array<int>").alias("ids")).schema
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), docs.select("*", *(c.alias(n) for n, c in added.items())).schema)
 
 
 def decode_ids(encoded: DataFrame, path: str = MODEL, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -403,4 +443,4 @@ def decode_ids(encoded: DataFrame, path: str = MODEL, ids_col: str = "ids", out_
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out_col])
 
     schema = encoded.select("*", F.lit(None).cast("string").alias(out_col)).schema
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(tidy(run), schema)

@@ -31,7 +31,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text in pieces and back: how many, a hash of the ids, and whether the decoded text is the text."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    out = pieces.decode_ids(pieces.encode_texts(docs))
+    out = pieces.encode_texts(docs, decode_too=True)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.hex(F.xxhash64("ids")).alias("ids_hash"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
