@@ -56,5 +56,29 @@ def test_mix(spark):
     assert sorted((r["doc_id"], r["taken"]) for r in again) == sorted((r["doc_id"], r["taken"]) for r in out)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.integers(5, 300), st.floats(0.05, 0.95))
+def test_extra_documents_are_of_the_sources_mean_size(seed, n, share):
+    """Sizes as skewed as texts' are: what is taken is neither the long documents nor the short ones."""
+    rng = np.random.default_rng(seed)
+    sizes, counts = np.unique(np.maximum(1, rng.lognormal(5.5, 0.9, n)).astype(int), return_counts=True)
+    budget = int(share * (sizes * counts).sum())
+    take = mixing.fit_budget(sizes, counts, budget)
+    if take.sum() >= 20:
+        assert budget - (take * sizes).sum() <= max(3, budget / 500)
+        assert 0.75 < (take * sizes).sum() / take.sum() / ((sizes * counts).sum() / n) < 1.35
+
+
+def test_salts_and_ties_change_no_total(spark):
+    rows = [(7, "w w", "a", None, None)] * 50 + [(i, "w w", "a", None, None) for i in range(50)] + [(i, "w " * 9, "b", None, None) for i in range(40)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    totals = []
+    for salts in (1, 8, 4096):
+        out = mixing.mix_sources(docs, salts=salts).collect()
+        assert len(out) == len(rows)
+        totals.append(sorted((s, sum(r["taken"] for r in out if r["source"] == s)) for s in "ab"))
+    assert totals[0] == totals[1] == totals[2]
+
+
 def test_empty(spark):
     assert mixing.mix_sources(spark.createDataFrame([], SCHEMA)).count() == 0
