@@ -5,7 +5,9 @@ as Parquet and read again as the next stage's docs. All but the last return the
 
 Decisions are taken per row, not per doc_id: exact_copies, near_copies and mixture number the rows and join what was
 decided back on that number. Null ids are ids like others (the smallest), rows that share an id are rows of their own,
-and a row that is repeated whole is a copy of itself, of which one stays.
+and a row that is repeated whole is a copy of itself, of which one stays. Null and empty texts have no letter, so the
+first stage drops them. Rows travel as one struct beside the number, so that columns of any name pass through. Stages
+on a table without rows return one without rows.
 """
 
 from __future__ import annotations
@@ -18,42 +20,50 @@ from lorewell.llm.common import load, store
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that language ID rejects go (no letters, or too far from every centroid)."""
-    return langid.predict(docs, langid.learn(docs)).filter(~F.col("rejected")).select(docs.columns)
+    """Documents that language ID rejects go: those without letters, or farther from every centroid than all but a few
+    rows that were learned from. Everything else stays, whatever its columns are called."""
+    found = langid.predict(docs.select(F.struct("*").alias("doc"), "text"), langid.learn(docs))
+    return found.filter(~F.col("rejected")).select("doc.*")
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with a number for each row, _row, and (doc_id, _row) as _key, which orders like doc_id, nulls first. Written
-    to the shared folder, so that a row has the same number wherever it is read."""
-    return store(docs.withColumn("_row", F.monotonically_increasing_id()), "rows").withColumn("_key", F.struct("doc_id", "_row"))
+    """(row, doc): a number for each row, and the row. Written to the shared folder, so that a row has the same number
+    wherever it is read."""
+    return store(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "rows")
 
 
-def _kept(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    return docs.join(keys.select(F.col("doc_id._row").alias("_row")), "_row", "left_semi")
+def _facts(rows: DataFrame) -> DataFrame:
+    """(row, key, text, source); key orders like doc_id, nulls first, and is one row's."""
+    return rows.select("row", F.struct(F.col("doc.doc_id").alias("doc_id"), "row").alias("key"), F.col("doc.text").alias("text"), F.col("doc.source").alias("source"))
+
+
+def _kept(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    return rows.join(keys.select(F.col("doc_id.row").alias("row")), "row", "left_semi").select("doc.*")
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows whose texts are equal without white space, one stays: the longest, then the smallest id."""
+    """Of rows whose texts are equal without white space, one stays: the longest, then the smallest id, nulls first."""
     rows = _numbered(docs)
-    return _kept(rows, exact_dedup.exact_dedup(rows, id_col="_key").filter("kept")).select(docs.columns)
+    return _kept(rows, exact_dedup.exact_dedup(_facts(rows), id_col="key").filter("kept"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows linked by a word-shingle Jaccard similarity of 0.8 or more, the one with the smallest id stays."""
+    """Of rows linked by a word-shingle Jaccard similarity of 0.8 or more, the one with the smallest id stays, nulls
+    first. Texts without words are linked with nothing and stay."""
     rows = _numbered(docs)
-    return _kept(rows, jaccard.similar_groups(rows, id_col="_key").filter("doc_id <=> component_id")).select(docs.columns)
+    return _kept(rows, jaccard.similar_groups(_facts(rows), id_col="key").filter("doc_id <=> component_id"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it."""
+    """Each row as often as the mix takes it. Null sources are one source, the last; texts without words are not taken."""
     rows = _numbered(docs)
-    copies = mixing.mix_sources(rows, row_col="_row").filter("copies > 0").select("_row", "copies")
-    return rows.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(docs.columns)
+    copies = mixing.mix_sources(_facts(rows), id_col="key", row_col="row").filter("copies > 0").select("row", "copies")
+    return rows.join(copies, "row").select("doc", F.explode(F.sequence(F.lit(1), "copies"))).select("doc.*")
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The texts in pieces, and whether decoding gives them back."""
-    out = pieces.decode_ids(pieces.encode_texts(docs.select("doc_id", "lang", "source", "text")))
+    """The texts in pieces, and whether decoding gives them back; a null text would have null ids."""
+    out = pieces.encode_texts(docs.select("doc_id", "lang", "source", "text"), decode_too=True)
     return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_pieces"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
