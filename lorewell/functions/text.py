@@ -15,13 +15,19 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+# Where sentences and paragraphs end, and a fenced answer.
+SENTENCE_END = r"(?U)(?<=[.!?])\s+(?=[A-Z])"
+PARAGRAPH_END = r"\n\n+"
+FENCED = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"
+
+
 def split_sentences(c: Column) -> Column:
     """Parts between . ! or ? and a capital, without outer white space; empty ones dropped."""
-    return F.filter(F.transform(F.split(c, r"(?U)(?<=[.!?])\s+(?=[A-Z])"), strip), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, SENTENCE_END), strip), lambda x: x != "")
 
 
 def split_paragraphs(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, r"\n\n+"), strip), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, PARAGRAPH_END), strip), lambda x: x != "")
 
 
 def estimate_tokens(c: Column) -> Column:
@@ -88,7 +94,7 @@ def is_directional(label: Column, undirected: Sequence[str] = UNDIRECTED_LABELS)
 
 def extract_json(c: Column) -> Column:
     """The object in a fenced block, else from the first { to the last }, else the text."""
-    fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
+    fenced = F.regexp_extract(c, FENCED, 1)
     return F.coalesce(F.nullif(fenced, F.lit("")), F.nullif(F.regexp_extract(c, r"(?s)\{.*\}", 0), F.lit("")), c)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..vocabulary import ENTITY_TYPES, RELATION_LABELS
+from .query import degree_of
 
 
 def _one_row(*parts: DataFrame) -> DataFrame:
@@ -18,12 +19,12 @@ def _one_row(*parts: DataFrame) -> DataFrame:
 
 def summary_stats(docs: DataFrame, chunks: DataFrame, entities: DataFrame, relations: DataFrame, evidence: DataFrame) -> DataFrame:
     """One row: sizes, processed chunks and their share, evidence coverage, confidence (0 without edges)."""
-    with_evidence = evidence.select(F.col("relation_id").alias("id")).distinct()
-    covered = relations.join(with_evidence, "id", "left_semi").agg(F.count("*").alias("covered"))
+    with_evidence = evidence.select(F.col("relation_id").alias("id")).distinct().withColumn("has", F.lit(1))
+    relations = relations.join(with_evidence, "id", "left")  # one pass over the edges gives all their numbers
     conf = lambda f: F.round(F.coalesce(f("confidence"), F.lit(0.0)), 3)
     row = _one_row(
-        docs.agg(F.count("*").alias("documents")), chunks.agg(F.count("*").alias("chunks")), entities.agg(F.count("*").alias("entities")), evidence.agg(F.count("*").alias("evidence"), F.count_distinct("chunk_id").alias("chunks_processed")), covered,
-        relations.agg(F.count("*").alias("relations"), conf(F.avg).alias("avg_confidence"), conf(F.min).alias("min_confidence"), conf(F.max).alias("max_confidence")),
+        docs.agg(F.count("*").alias("documents")), chunks.agg(F.count("*").alias("chunks")), entities.agg(F.count("*").alias("entities")), evidence.agg(F.count("*").alias("evidence"), F.count_distinct("chunk_id").alias("chunks_processed")),
+        relations.agg(F.count("has").alias("covered"), F.count("*").alias("relations"), conf(F.avg).alias("avg_confidence"), conf(F.min).alias("min_confidence"), conf(F.max).alias("max_confidence")),
     )
     share = lambda a, b: F.round(F.when(F.col(b) > 0, F.col(a) * 100.0 / F.col(b)).otherwise(0.0), 2)
     return row.withColumns({"processed_pct": share("chunks_processed", "chunks"), "evidence_coverage_pct": share("covered", "relations")})
@@ -121,6 +122,24 @@ def common_neighbors(entities: DataFrame, relations: DataFrame, a: str, b: str)
     return _one_row(direct, common).withColumn("passed", (F.col("direct") > 0) | (F.col("common") > 0))
 
 
+def terms_connected(entities: DataFrame, relations: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """(a, b, direct, common, passed) for pairs of terms: whether an edge or a shared neighbor connects them."""
+    return reduce(DataFrame.union, (common_neighbors(entities, relations, a, b).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "direct", "common", "passed") for a, b in pairs))
+
+
+def example_queries(entities: DataFrame, relations: DataFrame, evidence: DataFrame, term: str, n: int = 5) -> DataFrame:
+    """(query, name, value): what a few searches give, n rows each: entities that hold the term by name, the largest
+    entity types, and the surest neighbors of the first such entity that has any."""
+    found = degree_of(matching(entities, term), relations)
+    search = found.orderBy("name", "id").limit(n).select(F.lit("search").alias("query"), "name", F.col("degree").cast("double").alias("value"))
+    types = counts_by(entities, "type").limit(n).select(F.lit("types").alias("query"), F.col("type").alias("name"), F.col("count").cast("double").alias("value"))
+    first = found.filter("degree > 0").orderBy("name", "id").limit(1).select("id")
+    ends = relations.select(F.col("head_id").alias("id"), F.col("tail_id").alias("other"), "confidence", F.col("id").alias("edge")).union(relations.select("tail_id", "head_id", "confidence", "id"))
+    near = ends.join(F.broadcast(first), "id", "left_semi").join(entities.select(F.col("id").alias("other"), "name"), "other")  # one row is broadcast
+    near = near.orderBy(F.desc_nulls_last("confidence"), "edge", "other").limit(n).select(F.lit("neighbors").alias("query"), "name", F.col("confidence").alias("value"))
+    return search.union(types).union(near)
+
+
 def overall_score(checks: DataFrame, issues: int | Column) -> DataFrame:
     """checks (passed) and a number of issues: PASS, WARN or FAIL."""
     n = F.lit(issues) if isinstance(issues, int) else issues

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..vocabulary import ENTITY_TYPES
@@ -22,6 +22,15 @@ def paginate(df: DataFrame, order: Sequence[str | Column], page: int = 1, size:
     return df.orderBy(*order, *tie).offset((page - 1) * size).limit(size)
 
 
+def first_of_each(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, salts: int = 64) -> DataFrame:
+    """The first n rows of each key, without gathering the rows of a key: each of `salts` shares of it is cut to n
+    first, so that a key with a third of all rows is still sorted by many tasks."""
+    for by in ([*keys, "_salt"], list(keys)):
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+        df = (df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts))) if "_salt" in by else df).withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
+    return df.drop("_salt")
+
+
 def degree(entities: DataFrame, relations: DataFrame) -> DataFrame:
     """entities with out_degree, in_degree and degree; a loop counts at both ends. One pass over the edges."""
     ends = relations.select(F.explode(F.array(F.struct(F.col("head_id").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("tail_id").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e")).select("e.*")
@@ -31,7 +40,8 @@ def degree(entities: DataFrame, relations: DataFrame) -> DataFrame:
 
 def search_entities(entities: DataFrame, relations: DataFrame, q: str | None = None, type: str | None = None, types: Sequence[str] = ENTITY_TYPES) -> DataFrame:
     """Entities whose normalized name, name or an alias holds q without case (% and _ are wildcards), of a type, with
-    degrees. Order by name and page it with `paginate`; its count is the total."""
+    degrees, which only the edges at those entities are counted for. Order by name and page it with `paginate`; its
+    count is the total."""
     if type is not None:
         if type not in types:
             raise ValueError(f"{type!r} is not one of: {', '.join(types)}")
@@ -39,7 +49,15 @@ def search_entities(entities: DataFrame, relations: DataFrame, q: str | None = N
     if q:
         p = f"%{q}%"
         entities = entities.filter(F.col("normalized_name").ilike(p) | F.col("name").ilike(p) | F.exists(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: a.ilike(p)))
-    return degree(entities, relations)
+    return degree(entities, relations) if q is None and type is None else degree_of(entities, relations)
+
+
+def degree_of(entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """As degree, for few entities: an end of an edge that is none of them is dropped before anything is counted."""
+    ids = entities.select("id")
+    ends = relations.select(F.col("head_id").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(relations.select("tail_id", F.lit(0), F.lit(1)))
+    counts = ends.join(ids, "id", "left_semi").groupBy("id").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
+    return entities.join(counts, "id", "left").fillna(0, ["out_degree", "in_degree"]).withColumn("degree", F.col("out_degree") + F.col("in_degree"))
 
 
 def entity_matches(entities: DataFrame, text: str) -> DataFrame:
@@ -107,3 +125,26 @@ def delete_documents(docs: DataFrame, chunks: DataFrame, evidence: DataFrame, id
     """The three tables without the documents (id), their chunks and the evidence in those; relations stay."""
     gone = chunks.join(ids.select(F.col("id").alias("document_id")), "document_id", "left_semi").select(F.col("id").alias("chunk_id"))
     return docs.join(ids, "id", "left_anti"), chunks.join(ids.select(F.col("id").alias("document_id")), "document_id", "left_anti"), evidence.join(gone, "chunk_id", "left_anti")
+
+
+def deletion_audit(table: str, gone: DataFrame, reason: str | None = None) -> DataFrame:
+    """Audit rows (table_name, record_id, action, old_data, reason) of deleted rows, each with what it held as JSON."""
+    return gone.select(F.lit(table).alias("table_name"), F.col("id").cast("string").alias("record_id"), F.lit("DELETE").alias("action"), F.to_json(F.struct("*")).alias("old_data"), F.lit(reason).cast("string").alias("reason"))
+
+
+def documents_audit(docs: DataFrame, chunks: DataFrame, evidence: DataFrame, ids: DataFrame, reason: str | None = None) -> DataFrame:
+    """What `delete_documents` takes away, as audit rows of all three tables."""
+    cut = chunks.join(ids.select(F.col("id").alias("document_id")), "document_id", "left_semi")
+    lost = evidence.join(cut.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
+    rows = [deletion_audit(n, df, reason) for n, df in (("documents", docs.join(ids, "id", "left_semi")), ("chunks", cut), ("evidence", lost))]
+    return rows[0].union(rows[1]).union(rows[2])
+
+
+def delete_entities(entities: DataFrame, relations: DataFrame, evidence: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three tables without the entities (id), the edges at either end of them, and those edges' evidence."""
+    kept = relations
+    for end in ("head_id", "tail_id"):
+        kept = kept.join(ids.select(F.col("id").alias(end)), end, "left_anti")
+    kept = kept.select(relations.columns)
+    gone = relations.join(ids.select(F.col("id").alias("head_id")), "head_id", "left_semi").select("id").union(relations.join(ids.select(F.col("id").alias("tail_id")), "tail_id", "left_semi").select("id"))
+    return entities.join(ids, "id", "left_anti"), kept, evidence.join(gone.select(F.col("id").alias("relation_id")), "relation_id", "left_anti").select(evidence.columns)

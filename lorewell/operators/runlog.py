@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..vocabulary import TERMINAL_STATES
 from .build import build_relations, key_id
+from .query import paginate
 
 
 def job_metrics(runs: DataFrame, as_of: Column | None = None) -> DataFrame:
@@ -20,9 +21,11 @@ def job_metrics(runs: DataFrame, as_of: Column | None = None) -> DataFrame:
     return runs.withColumns({"progress": progress, "items_remaining": F.when(total.isNotNull(), F.greatest(F.lit(0), total - done)), "duration_seconds": seconds, "is_terminal": F.col("status").isin(*TERMINAL_STATES)})
 
 
-def list_jobs(runs: DataFrame, status: str | None = None) -> DataFrame:
-    """Runs of a state; page them by created_at descending."""
-    return runs.filter(F.col("status") == status) if status else runs
+def list_jobs(runs: DataFrame, status: str | None = None, page: int = 1, size: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(a page of the runs of a state, newest first, then by id; one row with their total and the number of pages)."""
+    runs = runs.filter(F.col("status") == status) if status else runs
+    total = runs.agg(F.count("*").alias("total")).withColumn("pages", F.ceil(F.col("total") / size))
+    return paginate(runs, [F.desc_nulls_last("created_at")], page, size), total
 
 
 def job_transitions(events: DataFrame, id_col: str = "job_id", at: str = "ts", status: str = "status", tie: Sequence[str] = ()) -> DataFrame:
@@ -56,8 +59,10 @@ def merge_entities(entities: DataFrame, relations: DataFrame, mapping: DataFrame
     return kept, edges, audit
 
 
-def bulk_delete_audit(ids: DataFrame, table: str, reason: str | None = None, slots: int = 64) -> DataFrame:
-    """Audit rows that list deleted ids, in `slots` rows at most, by a hash of the id, so that no row gathers all."""
+def bulk_delete_audit(ids: DataFrame, table: str, reason: str | None = None, per_row: int = 10_000) -> DataFrame:
+    """Audit rows that list deleted ids: one row up to per_row ids, and as many more as keep a row at about that, by a
+    hash of the id, so that no row gathers all."""
+    slots = max(1, -(-ids.count() // per_row))
     rows = ids.groupBy(F.pmod(F.xxhash64("id"), F.lit(slots)).alias("slot")).agg(F.array_sort(F.collect_list(F.col("id").cast("string"))).alias("ids"))
     return rows.select(F.lit(table).alias("table_name"), key_id(F.array_join("ids", ",")).alias("record_id"), F.lit("BULK_DELETE").alias("action"), F.to_json(F.struct("ids", F.size("ids").alias("count"))).alias("old_data"), F.lit(reason).alias("reason"))
 

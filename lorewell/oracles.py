@@ -44,9 +44,74 @@ chunk as (select id as document_id, i::int as chunk_index, substr(t, i * 800 + 1
           from (select id, t, unnest(generate_series(0, greatest(0, ceil((length(t) - 1000) / 800.0)::bigint))) as i from doc where t <> ''))
 """
 
+# Sentences with offsets in the stripped text, then greedy packing: one step a sentence, a cut where a chunk is full.
+SENTENCES = r"""
+with recursive doc as (select doc_id as id, regexp_replace(text, '^\s+|\s+$', '', 'g') as t from documents where text is not null),
+part as (select id, t, unnest(p) as part, generate_subscripts(p, 1) as pos from (select id, t, string_split(regexp_replace(t, '([.!?])(\s+)([A-Z])', '\1' || chr(1) || '\2' || chr(2) || '\3', 'g'), chr(1)) as p from doc where t <> '')),
+sent0 as (select id, t, pos, case when contains(part, chr(2)) then length(split_part(part, chr(2), 1)) else 0 end as gap, case when contains(part, chr(2)) then split_part(part, chr(2), 2) else part end as s from part),
+sent as (select *, sum(gap + length(s)) over (partition by id order by pos) as stop, sum(length(s) + 1) over (partition by id order by pos) as packed from sent0),
+doc2 as (select id, first(t) as t, count(*) as n, list(s order by pos) as ss, list(stop - length(s) order by pos) as starts, list(stop order by pos) as stops, list_concat([0], list(packed::bigint order by pos)) as total from sent group by id),
+sized as (select *, %s as size, %s as overlap from doc2),
+split as (select *, greatest(1, overlap // greatest(1, size // n)) as carry from sized where length(t) > size and n > 1),
+walk as (select id, n, carry, size, total, 0::bigint as i, 0::bigint as first, null::bigint as cut_from, null::bigint as cut_to from split
+         union all select id, n, carry, size, total, i + 1, case when full_ then case when i + 1 - first > carry then i + 1 - carry else i + 1 end else first end, case when full_ then first end, case when full_ then i + 1 end
+         from (select *, i + 1 > first and total[i + 3] - total[first + 1] > size as full_ from walk where i + 1 < n)),
+cut as (select id, cut_from as a, cut_to as b from walk where cut_to is not null union all select id, first, n from walk where i + 1 = n),
+packed as (select id, row_number() over (partition by id order by b) - 1 as k, array_to_string(ss[a + 1 : b], ' ') as text, starts[a + 1] as a, stops[b] as b from cut join split using (id)
+           union all select id, 0, t, 0, length(t) from sized where length(t) <= size or n = 1)
+"""
 DEGREE = "select e.id, coalesce(o.n, 0) as out_degree, coalesce(i.n, 0) as in_degree, coalesce(o.n, 0) + coalesce(i.n, 0) as degree from ent e left join (select head_id, count(*) n from rel group by 1) o on o.head_id = e.id left join (select tail_id, count(*) n from rel group by 1) i on i.tail_id = e.id"
 
+#: Two levels around the region Africa: nodes seen, in order, and edges; caps of 50 and 100.
+TWO = """, start as (select sha256('africa' || chr(1) || 'Tissue/Region') as id),
+    r0 as (select neighbor, edge, (0, back, edge) as place from both_ways, start where node = start.id and confidence >= 0),
+    g0 as (select edge from (select edge, min(place) as place from r0 group by 1 order by 2 limit 100)),
+    n1 as (select id, row_number() over (order by place) as rank from (select neighbor as id, min(place) as place from r0, start where neighbor <> start.id group by 1 order by 2 limit 49)),
+    r1 as (select neighbor, edge, (rank, back, edge) as place from both_ways join n1 on node = n1.id where confidence >= 0),
+    g1 as (select edge from (select edge, min(place) as place from r1 where edge not in (select edge from g0) group by 1 order by 2 limit (select 100 - count(*) from g0))),
+    n2 as (select id from (select neighbor as id, min(place) as place from r1, start where neighbor <> start.id and neighbor not in (select id from n1) group by 1 order by 2 limit (select 49 - count(*) from n1))),
+    seen as (select id, 0 as depth from start union all select id, 1 from n1 union all select id, 2 from n2), edges as (select edge from g0 union all select edge from g1) """
+
 _kg = {
+    "x2_repair_json": "select chunk_id, md5('{\"entities\": [' || string_agg('{\"name\":\"' || name || '\",\"type\":\"' || type || '\",\"normalized_name\":\"' || normalized_name || '\"}', ', ' order by position) || ']}') as h from mention where chunk_id like 'o%' group by 1",
+    "x7_match_relation_label": "select label, count(*) as count from line group by 1",
+    "x9_validate_vocabulary": "select p_type as value, count(*) as rows, 'ECONOMY, PROMO' as allowed from part where p_type not in ('ECONOMY', 'PROMO') group by 1",
+    "x10_normalize_name": r"select p_partkey, lower(upper(p_name) || ' ' || p_brand) as name from part",
+    "g8_extract_document": "select sha256(head_id || chr(1) || tail_id || chr(1) || label) as id, head_id, tail_id, label, max(confidence) as confidence from t30 where chunk_id in (select 'o' || o_orderkey from orders where o_custkey = 7) and (chunk_id, head) in (select chunk_id, name from m20) and (chunk_id, tail) in (select chunk_id, name from m20) group by 2, 3, 4",
+    "g9_build_kg_evidence": ", t as (select *, sha256(head_id || chr(1) || tail_id || chr(1) || label) as relation_id, sha256(evidence) as quote_hash from t30 where (chunk_id, head) in (select chunk_id, name from m20) and (chunk_id, tail) in (select chunk_id, name from m20)) select sha256(relation_id || chr(1) || quote_hash) as id, relation_id, first(chunk_id order by chunk_id, position) as chunk_id, first(evidence order by chunk_id, position) as quote from t group by relation_id, quote_hash",
+    "g9_build_kg_entities": "select sha256(normalized_name || chr(1) || type) as id, first(name order by chunk_id, rn) as name, normalized_name, type from m20 group by normalized_name, type",
+    "q4_get_entity": "select e.id, name, type, (select count(*) from spelling s where s.normalized_name = e.normalized_name and s.type = e.type) - 1 as aliases from ent e, me where e.id = me.id",
+    "q8_entity_names": "select id, (select string_agg(x, '|' order by x) from (select name as x union all select s.name from spelling s where s.normalized_name = e.normalized_name and s.type = e.type and s.low <> lower(e.name) and s.low <> e.normalized_name)) as names from ent e",
+    "q10_get_document": "select c_custkey as id, count(o_orderkey) as chunk_count, count(u.chunk_id) > 0 as has_extractions from customer left join orders on o_custkey = c_custkey left join (select distinct chunk_id from ev) u on u.chunk_id = 'o' || o_orderkey where c_custkey = 7 group by 1",
+    "q11_delete_documents_rest": ", d as (select c_custkey as id from customer where c_custkey % 5 = 0), k as (select 'o' || o_orderkey as id, o_custkey in (select id from d) as gone from orders) select 'documents' as kind, c_custkey::varchar as id from customer where c_custkey % 5 <> 0 union all select 'chunks', id from k where not gone union all select 'DELETE documents', id::varchar from d union all select 'DELETE chunks', id from k where gone union all select 'DELETE evidence', id from ev where chunk_id in (select id from k where gone)",
+    "q13_delete_entities": ", p as (select id from ent where normalized_name like '%\\_brand#1' escape '\\'), r as (select * from rel where head_id not in (select id from p) and tail_id not in (select id from p)) select 'entities' as kind, id from ent where id not in (select id from p) union all select 'relations', id from r union all select 'evidence', id from ev where relation_id in (select id from r)",
+    "s7_read_write": "select 'entity' as kind, id, name as value from ent union all select 'evidence', id, chunk_id from ev",
+    "t4_find_paths": """, s as (select * from both_ways where label in ('EXPRESSED_IN', 'ASSOCIATED_WITH') and confidence >= 0), goal as (select min(sha256(lower(c_mktsegment) || chr(1) || 'Disease')) as id from customer),
+        n1 as (select s.neighbor as id, min([(s.back, s.edge)]) as place from s, me, goal where node = me.id and neighbor not in (me.id, goal.id) group by 1),
+        n2 as (select s.neighbor as id, min(list_concat(n1.place, [(s.back, s.edge)])) as place from s join n1 on s.node = n1.id, me, goal where s.neighbor not in (me.id, goal.id) and s.neighbor not in (select id from n1) group by 1),
+        hit as (select list_concat(n2.place, [(s.back, s.edge)]) as place, n2.id as last, s.confidence as c3, row_number() over (order by list_concat(n2.place, [(s.back, s.edge)])) as path_rank from s join n2 on s.node = n2.id, goal where s.neighbor = goal.id),
+        flat as (select path_rank, unnest(place) as way, generate_subscripts(place, 1) as step from hit where path_rank <= 5),
+        steps as (select path_rank, step, way[1] as back, way[2] as edge, r.confidence, case when way[1] then r.head_id else r.tail_id end as node from flat join rel r on r.id = way[2]),
+        total as (select path_rank, product(confidence) as c from steps group by 1)
+        select path_rank::int as path_rank, 3 as path_length, round(c, 6) as total_confidence, step::int as step, node, edge, back from (select path_rank, step, node, edge, back from steps union all select distinct path_rank, 0, me.id, null, null from steps, me) x join total using (path_rank)""",
+    "t1_subgraph_depth2": TWO + "select e.id, e.name, depth from ent e join seen using (id)",
+    "t2_subgraph_edges_depth2": TWO + "select id, head_id, tail_id, label, confidence from rel where id in (select edge from edges)",
+    "t3_subgraph_summary": TWO + """, n as (select e.id, e.type, depth from ent e join seen using (id)), g as (select label from rel where id in (select edge from edges))
+        select 'nodes' as kind, null as key, count(*) as count from n union all select 'edges', null, count(*) from g union all select 'depth', null, max(depth) from n union all select 'truncated', null, ((select count(*) from n) >= 50 or (select count(*) from g) >= 100)::bigint union all select 'type', type, count(*) from n group by 2 union all select 'label', label, count(*) from g group by 2""",
+    "t7_multi_center_depth2": ", c as (select id from ent where normalized_name ilike '%africa%' or normalized_name ilike '%household%'), one as (select distinct neighbor as id from both_ways where node in (select id from c) and neighbor not in (select id from c)), two as (select distinct neighbor as id from both_ways where node in (select id from one) and neighbor not in (select id from one) and neighbor not in (select id from c)), far as (select * from (select id, 1 as hops from one union all select id, 2 from two) where id in (select id from ent) order by hops, id limit (select greatest(0, 150 - count(*)) from c)), k as (select id from c union all select id from far) select id, head_id, tail_id from rel where head_id in (select id from k) and tail_id in (select id from k)",
+    "t9_graph_view_nodes": f", top as (select id from ({DEGREE}) order by degree desc, id limit 200), ends as (select unnest([head_id, tail_id]) as id from rel where head_id in (select id from top) and tail_id in (select id from top)) select e.id, (select count(*) from ends where ends.id = e.id) as connections, case when length(name) > 22 then substr(name, 1, 22) || '…' else name end as view_label, true as is_centre from ent e where e.id in (select id from top)",
+    "e12_terms_connected": ", pair(a, b) as (values ('supplier#00000000', 'asia'), ('customer#00000000', 'household'), ('ring', 'africa')), h as (select a, b, id from pair join ent on normalized_name ilike '%' || a || '%'), t as (select a, b, id from pair join ent on normalized_name ilike '%' || b || '%'), n as (select a, b, (select count(*) from rel where head_id in (select id from h where h.a = pair.a and h.b = pair.b) and tail_id in (select id from t where t.a = pair.a and t.b = pair.b)) as direct, (select count(distinct tail_id) from rel where head_id in (select id from h where h.a = pair.a and h.b = pair.b) and tail_id in (select head_id from rel where tail_id in (select id from t where t.a = pair.a and t.b = pair.b))) as common from pair) select *, direct > 0 or common > 0 as passed from n",
+    "e13_overall_score": ", x as (select (select count(*) from rel where head_id in (select id from ent where normalized_name ilike '%supplier#00000000%') and tail_id in (select head_id from rel where tail_id in (select id from ent where normalized_name ilike '%asia%'))) > 0 or (select count(*) from rel where head_id in (select id from ent where normalized_name ilike '%supplier#00000000%') and tail_id in (select id from ent where normalized_name ilike '%asia%')) > 0 as p union all select (select count(*) from rel where head_id in (select id from ent where normalized_name ilike '%ring%') and tail_id in (select head_id from rel where tail_id in (select id from ent where normalized_name ilike '%africa%'))) > 0 or (select count(*) from rel where head_id in (select id from ent where normalized_name ilike '%ring%') and tail_id in (select id from ent where normalized_name ilike '%africa%')) > 0 union all select (select count(*) from rel where head_id in (select id from ent where normalized_name ilike '%supplier#00000000%')) > 0 union all select (select count(*) from rel where tail_id in (select id from ent where normalized_name ilike '%africa%')) > 0), n as (select count(*) filter (p) as passed, count(*) as checks from x) select *, case when passed / checks >= 0.8 then 'PASS' when passed / checks >= 0.5 then 'WARN' else 'FAIL' end as score from n",
+    "e14_example_queries": f", found as (select d.id, e.name, degree from ({DEGREE}) d join ent e on e.id = d.id where normalized_name ilike '%supplier#00000000%'), f1 as (select id from found where degree > 0 order by name, id limit 1), near as (select neighbor, confidence, edge from both_ways, f1 where node = f1.id) select * from (select 'search' as query, name, degree::double as value from found order by name, id limit 5) union all select * from (select 'types', type, count(*)::double from ent group by 2 order by 3 desc, 2 limit 5) union all select * from (select 'neighbors', e.name, confidence from near join ent e on e.id = neighbor order by confidence desc nulls last, edge, neighbor limit 5)",
+    "e16_check_constraints": """select 'entities: unique normalized_name, type' as rule, (select count(*) from (select 1 from ent group by normalized_name, type having count(*) > 1)) as violations
+        union all select 'relations: unique head_id, tail_id, label', (select count(*) from (select 1 from rel group by head_id, tail_id, label having count(*) > 1)) union all select 'evidence: unique relation_id, chunk_id, quote_hash', (select count(*) from (select 1 from raw group by relation_id, chunk_id, quote_hash having count(*) > 1))
+        union all select 'relations.head_id in entities', (select count(*) from rel where head_id not in (select id from ent)) union all select 'relations.tail_id in entities', (select count(*) from rel where tail_id not in (select id from ent)) union all select 'evidence.relation_id in relations', (select count(*) from raw where relation_id not in (select id from rel))
+        union all select 'relations: confidence between 0 and 1', (select count(*) from rel where confidence not between 0 and 1) union all select 'entities.name not null', (select count(*) from ent where name is null) union all select 'entities.normalized_name not null', (select count(*) from ent where normalized_name is null) union all select 'entities.type not null', (select count(*) from ent where type is null)
+        union all select 'relations.label not null', (select count(*) from rel where label is null) union all select 'evidence.quote not null', (select count(*) from raw where quote is null) union all select 'evidence.quote_hash not null', (select count(*) from raw where quote_hash is null)""",
+    "a7_apply_repairs": "select id, case when id[1] = 'a' then upper(quote) else quote end as quote, case when id[1] = 'a' then sha256(upper(quote)) else quote_hash end as quote_hash from ev",
+    "a8_repair_summary": ", n as (select length(quote) / 100.0 as s, length(quote) % 3 + 1 as k from ev where id[1] = 'a') select count(*) as repairs, round(min(s), 6)::double as min_similarity, round(avg(s), 6)::double as avg_similarity, round(max(s), 6)::double as max_similarity, count(*) filter (k = 1) as single_sentence, count(*) filter (k > 1) as multi_sentence from n",
+    "a13_exact_match": ", q as (select id, chunk_id, case when id[:2] < '20' then upper(quote) when id[:2] = '20' then regexp_replace(quote, ' [A-Z_]+ ', ' ... ', 'g') when id[:2] = '21' then regexp_replace(quote, ' [A-Z_]+ ', ' acts on ', 'g') when id[:2] = '22' then substr(quote, 1, 12) || ' x ' || substr(quote, 13, 1000) when id[:2] = '23' then quote || ' and so does ' || quote when id[:2] = '24' then 'Nothing of this stands in the text at all.' else quote end as quote from ev) select q.id, contains(text, quote) or contains(lower(text), lower(quote)) as exact from q join chunk on chunk.id = chunk_id",
+    "a14_diagnosis_recommendations": ", c as (select case when id[1] < '8' then 'ELLIPSIS' when id[1] < 'c' then 'CHUNK_EDGE' else 'HALLUCINATED' end as cause from ev) select cause, count(*) as count, round(count(*) * 100 / (select count(*) from c), 1)::double as pct, case cause when 'ELLIPSIS' then 61 when 'CHUNK_EDGE' then 29 else 45 end::int as advice from c group by 1",
     "x3_parse_entities": "select chunk_id, cast(rn - 1 as int) as position, name, type, normalized_name from m20",
     "x4_parse_relations": "select chunk_id, cast(position as int) as position, head, tail, label, confidence, evidence from t30",
     "x5_extraction_errors": "select 'run1' as run_id, chunk_id, 'relations' as pass, 'not JSON' as error, 'no json' as raw from (select distinct chunk_id from line where l_orderkey % 50 = 0)",
@@ -102,6 +167,15 @@ _kg = {
 }
 
 ORACLES = {
+    "c3_chunk_sentences": SENTENCES % (1000, 200) + "select id as document_id, k::int as chunk_index, text, a::int as start_offset, b::int as end_offset, greatest(1, length(text) // 4)::int as token_count from packed",
+    "c6_chunk_pending": SENTENCES % (1000, 200) + "select id as document_id, count(*) as chunks, sum(greatest(1, length(text) // 4))::bigint as tokens from packed group by 1",
+    "c6_rechunk": SENTENCES % (1000, 200) + ", old as (" + (SENTENCES % (500, 50)).replace("with recursive", "with recursive", 1) + "select * from packed where k = 0 and id % 3 = 0) select id as document_id, count(*) as chunks, sum(greatest(1, length(text) // 4))::bigint as tokens from packed group by 1 union all select -id - 1, 1, greatest(1, length(text) // 4) from old",
+    "c8_document_chunks": CHARS + "select document_id, chunk_index, chunk_index % 2 = 0 as has_extractions from chunk where document_id = 7",
+    "c9_chunk_at_offset_first": CHARS + "select document_id, o::int as offset, min(chunk_index)::int as chunk_index, (o - min(start_offset))::int as relative from chunk, (values (0), (850), (1700)) v(o) where start_offset <= o and o < end_offset group by document_id, o",
+    "c10_offsets": CHARS + "select document_id, chunk_index, case when 900 >= start_offset and 900 < end_offset then 900 - start_offset end::int as relative, case when 150 < end_offset - start_offset then 150 + start_offset end::int as absolute from chunk",
+    "r2_list_jobs": "with r as (select user_id as id, min(ts) as t, count(*) as n from events group by 1), d as (select * from r where n >= 20) select id, 'completed' as status, (select count(*) from d) as total, (select ceil(count(*) / 15)::bigint from d) as pages from d order by t desc, id limit 15 offset 15",
+    "r6_bulk_delete_audit": "select 'customer' as table_name, 'BULK_DELETE' as action, 'test' as reason, count(*) as ids from customer where c_custkey % 5 = 0",
+    "r7_audit_history": "select c_custkey::varchar as record_id, '{\"c_custkey\":' || c_custkey || ',\"c_name\":\"' || c_name || '\"}' as old_data from customer where c_custkey % 7 = 0",
     "s3_ingest_documents": "with x as (select doc_id as id, cast(doc_id // 10 as varchar) as pmid from documents), old as (select * from x where id % 20 = 0) select * from old union all select min(id), pmid from x where pmid not in (select pmid from old) group by pmid",
     "s4_filter_corpus": "with x as (select doc_id as id, lower(text) as t from documents), y as (select id, contains(t, 'the')::int as a, contains(t, 'la ')::int as b, contains(t, 'tion')::int as c, contains(t, 'ung')::int as d from x) select id, a + b + c + d as score from y where a + b > 0 and c + d > 0",
     "s5_full_text": "select doc_id as id, md5(concat_ws(chr(10) || chr(10), source, nullif(text, ''))) as h from documents",
@@ -109,7 +183,7 @@ ORACLES = {
     "c2_split_paragraphs": r"select id, cast(pos - 1 as int) as pos, paragraph from (select id, unnest(s) as paragraph, generate_subscripts(s, 1) as pos from (select doc_id as id, list_filter(list_transform(regexp_split_to_array(text, '\n\n+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as s from documents))",
     "c4_chunk_chars": CHARS + "select document_id, chunk_index, text, start_offset, end_offset from chunk",
     "c5_estimate_tokens": "select doc_id as id, cast(case when coalesce(length(text), 0) = 0 then 0 else greatest(1, length(text) // 4) end as int) as tokens from documents",
-    "c7_chunking_stats": CHARS + "select (select count(*) from documents) as documents, (select count(*) from documents where coalesce(text, '') <> '') as with_abstract, count(distinct document_id) as chunked, (select count(*) from documents where coalesce(text, '') <> '' and doc_id not in (select document_id from chunk where document_id % 4 <> 1)) as needing, count(*) as chunks, sum(length(text))::bigint as total_chars, sum(greatest(1, length(text) // 4))::bigint as total_tokens, round(count(*) / count(distinct document_id), 6) as avg_chunks from chunk where document_id % 4 <> 1",
+    "c7_chunking_stats": CHARS + "select (select count(*) from documents) as documents, (select count(*) from documents where coalesce(text, '') <> '') as with_abstract, count(distinct document_id) as chunked, (select count(*) from documents where coalesce(text, '') <> '' and doc_id not in (select document_id from chunk)) as needing, count(*) as chunks, sum(length(text))::bigint as total_chars, sum(greatest(1, length(text) // 4))::bigint as total_tokens, round(count(*) / count(distinct document_id), 6) as avg_chunks from chunk",
     "c9_chunk_at_offset": CHARS + "select document_id, o::int as offset, chunk_index, (o - start_offset)::int as relative from chunk, (values (0), (850), (1700)) v(o) where start_offset <= o and o < end_offset",
     "x6_match_entity_type": "select distinct p_type as value, case when p_type = 'ECONOMY' then 'ECO NOMY' when p_type = 'STANDARD' then 'Standard' when p_type = 'PROMO' then 'pro/mo' end as type from part",
     "r1_job_metrics": "with r as (select user_id as id, min(ts) as a, max(ts) as b, count(*) as n from events group by 1) select id, least(100, floor(n * 100 / 20))::int as progress, greatest(0, 20 - n)::int as items_remaining, round(epoch_us(b) / 1e6 - epoch_us(a) / 1e6, 3) as duration_seconds, n >= 20 as is_terminal from r",

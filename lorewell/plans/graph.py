@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.query import degree
+from ..operators.query import degree, first_of_each
 from ..sources.shared import store
 from ..vocabulary import RELATION_LABELS
 
@@ -34,15 +34,17 @@ def subgraph(entities: DataFrame, relations: DataFrame, start: str, depth: int =
     if not 1 <= depth <= 3:
         raise ValueError("depth is 1 to 3")
     steps = both_ways(allowed_edges(relations, labels, min_confidence))
-    if entity_types:
-        steps = steps.join(entities.filter(F.col("type").isin(*entity_types)).select(F.col("id").alias("neighbor")), "neighbor", "left_semi")
     nodes = store(entities.filter(F.col("id") == start).select("id", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("rank")), "level")
     edges = None
     # Numbers among at most max_nodes * ... rows: each level is cut by orderBy().limit() before it is numbered.
     number = lambda df, *order: df.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
     for level in range(depth):
         frontier = nodes.filter(F.col("depth") == level).select(F.col("id").alias("node"), "rank")
-        reached = store(steps.join(frontier, "node"), "reached")
+        # At most max_nodes rows, so a broadcast: a level is one scan of the edges and shuffles what it reaches alone.
+        reached = steps.join(F.broadcast(frontier), "node")
+        if entity_types:
+            reached = reached.join(entities.filter(F.col("type").isin(*entity_types)).select(F.col("id").alias("neighbor")), "neighbor", "left_semi")
+        reached = store(reached, "reached")
         fresh = reached.select("edge", F.struct("rank", "back", "edge").alias("at")).groupBy("edge").agg(F.min("at").alias("at"), F.lit(level).alias("level"))
         if edges is not None:
             fresh = fresh.join(edges.select("edge"), "edge", "left_anti")
@@ -71,8 +73,9 @@ def subgraph_summary(nodes: DataFrame, edges: DataFrame, max_nodes: int, max_edg
 
 
 def shortest_hops(relations: DataFrame, sources: DataFrame, max_hops: int) -> DataFrame:
-    """(id, hops) for every node within max_hops of the sources (id), edges taken both ways."""
-    steps = both_ways(relations).select("node", F.col("neighbor").alias("id")).distinct()
+    """(id, hops) for every node within max_hops of the sources (id), edges taken both ways. The steps are written
+    once, so that a hop is one join and not the edges' plan again."""
+    steps = store(both_ways(relations).select("node", F.col("neighbor").alias("id")).distinct(), "steps")
     seen = store(sources.select("id").distinct().withColumn("hops", F.lit(0)), "hops")
     for hop in range(1, max_hops + 1):
         near = seen.filter(F.col("hops") == hop - 1).select(F.col("id").alias("node"))
@@ -92,16 +95,17 @@ def find_paths(relations: DataFrame, source: str, target: str, max_hops: int = 3
         raise ValueError("source and target must differ")
     if not 1 <= max_hops <= 5:
         raise ValueError("max_hops is 1 to 5")
-    steps = both_ways(allowed_edges(relations, labels, min_confidence))
+    steps = store(both_ways(allowed_edges(relations, labels, min_confidence)), "steps")
     spark = relations.sparkSession
+    way = f"array<struct<back:boolean,edge:{relations.schema['id'].dataType.simpleString()}>>"
     kind = "array<struct<node:string,edge:string,back:boolean,confidence:double>>"
-    tree = store(spark.createDataFrame([(source, "")], "id string, at string").withColumn("steps", F.array().cast(kind)), "tree")
+    tree = store(spark.createDataFrame([(source,)], "id string").withColumns({"at": F.array().cast(way), "steps": F.array().cast(kind)}), "tree")
     seen, found, n = tree.select("id"), None, 0
     for hop in range(1, max_hops + 1):
         near = tree.select(F.col("id").alias("node"), "at", "steps")
         step = F.struct(F.col("neighbor").alias("node"), F.col("edge").cast("string").alias("edge"), "back", "confidence")
-        # The order of a path as text: its tree node's, then the direction and edge that lead on.
-        reached = store(steps.join(near, "node").select(F.col("neighbor").alias("id"), F.concat("at", F.when(F.col("back"), "1").otherwise("0"), F.sha2(F.col("edge").cast("string"), 256)).alias("at"), F.concat("steps", F.array(step)).alias("steps")), "reached")
+        # The order of a path is its tree node's, then the direction and edge that lead on.
+        reached = store(steps.join(near, "node").select(F.col("neighbor").alias("id"), F.concat("at", F.array(F.struct("back", "edge"))).alias("at"), F.concat("steps", F.array(step)).alias("steps")), "reached")
         hits = reached.filter(F.col("id") == target).orderBy("at").limit(max_paths - n).withColumn("path_length", F.lit(hop))
         found = hits if found is None else found.unionByName(hits)
         n += hits.count()
@@ -147,7 +151,9 @@ def graph_view_tables(nodes: DataFrame, edges: DataFrame, evidence: DataFrame) -
     inside = edges.select(F.explode(F.array("head_id", "tail_id")).alias("id")).groupBy("id").agg(F.count("*").alias("connections"))
     label = F.when(F.char_length("name") > 22, F.concat(F.substring("name", 1, 22), F.lit("…"))).otherwise(F.col("name"))
     shown = nodes.join(inside, "id", "left").fillna(0, ["connections"]).withColumns({"view_label": label, "is_centre": F.col("depth") == 0, "first_aliases": F.slice(F.coalesce("aliases", F.array().cast("array<string>")), 1, 3)})
-    near = evidence.join(edges.select(F.col("id").alias("relation_id")), "relation_id", "left_semi").groupBy(F.col("relation_id").alias("id")).agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list(F.struct("id", "quote"))), 1, 3).alias("first"))
+    near = evidence.join(edges.select(F.col("id").alias("relation_id")), "relation_id", "left_semi").select("relation_id", "id", "quote")
+    first = first_of_each(near, ["relation_id"], ["id"], 3).groupBy("relation_id").agg(F.array_sort(F.collect_list(F.struct("id", "quote"))).alias("first"))
+    near = near.groupBy("relation_id").agg(F.count("*").alias("n")).join(first, "relation_id").withColumnRenamed("relation_id", "id")
     short = F.transform("first", lambda x: F.when(F.char_length(x["quote"]) > 147, F.concat(F.substring(x["quote"], 1, 147), F.lit("..."))).otherwise(x["quote"]))
     n = F.coalesce("n", F.lit(0))
     lines = edges.join(near, "id", "left").select("id", "head_id", "tail_id", "label", "confidence", n.alias("evidence_count"), (1 + 2 * F.coalesce("confidence", F.lit(0.0)) + 0.3 * F.least(n, F.lit(5))).alias("width"), F.coalesce(short, F.array().cast("array<string>")).alias("quotes"), F.when(n > 3, F.concat(F.lit("and "), (n - 3).cast("string"), F.lit(" more"))).alias("more"))
@@ -156,7 +162,14 @@ def graph_view_tables(nodes: DataFrame, edges: DataFrame, evidence: DataFrame) -
 
 def graph_stats(entities: DataFrame, relations: DataFrame, evidence: DataFrame) -> DataFrame:
     """(kind, key, value): totals, entities by type, relations by label, average confidence to three places."""
-    total = lambda df, name: df.agg(F.count("*").cast("double").alias("value")).select(F.lit(name).alias("kind"), F.lit(None).cast("string").alias("key"), "value")
-    by = lambda df, c: df.groupBy(F.col(c).alias("key")).agg(F.count("*").cast("double").alias("value")).select(F.lit(c).alias("kind"), "key", "value")
-    average = relations.agg(F.round(F.coalesce(F.avg("confidence"), F.lit(0.0)), 3).alias("value")).select(F.lit("avg_confidence").alias("kind"), F.lit(None).cast("string").alias("key"), "value")
-    return reduce(DataFrame.union, [total(entities, "entities"), total(relations, "relations"), total(evidence, "evidence"), by(entities, "type"), by(relations, "label"), average])
+    n = F.count("*").cast("double").alias("value")
+    names = lambda kind, key: (F.lit(kind).alias("kind") if isinstance(kind, str) else kind.alias("kind"), key.cast("string").alias("key"), "value")
+    # Each table is read once: groups by kind and the sum of all.
+    by = lambda df, c, name: df.rollup(c).agg(n, F.grouping(c).alias("all")).select(*names(F.when(F.col("all") == 1, name).otherwise(c), F.col(c)))
+    sums = relations.groupBy("label").agg(F.sum("confidence").alias("s"), F.count("confidence").alias("c"), F.count("*").alias("n"))
+    mean = F.when(F.sum("c") > 0, F.round(F.sum("s") / F.sum("c"), 3)).otherwise(0.0)
+    kinds = F.array(F.struct(F.lit("label").alias("kind"), F.col("n").cast("double").alias("value")))
+    edges = sums.rollup("label").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("n"), F.coalesce(mean, F.lit(0.0)).alias("mean"), F.grouping("label").alias("all"))
+    whole = F.array(F.struct(F.lit("relations").alias("kind"), F.col("n").alias("value")), F.struct(F.lit("avg_confidence").alias("kind"), F.col("mean").alias("value")))
+    edges = edges.select("label", F.explode(F.when(F.col("all") == 1, whole).otherwise(kinds)).alias("x")).select(F.col("x.kind").alias("kind"), F.col("label").alias("key"), F.col("x.value").alias("value"))
+    return reduce(DataFrame.union, [by(entities, "type", "entities"), edges, evidence.agg(n).select(*names("evidence", F.lit(None)))])

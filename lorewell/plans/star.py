@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import build
+from ..sources.shared import store
 
 
 def normal(c: Column) -> Column:
@@ -26,8 +27,14 @@ def entity_id(kind: str, c: Column) -> Column:
 
 @dataclass
 class Star:
+    """With keep, tables that several operators read are written once and read from there, not built for each."""
+
     spark: SparkSession
     path: str
+    keep: bool = False
+
+    def _kept(self, df: DataFrame, name: str) -> DataFrame:
+        return store(df, f"star-{name}") if self.keep else df
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
@@ -44,7 +51,7 @@ class Star:
         part = F.concat_ws(" ", "p_name", "p_brand")
         part = F.when(F.col("l_linenumber") % 3 == 0, F.translate(part, " ", "-")).otherwise(part)
         rows = rows.select(F.concat(F.lit("o"), F.col("l_orderkey")).alias("chunk_id"), "position", F.col("s_name").alias("head"), part.alias("tail"), label.alias("label"), F.round(1.0 - F.col("l_discount") * 5, 2).alias("confidence"), F.col("l_quantity").cast("int").alias("q"), "l_orderkey")
-        return rows.withColumn("evidence", F.concat(F.concat_ws(" ", "head", "label", "tail"), F.lit(" q"), F.col("q"))).drop("q")
+        return self._kept(rows.withColumn("evidence", F.concat(F.concat_ws(" ", "head", "label", "tail"), F.lit(" q"), F.col("q"))).drop("q"), "lines")
 
     @cached_property
     def mentions(self) -> DataFrame:
@@ -59,7 +66,7 @@ class Star:
 
     @cached_property
     def entities(self) -> DataFrame:
-        return build.build_entities(self.mentions)
+        return self._kept(build.build_entities(self.mentions), "entities")
 
     @cached_property
     def resolved(self) -> DataFrame:
@@ -79,7 +86,7 @@ class Star:
         extra = extra.union(edge(n, entity_id(place, normal(F.col("n_name"))), entity_id(place, low("r_name")), "PART_OF", 1.0))
         extra = extra.union(edge(c, entity_id("Phenotype", low("c_name")), entity_id(place, normal(F.col("n_name"))), "EXPRESSED_IN", 0.9))
         extra = extra.union(edge(c, entity_id("Phenotype", low("c_name")), entity_id("Disease", low("c_mktsegment")), "ASSOCIATED_WITH", 0.8))
-        return build.build_relations(self.resolved.select("head_id", "tail_id", "label", "confidence").union(extra))
+        return self._kept(build.build_relations(self.resolved.select("head_id", "tail_id", "label", "confidence").union(extra)), "relations")
 
     @cached_property
     def chunks(self) -> DataFrame:
@@ -90,7 +97,7 @@ class Star:
 
     @cached_property
     def evidence(self) -> DataFrame:
-        return build.build_evidence(self.resolved)
+        return self._kept(build.build_evidence(self.resolved), "evidence")
 
     @cached_property
     def raw_evidence(self) -> DataFrame:

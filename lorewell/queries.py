@@ -4,6 +4,7 @@ stand only where they are the feature."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,9 +12,10 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import build, chunking, evidence, parsing, quality, query, runlog
 from .plans import graph
-from .plans.kg import build_kg
+from .plans.kg import build_kg, extract_document
 from .plans.star import Star, entity_id
 from .sources import tables
+from .sources.shared import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SEGMENTS = ["Supplier#", "small", "HOUSE", "nowhere"]
@@ -53,6 +55,17 @@ def s5_full_text(spark, d):
     return documents(spark, d).select("id", F.md5(T.full_text(F.col("source"), F.col("abstract"))).alias("h"))
 
 
+@query_of
+def s7_read_write(spark, d):
+    """Entities and evidence written, written again over themselves and read back."""
+    s, path = Star(spark, d, keep=True), shared_dir(spark, "tables")
+    schemas = {"entities": "id string, name string", "evidence": "id string, chunk_id string"}
+    for _ in range(2):
+        tables.write_tables({"entities": s.entities.select("id", "name"), "evidence": s.evidence.select("id", "chunk_id")}, path, "overwrite")
+    got = tables.read_tables(spark, path, schemas)
+    return got["entities"].select(F.lit("entity").alias("kind"), "id", F.col("name").alias("value")).union(got["evidence"].select(F.lit("evidence"), "id", "chunk_id"))
+
+
 # Chunking
 
 
@@ -90,7 +103,14 @@ def c6_chunk_pending(spark, d):
 
 @query_of
 def c7_chunking_stats(spark, d):
-    return chunking.chunking_stats(documents(spark, d), char_chunks(spark, d).filter("document_id % 4 <> 1")).withColumn("avg_chunks", F.round("avg_chunks", 6))
+    return chunking.chunking_stats(documents(spark, d), char_chunks(spark, d)).withColumn("avg_chunks", F.round("avg_chunks", 6))
+
+
+@query_of
+def c8_document_chunks(spark, d):
+    """Every other chunk of one document has extractions."""
+    chunks = char_chunks(spark, d)
+    return chunking.document_chunks(chunks, chunks.filter("chunk_index % 2 = 0").select(F.col("id").alias("chunk_id")), 7).select("document_id", "chunk_index", "has_extractions")
 
 
 @query_of
@@ -100,9 +120,37 @@ def c9_chunk_at_offset(spark, d):
     return chunking.chunk_at_offset(chunks, at).select("document_id", "offset", "chunk_index", "relative")
 
 
+@query_of
+def c9_chunk_at_offset_first(spark, d):
+    at = documents(spark, d).select(F.col("id").alias("document_id"), F.explode(F.array(F.lit(0), F.lit(850), F.lit(1700))).alias("offset"))
+    return chunking.chunk_at_offset(char_chunks(spark, d), at, first=True).select("document_id", "offset", "chunk_index", "relative")
+
+
+@query_of
+def c10_offsets(spark, d):
+    a, b = F.col("start_offset"), F.col("end_offset")
+    return char_chunks(spark, d).select("document_id", "chunk_index", T.relative_offset(F.lit(900), a, b).alias("relative"), T.absolute_offset(F.lit(150), a, b).alias("absolute"))
+
+
+@query_of
+def c6_rechunk(spark, d):
+    """All documents with text chunked anew; chunks of a document without any stay."""
+    docs = documents(spark, d)
+    have = chunking.chunk_sentences(docs.filter("id % 3 = 0"), 500, 50)
+    lost = have.filter("chunk_index = 0").withColumn("document_id", -F.col("document_id") - 1)
+    return chunking.chunk_pending(docs, have.unionByName(lost), replace=True).groupBy("document_id").agg(F.count("*").alias("chunks"), F.sum("token_count").alias("tokens"))
+
+
 # Model answers
 
 
+@query_of
+def x2_repair_json(spark, d):
+    """The entity answers, fenced and with a comma too many, as JSON."""
+    answers = Star(spark, d).outputs.filter(F.col("pass") == "entities")
+    return answers.select("chunk_id", F.md5(T.repair_json(T.extract_json(F.col("content")))).alias("h"))
+
+
 @query_of
 def x3_parse_entities(spark, d):
     return parsing.parse_entities(Star(spark, d).outputs).select("chunk_id", "position", "name", "type", "normalized_name")
@@ -126,6 +174,24 @@ def x6_match_entity_type(spark, d):
     return words.select("value", T.match_entity_type(F.lower("value"), ["ECO NOMY", "Standard", "pro/mo"]).alias("type"))
 
 
+@query_of
+def x7_match_relation_label(spark, d):
+    """Labels in another spelling."""
+    spelled = Star(spark, d).lines.select(T.match_relation_label(F.concat(F.lit(" "), F.lower(F.translate("label", "_", "-")))).alias("label"))
+    return spelled.groupBy("label").agg(F.count("*").alias("count"))
+
+
+@query_of
+def x9_validate_vocabulary(spark, d):
+    return parsing.validate_vocabulary(Star(spark, d).table("part"), "p_type", ["ECONOMY", "PROMO"])
+
+
+@query_of
+def x10_normalize_name(spark, d):
+    part = Star(spark, d).table("part")
+    return part.select("p_partkey", T.normalize_name(F.concat(F.lit(" ("), F.upper("p_name"), F.lit("  "), F.col("p_brand"), F.lit(". "))).alias("name"))
+
+
 @query_of
 def x11_extraction_summary(spark, d):
     o = Star(spark, d).outputs
@@ -154,7 +220,7 @@ def g3_build_relations(spark, d):
 
 @query_of
 def g4_locate_quotes(spark, d):
-    s = Star(spark, d)
+    s = Star(spark, d, keep=True)
     return build.locate_quotes(s.evidence, s.chunks).select("id", "quote_start", "quote_end")
 
 
@@ -170,6 +236,13 @@ def g7_pending_chunks(spark, d):
     return build.pending_chunks(orders, s.evidence)
 
 
+@query_of
+def g8_extract_document(spark, d):
+    """The graph of one customer's orders."""
+    s = Star(spark, d, keep=True)
+    return extract_document(s.outputs, s.chunks, 7).relations
+
+
 @query_of
 def g9_build_kg(spark, d):
     s = Star(spark, d)
@@ -177,6 +250,18 @@ def g9_build_kg(spark, d):
     return g.relations
 
 
+@query_of
+def g9_build_kg_evidence(spark, d):
+    s = Star(spark, d, keep=True)
+    return build_kg(s.outputs, s.chunks).evidence.select("id", "relation_id", "chunk_id", "quote")
+
+
+@query_of
+def g9_build_kg_entities(spark, d):
+    s = Star(spark, d, keep=True)
+    return build_kg(s.outputs, s.chunks).entities.select("id", "name", "normalized_name", "type")
+
+
 @query_of
 def g11_quarantine_relations(spark, d):
     lines = Star(spark, d).lines.withColumn("confidence", F.col("confidence") * 1.25)
@@ -185,13 +270,13 @@ def g11_quarantine_relations(spark, d):
 
 @query_of
 def g12_triples(spark, d):
-    s = Star(spark, d)
+    s = Star(spark, d, keep=True)
     return build.triple_view(s.relations, s.entities, s.evidence).select("id", "triple", "evidence_count", "has_evidence", "is_high_confidence", "is_directional")
 
 
 @query_of
 def g13_relation_evidence(spark, d):
-    s = Star(spark, d)
+    s = Star(spark, d, keep=True)
     return build.relation_evidence(s.relations, s.evidence).select("id", F.col("evidence_count").cast("long").alias("evidence_count"), F.array_join(F.transform("evidence", lambda e: e["quote"]), "|").alias("quotes"))
 
 
@@ -200,7 +285,7 @@ def g13_relation_evidence(spark, d):
 
 @query_of
 def q1_search_entities(spark, d):
-    s = Star(spark, d)
+    s = Star(spark, d, keep=True)
     return query.search_entities(s.entities, s.relations, "ring_brand#1").select("id", "name", "type", "out_degree", "in_degree", "degree")
 
 
@@ -214,6 +299,17 @@ def q3_entity_type_counts(spark, d):
     return query.entity_type_counts(Star(spark, d).entities)
 
 
+@query_of
+def q4_get_entity(spark, d):
+    s = Star(spark, d)
+    return query.get_entity(s.entities, _first_supplier(s)).select("id", "name", "type", F.size("aliases").cast("long").alias("aliases"))
+
+
+@query_of
+def q8_entity_names(spark, d):
+    return query.entity_names(Star(spark, d).entities).select("id", F.array_join(F.array_sort("names"), "|").alias("names"))
+
+
 def _first_supplier(s: Star) -> str:
     name = s.table("supplier").orderBy("s_suppkey").select("s_name").first()[0]
     return s.spark.range(1).select(entity_id("Gene", F.lit(name.lower().replace(" ", "_").replace("-", "_")))).first()[0]
@@ -221,110 +317,176 @@ def _first_supplier(s: Star) -> str:
 
 @query_of
 def q5_neighborhood(spark, d):
-    s = Star(spark, d)
+    s = Star(spark, d, keep=True)
     return query.neighborhood(s.entities, s.relations, s.evidence, _first_supplier(s)).select("id", "label", "confidence", "neighbor_id", "neighbor", "direction", "evidence_count")
 
 
 @query_of
 def q6_neighborhood_stats(spark, d):
-    s = Star(spark, d)
+    s = Star(spark, d, keep=True)
     me = _first_supplier(s)
     return query.neighborhood_stats(s.relations, query.neighborhood(s.entities, s.relations, s.evidence, me), me)
 
 
 @query_of
 def q7_entity_relations(spark, d):
-    s = Star(spark, d)
+    s = Star(spark, d, keep=True)
     return query.entity_relations(s.relations, s.evidence, _first_supplier(s), "both", 2, 20).select("id", "label", "confidence", F.coalesce(F.size("evidence"), F.lit(0)).cast("long").alias("quotes"))
 
 
+def _customers(s: Star) -> tuple[DataFrame, DataFrame]:
+    """Customers as documents, orders as their chunks."""
+    docs = s.table("customer").select(F.col("c_custkey").alias("id"))
+    return docs, s.table("orders").select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("id"), F.col("o_custkey").alias("document_id"))
+
+
 @query_of
 def q9_list_documents(spark, d):
-    """Customers as documents, orders as their chunks."""
     s = Star(spark, d)
-    docs = s.table("customer").select(F.col("c_custkey").alias("id"))
-    chunks = s.table("orders").select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("id"), F.col("o_custkey").alias("document_id"))
-    return query.list_documents(docs, chunks, s.evidence)
+    return query.list_documents(*_customers(s), s.evidence)
+
+
+@query_of
+def q10_get_document(spark, d):
+    s = Star(spark, d)
+    return query.get_document(*_customers(s), s.evidence, 7)
 
 
 @query_of
 def q11_delete_documents(spark, d):
     s = Star(spark, d)
-    docs = s.table("customer").select(F.col("c_custkey").alias("id"))
-    chunks = s.table("orders").select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("id"), F.col("o_custkey").alias("document_id"))
+    docs, chunks = _customers(s)
     return query.delete_documents(docs, chunks, s.evidence, docs.filter("id % 5 = 0"))[2].select("id", "chunk_id")
 
 
+@query_of
+def q11_delete_documents_rest(spark, d):
+    """Documents and chunks that stay, and the audit rows of what goes."""
+    s = Star(spark, d, keep=True)
+    docs, chunks = _customers(s)
+    ids = docs.filter("id % 5 = 0")
+    kept = query.delete_documents(docs, chunks, s.evidence, ids)
+    row = lambda df, kind: df.select(F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id"))
+    audit = query.documents_audit(docs, chunks, s.evidence, ids).select(F.concat("action", F.lit(" "), "table_name").alias("kind"), F.col("record_id").alias("id"))
+    return row(kept[0], "documents").union(row(kept[1], "chunks")).union(audit)
+
+
 @query_of
 def q12_paginate(spark, d):
     return query.paginate(Star(spark, d).entities.select("id", "name"), ["name"], 3, 20)
 
 
+@query_of
+def q13_delete_entities(spark, d):
+    """Brands go, and with them their edges and those edges' evidence."""
+    s = Star(spark, d, keep=True)
+    kept = query.delete_entities(s.entities, s.relations, s.evidence, s.entities.filter(F.col("normalized_name").endswith("_brand#1")).select("id"))
+    return reduce(DataFrame.union, (df.select(F.lit(kind).alias("kind"), "id") for kind, df in zip(("entities", "relations", "evidence"), kept)))
+
+
 # Graph
 
 
 @query_of
 def t1_subgraph(spark, d):
-    s = Star(spark, d)
+    s = Star(spark, d, keep=True)
     nodes, _ = graph.subgraph(s.entities, s.relations, _first_supplier(s), 1, 50, 100)
     return nodes.select("id", "name", "depth")
 
 
 @query_of
 def t2_subgraph_edges(spark, d):
-    s = Star(spark, d)
+    s = Star(spark, d, keep=True)
     _, edges = graph.subgraph(s.entities, s.relations, _first_supplier(s), 1, 50, 100, labels=["BINDS", "NONE"], entity_types=["Compound/Drug"], min_confidence=0.7)
     return edges.select("id", "head_id", "tail_id", "label", "confidence")
 
 
+def _region(s: Star) -> str:
+    """The entity of the region Africa."""
+    return s.spark.range(1).select(entity_id("Tissue/Region", F.lit("africa"))).first()[0]
+
+
+@query_of
+def t1_subgraph_depth2(spark, d):
+    s = Star(spark, d, keep=True)
+    return graph.subgraph(s.entities, s.relations, _region(s), 2, 50, 100)[0].select("id", "name", "depth")
+
+
+@query_of
+def t2_subgraph_edges_depth2(spark, d):
+    s = Star(spark, d, keep=True)
+    return graph.subgraph(s.entities, s.relations, _region(s), 2, 50, 100)[1].select("id", "head_id", "tail_id", "label", "confidence")
+
+
+@query_of
+def t3_subgraph_summary(spark, d):
+    s = Star(spark, d, keep=True)
+    nodes, edges = graph.subgraph(s.entities, s.relations, _region(s), 2, 50, 100)
+    return graph.subgraph_summary(nodes, edges, 50, 100)
+
+
 @query_of
 def t4_find_paths(spark, d):
     """From the first supplier to a customer's segment, over places."""
-    s = Star(spark, d)
-    target = s.entities.filter("type = 'Disease'").agg(F.min("id")).first()[0]
+    s = Star(spark, d, keep=True)
+    target = s.table("customer").agg(F.min(entity_id("Disease", F.lower("c_mktsegment")))).first()[0]
     return graph.path_steps(graph.find_paths(s.relations, _first_supplier(s), target, 4, ["EXPRESSED_IN", "ASSOCIATED_WITH"])).select("path_rank", "path_length", F.round("total_confidence", 6).alias("total_confidence"), "step", "node", "edge", "back")
 
 
 @query_of
 def t6_shortest_hops(spark, d):
-    s = Star(spark, d)
+    s = Star(spark, d, keep=True)
     return graph.shortest_hops(s.relations, spark.createDataFrame([(_first_supplier(s),)], "id string"), 2)
 
 
 @query_of
 def t7_multi_center_subgraph(spark, d):
-    s = Star(spark, d)
+    s = Star(spark, d, keep=True)
     return graph.multi_center_subgraph(s.entities, s.relations, ["supplier#00000000", "household"], 1)[0].select("id", "depth")
 
 
+@query_of
+def t7_multi_center_depth2(spark, d):
+    """Edges between the nodes within two hops."""
+    s = Star(spark, d, keep=True)
+    return graph.multi_center_subgraph(s.entities, s.relations, ["africa", "household"], 2)[1].select("id", "head_id", "tail_id")
+
+
 @query_of
 def t8_top_degree_graph(spark, d):
-    s = Star(spark, d)
+    s = Star(spark, d, keep=True)
     return graph.top_degree_graph(s.entities, s.relations)[1].select("id", "head_id", "tail_id", "label", "confidence")
 
 
 @query_of
 def t9_graph_view(spark, d):
-    s = Star(spark, d)
+    s = Star(spark, d, keep=True)
     nodes, edges = graph.top_degree_graph(s.entities, s.relations, 200)
     return graph.graph_view_tables(nodes.withColumn("depth", F.lit(0)), edges, s.evidence)[1].select("id", F.round("width", 6).alias("width"), "evidence_count", F.array_join("quotes", "|").alias("quotes"), "more")
 
 
+@query_of
+def t9_graph_view_nodes(spark, d):
+    s = Star(spark, d, keep=True)
+    nodes, edges = graph.top_degree_graph(s.entities, s.relations, 200)
+    return graph.graph_view_tables(nodes.withColumn("depth", F.lit(0)), edges, s.evidence)[0].select("id", "connections", "view_label", "is_centre")
+
+
 @query_of
 def t10_graph_stats(spark, d):
-    s = Star(spark, d)
+    s = Star(spark, d, keep=True)
     return graph.graph_stats(s.entities, s.relations, s.evidence)
 
 
 @query_of
 def t11_degree(spark, d):
-    s = Star(spark, d)
+    s = Star(spark, d, keep=True)
     return query.degree(s.entities, s.relations).select("id", "out_degree", "in_degree", "degree")
 
 
 @query_of
 def t12_common_neighbors(spark, d):
-    s = Star(spark, d)
+    s = Star(spark, d, keep=True)
     return quality.common_neighbors(s.entities, s.relations, "supplier#00000000", "asia")
 
 
@@ -333,7 +495,7 @@ def t12_common_neighbors(spark, d):
 
 @query_of
 def e1_summary_stats(spark, d):
-    s = Star(spark, d)
+    s = Star(spark, d, keep=True)
     return quality.summary_stats(s.table("customer"), s.table("orders"), s.entities, s.relations, s.evidence)
 
 
@@ -346,37 +508,37 @@ def e2_duplicates(spark, d):
 
 @query_of
 def e3_orphan_relations(spark, d):
-    s = Star(spark, d)
+    s = Star(spark, d, keep=True)
     return quality.orphan_relations(s.relations, s.entities).select("id", "head_id", "tail_id", "label")
 
 
 @query_of
 def e4_relations_without_evidence(spark, d):
-    s = Star(spark, d)
+    s = Star(spark, d, keep=True)
     return quality.relations_without_evidence(s.relations, s.evidence).select("id", "label")
 
 
 @query_of
 def e5_entities_without_relations(spark, d):
-    s = Star(spark, d)
+    s = Star(spark, d, keep=True)
     return quality.entities_without_relations(s.entities, s.relations).select("id", "name")
 
 
 @query_of
 def e6_ratios(spark, d):
-    s = Star(spark, d)
+    s = Star(spark, d, keep=True)
     return quality.ratios(s.entities, s.relations, s.evidence)
 
 
 @query_of
 def e7_invalid_values(spark, d):
-    s = Star(spark, d)
+    s = Star(spark, d, keep=True)
     return quality.invalid_values(s.entities, s.relations, ["Gene", "Disease"], ["BINDS", "INHIBITS"])
 
 
 @query_of
 def e8_term_has_edges(spark, d):
-    s = Star(spark, d)
+    s = Star(spark, d, keep=True)
     return quality.term_has_edges(s.entities, s.relations, "supplier#00000000")
 
 
@@ -392,20 +554,41 @@ def e10_diversity(spark, d):
 
 @query_of
 def e11_evidence_validity(spark, d):
-    s = Star(spark, d)
+    s = Star(spark, d, keep=True)
     return quality.evidence_validity(s.evidence, s.chunks)
 
 
+@query_of
+def e12_terms_connected(spark, d):
+    s = Star(spark, d, keep=True)
+    return quality.terms_connected(s.entities, s.relations, [("supplier#00000000", "asia"), ("customer#00000000", "household"), ("ring", "africa")])
+
+
+@query_of
+def e13_overall_score(spark, d):
+    """The searches for terms as checks, dangling edges as issues."""
+    s = Star(spark, d, keep=True)
+    checks = quality.terms_connected(s.entities, s.relations, [("supplier#00000000", "asia"), ("ring", "africa")]).select("passed")
+    checks = checks.union(quality.term_has_edges(s.entities, s.relations, "supplier#00000000").select("passed")).union(quality.term_has_edges(s.entities, s.relations, "africa", "in").select("passed"))
+    return quality.overall_score(checks, 0)
+
+
+@query_of
+def e14_example_queries(spark, d):
+    s = Star(spark, d, keep=True)
+    return quality.example_queries(s.entities, s.relations, s.evidence, "supplier#00000000")
+
+
 @query_of
 def e15_extraction_progress(spark, d):
-    s = Star(spark, d)
+    s = Star(spark, d, keep=True)
     orders = s.table("orders").select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("id"))
     return quality.extraction_progress(orders, s.entities, s.relations, s.evidence)
 
 
 @query_of
 def e16_check_constraints(spark, d):
-    s = Star(spark, d)
+    s = Star(spark, d, keep=True)
     return quality.check_constraints({"entities": s.entities, "relations": s.relations, "evidence": s.raw_evidence})
 
 
@@ -413,10 +596,13 @@ def e16_check_constraints(spark, d):
 
 
 def benchmark_evidence(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Quotes to audit, all of them: some in capitals, some with the relation left out."""
-    s = Star(spark, d)
-    n = F.pmod(F.crc32(F.concat_ws(":", "relation_id", "chunk_id").cast("binary")), F.lit(77))
-    quote = F.when(n % 7 == 0, F.upper("quote")).when(n == 1, F.regexp_replace("quote", " [A-Z_]+ ", " ... ")).otherwise(F.col("quote"))
+    """Quotes to audit, all of them. By the first letters of the id an eighth is in capitals, and some leave the relation
+    out, name it otherwise, hold words too many, join two sentences or are made up."""
+    s = Star(spark, d, keep=True)
+    n, q = F.substring("id", 1, 2), F.col("quote")
+    word = lambda by: F.regexp_replace(q, " [A-Z_]+ ", by)
+    quote = F.when(n < "20", F.upper(q)).when(n == "20", word(" ... ")).when(n == "21", word(" acts on ")).when(n == "22", F.concat(F.substring(q, 1, 12), F.lit(" x "), F.substring(q, 13, 1000)))
+    quote = quote.when(n == "23", F.concat(q, F.lit(" and so does "), q)).when(n == "24", F.lit("Nothing of this stands in the text at all.")).otherwise(q)
     return s.evidence.withColumn("quote", quote), s.chunks
 
 
@@ -435,6 +621,24 @@ def a6_repair_candidates(spark, d):
     return evidence.repair_candidates(*benchmark_evidence(spark, d)).select("id", "new_quote", "new_start", "new_end", F.round("similarity", 6).alias("similarity"), "sentence_count")
 
 
+def _capitals(s: Star) -> DataFrame:
+    """Candidates that write some quotes in capitals."""
+    some = s.evidence.filter(F.substring("id", 1, 1) == "a")
+    return some.select("id", F.upper("quote").alias("new_quote"), T.quote_hash(F.upper("quote")).alias("new_hash"), F.lit(0).alias("new_start"), F.char_length("quote").alias("new_end"), (F.char_length("quote") / 100).alias("similarity"), (F.char_length("quote") % 3 + 1).alias("sentence_count"))
+
+
+@query_of
+def a7_apply_repairs(spark, d):
+    s = Star(spark, d, keep=True)
+    return evidence.apply_repairs(s.evidence, _capitals(s)).select("id", "quote", "quote_hash")
+
+
+@query_of
+def a8_repair_summary(spark, d):
+    out = evidence.repair_summary(_capitals(Star(spark, d, keep=True)))
+    return out.select("repairs", *(F.round(c, 6).alias(c) for c in ("min_similarity", "avg_similarity", "max_similarity")), "single_sentence", "multi_sentence")
+
+
 @query_of
 def a9_diagnose_quotes(spark, d):
     return evidence.diagnosis_summary(evidence.diagnose_quotes(*benchmark_evidence(spark, d)))
@@ -445,6 +649,13 @@ def a11_dedup_evidence(spark, d):
     return evidence.dedup_evidence(Star(spark, d).raw_evidence).select("id", "relation_id", "quote")
 
 
+@query_of
+def a14_diagnosis_recommendations(spark, d):
+    """Quotes with a cause by the first letter of their id."""
+    cause = F.when(F.substring("id", 1, 1) < "8", "ELLIPSIS").when(F.substring("id", 1, 1) < "c", "CHUNK_EDGE").otherwise("HALLUCINATED")
+    return evidence.diagnosis_recommendations(Star(spark, d).evidence.select(cause.alias("cause"))).select("cause", "count", "pct", F.char_length("advice").alias("advice"))
+
+
 @query_of
 def a13_exact_match(spark, d):
     quotes, chunks = benchmark_evidence(spark, d)
@@ -462,6 +673,14 @@ def r1_job_metrics(spark, d):
     return runlog.job_metrics(runs).select("id", "progress", "items_remaining", F.round("duration_seconds", 3).alias("duration_seconds"), "is_terminal")
 
 
+@query_of
+def r2_list_jobs(spark, d):
+    """A user's events as a run."""
+    runs = spark.read.parquet(f"{d}/events.parquet").groupBy(F.col("user_id").alias("id")).agg(F.min("ts").alias("created_at"), F.count("*").alias("n"))
+    page, total = runlog.list_jobs(runs.withColumn("status", F.when(F.col("n") >= 20, "completed").otherwise("running")), "completed", 2, 15)
+    return page.join(total, F.lit(True)).select("id", "status", "total", "pages")
+
+
 @query_of
 def r3_job_transitions(spark, d):
     """Event types of a user as states of a run."""
@@ -482,8 +701,22 @@ def r4_diff_snapshots(spark, d):
 @query_of
 def r5_merge_entities(spark, d):
     """Every brand-1 part into the one with the smallest id."""
-    s = Star(spark, d)
+    s = Star(spark, d, keep=True)
     parts = s.entities.filter(F.col("normalized_name").endswith("_brand#1")).select("id")
     least = parts.agg(F.min("id").alias("target_id"))
     mapping = parts.join(least, F.col("id") != F.col("target_id")).select(F.col("id").alias("source_id"), "target_id")
     return runlog.merge_entities(s.entities, s.relations, mapping)[1]
+
+
+@query_of
+def r6_bulk_delete_audit(spark, d):
+    gone = Star(spark, d).table("customer").filter("c_custkey % 5 = 0").select(F.col("c_custkey").alias("id"))
+    rows = runlog.bulk_delete_audit(gone, "customer", "test", per_row=100)
+    return rows.groupBy("table_name", "action", "reason").agg(F.sum(F.get_json_object("old_data", "$.count").cast("long")).alias("ids"))
+
+
+@query_of
+def r7_audit_history(spark, d):
+    c = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_name")
+    log = runlog.diff_snapshots(c, c.filter("c_custkey % 7 <> 0"), ["c_custkey"], "customer").withColumns({"created_at": F.col("record_id").cast("long"), "id": F.col("record_id")})
+    return runlog.audit_history(log, "customer", action="DELETE").select("record_id", "old_data")

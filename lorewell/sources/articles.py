@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # English month names by their first three letters.
-MONTHS = {m: i + 1 for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split())}
+MONTHS = {"jan": 1, "feb": 2, "mar": 3, "apr": 4, "may": 5, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "oct": 10, "nov": 11, "dec": 12}
 _DATE = "struct<Year:string,Month:string,Day:string,MedlineDate:string>"
 _AUTHOR = "struct<_ValidYN:string,LastName:string,ForeName:string,Initials:string,AffiliationInfo:array<struct<Affiliation:string>>>"
 _TEXTS = "array<struct<_VALUE:string>>"

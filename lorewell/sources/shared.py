@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -10,9 +9,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, or, where that is unset (tests), under the machine's temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), f"lorewell-{spark.sparkContext.applicationId}")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder for this application under spark.checkpoint.dir, or, where that is unset and the master is local
+    (tests), under the machine's temporary folder. A cluster without a shared folder is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.gettempdir()
+    return f"{base.rstrip('/')}/lorewell-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def move(spark: SparkSession, old: str, new: str) -> None:
+    """Rename a folder over another one."""
+    delete(spark, new)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    if not path(old).getFileSystem(spark._jsc.hadoopConfiguration()).rename(path(old), path(new)):
+        raise OSError(f"{old} cannot be renamed to {new}")
 
 
 def store(df: DataFrame, name: str) -> DataFrame:

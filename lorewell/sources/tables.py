@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 from operator import and_, or_
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
+from .shared import move
 
 TABLES = {"documents": schemas.DOCUMENTS, "chunks": schemas.CHUNKS, "entities": schemas.ENTITIES, "relations": schemas.RELATIONS, "evidence": schemas.EVIDENCE}
 
@@ -19,9 +20,23 @@ def read_tables(spark: SparkSession, path: str, tables: dict[str, str] = TABLES)
     return {name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in tables.items()}
 
 
-def write_tables(tables: dict[str, DataFrame], path: str, mode: str = "error") -> None:
+#: What a document's rows are dealt by, and into how many folders.
+DEALT, FOLDERS = {"chunks": "document_id", "evidence": "chunk_id"}, 64
+
+
+def write_tables(tables: dict[str, DataFrame], path: str, mode: str = "error", dealt: dict[str, str] = DEALT, folders: int = FOLDERS) -> None:
+    """Write tables under path. Those in `dealt` lie in folders by a hash of that column, `part`, which a reader that
+    knows the key can go to at once. mode "overwrite" writes beside the old table first and then renames, so that a
+    job which fails on the way leaves the old table whole, and so that a table may be made from itself."""
     for name, df in tables.items():
-        df.write.mode(mode).parquet(f"{path}/{name}")
+        spark, staged = df.sparkSession, f"{path}/_staged-{name}-{uuid.uuid4().hex}" if mode == "overwrite" else f"{path}/{name}"
+        if name in dealt:
+            part = F.pmod(F.xxhash64(dealt[name]), F.lit(folders)).cast("int")
+            df.withColumn("part", part).repartition("part").write.partitionBy("part").mode("error" if mode == "overwrite" else mode).parquet(staged)
+        else:
+            df.write.mode("error" if mode == "overwrite" else mode).parquet(staged)
+        if mode == "overwrite":
+            move(spark, staged, f"{path}/{name}")
 
 
 def read_model_outputs(spark: SparkSession, path: str, format: str = "json") -> DataFrame:
@@ -35,19 +50,20 @@ def export_csv(df: DataFrame, path: str, decimals: Sequence[str] = ("similarity"
 
 
 def markdown(df: DataFrame, title: str) -> DataFrame:
-    """A report as lines (line, text) of a Markdown table, in the order of df's rows by their columns."""
+    """A report as lines (line, key, text) of a Markdown table: in order by line, then key, which is df's row."""
     cells = lambda values: F.concat(F.lit("| "), F.concat_ws(" | ", *values), F.lit(" |"))
     body = df.select(cells([F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]).alias("text"), F.struct(*df.columns).alias("key"))
-    body = body.select((F.row_number().over(Window.orderBy("key")) + 4).alias("line"), "text")
+    body = body.select(F.lit(5).alias("line"), "key", "text")
     head = [(1, f"## {title}"), (2, ""), (3, "| " + " | ".join(df.columns) + " |"), (4, "|" + " --- |" * len(df.columns))]
-    return df.sparkSession.createDataFrame(head, "line int, text string").union(body)
+    return df.sparkSession.createDataFrame(head, "line int, text string").unionByName(body, allowMissingColumns=True).select("line", "key", "text")
 
 
 def export_report(df: DataFrame, path: str, format: str = "json", title: str = "Report") -> None:
     if format == "json":
         df.write.json(path)
     else:
-        markdown(df, title).orderBy("line").select("text").coalesce(1).write.text(path)
+        # A range-partitioned sort: the files are in order one after another.
+        markdown(df, title).orderBy("line", "key").select("text").write.text(path)
 
 
 def ingest_documents(existing: DataFrame, incoming: DataFrame, order: Sequence[str | Column] = ("id",), dry_run: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -1,15 +1,17 @@
 """Incremental runs with Structured Streaming: documents in, graph tables out.
 
-Tables are kept as one folder a batch under a path; the latest whole state is the highest number that finished. A batch
-that runs again after a failure writes the same folder again, so each is applied once.
+Tables are kept as one folder a batch under a path, which holds what the batch added or changed. A batch that runs again
+after a failure reads only batches before it and writes the same folder again, so each is applied once.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.build import build_entities, build_relations
 from ..operators.chunking import chunk_sentences
 from ..plans.kg import build_kg
 from ..schemas import OUTPUTS
@@ -28,9 +30,10 @@ def stream_ingest(spark: SparkSession, source: str, target: str, checkpoint: str
 
     def batch(df: DataFrame, number: int) -> None:
         path = f"{target}/documents"
-        kept = _read(spark, path, df.schema).withColumn("_file", F.input_file_name()).filter(~F.contains("_file", F.lit(f"/batch_{number}/"))).drop("_file")
-        after, _ = ingest_documents(kept, df)
-        after.join(kept.select("pmid"), "pmid", "left_anti").select(df.columns).write.mode("overwrite").parquet(f"{path}/batch_{number}")
+        kept = _read(spark, path, df.schema).select("pmid", F.input_file_name().alias("_file")).filter(~F.contains("_file", F.lit(f"/batch_{number}/"))).drop("_file")
+        # Of the tables so far only the pmids are read.
+        fresh, _ = ingest_documents(df.limit(0), df.join(kept, "pmid", "left_anti"))
+        fresh.select(df.columns).write.mode("overwrite").parquet(f"{path}/batch_{number}")
         chunk_sentences(spark.read.schema(df.schema).parquet(f"{path}/batch_{number}"), size, overlap).write.mode("overwrite").parquet(f"{target}/chunks/batch_{number}")
 
     reader = spark.readStream.schema(schema)
@@ -39,17 +42,35 @@ def stream_ingest(spark: SparkSession, source: str, target: str, checkpoint: str
     return reader.parquet(source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def graph_table(spark: SparkSession, target: str, name: str, before: int | None = None) -> DataFrame | None:
+    """A table of the graph after all batches (or those before one): each row as the last batch that changed it left
+    it; None if no batch has written it."""
+    try:
+        rows = spark.read.option("mergeSchema", "false").parquet(f"{target}/{name}")
+    except AnalysisException:
+        return None
+    rows = rows if before is None else rows.filter(F.col("batch") < before)
+    columns = [c for c in rows.columns if c != "batch"]
+    return rows.groupBy("id").agg(F.max_by(F.struct(*columns), "batch").alias("r")).select("r.*")
+
+
 def stream_build_kg(spark: SparkSession, source: str, chunks: DataFrame, target: str, checkpoint: str, format: str = "parquet", files_per_batch: int | None = None) -> StreamingQuery:
-    """Merge each micro-batch of model answers into the graph: state number n is built from state n - 1 in target/n, and
-    target/n/done marks it whole."""
+    """Merge each micro-batch of model answers into the graph. A batch reads of the graph what its own keys touch and
+    writes only the rows that it adds or changes, to target/<table>/batch=<number>; `graph_table` reads the whole."""
 
     def batch(df: DataFrame, number: int) -> None:
-        names = ("entities", "relations", "evidence")
-        before = {n: spark.read.parquet(f"{target}/{number - 1}/{n}") for n in names} if number else {}
-        g = build_kg(df, chunks, **before)
-        for n in names:
-            getattr(g, n).write.mode("overwrite").parquet(f"{target}/{number}/{n}")
-        spark.range(1).write.mode("overwrite").parquet(f"{target}/{number}/done")
+        g = build_kg(df, chunks)
+        known = {n: graph_table(spark, target, n, number) for n in ("entities", "relations", "evidence")}
+        entities, relations, evidence = g.entities, g.relations, g.evidence
+        if known["entities"] is not None:
+            touched = g.mentions.select("normalized_name", "type").distinct()
+            entities = build_entities(g.mentions, known["entities"].join(touched, ["normalized_name", "type"], "left_semi"))
+        if known["relations"] is not None:
+            relations = build_relations(g.relations, known["relations"].join(g.relations.select("id"), "id", "left_semi"))
+        if known["evidence"] is not None:
+            evidence = evidence.join(known["evidence"].select("id"), "id", "left_anti")
+        for name, rows in (("entities", entities), ("relations", relations), ("evidence", evidence)):
+            rows.write.mode("overwrite").parquet(f"{target}/{name}/batch={number}")
 
     reader = spark.readStream.schema(OUTPUTS).format(format)
     if files_per_batch:

@@ -60,3 +60,29 @@ def test_dedup_is_idempotent(spark):
     once = evidence.dedup_evidence(ev)
     assert sorted(x["id"] for x in once.collect()) == ["2", "3"] == sorted(x["id"] for x in evidence.dedup_evidence(once).collect())
     evidence.assert_unique(once, ["relation_id", "quote_hash"])
+
+
+def test_unique_and_authors(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from lorewell.functions import text as T
+    from lorewell.operators import evidence, runlog
+
+    twice = spark.createDataFrame([("a", 1), ("a", 1)], "id string, n int")
+    assert evidence.assert_unique(twice.limit(1), ["id"]).count() == 1
+    with pytest.raises(ValueError, match="not unique"):
+        evidence.assert_unique(twice, ["id"])
+    people = spark.createDataFrame([([("A B",), ("",)],)], "authors array<struct<name:string>>")
+    assert people.select(T.author_names(F.col("authors"))).first()[0] == ["A B"]
+    runs = spark.createDataFrame([(str(i), "running", i) for i in range(5)], "id string, status string, created_at int")
+    page, total = runlog.list_jobs(runs, "running", 2, 2)
+    assert [r["id"] for r in page.collect()] == ["2", "1"] and total.first().asDict() == {"total": 5, "pages": 3}
+    assert runlog.bulk_delete_audit(twice.select("id"), "t").count() == 1
+
+
+def test_graph_of_one_text(spark):
+    from lorewell.plans.kg import kg_from_text
+
+    g = kg_from_text(spark, "x", ENTITIES, RELATIONS)
+    assert g.entities.count() > 0 and g.relations.count() > 0 and g.errors.count() == 0

@@ -40,3 +40,16 @@ def test_subgraph_caps_on_a_hub(spark):
 def test_unknown_labels_do_not_filter(spark):
     r = edges(spark, ("a", "b", "BINDS", 0.9), ("a", "c", "INHIBITS", 0.2))
     assert graph.allowed_edges(r, ["NONE"]).count() == 2 and graph.allowed_edges(r, ["BINDS", "NONE"]).count() == 1 and graph.allowed_edges(r, None, 0.5).count() == 1
+
+
+def test_paths_follow_edge_ids(spark):
+    r = edges(spark, *[("a", "z", f"L{i}", 0.5) for i in range(9)])
+    paths = graph.find_paths(r, "a", "z", 1, max_paths=4).orderBy("path_rank").collect()
+    assert [p["steps"][1]["edge"] for p in paths] == ["azL0", "azL1", "azL2", "azL3"]
+
+
+def test_first_of_each(spark):
+    from lorewell.operators.query import first_of_each
+
+    df = spark.createDataFrame([(k, i) for k in "ab" for i in range(30)], "k string, i int")
+    assert sorted(map(tuple, first_of_each(df, ["k"], ["i"], 2, salts=4).collect())) == [("a", 0), ("a", 1), ("b", 0), ("b", 1)]

@@ -34,4 +34,24 @@ def test_exports(spark, tmp_path):
     tables.export_csv(df, str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).first().asDict() == {"quote": "a b", "similarity": "0.1235"}
     tables.export_report(df.select("similarity"), str(tmp_path / "md"), "markdown", "T")
-    assert [r[0] for r in spark.read.text(str(tmp_path / "md")).collect()][0] == "## T"
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "md")).collect()) == sorted(["## T", "", "| similarity |", "| --- |", "| 0.123456 |"])
+    lines = tables.markdown(spark.range(40).repartition(3), "N").orderBy("line", "key").collect()
+    assert [r["text"] for r in lines] == ["## N", "", "| id |", "| --- |", *(f"| {i} |" for i in range(40))]
+
+
+def test_tables_are_replaced_whole(spark, tmp_path):
+    path, schemas = str(tmp_path / "t"), {"chunks": "id string, document_id string"}
+    one = spark.createDataFrame([(str(i), str(i % 5)) for i in range(40)], schemas["chunks"])
+    tables.write_tables({"chunks": one}, path)
+    again = tables.read_tables(spark, path, schemas)["chunks"]
+    tables.write_tables({"chunks": again.filter("document_id <> '0'")}, path, "overwrite")  # made from itself
+    assert tables.read_tables(spark, path, schemas)["chunks"].count() == 32
+    assert [p.name for p in (tmp_path / "t").iterdir()] == ["chunks"]
+    parts = spark.read.parquet(f"{path}/chunks").groupBy("document_id").agg({"part": "min"}).collect()
+    assert len(parts) == 4
+
+
+def test_model_outputs(spark, tmp_path):
+    (tmp_path / "o.json").write_text('{"run_id": "r", "chunk_id": "c", "pass": "entities", "content": "{}"}\n')
+    row = tables.read_model_outputs(spark, str(tmp_path)).first()
+    assert (row["run_id"], row["content"], row["document_id"]) == ("r", "{}", None)

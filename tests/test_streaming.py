@@ -12,9 +12,12 @@ def test_streamed_graph_is_the_batch_graph(spark, tmp_path):
     incremental.stream_build_kg(spark, source, chunks(spark), str(tmp_path / "out"), str(tmp_path / "check"), files_per_batch=1).awaitTermination()
     want = build_kg(outputs(spark, *rows), chunks(spark))
     for name in ("entities", "relations", "evidence"):
-        got = spark.read.parquet(str(tmp_path / "out" / "1" / name))
+        got = incremental.graph_table(spark, str(tmp_path / "out"), name)
         assert sorted(r["id"] for r in got.collect()) == sorted(r["id"] for r in getattr(want, name).collect())
-    assert spark.read.parquet(str(tmp_path / "out" / "1" / "relations")).first()["confidence"] == 0.95
+    assert incremental.graph_table(spark, str(tmp_path / "out"), "relations").first()["confidence"] == 0.95
+    assert incremental.graph_table(spark, str(tmp_path / "out"), "nothing") is None
+    second = spark.read.parquet(str(tmp_path / "out" / "evidence")).filter("batch = 1")
+    assert second.count() < incremental.graph_table(spark, str(tmp_path / "out"), "evidence").count()  # only what it adds
 
 
 def test_ingest_once(spark, tmp_path):
@@ -28,3 +31,13 @@ def test_ingest_once(spark, tmp_path):
     read = lambda t: spark.read.option("recursiveFileLookup", "true").parquet(f"{target}/{t}")
     assert sorted(r["pmid"] for r in read("documents").collect()) == ["1", "2"] and read("chunks").count() == 2
     assert schemas.CHUNKS.startswith("id string")
+
+
+def test_progress(spark, tmp_path):
+    schema = "chunk_id string, error string"
+    spark.createDataFrame([("a", None), ("b", "x"), ("c", None)], schema).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    seen = []
+    query = incremental.stream_progress(stream).writeStream.outputMode("complete").foreachBatch(lambda df, n: seen.extend(df.collect())).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert seen[-1].asDict() == {"processed": 3, "errors": 1}
