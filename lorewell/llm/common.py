@@ -55,7 +55,7 @@ class Stored:
     """Tables of one run by name: written once as Parquet, read back, and deleted when the run has no use for them."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, {}
+        self.spark, self.paths, self.buckets = spark, {}, {}
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """Store df; an older table of the name is deleted after df is written, which may read it."""
@@ -65,8 +65,21 @@ class Stored:
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def put_buckets(self, df: DataFrame, name: str, by: str, n: int) -> DataFrame:
+        """Store df in n buckets by a column: what is grouped or joined by that column meets it without its being
+        shuffled again. df should be partitioned by the column already, or have few rows a task."""
+        path, table = shared_dir(self.spark, name), f"lorewell_{uuid.uuid4().hex}"
+        df.write.bucketBy(n, by).option("path", path).format("parquet").saveAsTable(table)
+        self.drop(name)
+        self.paths[name], self.buckets[name] = path, table
+        return self.spark.table(table)
+
     def drop(self, *names: str) -> None:
-        remove(self.spark, *(self.paths.pop(n) for n in names if n in self.paths))
+        for name in names:
+            if name in self.buckets:
+                self.spark.sql(f"drop table if exists {self.buckets.pop(name)}")
+            if name in self.paths:
+                remove(self.spark, self.paths.pop(name))
 
 
 def store(df: DataFrame, name: str) -> DataFrame:

@@ -1,47 +1,89 @@
 """LM scoring by a hierarchical Pitman-Yor model of words.
 
 Two levels of restaurants: one for each distinct word before (and one for starts of texts), all sharing one parent, the
-restaurant of words alone, whose base is uniform over the training vocabulary and one unknown word. Documents are
-grouped; each group asks once for its distinct (word, word before) pairs, and the part that a word belongs to holds all
-its counts. Totals per restaurant live in Spark tables: each part adds up its own pairs of a word before and sends
-one entry to the part that owns that word before, which returns the sum over all parts. Only model-wide sums, a few
-numbers a sweep, pass through the driver.
-
-Seating is Gibbs-sampled: a sweep removes the customers of each dish of a restaurant and seats them anew given all
-other dishes as the sweep before left them, summed over all parts. Up to EXACT customers the number of their tables is
-drawn from its full conditional (the arrangements of customers at tables are summed out by generalised Stirling
-numbers); more customers sit down one after the other, by the Chinese-restaurant rule, in growing blocks. The state
-is written to the shared folder between sweeps. Predictive probabilities are averaged over the sweeps after the burn-in.
+restaurant of words alone, whose base is uniform over the training vocabulary and one unknown word.
+
+Texts are tokenised once, into blocks of bounded size that are written to the shared folder. Words get whole numbers,
+frequent ones small, that hang on the corpus alone. A block's distinct pairs (word, word before) go to the part of the
+word, which keeps their counts; a word with more than SHARD occurrences is dealt to several parts by the word before. What
+parts need of one another, the tables of a restaurant over all parts, goes as packed numbers to the part that owns
+the word before, and only for pairs that can change: a pair seen once always has one table. Model-wide sums, a few numbers
+a sweep, pass through the driver, and the sizes of the parts of the vocabulary.
+
+Seating is Gibbs-sampled: a sweep draws for every dish of every restaurant the number of its tables from its full
+conditional, the arrangements of its customers at tables summed out by generalised Stirling numbers, given all other
+dishes as the sweep before left them over all parts. Draws are seeded by (word, word before, sweep), so the number of
+partitions changes nothing. Predictive probabilities are averaged over the sweeps after the burn-in.
 """
 
 from __future__ import annotations
 
 import io
-from functools import lru_cache
+from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, pack_sorted, partitions, store, unpack_sorted, word_hashes
-from .groups import by_part, deal, frame, from_blobs, squeeze, unsqueeze
+from .common import Stored, give_back, mix, pack_sorted, partitions, tidy, unpack_sorted, word_hashes
+from .groups import frame
 
-SWEEPS, BURN_IN, EXACT = 6, 3, 48
+SWEEPS, BURN_IN = 6, 3
 STRENGTH = 1.0
+#: Tokens of a block, and occurrences of a word that make one part of its pairs.
+BLOCK, SHARD = 1 << 20, 1 << 22
+#: What a block is told: the numbers of its words, the tables of restaurants, the customers and tables of pairs and words.
+NUMBERS, TABLES, PAIRS = range(3)
+#: Up to this count a dish's conditional is summed by Stirling numbers; beyond, customers are drawn in blocks.
+TABLE = 512
 _U64 = np.uint64
 END = mix(np.array([1], np.uint64))[0]
-START = _U64(0)  # stands before the first word
-#: What parts write: their counts and what was asked of them, their seating, sums sent to owners and totals sent back.
-MODEL, STATE, SENT, TOTAL = range(4)
-LETTER = "part int, kind int, src int, keys binary, data binary, asked binary, sums array<double>"
-_LETTER_NAMES = ["part", "kind", "src", "keys", "data", "asked", "sums"]
+#: Keys of words that several parts share, beyond those of restaurants.
+_SHARED = 1 << 40
+START = 0  # the number of what stands before the first word
+_CODEC = pa.Codec("zstd")
 
 
-def tokens(text: bytes) -> np.ndarray:
-    """Word hashes with END last."""
-    return np.append(word_hashes(text, lower=True)[0], END)
+def pack_ints(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 on as compressed planes of bytes, low ones first."""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    data = x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return bytes([width]) + len(x).to_bytes(5, "little") + _CODEC.compress(data, asbytes=True)
+
+
+def unpack_ints(data: bytes) -> np.ndarray:
+    width, n = data[0], int.from_bytes(data[1:6], "little")
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(_CODEC.decompress(data[6:], width * n, asbytes=True), np.uint8).reshape(width, n).T
+    return out.view("<i8").ravel()
+
+
+def bundle(**arrays: np.ndarray) -> bytes:
+    sink = io.BytesIO()
+    np.savez(sink, **{k: np.frombuffer(pack_ints(x), np.uint8) for k, x in arrays.items()})
+    return sink.getvalue()
+
+
+def unbundle(data: bytes) -> dict[str, np.ndarray]:
+    with np.load(io.BytesIO(data)) as found:
+        return {k: unpack_ints(found[k].tobytes()) for k in found.files}
+
+
+def _restart(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Ascending numbers within groups that start at `first`, as steps; `_resume` undoes it."""
+    step = np.diff(x, prepend=0)
+    step[first] = x[first]
+    return step
+
+
+def _resume(step: np.ndarray, first: np.ndarray) -> np.ndarray:
+    total = np.cumsum(step)
+    before = total[first] - step[first]
+    return total - np.repeat(before, np.diff(np.append(first, len(step))))
 
 
 @lru_cache(2)
@@ -56,259 +98,514 @@ def stirling(discount: float, n: int) -> np.ndarray:
     return s
 
 
-def seat(rng: np.random.Generator, count: np.ndarray, tables_else: np.ndarray, base: np.ndarray, discount: float, strength: float) -> np.ndarray:
-    """Numbers of tables of dishes with `count` customers, whose restaurants have tables_else tables of other dishes
-    and whose parents serve the dish with probability base."""
+def draw_tables(key: np.ndarray, count: np.ndarray, tables_else: np.ndarray, base: np.ndarray, discount: float, strength: float) -> np.ndarray:
+    """Numbers of tables of dishes with `count` customers, whose restaurants have tables_else tables of other dishes and
+    whose parents serve the dish with probability base, from their full conditional; key seeds each draw."""
     out = np.minimum(count, 1)
-    many = np.flatnonzero(count > 1)
-    few = many[count[many] <= EXACT]
-    if len(few):
-        logs = stirling(round(discount, 3), EXACT)
-        for c in np.unique(count[few]):
-            at = few[count[few] == c]
-            t = np.arange(1, c + 1)
-            new = np.cumsum(np.log(strength + discount * (tables_else[at, None] + t - 1)), axis=1)
-            w = logs[c, 1 : c + 1] + new + t * np.log(base[at])[:, None]
-            w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
-            out[at] = 1 + (w < rng.random(len(at))[:, None] * w[:, -1:]).sum(axis=1)
-    more = many[count[many] > EXACT]
-    if len(more):
-        t, left, j = np.ones(len(more), np.int64), count[more] - 1, 1
-        while left.any():
-            step = np.minimum(left, max(1, j // 32))
-            p = (strength + discount * (tables_else[more] + t)) * base[more]
-            t += rng.binomial(step, p / (p + np.maximum(j - discount * t, 1e-9)))
-            left = left - step
-            j += max(1, j // 32)
-        out[more] = t
+    a, u = strength / discount + tables_else, _uniform(key)
+    for c in np.unique(count[(count > 1) & (count <= TABLE)]).tolist():
+        at = np.flatnonzero(count == c)
+        t = np.arange(1, c + 1)
+        new = np.cumsum(np.log(discount * (a[at, None] + t - 1)), axis=1)
+        w = stirling(discount, TABLE)[c, 1 : c + 1] + new + t * np.log(base[at])[:, None]
+        w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
+        out[at] = 1 + (w < u[at, None] * w[:, -1:]).sum(axis=1)
+    far = np.flatnonzero(count > TABLE)
+    for some in np.array_split(far, max(1, len(far) // 4096)):
+        if len(some):
+            out[some] = draw_far(key[some], count[some].astype(float), a[some], discount * base[some], discount)
     return out
 
 
-def _narrow(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
+def draw_far(key: np.ndarray, c: np.ndarray, a: np.ndarray, rate: np.ndarray, discount: float) -> np.ndarray:
+    """The same for large counts, where no table of Stirling numbers reaches. Customers come one after the other, in
+    blocks that grow with their number j: given that all c are to be of this dish, one opens a table with odds
+    rate (a + t) ahead / (j - discount t), where `ahead` is how much less likely the customers still to come make it.
+    d log ahead / d log j = (discount - rate ahead) / (1 - (discount t - rate (a + t) ahead) / j), ahead = 1 at the end: solved
+    backwards along the mean path, which itself is found with the solution for few tables, (j / c) ** discount."""
+    at, steps = 1, []
+    while at < c.max():
+        steps.append((at, max(1, at // 32)))
+        at += steps[-1][1]
+    size = [np.clip(c - j, 0, n) for j, n in steps]
+    ahead = np.stack([np.minimum((j + n / 2) / c, 1.0) ** discount for j, n in steps])
+    for _ in range(2):
+        t, path = np.ones(len(c)), []
+        for (j, _n), n, h in zip(steps, size, ahead):
+            path.append(t)
+            odds = rate * (a + t) * h / np.maximum(j + n / 2 - discount * t, 1e-9)
+            t = t + n * odds / (1 + odds)
+        log = np.zeros(len(c))
+        for i in range(len(steps) - 1, -1, -1):
+            j, n, t, h = steps[i][0], size[i], path[i], np.exp(log)
+            slope = (discount - rate * h) / np.maximum(1 - (discount * t - rate * (a + t) * h) / (j + n / 2), 0.05)
+            log = log - slope * np.log1p(n / j)
+            ahead[i] = np.exp(log + slope * np.log1p(n / j) / 2)
+    t = np.ones(len(c))
+    for i, ((j, _n), n, h) in enumerate(zip(steps, size, ahead)):
+        odds = rate * (a + t) * h / np.maximum(j + n / 2 - discount * t, 1e-9)
+        t = np.minimum(t + _binomial(_uniform(key + _U64(i + 1)), n, odds / (1 + odds)), j + n)
+    return t.astype(np.int64)
+
+
+def _binomial(u: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """By inversion; where many are expected, rounded from the normal distribution."""
+    out = np.zeros(len(u))
+    mean, spread = n * p, np.sqrt(n * p * (1 - p))
+    many = mean > 40
+    if many.any():
+        z = np.clip(u[many], 1e-12, 1 - 1e-12)
+        z = np.log(z / (1 - z)) / 1.702  # the logistic curve's quantile, near the normal one's
+        out[many] = np.clip(np.round(mean[many] + z * spread[many]), 0, n[many])
+    on = np.flatnonzero(~many & (mean > 0))
+    here = np.exp(n[on] * np.log1p(-p[on]))
+    total, k = here.copy(), 0
+    while len(on):
+        more = (u[on] > total) & (k < n[on])
+        on, here, total = on[more], here[more], total[more]
+        here = here * (n[on] - k) / (k + 1) * p[on] / (1 - p[on])
+        total, k = total + here, k + 1
+        out[on] = k
+    return out
 
 
-def _bundle(**arrays: np.ndarray) -> bytes:
-    sink = io.BytesIO()
-    np.savez(sink, **arrays)
-    return squeeze(np.frombuffer(sink.getvalue(), np.uint8))
+def _key(word: np.ndarray, before: np.ndarray, sweep: int) -> np.ndarray:
+    return mix(mix(word.astype(np.uint64)) + before.astype(np.uint64) * _U64(2 * sweep + 3))
+
+
+def _uniform(key: np.ndarray) -> np.ndarray:
+    return (mix(key) >> _U64(11)).astype(np.float64) * 2.0**-53
+
 
+def _tokenise(block: int):
+    """Map step of (id, text, held_out): blocks of about `block` tokens. Tokens are ranks of words, frequent ones first."""
 
-def _unbundle(data: bytes) -> dict[str, np.ndarray]:
-    with np.load(io.BytesIO(unsqueeze(data, "u1").tobytes())) as arrays:
-        return {k: arrays[k] for k in arrays.files}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made = TaskContext.get().partitionId(), 0
+        held, facts, n, kind = [], [], 0, None
 
+        def flush():
+            sizes = np.array([len(x) for x in held])
+            words, where, times = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+            order = np.argsort(-times, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            train = np.bincount(where, np.repeat(~np.array([f[1] for f in facts], bool), sizes), len(words)).astype(np.int64)
+            ids = pa.RecordBatch.from_arrays([pa.array([f[0] for f in facts], kind), pa.array([f[1] for f in facts], pa.bool_())], ["id", "held_out"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, ids.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_batch(ids)
+            body = bundle(order=order, tokens=rank[where], sizes=sizes, train=train)
+            return pa.RecordBatch.from_arrays([pa.array([task << 24 | made], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([pack_sorted(words)], pa.binary()), pa.array([body], pa.binary())], ["g", "docs", "words", "body"])
 
-def _steps(x: np.ndarray) -> np.ndarray:
-    """Positions as differences, which compress well; `_places` undoes it."""
-    return np.diff(x.astype(np.int64), prepend=0).astype(np.int32)
+        for batch in batches:
+            kind = batch.column(0).type
+            for i, text, out in zip(batch.column(0), batch.column(1), batch.column(2)):
+                held.append(np.append(word_hashes(text.as_py(), lower=True)[0], END))
+                facts.append((i.as_py(), out.as_py()))
+                n += len(held[-1])
+                if n >= block:
+                    yield flush()
+                    held, facts, n, made = [], [], 0, made + 1
+        if held:
+            yield flush()
 
+    return tidy(run)
+
+
+def _ask_words(parts: int):
+    """Map step of blocks: their words, dealt by ranges of hashes, with training counts."""
+
+    def run(batches):
+        for batch in batches:
+            for g, words, body in zip(batch.column("g").to_pylist(), batch.column("words"), batch.column("body")):
+                words, train = unpack_sorted(words.as_py()), unbundle(body.as_py())["train"]
+                part = ((words >> _U64(32)) * _U64(parts) >> _U64(32)).astype(np.int64)
+                cut = np.searchsorted(part, np.arange(parts + 1))
+                some = np.flatnonzero(cut[1:] > cut[:-1])
+                rows = [(int(p), g, pack_sorted(words[cut[p] : cut[p + 1]]), pack_ints(train[cut[p] : cut[p + 1]])) for p in some]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["part", "g", "words", "train"])
+
+    return run
 
-def _places(x: np.ndarray) -> np.ndarray:
-    return np.cumsum(x.astype(np.int64))
 
+def _classes(count: np.ndarray) -> np.ndarray:
+    """Bits of a count: words are numbered from the class of the most frequent ones down."""
+    return 63 - np.frexp(count.astype(np.float64))[1]
+
+
+def _count_words(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One part of the vocabulary: counts over all blocks, which of its words each block has, and how many of each class."""
+    pdf = pdf.sort_values("g")
+    keys = [unpack_sorted(x) for x in pdf["words"]]
+    distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
+    count = np.bincount(where, np.concatenate([unpack_ints(x) for x in pdf["train"]]), len(distinct)).astype(np.int64)
+    places = np.split(where, np.cumsum([len(k) for k in keys])[:-1])
+    steps = [pack_ints(np.diff(p, prepend=0)) for p in places]
+    give_back()
+    return frame([(int(pdf["part"].iloc[0]), pack_ints(count), pdf["g"].tolist(), steps, np.bincount(_classes(count), minlength=64).tolist(), int(count.sum()), int((count > 0).sum()), int((count == 1).sum()), int((count == 2).sum()))], ["part", "counts", "gs", "places", "classes", "n", "v", "one", "two"])
+
+
+def _number_words(first: np.ndarray):
+    """Map step: to each block the numbers of its words of a part and their counts; first: each part's first number of
+    each class."""
+
+    def run(batches):
+        for batch in batches:
+            for part, counts, gs, places in zip(*(batch.column(c).to_pylist() for c in ("part", "counts", "gs", "places"))):
+                count = unpack_ints(counts)
+                kind = _classes(count)
+                order = np.argsort(kind, kind="stable")
+                number = np.empty(len(count), np.int64)
+                start = np.searchsorted(kind[order], np.arange(64))
+                number[order] = first[part][kind[order]] + np.arange(len(order)) - start[kind[order]]
+                rows = []
+                for g, p in zip(gs, places):
+                    p = np.cumsum(unpack_ints(p))
+                    rows.append((g, part, pack_ints(number[p]), pack_ints(count[p])))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["g", "part", "numbers", "counts"])
+
+    return tidy(run)
+
+
+class Block:
+    """A block's tokens by number, with its texts' sizes."""
+
+    def __init__(self, row, numbered: pd.DataFrame):
+        numbered = numbered.sort_values("part")
+        self.number = np.concatenate([unpack_ints(x) for x in numbered["numbers"]])  # of the words, ascending by hash
+        self.count = np.concatenate([unpack_ints(x) for x in numbered["counts"]])
+        body = unbundle(row["body"])
+        self.sizes, self.train = body["sizes"], None
+        self.at = body["order"][body["tokens"]]  # each token's word
+        self.word = self.number[self.at]
+        self.before = np.append(START, self.word[:-1])
+        self.before[np.cumsum(self.sizes) - self.sizes] = START
+        docs = pa.ipc.open_stream(row["docs"]).read_all()
+        self.ids, self.held_out = docs.column("id").to_pylist(), np.array(docs.column("held_out").to_pylist(), bool)
+        if self.number.max() >= 1 << 31:
+            raise ValueError("more than 2**31 distinct words")
+        self.pairs, self.pair = np.unique(self.word << 32 | self.before, return_inverse=True)
+
+    def dealt(self, parts: int, shard: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each part that gets some: which pairs, and how many shards the word of each has."""
+        word, before = self.pairs >> 32, self.pairs & 0xFFFFFFFF
+        order = np.argsort(self.number)
+        shards = 1 + self.count[order][np.searchsorted(self.number[order], word)] // shard
+        part = (word + before % shards * 7919) % parts
+        order = np.argsort(part, kind="stable")
+        cut = np.searchsorted(part[order], np.arange(parts + 1))
+        for p in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+            at = order[cut[p] : cut[p + 1]]
+            yield p, at, shards[at]
+
+
+def _pack_pairs(pairs: np.ndarray, **more: np.ndarray) -> bytes:
+    word, before = pairs >> 32, pairs & 0xFFFFFFFF
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    return bundle(words=np.diff(word[first], prepend=0), per=np.diff(np.append(first, len(word))), before=_restart(before, first), **more)
+
+
+def _unpack_pairs(data: dict[str, np.ndarray]) -> np.ndarray:
+    first = np.cumsum(data["per"]) - data["per"]
+    return np.repeat(np.cumsum(data["words"]), data["per"]) << 32 | _resume(data["before"], first)
+
+
+def _ask_pairs(parts: int, shard: int):
+    def run(key, pdf: pd.DataFrame, numbered: pd.DataFrame) -> pd.DataFrame:
+        """Of a block: its distinct pairs with training counts, to the parts of their words."""
+        b = Block(pdf.iloc[0], numbered)
+        count = np.bincount(b.pair, np.repeat(~b.held_out, b.sizes), len(b.pairs)).astype(np.int64)
+        rows = [(p, int(key[0]), _pack_pairs(b.pairs[at], count=count[at], shards=shards - 1)) for p, at, shards in b.dealt(parts, shard)]
+        give_back()
+        return frame(rows, ["part", "g", "pairs"])
 
-def _sent(part: int, contexts: np.ndarray, values: np.ndarray, parts: int) -> list[tuple]:
-    """This part's sums (one row of values or more) per restaurant, to the owners of the restaurants."""
-    return [(owner, SENT, part, pack_sorted(contexts[at]), squeeze(values[:, at].astype("<u8")), None, None) for owner, at in by_part(contexts, parts)]
+    return run
 
 
 def _gather(parts: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """One part's words and pairs, with counts summed over groups, and what each group asked for; one table a pair."""
+        """A part's pairs with counts over all blocks, which of them each block asked for, by owner the keys it exchanges
+        sums of, and what the discounts are estimated from: pairs, and words over restaurants, that occur once and twice."""
         part, pdf = int(pdf["part"].iloc[0]), pdf.sort_values("g")
-        words, before = [unpack_sorted(x) for x in pdf["words"]], [unpack_sorted(x) for x in pdf["before"]]
-        per = [unsqueeze(x, "<u4").astype(np.int64) for x in pdf["per"]]
-        contexts, at = np.unique(np.concatenate(before), return_inverse=True)
-        shift = np.cumsum([0] + [len(x) for x in before])
-        cls = np.concatenate([at[unsqueeze(x, "<u4").astype(np.int64) + s] for x, s in zip(pdf["at"], shift)])
-        counts = np.concatenate([unsqueeze(x, "<u4") for x in pdf["counts"]]).astype(np.int64)
-        names, asked_words = np.unique(np.concatenate(words), return_inverse=True)
-        pairs, asked_pairs = np.unique(np.repeat(asked_words, np.concatenate(per)) * len(contexts) + cls, return_inverse=True)
-        count = np.bincount(asked_pairs, counts, len(pairs)).astype(np.int64)
-        word, cls = pairs // len(contexts), pairs % len(contexts)
-        word_count = np.bincount(word, count, len(names)).astype(np.int64)
-        tables = np.minimum(count, 1)
-        mine = np.bincount(word, tables, len(names)).astype(np.int64)
+        each = [unbundle(x) for x in pdf["pairs"]]
+        asked = [_unpack_pairs(x) for x in each]
+        pairs, sample, where = np.unique(np.concatenate(asked), return_index=True, return_inverse=True)
+        count = np.bincount(where, np.concatenate([x["count"] for x in each]), len(pairs)).astype(np.int64)
+        shards = np.concatenate([x["shards"] for x in each])[sample]
+        places = [pack_ints(np.diff(p, prepend=0)) for p in np.split(where, np.cumsum([len(a) for a in asked])[:-1])]
+        model = Model(part, pairs, count, shards, parts)
+        fixed = np.where(count < 2, np.minimum(count, 1), 0)
+        sums = np.bincount(model.context_at, fixed, len(model.keys)).astype(np.int64)
+        to = {owner: bundle(keys=np.diff(model.keys[at], prepend=0), live=model.live[at].astype(np.int64), fixed=sums[at]) for owner, at in model.owners()}
+        mine = np.bincount(model.word_at, np.minimum(count, 1), len(model.words))[~model.shared]
+        seen = [int(x) for x in ((count == 1).sum(), (count == 2).sum(), (mine == 1).sum(), (mine == 2).sum())]
+        give_back()
+        return frame([(part, _pack_pairs(pairs, count=count, shards=shards), pdf["g"].tolist(), places, list(to), list(to.values()), seen)], ["part", "pairs", "gs", "places", "owners", "keys", "seen"])
+
+    return run
+
+
+class Model:
+    """A part's pairs, and the keys of the sums that it exchanges: the tables of each restaurant, and of each word that
+    other parts have too."""
+
+    def __init__(self, part: int, pairs: np.ndarray, count: np.ndarray, shards: np.ndarray, parts: int):
+        self.part, self.parts, self.count = part, parts, count
+        self.word, self.before = pairs >> 32, pairs & 0xFFFFFFFF
+        self.first = np.flatnonzero(np.diff(self.word, prepend=-1))
+        self.words = self.word[self.first]
+        self.word_at = np.repeat(np.arange(len(self.words)), np.diff(np.append(self.first, len(self.word))))
+        self.many = np.flatnonzero(count > 1)  # pairs whose tables can change
+        self.shared = shards[self.first] > 0
+        contexts, self.context_at = np.unique(self.before, return_inverse=True)
+        self.keys = np.concatenate([contexts, _SHARED + self.words[self.shared]])
+        self.live = np.zeros(len(self.keys), bool)
+        self.live[self.context_at[self.many]] = True
+        self.live[len(contexts) :] = True
+        self.contexts = len(contexts)
+
+    def owners(self, live: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+        """Which keys each part owns, ascending."""
+        some = np.flatnonzero(self.live) if live else np.arange(len(self.keys))
+        owner = self.keys[some] % self.parts
+        order = np.argsort(owner, kind="stable")
+        cut = np.searchsorted(owner[order], np.arange(self.parts + 1))
+        for p in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+            yield p, some[order[cut[p] : cut[p + 1]]]
+
+    def own_sums(self, tables: np.ndarray) -> np.ndarray:
+        """By key, this part's tables of the pairs that can change (words that are shared: of all pairs)."""
+        moving = np.zeros(len(tables), np.int64)
+        moving[self.many] = tables[self.many]
+        shared = np.bincount(self.word_at, tables, len(self.words)).astype(np.int64)[self.shared]
+        return np.concatenate([np.bincount(self.context_at, moving, self.contexts).astype(np.int64), shared])
+
+    def send(self, tables: np.ndarray) -> list[tuple]:
+        sums = self.own_sums(tables)
+        return [(owner, self.part, pack_ints(sums[at]), None) for owner, at in self.owners(live=True)]
+
+
+def _model(row, parts: int) -> Model:
+    data = unbundle(row["pairs"])
+    return Model(int(row["part"]), _unpack_pairs(data), data["count"], data["shards"], parts)
+
+
+class Owner:
+    """The keys that a part owns: who has tables there, and what never changes."""
+
+    def __init__(self, owned: pd.DataFrame):
+        owned = owned.sort_values("src")
+        each = [unbundle(x) for x in owned["keys"]]
+        keys = [np.cumsum(x["keys"]) for x in each]
+        self.keys, where = np.unique(np.concatenate(keys), return_inverse=True)
+        self.fixed = np.bincount(where, np.concatenate([x["fixed"] for x in each]), len(self.keys)).astype(np.int64)
+        live = np.concatenate([x["live"] for x in each]).astype(bool)
+        src = np.repeat(owned["src"].to_numpy(np.int64), [len(k) for k in keys])
+        self.at = {int(s): where[(src == s) & live] for s in owned["src"]}
+
+    def totals(self, sent: pd.DataFrame) -> np.ndarray:
+        total = self.fixed.copy()
+        for src, sums in zip(sent["src"], sent["sums"]):
+            np.add.at(total, self.at[int(src)], unpack_ints(sums))
+        return total
+
+
+def _add_up(key, owned: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
+    """At the owner: the sums over all parts, back to each part in the order of its own."""
+    if not len(owned) or not len(sent):
+        return frame([], ["part", "src", "sums", "state"])
+    owner = Owner(owned)
+    total, me = owner.totals(sent), int(key[0])
+    return frame([(int(src), me, pack_ints(total[owner.at[int(src)]]), None) for src in sent["src"]], ["part", "src", "sums", "state"])
+
+
+LETTER = "part int, src int, sums binary, state binary"
+
+
+def _parent(mine: np.ndarray, top: np.ndarray, customers: float, tables: float, known: dict) -> np.ndarray:
+    """Probability of each word at the parent, which has so many customers and tables in all."""
+    d, b = known["parent_discount"], STRENGTH
+    return (np.maximum(mine - d * top, 0) + (b + d * tables) * known["base"]) / (customers + b)
+
+
+def _sweep(sweep: int, sums: tuple[float, float], known: dict, parts: int):
+    def run(key, pdf: pd.DataFrame, letters: pd.DataFrame) -> pd.DataFrame:
+        """One sweep over a part, or, before the first, one table for each dish. sums: customers and tables at the parent,
+        and the letters the part's totals and its own seating, as the sweep before left them."""
+        if not len(pdf):
+            return frame([], ["part", "src", "sums", "state", "customers", "tops"])
+        m = _model(pdf.iloc[0], parts)
+        tables, at = np.minimum(m.count, 1), m.many
+        mine = np.bincount(m.word_at, tables, len(m.words)).astype(np.int64)
         top = np.minimum(mine, 1)
-        asked = _bundle(groups=pdf["g"].to_numpy(np.int32), n_words=_narrow(np.array([len(w) for w in words])), n_pairs=_narrow(np.array([int(p.sum()) for p in per])), words=_steps(asked_words), pairs=_steps(asked_pairs), word_count=_narrow(word_count))
-        model = _bundle(contexts=contexts, per=_narrow(np.bincount(word, minlength=len(names))), cls=_narrow(cls), count=_narrow(count))
-        state = _bundle(tables=_narrow(tables), top=_narrow(top))
-        sums = [tables.sum(), top.sum(), word_count.sum(), (count == 1).sum(), (count == 2).sum(), (mine == 1).sum(), (mine == 2).sum()]
-        totals = np.stack([np.bincount(cls, x, len(contexts)) for x in (tables, count)])
-        return frame([(part, MODEL, part, None, model, asked, None), (part, STATE, part, None, state, None, [float(x) for x in sums]), *_sent(part, contexts, totals, parts)], _LETTER_NAMES)
+        if sweep >= 0:
+            before = unbundle(letters.loc[letters["state"].notna(), "state"].iloc[0])
+            tables[at], top = before["tables"], before["top"]
+            total = m.own_sums(tables)
+            owned, told = dict(m.owners(live=True)), letters[letters["sums"].notna()]
+            for owner, values in zip(told["src"], told["sums"]):
+                total[owned[int(owner)]] = unpack_ints(values)
+            mine = np.bincount(m.word_at, tables, len(m.words)).astype(np.int64)
+            mine[m.shared] = total[m.contexts :]
+            top = draw_tables(_key(m.words, np.full(len(m.words), _SHARED), sweep), mine, np.maximum(sums[1] - top, 0), np.full(len(mine), known["base"]), known["parent_discount"], STRENGTH)
+            base = _parent(mine, top, *sums, known)
+            tables[at] = draw_tables(_key(m.word[at], m.before[at], sweep), m.count[at], np.maximum(total[m.context_at[at]] - tables[at], 0), base[m.word_at[at]], known["discount"], STRENGTH)
+        once = m.words % parts == m.part  # of a shared word, one part counts the parent's tables
+        new = bundle(tables=tables[at], top=top, mine=mine)
+        rows = [(m.part, None, None, new, int(tables.sum()), int(top[once].sum()))] + [(*x, None, None) for x in m.send(tables)]
+        give_back()
+        return frame(rows, ["part", "src", "sums", "state", "customers", "tops"])
 
     return run
 
 
-def _add_up(pdf: pd.DataFrame) -> pd.DataFrame:
-    """At the owner of restaurants: the sums over all parts, back to each part in the order it sent its own."""
-    keys = [unpack_sorted(x) for x in pdf["keys"]]
-    values = np.concatenate([unsqueeze(x, "<u8").reshape(-1, len(k)) for x, k in zip(pdf["data"], keys)], axis=1)
-    _, where = np.unique(np.concatenate(keys), return_inverse=True)
-    totals = np.stack([np.bincount(where, v)[where] for v in values]).astype("<u8")
-    cut = np.cumsum([len(k) for k in keys])[:-1]
-    owner = int(pdf["part"].iloc[0])
-    return frame([(src, TOTAL, owner, None, squeeze(np.ascontiguousarray(x)), None, None) for src, x in zip(pdf["src"], np.split(totals, cut, axis=1))], _LETTER_NAMES)
-
-
-class Part:
-    """One part before a sweep: its counts and seating, and the totals over all parts of its restaurants."""
-
-    def __init__(self, pdf: pd.DataFrame, parts: int):
-        self.part = int(pdf["part"].iloc[0])
-        row = {k: pdf[pdf["kind"] == k].iloc[0] for k in (MODEL, STATE)}
-        model, self.state, self.asked = _unbundle(row[MODEL]["data"]), _unbundle(row[STATE]["data"]), row[MODEL]["asked"]
-        self.contexts, self.cls = model["contexts"], model["cls"].astype(np.int64)
-        self.n_words = len(model["per"])
-        self.word, self.count = np.repeat(np.arange(self.n_words), model["per"]), model["count"].astype(np.int64)
-        owned, totals = dict(by_part(self.contexts, parts)), None
-        for src, data in pdf.loc[pdf["kind"] == TOTAL, ["src", "data"]].itertuples(index=False):
-            values = unsqueeze(data, "<u8").reshape(-1, len(owned[src]))
-            if totals is None:
-                totals = np.zeros((len(values), len(self.contexts)), np.int64)
-            totals[:, owned[src]] = values
-        self.totals = totals[0]  # tables per restaurant
-        self.state.setdefault("customers", _narrow(totals[-1]))
-
-    def seating(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tables of each pair, of each word over all restaurants, and of each word at the parent."""
-        tables = self.state["tables"].astype(np.int64)
-        return tables, np.bincount(self.word, tables, self.n_words).astype(np.int64), self.state["top"].astype(np.int64)
-
-    def keep(self, sweep: int, sums: np.ndarray) -> None:
-        """Sums the predictive probabilities of the pairs after a kept sweep's seating need are noted in the state."""
-        self.state |= {f"tables{sweep}": self.state["tables"], f"top{sweep}": self.state["top"], f"totals{sweep}": _narrow(self.totals), f"sums{sweep}": sums[:2]}
-
-
-def _parent(mine: np.ndarray, top: np.ndarray, sums: np.ndarray, known: dict) -> np.ndarray:
-    """Probability of each word at the parent; sums: customers and tables there, over all parts."""
-    d0, b = known["parent_discount"], STRENGTH
-    return (np.maximum(mine - d0 * top, 0) + (b + d0 * sums[1]) * known["base"]) / (sums[0] + b)
-
-
-def _sweep(sweep: int, sums: np.ndarray, known: dict, parts: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """One sweep over a part. sums and the part's totals are those of all parts as the sweep before left them."""
-        p = Part(pdf, parts)
-        if sweep > BURN_IN:
-            p.keep(sweep - 1, sums)
-        rng = np.random.Generator(np.random.PCG64([20240607, p.part, sweep]))
-        tables, mine, top = p.seating()
-        tables = seat(rng, p.count, p.totals[p.cls] - tables, _parent(mine, top, sums, known)[p.word], known["discount"], STRENGTH)
-        mine = np.bincount(p.word, tables, p.n_words).astype(np.int64)
-        top = seat(rng, mine, sums[1] - top, np.full(p.n_words, known["base"]), known["parent_discount"], STRENGTH)
-        state = _bundle(**p.state | {"tables": _narrow(tables), "top": _narrow(top)})
-        own = np.bincount(p.cls, tables, len(p.contexts))[None, :]
-        return frame([(p.part, STATE, p.part, None, state, None, [float(mine.sum()), float(top.sum())]), *_sent(p.part, p.contexts, own, parts)], _LETTER_NAMES)
+def _ask_owners(parts: int):
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        """Of a block: the numbers of its words, to the parts that own them as restaurants."""
+        number = np.sort(np.append(START, np.concatenate([unpack_ints(x) for x in pdf["numbers"]])))
+        owner = number % parts
+        return frame([(int(p), int(key[0]), pack_ints(np.diff(number[owner == p], prepend=0)), None, None) for p in np.unique(owner)], ["part", "src", "asked", "sweep", "sums"])
 
     return run
 
 
-def _answer(sums: np.ndarray, known: dict, parts: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """To each group: counts of the words it asked for and log10 probabilities of its pairs, averaged over the kept sweeps."""
-        p = Part(pdf, parts)
-        p.keep(SWEEPS - 1, sums)
-        d, b, total = known["discount"], STRENGTH, 0.0
-        for k in range(BURN_IN, SWEEPS):
-            tables, seated = p.state[f"tables{k}"].astype(np.int64), p.state[f"totals{k}"].astype(np.int64)
-            mine = np.bincount(p.word, tables, p.n_words)
-            parent = _parent(mine, p.state[f"top{k}"].astype(np.int64), p.state[f"sums{k}"], known)
-            total = total + (np.maximum(p.count - d * tables, 0) + (b + d * seated)[p.cls] * parent[p.word]) / (p.state["customers"].astype(np.int64) + b)[p.cls]
-        value, asked = np.log10(total / (SWEEPS - BURN_IN)).astype("<f4"), _unbundle(p.asked)
-        counts, words, pairs = asked["word_count"].astype("<u4"), _places(asked["words"]), _places(asked["pairs"])
-        split = lambda x, n: np.split(x, np.cumsum(n.astype(np.int64))[:-1])
-        return frame([(int(g), p.part, squeeze(counts[w]), squeeze(value[k])) for g, w, k in zip(asked["groups"], split(words, asked["n_words"]), split(pairs, asked["n_pairs"]))], ["g", "part", "counts", "scores"])
+def _tell_tables(kept: list[int]):
+    def run(key, owned: pd.DataFrame, letters: pd.DataFrame) -> pd.DataFrame:
+        """At the owner: to each block the tables of the restaurants it asked for, after each kept sweep."""
+        asked, sent = letters[letters["asked"].notna()], letters[letters["sums"].notna()]
+        if not len(asked) or not len(owned):  # numbers that stand before no word
+            return frame([], ["g", "kind", "part", "data"])
+        owner, rows = Owner(owned), []
+        totals = [owner.totals(sent[sent["sweep"] == k]) for k in kept]
+        for g, x in zip(asked["src"], asked["asked"]):
+            number = np.cumsum(unpack_ints(x))
+            number = number[np.isin(number, owner.keys)]
+            at = np.searchsorted(owner.keys, number)
+            rows.append((int(g), TABLES, int(key[0]), bundle(number=np.diff(number, prepend=0), **{f"t{i}": t[at] for i, t in enumerate(totals)})))
+        return frame(rows, ["g", "kind", "part", "data"])
 
     return run
 
 
-def _summed(df: DataFrame, column: str, n: int) -> np.ndarray:
-    """Element-wise sums of an array column of n numbers; n is fixed by the model, not the data."""
-    rows = df.select(F.posexplode(column).alias("i", "x")).groupBy("i").agg(F.sum("x")).collect()
-    out = np.zeros(n)
-    for i, x in rows:
-        out[i] = x
-    return out
+def _tell_pairs(kept: list[int], parts: int):
+    def run(key, pdf: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
+        """To each block of its pairs the customers and the sum of tables over kept sweeps, and of its words the customers
+        and tables at the parent in each."""
+        if not len(pdf):
+            return frame([], ["g", "kind", "part", "data"])
+        m = _model(pdf.iloc[0], parts)
+        tables = np.minimum(m.count, 1) * len(kept)
+        each = {int(k): unbundle(s) for k, s in zip(states["sweep"], states["state"])}
+        tables[m.many] = sum(each[k]["tables"] for k in kept)
+        rows = []
+        for g, place in zip(pdf["gs"].iloc[0], pdf["places"].iloc[0]):
+            at = np.cumsum(unpack_ints(place))
+            words = np.unique(m.word_at[at])
+            parent = {f"{n}{i}": each[k][n][words] for i, k in enumerate(kept) for n in ("mine", "top")}
+            rows.append((int(g), PAIRS, m.part, bundle(count=m.count[at], tables=tables[at], words=np.diff(m.words[words], prepend=0), **parent)))
+        give_back()
+        return frame(rows, ["g", "kind", "part", "data"])
 
+    return run
 
-def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def _score(n: float, vocabulary: float, known: dict, kept: list[int], parts: int, shard: int):
+    def run(key, pdf: pd.DataFrame, letters: pd.DataFrame) -> pd.DataFrame:
+        """A block's texts under both models."""
+        b = Block(pdf.iloc[0], letters[letters["kind"] == NUMBERS].rename(columns={"data": "numbers"}))
+        order = np.argsort(b.number)
+        number = np.append(START, b.number[order])
+        customers = np.append(b.count[np.flatnonzero(b.number == b.word[-1])], b.count[order])  # each text has one start and one end
+        seats, mine, top = (np.zeros((len(kept), len(number)), np.int64) for _ in range(3))
+        for data in letters.loc[letters["kind"] == TABLES, "data"]:
+            x = unbundle(data)
+            at = np.searchsorted(number, np.cumsum(x["number"]))
+            for i in range(len(kept)):
+                seats[i, at] = x[f"t{i}"]
+        told = {int(p): unbundle(x) for p, x in zip(*(letters.loc[letters["kind"] == PAIRS, c] for c in ("part", "data")))}
+        count, tables = np.zeros(len(b.pairs), np.int64), np.zeros(len(b.pairs), np.int64)
+        for p, where, _ in b.dealt(parts, shard):
+            x = told[p]
+            count[where], tables[where] = x["count"], x["tables"]
+            at = np.searchsorted(number, np.cumsum(x["words"]))
+            for i in range(len(kept)):
+                mine[i, at], top[i, at] = x[f"mine{i}"], x[f"top{i}"]
+        word, before = np.searchsorted(number, b.pairs >> 32), np.searchsorted(number, b.pairs & 0xFFFFFFFF)
+        d, total = known["discount"], 0.0
+        for i, k in enumerate(kept):
+            parent = _parent(mine[i], top[i], known["sums"][k - 1][0], known["sums"][k][1], known)
+            total = total + (STRENGTH + d * seats[i, before]) * parent[word]
+        value = np.log10((count - d * tables / len(kept) + total / len(kept)) / (customers[before] + STRENGTH))
+        owner = np.repeat(np.arange(len(b.sizes)), b.sizes)
+        c = b.count[b.at]
+        base = np.bincount(owner, np.log10(c + 1.0), len(b.sizes)) - b.sizes * np.log10(n + vocabulary + 1)
+        score = np.bincount(owner, value[b.pair], len(b.sizes))
+        give_back()
+        return pd.DataFrame({"doc_id": b.ids, "held_out": b.held_out, "n_tokens": b.sizes, "n_known": np.bincount(owner, c > 0, len(b.sizes)).astype(np.int64), "train_tokens": int(n), "base_score": base, "score": score, "perplexity": 10 ** (-score / b.sizes)})
+
+    return run
+
+
+def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, shard: int = SHARD) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity): log10 probabilities of whole
     texts under the add-one unigram base and the hierarchical Pitman-Yor model, both learned from all rows whose crc32
     of the id as text is not `held_out` modulo `folds`. Tokens are words, A-Z in lower case, and one end.
 
     Null text counts as empty (an end alone); a null id counts as the text '' in the fold; rows repeat freely; with no
-    training rows the model is its base; an empty table gives an empty result; other columns are ignored."""
-    parts = partitions(docs.sparkSession)
+    training rows the model is its base; an empty table gives an empty result; other columns, whatever their names, are
+    ignored. Words are told apart by 64-bit hashes."""
+    spark = docs.sparkSession
+    parts, tables = partitions(spark), Stored(spark)
     kind = docs.schema[id_col].dataType.simpleString()
+    result = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
     fold = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == held_out
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"), fold.alias("held_out"))
 
-    def pairs(table: pa.Table):
-        """Of a group: distinct words, distinct pairs as word and place of the word before (from 1; 0 is START), each token's
-        pair and word, tokens of each text."""
-        each = [tokens(t) for t in table.column("text").to_pylist()]
-        sizes = np.array([len(w) for w in each])
-        words, where = np.unique(np.concatenate(each), return_inverse=True)
-        before = np.append(0, where[:-1] + 1)
-        before[np.cumsum(sizes) - sizes] = 0
-        both, token_pair = np.unique(where * (len(words) + 1) + before, return_inverse=True)
-        return words, both // (len(words) + 1), both % (len(words) + 1), token_pair, where, sizes
-
-    def ask(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = from_blobs(pdf["blob"])
-        words, word, before, token_pair, _, sizes = pairs(table)
-        train = np.repeat(~np.array(table.column("held_out").to_pylist(), bool), sizes)
-        count = np.bincount(token_pair, train, len(word)).astype("<u4")
-        per = np.bincount(word, minlength=len(words))
-        names = np.append(START, words)
-        start, g, out = np.cumsum(per) - per, int(pdf["g"].iloc[0]), []
-        for part, at in by_part(words, parts):
-            mine = np.repeat(start[at] - np.cumsum(per[at]) + per[at], per[at]) + np.arange(per[at].sum())
-            some, place = np.unique(before[mine], return_inverse=True)
-            out.append((part, g, pack_sorted(words[at]), squeeze(per[at].astype("<u4")), pack_sorted(names[some]), squeeze(place.astype("<u4")), squeeze(count[mine])))
-        return frame(out, ["part", "g", "words", "per", "before", "at", "counts"])
-
-    asked = deal(rows, parts).groupBy("g").applyInPandas(ask, "part int, g int, words binary, per binary, before binary, at binary, counts binary")
-    model = store(asked.groupBy("part").applyInPandas(_gather(parts), LETTER), "lm-parts")
-    sums = _summed(model.filter(F.col("kind") == STATE), "sums", 7)
-    n, one, two, one_up, two_up = (float(x) for x in sums[2:])
-    vocabulary = float(sums[1])  # one table at the parent for each word
+    # Blocks, a row each, lie in buckets, so that what is told to them meets them without their being shuffled.
+    blocks = tables.put_buckets(rows.mapInArrow(_tokenise(block), "g long, docs binary, words binary, body binary"), "blocks", "g", parts)
+    asked = blocks.select("g", "words", "body").mapInArrow(tidy(_ask_words(parts)), "part int, g long, words binary, train binary")
+    words = tables.put(asked.groupBy("part").applyInPandas(_count_words, "part int, counts binary, gs array<long>, places array<binary>, classes array<long>, n long, v long, one long, two long"), "words")
+    sizes = words.select("part", "classes").collect()
+    if not sizes:
+        return spark.createDataFrame([], result)
+    classes = np.zeros((parts, 64), np.int64)
+    for part, n in sizes:
+        classes[part] = n
+    flat = classes.T.ravel()  # class by class, each by part: the numbers hang on the corpus alone
+    first = (1 + np.cumsum(flat) - flat).reshape(64, parts).T
+    n, vocabulary = (float(x) for x in words.agg(F.sum("n"), F.sum("v")).first())
+    numbered = tables.put(words.select("part", "counts", "gs", "places").mapInArrow(_number_words(first), "g long, part int, numbers binary, counts binary"), "numbers")
+    tables.drop("words")
+
+    pairs = blocks.groupBy("g").cogroup(numbered.groupBy("g")).applyInPandas(_ask_pairs(parts, shard), "part int, g long, pairs binary")
+    shape = "part int, pairs binary, gs array<long>, places array<binary>, owners array<int>, keys array<binary>, seen array<long>"
+    model = tables.put_buckets(pairs.groupBy("part").applyInPandas(_gather(parts), shape), "model", "part", parts)
+    owned = model.select(F.col("part").alias("src"), F.explode(F.arrays_zip("owners", "keys")).alias("x")).select(F.col("x.owners").alias("part"), "src", F.col("x.keys").alias("keys"))
+    owned = tables.put_buckets(owned.repartition(parts, "part"), "owned", "part", parts)
+    one, two, up_one, up_two = (float(x) for x in model.agg(*(F.sum(F.col("seen")[i]) for i in range(4))).first())
     rate = lambda a, b: float(round(min(0.95, max(0.05, a / (a + 2 * b))), 3)) if a + b else 0.5
-    known = {"base": 1 / (vocabulary + 1), "discount": rate(one, two), "parent_discount": rate(one_up, two_up)}
-
-    def inbox(state: DataFrame, asked: bool) -> DataFrame:
-        """For each part its counts, its seating and the totals over all parts."""
-        counts = model.filter(F.col("kind") == MODEL)
-        counts = counts if asked else counts.withColumn("asked", F.lit(None).cast("binary"))
-        totals = state.filter(F.col("kind") == SENT).groupBy("part").applyInPandas(_add_up, LETTER)
-        return counts.union(state.filter(F.col("kind") == STATE)).union(totals).groupBy("part")
-
-    state = model
-    for sweep in range(SWEEPS):
-        state = store(inbox(state, False).applyInPandas(_sweep(sweep, sums, known, parts), LETTER), "lm-sweep")
-        sums = _summed(state.filter(F.col("kind") == STATE), "sums", 2)
-    answers = inbox(state, True).applyInPandas(_answer(sums, known, parts), "g int, part int, counts binary, scores binary")
-
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
-
-    def score(key, pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        if not len(pdf):
-            return frame([], names)
-        table = from_blobs(pdf["blob"])
-        words, word, _, token_pair, token_word, sizes = pairs(table)
-        per = np.bincount(word, minlength=len(words))
-        start = np.cumsum(per) - per
-        count, value = np.zeros(len(words), np.int64), np.zeros(len(word))
-        told = {part: (c, s) for part, c, s in zip(answers["part"], answers["counts"], answers["scores"])}
-        for part, at in by_part(words, parts):
-            mine = np.repeat(start[at] - np.cumsum(per[at]) + per[at], per[at]) + np.arange(per[at].sum())
-            count[at], value[mine] = unsqueeze(told[part][0], "<u4"), unsqueeze(told[part][1], "<f4")
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        c = count[token_word]
-        base = np.bincount(owner, np.log10(c + 1.0), len(sizes)) - sizes * np.log10(n + vocabulary + 1)
-        total = np.bincount(owner, value[token_pair], len(sizes))
-        return pd.DataFrame({"doc_id": table.column("id").to_pylist(), "held_out": table.column("held_out").to_pylist(), "n_tokens": sizes, "n_known": np.bincount(owner, c > 0, len(sizes)).astype(np.int64), "train_tokens": int(n), "base_score": base, "score": total, "perplexity": 10 ** (-total / sizes)})
-
-    return deal(rows, parts).groupBy("g").cogroup(answers.groupBy("g")).applyInPandas(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    known = {"base": 1 / (vocabulary + 1), "discount": rate(one, two), "parent_discount": rate(up_one, up_two), "sums": {}}
+    model = model.select("part", "pairs", "gs", "places")
+
+    state, sums, kept = None, (0.0, 0.0), list(range(BURN_IN, SWEEPS))
+    for sweep in range(-1, SWEEPS):
+        letters = spark.createDataFrame([], LETTER)
+        if state is not None:
+            totals = owned.groupBy("part").cogroup(state.filter("src is not null").groupBy("part")).applyInPandas(_add_up, LETTER)
+            letters = totals.union(state.filter("src is null").select("part", "src", "sums", "state"))
+        state = model.select("part", "pairs").groupBy("part").cogroup(letters.groupBy("part")).applyInPandas(_sweep(sweep, sums, known, parts), LETTER + ", customers long, tops long")
+        state = tables.put(state, f"sweep{sweep}" if sweep in kept else "sweep")
+        sums = tuple(float(x) for x in state.agg(F.sum("customers"), F.sum("tops")).first())
+        known["sums"][sweep] = sums
+    tables.drop("sweep")
+
+    states = reduce(DataFrame.union, (spark.read.schema(LETTER).parquet(tables.paths[f"sweep{k}"]).withColumn("sweep", F.lit(k)) for k in kept))
+    ask = numbered.groupBy("g").applyInPandas(_ask_owners(parts), "part int, src long, asked binary, sweep int, sums binary")
+    sent = states.filter("src is not null").select("part", F.col("src").cast("long").alias("src"), F.lit(None).cast("binary").alias("asked"), "sweep", "sums")
+    letter = "g long, kind int, part int, data binary"
+    seats = owned.groupBy("part").cogroup(ask.union(sent).groupBy("part")).applyInPandas(_tell_tables(kept), letter)
+    told = model.groupBy("part").cogroup(states.filter("src is null").select("part", "sweep", "state").groupBy("part")).applyInPandas(_tell_pairs(kept, parts), letter)
+    numbers = numbered.select("g", F.lit(NUMBERS).alias("kind"), "part", F.col("numbers").alias("data"), "counts")
+    letters = seats.union(told).withColumn("counts", F.lit(None).cast("binary")).union(numbers)
+    return blocks.groupBy("g").cogroup(letters.groupBy("g")).applyInPandas(_score(n, vocabulary, known, kept, parts, shard), result)

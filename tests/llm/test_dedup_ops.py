@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lorewell.llm import components, exact_dedup, jaccard, perplexity, substrings, urls
@@ -131,9 +132,10 @@ def test_words_that_polynomials_cannot_tell_apart(spark):
     rows = [(i, " ".join([word, tail[i], word, tail[i + 1], word])) for i, word in enumerate((MORSE, ESROM))] + [(2, MORSE), (3, ESROM), (4, MORSE.upper())]
     out = {r["doc_id"]: r["component_id"] for r in jaccard.similar_groups(frame(spark, rows)).collect()}
     assert out == {0: 0, 1: 1, 2: 2, 3: 3, 4: 2}
-    rows = [(0, MORSE), (1, MORSE), (3, ESROM)]  # 0, 1 and 3 are training rows
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 7 != 2][:3]
+    rows = list(zip(ids, (MORSE, MORSE, ESROM)))
     out = {r["doc_id"]: r for r in perplexity.score_texts(frame(spark, rows)).collect()}
-    assert out[0]["base_score"] > out[3]["base_score"]
+    assert out[ids[0]]["base_score"] > out[ids[2]]["base_score"]
 
 
 def test_names_of_sets_that_clash(spark, monkeypatch):
@@ -202,19 +204,62 @@ def test_scores_know_the_word_before(spark):
     assert held and max(r["perplexity"] for r in held) < 2  # each of the 600 words has one successor
 
 
-def test_scores_do_not_hang_on_the_parts(spark):
+def test_scores_hang_on_no_partition_block_or_shard(spark):
     rng = random.Random(7)
-    rows = [(i, " ".join(x for _ in range(60) for x in (f"r{rng.randrange(400)}", "hot"))) for i in range(120)]
+    rows = [(i, " ".join(x for _ in range(60) for x in (f"r{rng.randrange(400)}", "hot"))) for i in range(120)] + [(None, "hot r1"), (None, None), (5, "new words")]
     found = {}
-    for parts in (1, 3, 8):
+    for parts, block, shard in ((3, 1 << 20, 1 << 22), (7, 1 << 20, 1 << 22), (1, 500, 1 << 22), (3, 2000, 100)):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
         try:
-            found[parts] = {r["doc_id"]: r["score"] for r in perplexity.score_texts(frame(spark, rows)).collect()}
+            out = perplexity.score_texts(frame(spark, rows), block=block, shard=shard).collect()
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", 3)
-    for parts in (3, 8):
-        off = [abs(s / found[1][i] - 1) for i, s in found[parts].items()]
-        assert sum(off) / len(off) < 0.002, (parts, sum(off) / len(off))
+        found[parts, block] = sorted((str(r["doc_id"]), r["n_tokens"], r["base_score"], r["score"]) for r in out)
+    first, *rest = found.values()
+    assert len(first) == len(rows)
+    for other in rest:
+        assert [x[:2] for x in other] == [x[:2] for x in first]
+        assert max(abs(x[k] - y[k]) for x, y in zip(first, other) for k in (2, 3)) < 1e-8
+
+
+def test_predictions_sum_to_one(spark):
+    """Over the vocabulary and one unknown word, behind a known word: one-word texts behind the start."""
+    rng = random.Random(3)
+    train = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    rows = [(i, rng.choice(["a", "b", "c d", ""])) for i in train]
+    asked = ["a", "b", "c", "d", "", "x"]
+    out = {r["doc_id"]: r["score"] for r in perplexity.score_texts(frame(spark, rows + [(i, t) for i, t in zip(held, asked)])).collect()}
+    end = {t: out[i] for i, t in zip(held, asked)}
+    # P(end | start) of the empty text, and P(w | start) P(end | w) of the others: each is at most P(w | start).
+    assert 0.5 < sum(10 ** end[t] for t in asked) <= 1 + 1e-9
+
+
+def seatings(c):
+    """All arrangements of c customers at tables, as lists of sizes, by the customers' arrival."""
+    found = [[]]
+    for _ in range(c):
+        found = [s[:k] + [s[k] + 1] + s[k + 1 :] for s in found for k in range(len(s))] + [[*s, 1] for s in found]
+    return found
+
+
+def test_tables_are_drawn_from_their_conditional():
+    d, b, tables_else, base, c = 0.6, 1.0, 4, 0.2, 6
+    weight = collections.Counter()
+    for s in seatings(c):  # brute force over every seating of the dish
+        w = math.prod((b + d * (tables_else + k)) * base for k in range(len(s)))
+        weight[len(s)] += w * math.prod(math.prod(j - d for j in range(1, n)) for n in s)
+    total, n = sum(weight.values()), 40_000
+    draw = lambda f, c: f(np.arange(n, dtype=np.uint64), np.full(n, c), np.full(n, tables_else), np.full(n, base), d, b)
+    got = np.bincount(draw(perplexity.draw_tables, c), minlength=c + 1)
+    for t in range(1, c + 1):
+        assert abs(got[t] / n - weight[t] / total) < 0.012
+    # Beyond the table of Stirling numbers: the blocks' draws against the sums, at a count where there are both.
+    for base_, els in ((1e-3, 50), (0.01, 300), (1e-5, 3)):
+        key = np.arange(n, dtype=np.uint64)
+        exact = perplexity.draw_tables(key, np.full(n, 500), np.full(n, els), np.full(n, base_), d, b)
+        far = perplexity.draw_far(key, np.full(n, 500.0), np.full(n, b / d + els), np.full(n, d * base_), d)
+        assert abs(far.mean() - exact.mean()) < 0.04 * exact.mean() and far.max() <= 500 and far.min() >= 1
 
 
 def test_components(spark):
