@@ -34,8 +34,8 @@ from .groups import frame
 
 SWEEPS, BURN_IN = 6, 3
 STRENGTH = 1.0
-#: Tokens of a block, and occurrences of a word that make one part of its pairs.
-BLOCK, SHARD = 1 << 20, 1 << 22
+#: Tokens of a block and of a part, and occurrences of a word that make one part of its pairs.
+BLOCK, PART, SHARD = 1 << 20, 1 << 21, 1 << 22
 #: What a block is told: the numbers of its words, the tables of restaurants, the customers and tables of pairs and words.
 NUMBERS, TABLES, PAIRS = range(3)
 #: Up to this count a dish's conditional is summed by Stirling numbers; beyond, customers are drawn in blocks.
@@ -196,7 +196,7 @@ def _tokenise(block: int):
             with pa.ipc.new_stream(sink, ids.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                 w.write_batch(ids)
             body = bundle(order=order, tokens=rank[where], sizes=sizes, train=train)
-            return pa.RecordBatch.from_arrays([pa.array([task << 24 | made], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([pack_sorted(words)], pa.binary()), pa.array([body], pa.binary())], ["g", "docs", "words", "body"])
+            return pa.RecordBatch.from_arrays([pa.array([task << 24 | made], pa.int64()), pa.array([len(where)], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([pack_sorted(words)], pa.binary()), pa.array([body], pa.binary())], ["g", "tokens", "docs", "words", "body"])
 
         for batch in batches:
             kind = batch.column(0).type
@@ -346,6 +346,16 @@ def _gather(parts: int):
     return run
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique with the inverse; numbers that lie close are marked in a table instead of being sorted."""
+    most = int(x.max()) + 1 if len(x) else 0
+    if most > 8 * len(x):
+        return np.unique(x, return_inverse=True)
+    seen = np.zeros(most, bool)
+    seen[x] = True
+    return np.flatnonzero(seen), (np.cumsum(seen) - 1)[x]
+
+
 class Model:
     """A part's pairs, and the keys of the sums that it exchanges: the tables of each restaurant, and of each word that
     other parts have too."""
@@ -358,7 +368,7 @@ class Model:
         self.word_at = np.repeat(np.arange(len(self.words)), np.diff(np.append(self.first, len(self.word))))
         self.many = np.flatnonzero(count > 1)  # pairs whose tables can change
         self.shared = shards[self.first] > 0
-        contexts, self.context_at = np.unique(self.before, return_inverse=True)
+        contexts, self.context_at = _distinct(self.before)
         self.keys = np.concatenate([contexts, _SHARED + self.words[self.shared]])
         self.live = np.zeros(len(self.keys), bool)
         self.live[self.context_at[self.many]] = True
@@ -501,7 +511,8 @@ def _tell_pairs(kept: list[int], parts: int):
         rows = []
         for g, place in zip(pdf["gs"].iloc[0], pdf["places"].iloc[0]):
             at = np.cumsum(unpack_ints(place))
-            words = np.unique(m.word_at[at])
+            words = m.word_at[at]  # ascending, as a block's pairs are
+            words = words[np.diff(words, prepend=-1) > 0]
             parent = {f"{n}{i}": each[k][n][words] for i, k in enumerate(kept) for n in ("mine", "top")}
             rows.append((int(g), PAIRS, m.part, bundle(count=m.count[at], tables=tables[at], words=np.diff(m.words[words], prepend=0), **parent)))
         give_back()
@@ -547,7 +558,7 @@ def _score(n: float, vocabulary: float, known: dict, kept: list[int], parts: int
     return run
 
 
-def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, shard: int = SHARD) -> DataFrame:
+def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, part: int = PART, shard: int = SHARD) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity): log10 probabilities of whole
     texts under the add-one unigram base and the hierarchical Pitman-Yor model, both learned from all rows whose crc32
     of the id as text is not `held_out` modulo `folds`. Tokens are words, A-Z in lower case, and one end.
@@ -556,22 +567,26 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, id_col: str
     training rows the model is its base; an empty table gives an empty result; other columns, whatever their names, are
     ignored. Words are told apart by 64-bit hashes."""
     spark = docs.sparkSession
-    parts, tables = partitions(spark), Stored(spark)
+    buckets, tables = partitions(spark), Stored(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     result = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
     fold = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == held_out
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"), fold.alias("held_out"))
 
     # Blocks, a row each, lie in buckets, so that what is told to them meets them without their being shuffled.
-    blocks = tables.put_buckets(rows.mapInArrow(_tokenise(block), "g long, docs binary, words binary, body binary"), "blocks", "g", parts)
+    blocks = tables.put_buckets(rows.mapInArrow(_tokenise(block), "g long, tokens long, docs binary, words binary, body binary"), "blocks", "g", buckets)
+    # Parts follow the corpus, not the setting of partitions: what they send one another is a row for each two.
+    tokens = blocks.agg(F.sum("tokens")).first()[0]
+    if not tokens:
+        return spark.createDataFrame([], result)
+    parts = -(-tokens // part)
+    blocks = blocks.select("g", "docs", "words", "body")
     asked = blocks.select("g", "words", "body").mapInArrow(tidy(_ask_words(parts)), "part int, g long, words binary, train binary")
     words = tables.put(asked.groupBy("part").applyInPandas(_count_words, "part int, counts binary, gs array<long>, places array<binary>, classes array<long>, n long, v long, one long, two long"), "words")
     sizes = words.select("part", "classes").collect()
-    if not sizes:
-        return spark.createDataFrame([], result)
     classes = np.zeros((parts, 64), np.int64)
-    for part, n in sizes:
-        classes[part] = n
+    for at, n in sizes:
+        classes[at] = n
     flat = classes.T.ravel()  # class by class, each by part: the numbers hang on the corpus alone
     first = (1 + np.cumsum(flat) - flat).reshape(64, parts).T
     n, vocabulary = (float(x) for x in words.agg(F.sum("n"), F.sum("v")).first())
@@ -580,9 +595,9 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out: int = 2, id_col: str
 
     pairs = blocks.groupBy("g").cogroup(numbered.groupBy("g")).applyInPandas(_ask_pairs(parts, shard), "part int, g long, pairs binary")
     shape = "part int, pairs binary, gs array<long>, places array<binary>, owners array<int>, keys array<binary>, seen array<long>"
-    model = tables.put_buckets(pairs.groupBy("part").applyInPandas(_gather(parts), shape), "model", "part", parts)
+    model = tables.put_buckets(pairs.groupBy("part").applyInPandas(_gather(parts), shape), "model", "part", buckets)
     owned = model.select(F.col("part").alias("src"), F.explode(F.arrays_zip("owners", "keys")).alias("x")).select(F.col("x.owners").alias("part"), "src", F.col("x.keys").alias("keys"))
-    owned = tables.put_buckets(owned.repartition(parts, "part"), "owned", "part", parts)
+    owned = tables.put_buckets(owned.repartition(buckets, "part"), "owned", "part", buckets)
     one, two, up_one, up_two = (float(x) for x in model.agg(*(F.sum(F.col("seen")[i]) for i in range(4))).first())
     rate = lambda a, b: float(round(min(0.95, max(0.05, a / (a + 2 * b))), 3)) if a + b else 0.5
     known = {"base": 1 / (vocabulary + 1), "discount": rate(one, two), "parent_discount": rate(up_one, up_two), "sums": {}}

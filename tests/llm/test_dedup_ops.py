@@ -208,10 +208,10 @@ def test_scores_hang_on_no_partition_block_or_shard(spark):
     rng = random.Random(7)
     rows = [(i, " ".join(x for _ in range(60) for x in (f"r{rng.randrange(400)}", "hot"))) for i in range(120)] + [(None, "hot r1"), (None, None), (5, "new words")]
     found = {}
-    for parts, block, shard in ((3, 1 << 20, 1 << 22), (7, 1 << 20, 1 << 22), (1, 500, 1 << 22), (3, 2000, 100)):
+    for parts, block, part, shard in ((3, 1 << 20, 1 << 21, 1 << 22), (7, 1 << 20, 3000, 1 << 22), (1, 500, 5000, 1 << 22), (3, 2000, 2000, 100)):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
         try:
-            out = perplexity.score_texts(frame(spark, rows), block=block, shard=shard).collect()
+            out = perplexity.score_texts(frame(spark, rows), block=block, part=part, shard=shard).collect()
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", 3)
         found[parts, block] = sorted((str(r["doc_id"]), r["n_tokens"], r["base_score"], r["score"]) for r in out)
