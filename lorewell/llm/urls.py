@@ -50,32 +50,50 @@ def _level(stats: DataFrame, key: str, prior: str, least: float = 1.0, most: flo
     return stats.withColumns({f"{key}_rate": a / (a + b), f"{key}_sd": F.sqrt(a * b / (F.pow(a + b, 2) * (a + b + 1)))})
 
 
-def host_reputation(outcomes: DataFrame) -> DataFrame:
-    """(host, n, bad, rate, sd) for the hosts of labelled pages (host, bad 0/1): beta-binomial posteriors, each
-    host shrunk to its registered domain (last two labels), that to its suffix (last label), that to all pages.
-    Counts are pre-aggregated per host before anything else, so a host with a third of all pages costs one row a task."""
+# Public suffixes of several labels; a longer list is a parameter.
+SUFFIXES = ("ac.uk", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "com.cn", "gov.uk", "org.uk")
+
+
+def registered_domain(host: str, suffixes: Sequence[str] = SUFFIXES) -> tuple[F.Column, F.Column]:
+    """(registered domain, public suffix) of a host column: without its port, the suffix is the longest of `suffixes`
+    that fits, else the last label, and the domain has one label more. An IP address is its own domain and has none."""
+    name = F.regexp_replace(host, r":\d*$", "")
+    two = F.substring_index(name, ".", -2)
+    many = two.isin(*suffixes) if suffixes else F.lit(False)
+    address = F.regexp_like(name, F.lit(r"^\d+\.\d+\.\d+\.\d+$")) | F.startswith(name, F.lit("["))
+    domain = F.when(address, name).when(many, F.substring_index(name, ".", -3)).otherwise(two)
+    return domain, F.when(address, "").when(many, two).otherwise(F.substring_index(name, ".", -1))
+
+
+def host_reputation(outcomes: DataFrame, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
+    """(host, n, bad, rate, sd, overall) for the hosts of labelled pages (host, bad 0/1): beta-binomial posteriors, each
+    host shrunk to its registered domain, that to its suffix, that to all pages, whose rate is `overall`. Counts are pre-aggregated per host before anything else, so a host with a third of all pages costs one row a task."""
     hosts = outcomes.filter("host <> '' and bad is not null").groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum("bad").cast("double").alias("bad"))
-    hosts = store(hosts, "host-counts").withColumns({"domain": F.substring_index("host", ".", -2), "suffix": F.substring_index("host", ".", -1)})
+    domain, suffix = registered_domain("host", suffixes)
+    hosts = store(hosts, "host-counts").withColumns({"domain": domain, "suffix": suffix})
     total = hosts.agg(F.sum("n"), F.sum("bad")).first()
     rate = (total[1] + 0.5) / (total[0] + 1) if total[0] else 0.5
     sums = (F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = _level(hosts.groupBy("suffix").agg(*sums).withColumn("prior", F.lit(rate)), "suffix", "prior").select("suffix", "suffix_rate")
     domains = _level(hosts.groupBy("domain", "suffix").agg(*sums).join(suffixes, "suffix"), "domain", "suffix_rate").select("domain", "domain_rate")
     hosts = _level(hosts.join(domains, "domain"), "host", "domain_rate")
-    return hosts.select("host", "n", "bad", F.col("host_rate").alias("rate"), F.col("host_sd").alias("sd"))
+    return hosts.select("host", "n", "bad", F.col("host_rate").alias("rate"), F.col("host_sd").alias("sd"), F.lit(rate).alias("overall"))
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, limit: float = 0.5, z: float = 1.645, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, lift: float = 1.25, z: float = 1.645, suffixes: Sequence[str] = SUFFIXES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict, bad_rate, bad_bound). The longest fitting rule decides; every other page
-    is blocked when the lower posterior bound of its host's bad rate, rate - z * sd, is above `limit`.
+    is blocked when the lower posterior bound of its host's bad rate, rate - z * sd, is above `lift` times the rate of all
+    pages: when the host is worse than the rest beyond doubt. Where rates stray no more than chance makes them, the
+    fitted priors are strong and nothing is blocked.
 
     Null urls and urls without :// have empty host and path, fit no rule and are allowed, as are hosts without
-    labelled pages. Repeated rows are judged one by one; other columns are ignored; an empty table gives an empty one.
+    labelled pages. Repeated rows are judged one by one; other columns, whatever their names, are ignored; an empty table
+    gives an empty one.
     """
     judged = url_parts(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))).withColumn("fit", match_rule(rules))
-    known = host_reputation(outcomes).select("host", F.col("rate").alias("bad_rate"), F.greatest(F.lit(0.0), F.col("rate") - z * F.col("sd")).alias("bad_bound"))
+    known = host_reputation(outcomes, suffixes).select("host", "overall", F.col("rate").alias("bad_rate"), F.greatest(F.lit(0.0), F.col("rate") - z * F.col("sd")).alias("bad_bound"))
     out = judged.join(known, "host", "left")
-    own = F.when(F.col("bad_bound") > limit, "block").otherwise("allow")
+    own = F.when(F.col("bad_bound") > lift * F.col("overall"), "block").otherwise("allow")
     return out.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", own).alias("verdict"), "bad_rate", "bad_bound")
 
 
