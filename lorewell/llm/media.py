@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 UNIT = 576  # bytes, of which a payload is a multiple
 FRAME, HOP, PEAKS, AHEAD = 192, 96, 2, 2
 RATE = 8000
+#: Frames that are transformed at a time, however long the sound is.
+FRAMES = 2048
 
 
 def payload(data: bytes, multiple: int = UNIT) -> bytes:
@@ -41,12 +43,9 @@ def from_wav(media: bytes) -> bytes:
 _WINDOW = np.hanning(FRAME + 1)[:FRAME].astype(np.float32)
 
 
-def fingerprint(samples: bytes) -> np.ndarray:
-    """Time-coded pairs of spectral peaks, ascending: time << 32 | f1 << 22 | f2 << 12 | dt. A short-time Fourier
-    transform (Hann windows of FRAME samples, every HOP) gives each frame's PEAKS strongest local maxima; each
-    is paired with those of the next AHEAD frames."""
-    x = np.frombuffer(samples, np.uint8).astype(np.float32) - 128
-    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP] * _WINDOW
+def _peaks(x: np.ndarray) -> np.ndarray:
+    """Of each frame of some samples, the frequencies of its strongest local maxima, -1 where there are fewer."""
+    frames = np.lib.stride_tricks.sliding_window_view(x.astype(np.float32) - 128, FRAME)[::HOP] * _WINDOW
     power = np.abs(np.fft.rfft(frames, axis=1)).astype(np.float32)
     # Rounded, so that equal peaks order by frequency whatever the machine's last bit is.
     power = np.round(power, 2)
@@ -54,7 +53,15 @@ def fingerprint(samples: bytes) -> np.ndarray:
     top = np.where((inner >= power[:, :-2]) & (inner > power[:, 2:]), inner, -1)
     best = np.argpartition(-top, PEAKS, axis=1)[:, :PEAKS]
     found = np.take_along_axis(top, best, axis=1) > 0
-    freq = np.where(found, best + 1, -1).astype(np.int64)
+    return np.where(found, best + 1, -1).astype(np.int64)
+
+
+def fingerprint(samples: bytes) -> np.ndarray:
+    """Time-coded pairs of spectral peaks, ascending: time << 32 | f1 << 22 | f2 << 12 | dt. A short-time Fourier
+    transform (Hann windows of FRAME samples, every HOP) gives each frame's PEAKS strongest local maxima; each
+    is paired with those of the next AHEAD frames."""
+    x, count = np.frombuffer(samples, np.uint8), (len(samples) - FRAME) // HOP + 1
+    freq = np.concatenate([_peaks(x[a * HOP : (min(count, a + FRAMES) - 1) * HOP + FRAME]) for a in range(0, count, FRAMES)])
     out = []
     for dt in range(1, AHEAD + 1):
         if len(freq) > dt:
