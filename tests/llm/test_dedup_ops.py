@@ -281,6 +281,17 @@ def test_urls(spark):
     assert len(out) == len(cases) + 1
     for r in out:
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == list(cases.values())[r["page_id"]]
+    # Two bad pages of three are no proof by themselves; on a domain whose other hosts are bad they are.
+    few = [("a.x.com", 1)] * 2 + [("a.x.com", 0), ("a.y.com", 0)] + [("a.y.com", 1)] * 2
+    rest = [(f"h{i}.{d}.com", int(i % 10 < bad)) for d, bad in (("x", 9), ("y", 1)) for i in range(60)] + [("z.com", 0)] * 300
+    asked = spark.createDataFrame([(1, "http://a.x.com/"), (2, "http://a.y.com/"), (3, "http://new.com")], "page_id long, url string")
+    found = {r["page_id"]: r["verdict"] for r in urls.judge_urls(asked, spark.createDataFrame(few + rest, "host string, bad int")).collect()}
+    assert found == {1: "block", 2: "allow", 3: "allow"}
+    hosts = ["a.b.co.uk:80", "b.co.uk", "x.y.com", "10.0.0.1:8080", "com", ""]
+    parts = spark.createDataFrame([(h,) for h in hosts], "host string").select(*urls.registered_domain("host")).collect()
+    assert [tuple(r) for r in parts] == [("b.co.uk", "co.uk"), ("b.co.uk", "co.uk"), ("y.com", "com"), ("10.0.0.1", ""), ("com", "com"), ("", "")]
+    clash = pages.selectExpr("*", "'x' as host", "'x' as path", "'x' as rule", "'x' as fit", "'x' as verdict", "'x' as bad_rate", "'x' as overall")
+    assert sorted(map(str, urls.judge_urls(clash, outcomes).collect())) == sorted(map(str, out))
     rates = {r["host"]: r for r in urls.host_reputation(outcomes).collect()}
     assert rates["bad.com"]["rate"] > rates["new.com"]["rate"] > rates["good.com"]["rate"] and rates["new.com"]["sd"] > rates["bad.com"]["sd"]
     assert urls.judge_urls(pages.limit(0), outcomes.limit(0)).count() == 0
