@@ -22,5 +22,5 @@ post as (select host, k * m + bad as a, k * (1 - m) + n - bad as b from h1),
 rated as (select host, a / (a + b) - 1.645 * sqrt(a * b / (pow(a + b, 2) * (a + b + 1))) as bound from post),
 r(rule_host, rule_path, verdict) as (values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
 fit as (select page_id, first(rule_host || rule_path order by length(rule_host || rule_path) desc) as rule, first(r.verdict order by length(rule_host || rule_path) desc) as verdict from q join r on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path) group by 1)
-select q.page_id, q.host, q.path, rule, coalesce(fit.verdict, case when bound > 1.25 * (select (sum(bad) + 0.5) / (sum(n) + 1) from h) then 'block' else 'allow' end) as verdict from q left join fit on fit.page_id = q.page_id left join rated on rated.host = q.host""",
+select q.page_id, q.host, q.path, rule, coalesce(fit.verdict, case when bound > (select (sum(bad) + 0.5) / (sum(n) + 1) from h) then 'block' else 'allow' end) as verdict from q left join fit on fit.page_id = q.page_id left join rated on rated.host = q.host""",
 }

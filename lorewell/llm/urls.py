@@ -80,7 +80,7 @@ def host_reputation(outcomes: DataFrame, suffixes: Sequence[str] = SUFFIXES) ->
     return hosts.select("host", "n", "bad", F.col("host_rate").alias("rate"), F.col("host_sd").alias("sd"), F.lit(rate).alias("overall"))
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, lift: float = 1.25, z: float = 1.645, suffixes: Sequence[str] = SUFFIXES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, lift: float = 1.0, z: float = 1.645, suffixes: Sequence[str] = SUFFIXES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict, bad_rate, bad_bound). The longest fitting rule decides; every other page
     is blocked when the lower posterior bound of its host's bad rate, rate - z * sd, is above `lift` times the rate of all
     pages: when the host is worse than the rest beyond doubt. Where rates stray no more than chance makes them, the
