@@ -16,6 +16,8 @@ from .common import tidy
 
 BITS = 13
 DIMS = 1 << BITS
+#: A model holds some centroids for each language, so there is a limit to their number; it is checked.
+MOST_LANGS = 2000
 _LETTER = regex.compile(r"\p{L}")
 # Bytes that separate letters: all of ASCII but a-z after lower-casing.
 _KEEP = np.arange(256, dtype=np.uint8)
@@ -112,6 +114,8 @@ def fit(labelled: DataFrame, per_lang: int = 600, clusters: int = 3, rounds: int
             df[slot] = n
     idf = (np.log((1 + found.get(-1, 0)) / (1 + df)) + 1).astype(np.float32)
     sizes = labelled.groupBy("lang").agg(F.count("*").alias("rows"))
+    if sizes.count() > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
     part = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) < F.least(F.lit(1.0), per_lang / F.col("rows")) * (1 << 30)
 
     def encode(batches):
@@ -127,7 +131,7 @@ def fit(labelled: DataFrame, per_lang: int = 600, clusters: int = 3, rounds: int
         floor = slack * float(np.quantile((v @ c.T).max(axis=1), false_reject))
         return pd.DataFrame({"lang": pdf["lang"].iloc[0], "k": range(len(c)), "c": [x.astype(np.float32).tobytes() for x in c], "floor": floor})
 
-    sample = labelled.join(sizes, "lang").filter(part).select("text", "lang").mapInArrow(tidy(encode), "lang string, v binary")
+    sample = labelled.join(F.broadcast(sizes), "lang").filter(part).select("text", "lang").mapInArrow(tidy(encode), "lang string, v binary")
     made = sorted(sample.groupBy("lang").applyInPandas(centroids, "lang string, k int, c binary, floor double").collect())
     return Model([r["lang"] for r in made], np.stack([np.frombuffer(r["c"], np.float32) for r in made]), np.array([r["floor"] for r in made]), idf) if made else Model([], np.zeros((0, DIMS), np.float32), np.zeros(0), idf)
 
