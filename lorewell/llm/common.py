@@ -34,9 +34,14 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/lorewell-{spark.sparkContext.applicationId}"
 
 
+#: Folders made so far, so that whoever runs operators one after another can tell which are whose.
+MADE: list[str] = []
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder in the scratch folder."""
-    return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    MADE.append(f"{scratch(spark)}/{name}-{uuid.uuid4().hex}")
+    return MADE[-1]
 
 
 def remove(spark: SparkSession, *paths: str) -> None:
