@@ -12,13 +12,36 @@ on a table without rows return one without rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewell.llm import exact_dedup, jaccard, langid, mixing, pieces
+from lorewell.llm import common, exact_dedup, jaccard, langid, mixing, pieces
 from lorewell.llm.common import load, store
 
+#: By application, the intermediate tables of the stage before, which are deleted when the next one begins: its docs have
+#: been written by then.
+_LEFT: dict[str, list[str]] = {}
+
+
+def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        left = _LEFT.pop(spark.sparkContext.applicationId, [])
+        read = docs.inputFiles() if left else []  # docs that were not written still need their tables
+        needed = [path for path in left if any(path.rsplit("/", 1)[1] in file for file in read)]
+        common.remove(spark, *(path for path in left if path not in needed))
+        mark = len(common.MADE)
+        out = f(spark, docs, sf_dir)
+        _LEFT[spark.sparkContext.applicationId] = needed + common.MADE[mark:]
+        return out
+
+    return run
+
 
+@_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language ID rejects go: those without letters, or farther from every centroid than all but a few
     rows that were learned from. Everything else stays, whatever its columns are called."""
@@ -41,12 +64,14 @@ def _kept(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.join(keys.select(F.col("doc_id.row").alias("row")), "row", "left_semi").select("doc.*")
 
 
+@_stage
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows whose texts are equal without white space, one stays: the longest, then the smallest id, nulls first."""
     rows = _numbered(docs)
     return _kept(rows, exact_dedup.exact_dedup(_facts(rows), id_col="key").filter("kept"))
 
 
+@_stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows linked by a word-shingle Jaccard similarity of 0.8 or more, the one with the smallest id stays, nulls
     first. Texts without words are linked with nothing and stay."""
@@ -54,6 +79,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _kept(rows, jaccard.similar_groups(_facts(rows), id_col="key").filter("doc_id <=> component_id"))
 
 
+@_stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it. Null sources are one source, the last; texts without words are not taken."""
     rows = _numbered(docs)
@@ -61,6 +87,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.join(copies, "row").select("doc", F.explode(F.sequence(F.lit(1), "copies"))).select("doc.*")
 
 
+@_stage
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The texts in pieces, and whether decoding gives them back; a null text would have null ids."""
     out = pieces.encode_texts(docs.select("doc_id", "lang", "source", "text"), decode_too=True)
