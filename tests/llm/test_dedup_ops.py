@@ -266,6 +266,21 @@ def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 103), (101, 103)], "u long, v long")
     got = {r["node"]: r["root"] for r in components.components(links).collect()}
     assert got == {**{i: 0 for i in range(51)}, 100: 100, 101: 100, 103: 100}
+    assert components.components(links.filter("u < 0")).isEmpty()
+
+
+def test_components_of_many_tasks(spark):
+    """Whether one task contracts all edges or each a few, the roots are those of a union of sets, one link at a time."""
+    rng = random.Random(5)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000 - i, 999 - i) for i in range(200)] + [(7, 7), (3, 5), (5, 3)]
+    root = {x: x for pair in links for x in pair}
+    for u, v in links:
+        a, b = sorted((root[u], root[v]))
+        root = {x: a if r == b else r for x, r in root.items()}
+    want = {x: r for x, r in root.items() if any(x in pair and pair[0] != pair[1] for pair in links)}
+    frame = spark.createDataFrame(links, "u long, v long").repartition(4)
+    for most in (40, 1 << 20):
+        assert {r["node"]: r["root"] for r in components.components(frame, most=most).collect()} == want, most
 
 
 def test_urls(spark):
