@@ -611,7 +611,7 @@ def similar_groups(docs: DataFrame, per: int = 80, words: int = WORDS, id_col: s
         members = members.join(size, "bucket")
         bits = signs.dropDuplicates(["node"])
         small = members.filter(F.col("size") <= HOT).join(bits, "node").withColumn("g", F.pmod("bucket", F.lit(8 * parts)))
-        near_by = small.repartition(4 * parts, "g").groupBy("g").applyInPandas(_within(per), "u long, v long, n_u long, n_v long")
+        near_by = small.repartition(parts, "g").groupBy("g").applyInPandas(_within(per), "u long, v long, n_u long, n_v long")
         large = tables.put(members.filter(F.col("size") > HOT).select("bucket", "node", "n", "root"), "large")
         if large.isEmpty():
             return near_by
@@ -622,8 +622,8 @@ def similar_groups(docs: DataFrame, per: int = 80, words: int = WORDS, id_col: s
         nodes = nodes.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         nodes = nodes.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         nodes = nodes.withColumns({"a": F.least("block", "other"), "b": F.greatest("block", "other")}).select("cluster", "a", "b", "node", "n", "root", "parity", "block")
-        # A number of partitions of its own: small rows, but each group takes long.
-        return near_by.union(nodes.repartition(4 * parts, "cluster", "a", "b").groupBy("cluster", "a", "b").applyInPandas(_cross(per), "u long, v long, n_u long, n_v long"))
+        # A number of partitions of its own: AQE would join small rows, but each group takes long.
+        return near_by.union(nodes.repartition(parts, "cluster", "a", "b").groupBy("cluster", "a", "b").applyInPandas(_cross(per), "u long, v long, n_u long, n_v long"))
 
     links = roots = None
     for turn in range(ROUNDS + 1):
