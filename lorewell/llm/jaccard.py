@@ -552,12 +552,12 @@ def similar_groups(docs: DataFrame, per: int = 80, words: int = WORDS, id_col: s
     plans = choose_plans(measured.filter("band is not null"))
     found = measured.filter("band is null").select("id", "n", "node")
     # A struct, for F.min leaves nulls out: a null id is the smallest.
-    firsts = measured.filter("node is not null").groupBy("node").agg(F.min(F.struct("id")).alias("first"), F.min("digest").alias("low"), F.max("digest").alias("high"))
+    firsts = measured.filter("node is not null").groupBy("node").agg(F.min(F.struct("id")).alias("first"), F.min("digest").alias("low"), F.max("digest").alias("high"), F.min("parity").alias("parity"))
     firsts = tables.put(firsts, "firsts")
     if _names_clash(measured, firsts, words):
         tables.drop("sets", "firsts")
         return similar_groups(docs, per, words, id_col, text_col, salt + 1)
-    signs = measured.filter("node is not null").select("node", "parity")
+    signs = firsts.select("node", "parity")
 
     parts = partitions(spark)
     packed = rows.select("text").mapInArrow(_index(bands, plans, parts, words, salt), _INDEX)
@@ -583,7 +583,7 @@ def similar_groups(docs: DataFrame, per: int = 80, words: int = WORDS, id_col: s
 
     def linked(pairs: DataFrame, turn: int) -> DataFrame:
         """Of distinct pairs (u, v, n_u, n_v), u < v, those that are linked: by size, then parity bits, then texts."""
-        signed = pairs.filter(near).join(signs.toDF("u", "s_u").dropDuplicates(["u"]), "u").join(signs.toDF("v", "s_v").dropDuplicates(["v"]), "v")
+        signed = pairs.filter(near).join(signs.toDF("u", "s_u"), "u").join(signs.toDF("v", "s_v"), "v")
         pairs = tables.put(signed.mapInArrow(tidy(_may_link(per)), "u long, v long, n_u long, n_v long"), "pairs")
         some = texts
         if pairs.count() <= FEW:
@@ -609,15 +609,14 @@ def similar_groups(docs: DataFrame, per: int = 80, words: int = WORDS, id_col: s
         is dealt to blocks of about BLOCK nodes and each pair of blocks is one group. Only pairs that may link leave."""
         size = members.groupBy("bucket").agg(F.count("*").alias("size"))
         members = members.join(size, "bucket")
-        bits = signs.dropDuplicates(["node"])
-        small = members.filter(F.col("size") <= HOT).join(bits, "node").withColumn("g", F.pmod("bucket", F.lit(8 * parts)))
+        small = members.filter(F.col("size") <= HOT).join(signs, "node").withColumn("g", F.pmod("bucket", F.lit(8 * parts)))
         near_by = small.repartition(parts, "g").groupBy("g").applyInPandas(_within(per), "u long, v long, n_u long, n_v long")
         large = tables.put(members.filter(F.col("size") > HOT).select("bucket", "node", "n", "root"), "large")
         if large.isEmpty():
             return near_by
         least = large.groupBy("bucket").agg(F.min("node").alias("v"))
         cluster = components(large.join(least, "bucket").select(F.col("node").alias("u"), "v"), tables, "clusters").toDF("node", "cluster")
-        nodes = large.select("node", "n", "root").distinct().join(cluster.distinct(), "node").join(bits, "node")
+        nodes = large.select("node", "n", "root").distinct().join(cluster.distinct(), "node").join(signs, "node")
         blocks = nodes.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
         nodes = nodes.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         nodes = nodes.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
