@@ -13,6 +13,7 @@ from .common import Stored, tidy
 
 #: Edges that one task contracts, 16 bytes each.
 EDGES = 1 << 20
+_EDGE = "u long, v long"
 
 
 def _least(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -31,13 +32,26 @@ def _least(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes, nodes[least]
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Map step of edges (u, v): the stars that stand for all edges of the task."""
-    kept = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches]
-    u, v = np.concatenate([np.zeros((2, 0), np.int64), *kept], axis=1)
-    node, least = _least(u, v)
-    on = node > least
-    yield pa.RecordBatch.from_arrays([pa.array(node[on], pa.int64()), pa.array(least[on], pa.int64())], ["u", "v"])
+def _contract(most: int):
+    """Map step of edges (u, v): the stars that stand for each `most` edges of the task, about."""
+
+    def stars(kept: list[np.ndarray]) -> pa.RecordBatch:
+        node, least = _least(*np.concatenate(kept, axis=1))
+        on = node > least
+        return pa.RecordBatch.from_arrays([pa.array(node[on], pa.int64()), pa.array(least[on], pa.int64())], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, held = [], 0
+        for batch in batches:
+            kept.append(np.stack([c.to_numpy() for c in batch.columns]))
+            held += batch.num_rows
+            if held > most:
+                yield stars(kept)
+                kept, held = [], 0
+        if kept:
+            yield stars(kept)
+
+    return tidy(run)
 
 
 def _star(edges: DataFrame, both: bool) -> DataFrame:
@@ -60,11 +74,11 @@ def components(links: DataFrame, tables: Stored | None = None, name: str = "root
     shared folder, where only the last stays, as table `name` of tables; rounds end when a checksum of the edges stands
     still. Counts alone reach the driver."""
     tables = tables or Stored(links.sparkSession)
-    edges = tables.put(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct(), f"{name}-stars")
+    edges = tables.put(links.select("u", "v").mapInArrow(_contract(most), _EDGE), f"{name}-stars")
     mark, tasks = None, 2
     while tasks > 1:
         tasks = 1 + edges.count() // most
-        edges = tables.put(edges.coalesce(tasks).mapInArrow(tidy(_contract), "u long, v long"), f"{name}-stars")
+        edges = tables.put(edges.coalesce(tasks).mapInArrow(_contract(most), _EDGE), f"{name}-stars")
         if tasks > 1:
             edges = tables.put(_star(_star(edges, True), False), f"{name}-stars")
             now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
