@@ -16,6 +16,7 @@ from .common import tidy
 
 BITS = 13
 DIMS = 1 << BITS
+_HASHES = 1 << 40
 #: A model holds some centroids for each language, so there is a limit to their number; it is checked.
 MOST_LANGS = 2000
 _LETTER = regex.compile(r"\p{L}")
@@ -101,7 +102,8 @@ def _cluster(v: np.ndarray, k: int, rounds: int) -> np.ndarray:
 
 def fit(labelled: DataFrame, per_lang: int = 600, clusters: int = 3, rounds: int = 8, false_reject: float = 0.002, slack: float = 0.9, seed: int = 5) -> Model:
     """Fit on (id, text, lang). Document frequencies cover all labelled rows. The centroids come from a bounded
-    sample: about `per_lang` rows of each language, chosen by a hash of the id, clustered in one task a language.
+    sample: of each language about `per_lang` different pairs of id and text, chosen by a hash of both, clustered in one task a
+    language; pairs that repeat count once, whatever share of the rows they are. A language has one pair in it at least.
     A language's floor is `slack` times the cosine that a share `false_reject` of its sample lies below. The driver gets a number per
     n-gram slot and the centroids: `clusters` a language, however many rows there are."""
     spark = labelled.sparkSession
@@ -113,10 +115,11 @@ def fit(labelled: DataFrame, per_lang: int = 600, clusters: int = 3, rounds: int
         if slot >= 0:
             df[slot] = n
     idf = (np.log((1 + found.get(-1, 0)) / (1 + df)) + 1).astype(np.float32)
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("rows"))
+    labelled = labelled.withColumn("h", F.pmod(F.xxhash64(F.lit(seed), "id", "text"), F.lit(_HASHES)))
+    sizes = labelled.groupBy("lang").agg(F.approx_count_distinct("h", 0.01).alias("pairs"), F.min("h").alias("least"))
     if sizes.count() > MOST_LANGS:
         raise ValueError(f"more than {MOST_LANGS} languages")
-    part = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) < F.least(F.lit(1.0), per_lang / F.col("rows")) * (1 << 30)
+    part = F.col("h") <= F.greatest(F.col("least"), F.least(F.lit(1.0), per_lang / F.col("pairs")) * _HASHES)
 
     def encode(batches):
         for batch in batches:
@@ -131,7 +134,8 @@ def fit(labelled: DataFrame, per_lang: int = 600, clusters: int = 3, rounds: int
         floor = slack * float(np.quantile((v @ c.T).max(axis=1), false_reject))
         return pd.DataFrame({"lang": pdf["lang"].iloc[0], "k": range(len(c)), "c": [x.astype(np.float32).tobytes() for x in c], "floor": floor})
 
-    sample = labelled.join(F.broadcast(sizes), "lang").filter(part).select("text", "lang").mapInArrow(tidy(encode), "lang string, v binary")
+    chosen = labelled.join(F.broadcast(sizes), "lang").filter(part).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    sample = chosen.select("text", "lang").mapInArrow(tidy(encode), "lang string, v binary")
     made = sorted(sample.groupBy("lang").applyInPandas(centroids, "lang string, k int, c binary, floor double").collect())
     return Model([r["lang"] for r in made], np.stack([np.frombuffer(r["c"], np.float32) for r in made]), np.array([r["floor"] for r in made]), idf) if made else Model([], np.zeros((0, DIMS), np.float32), np.zeros(0), idf)
 

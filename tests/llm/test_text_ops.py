@@ -28,6 +28,21 @@ def test_language(spark):
     assert {r["lang_pred"] for r in langid.identify(spark.createDataFrame([(1, "word", None, None, None)], DOCS)).collect()} == {"und"}
 
 
+def test_language_does_not_hang_on_ids(spark):
+    """Ids that are all null, or one id or one whole row for a third of the rows, leave no language out and the sample bounded."""
+    own = {"aa": "the quick brown fox jumps over hedges", "bb": "der schnelle braune fuchs springt hoch", "cc": "zwykly lis skacze przez plot wysoki"}
+    rng = np.random.default_rng(1)
+    words = lambda lang: " ".join(rng.choice(own[lang].split(), 12))
+    for ids in ([None] * 900, [1] * 900, [1] * 300 + list(range(2, 602))):
+        rows = [(i, words(lang), lang, None, None) for i, lang in zip(ids, ["aa"] * 300 + ["bb"] * 300 + ["cc"] * 300)]
+        rows += [(7, "hop hop hop", "dd", None, None)] * 400
+        docs = spark.createDataFrame(rows, DOCS)
+        model = langid.fit(docs.select(F.col("doc_id").alias("id"), "text", "lang"), per_lang=50)
+        assert set(model.langs) == {"aa", "bb", "cc", "dd"}
+        out = langid.predict(docs, model)
+        assert out.filter("lang = lang_pred").count() > 0.95 * out.count()
+
+
 def test_wav(spark, tmp_path):
     texts = [None, "", "a", "é" * 288, "x" * 576, "x" * 577, "y" * 20000, "a"]
     docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
