@@ -70,11 +70,11 @@ class Stored:
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def put_buckets(self, df: DataFrame, name: str, by: str, n: int) -> DataFrame:
-        """Store df in n buckets by a column: what is grouped or joined by that column meets it without its being
-        shuffled again. df should be partitioned by the column already, or have few rows a task."""
+    def put_buckets(self, df: DataFrame, name: str, by: str | list[str], n: int) -> DataFrame:
+        """Store df in n buckets by one column or more: what is grouped or joined by those meets it without its being
+        shuffled again. df should be partitioned by them already, or have few rows a task."""
         path, table = shared_dir(self.spark, name), f"lorewell_{uuid.uuid4().hex}"
-        df.write.bucketBy(n, by).option("path", path).format("parquet").saveAsTable(table)
+        df.write.bucketBy(n, *([by] if isinstance(by, str) else by)).option("path", path).format("parquet").saveAsTable(table)
         self.drop(name)
         self.paths[name], self.buckets[name] = path, table
         return self.spark.table(table)

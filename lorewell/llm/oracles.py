@@ -23,4 +23,49 @@ rated as (select host, a / (a + b) - 1.645 * sqrt(a * b / (pow(a + b, 2) * (a +
 r(rule_host, rule_path, verdict) as (values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
 fit as (select page_id, first(rule_host || rule_path order by length(rule_host || rule_path) desc) as rule, first(r.verdict order by length(rule_host || rule_path) desc) as verdict from q join r on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path) group by 1)
 select q.page_id, q.host, q.path, rule, coalesce(fit.verdict, case when bound > (select (sum(bad) + 0.5) / (sum(n) + 1) from h) then 'block' else 'allow' end) as verdict from q left join fit on fit.page_id = q.page_id left join rated on rated.host = q.host""",
+    "op11_exact_top_k": r"""
+with e as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings where len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score from e q join e c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as place from s)
+select query_id, place::int as rank, vec_id, score from r where place <= 5""",
+    "op12_hard_negatives": r"""
+with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+           from embeddings where label is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, c.vec_id, a.label = c.label as same, list_dot_product(a.v, c.v)::bigint as score from e a join e c on a.vec_id <> c.vec_id where a.vec_id % 100 = 0),
+p as (select anchor_id, vec_id as positive_id, score as positive_score, row_number() over (partition by anchor_id order by score desc, vec_id) as place from s where same),
+n as (select anchor_id, positive_id, positive_score, vec_id as negative_id, score as negative_score, row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) as place
+      from p join s using (anchor_id) where p.place <= 5 and not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score)
+select anchor_id, positive_id, place::int as rank, negative_id, positive_score, negative_score from n where place <= 10""",
+    "op13_merkle_manifest": r"""
+with recursive crc_table as (select list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, bit: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+docs as (select d.*, row_number() over () as i, coalesce(xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::varchar, ''), lambda ch: ascii(ch)::bigint)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 5 = 0, false) as touched from documents d, crc_table),
+leaves as (select i, doc_id, touched, case when source is null then '-' else '=' || source end as tree, sha256(concat(coalesce(strlen(doc_id::varchar) || ':' || doc_id::varchar, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::varchar) || ':' || n_chars::varchar, '-'), coalesce(strlen(text) || ':' || text, '-'))) as leaf,
+    sha256(concat(coalesce(strlen(doc_id::varchar) || ':' || doc_id::varchar, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::varchar) || ':' || n_chars::varchar, '-'), coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-'))) as lowered from docs),
+placed as (select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as place from leaves),
+up(level, tree, place, node, many) as (
+    select 0, tree, place, leaf, count(*) over (partition by tree) from placed
+    union all select level + 1, tree, run, node, count(*) over (partition by tree) from
+        (select level, tree, place // 16 as run, sha256(string_agg(node, '' order by place)) as node from up where many > 1 group by all)),
+runs as (select level, tree, place // 16 as run, string_agg(node, '' order by place) as nodes from up where many > 1 group by all),
+subroots as (select tree, node as subroot, row_number() over (order by tree) - 1 as place from up where many = 1),
+top(level, place, node, many) as (
+    select 0, place, subroot, count(*) over () from subroots
+    union all select level + 1, run, node, count(*) over () from
+        (select level, place // 16 as run, sha256(string_agg(node, '' order by place)) as node from top where many > 1 group by all)),
+top_runs as (select level, place // 16 as run, string_agg(node, '' order by place) as nodes from top where many > 1 group by all),
+walk(i, tree, place, level, siblings, folded) as (
+    select i, tree, place, 0, '', case when touched then lowered else leaf end from placed
+    union all select w.i, w.tree, w.place // 16, w.level + 1, siblings || substr(nodes, 1, 64 * (w.place % 16)) || substr(nodes, 64 * (w.place % 16) + 65),
+        sha256(substr(nodes, 1, 64 * (w.place % 16)) || folded || substr(nodes, 64 * (w.place % 16) + 65))
+    from walk w join runs r on r.level = w.level and r.tree = w.tree and r.run = w.place // 16),
+ends as (select i, any_value(tree) as tree, max_by(siblings, level) as siblings, max_by(folded, level) as folded from walk group by i),
+half as (select e.i, s.subroot, s.place, e.siblings, e.folded from ends e join subroots s on s.tree = e.tree),
+walk2(i, place, level, siblings, folded) as (
+    select i, place, 0, siblings, folded from half
+    union all select w.i, w.place // 16, w.level + 1, siblings || substr(nodes, 1, 64 * (w.place % 16)) || substr(nodes, 64 * (w.place % 16) + 65),
+        sha256(substr(nodes, 1, 64 * (w.place % 16)) || folded || substr(nodes, 64 * (w.place % 16) + 65))
+    from walk2 w join top_runs r on r.level = w.level and r.run = w.place // 16),
+done as (select i, max_by(siblings, level) as siblings, max_by(folded, level) as folded from walk2 group by i)
+select p.doc_id, p.leaf, h.subroot, t.node as root, sha256(d.siblings) as proof_sha256, d.folded as folded_root, d.folded = t.node as verified
+from placed p join half h on h.i = p.i join done d on d.i = p.i cross join (select node from top where many = 1) t""",
 }

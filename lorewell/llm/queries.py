@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard, langid, media, mixing, perplexity, pieces, substrings, tokens, urls
+from . import exact_dedup, jaccard, langid, manifest, media, mixing, negatives, perplexity, pieces, substrings, tokens, topk, urls
 from .common import load
 
 
@@ -59,4 +59,17 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.score_texts(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op3_language_id, op4_exact_dedup, op5_sentencepiece, op6_media_columns, op7_ngram_jaccard, op8_url_filter, op9_substring_dedup, op10_lm_score)}
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(load(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(load(spark, sf_dir, "embeddings").withColumn("label", label), F.col("id") % 100 == 0)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.merkle_manifest(load(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_token_counts, op3_language_id, op4_exact_dedup, op5_sentencepiece, op6_media_columns, op7_ngram_jaccard, op8_url_filter, op9_substring_dedup, op10_lm_score, op11_exact_top_k, op12_hard_negatives, op13_merkle_manifest)}
