@@ -49,9 +49,10 @@ def tree_levels(nodes: DataFrame, tables: Stored, name: str) -> tuple[list[tuple
     """Of nodes (tree, place, node, ...): (nodes, runs) of each level, and (tree, node) of the roots. A run is up to FAN
     consecutive nodes of a level.
 
-    Every level is stored in buckets by (tree, run), so that its self-joins need no exchange: the node in slot 0 of a run
-    joins its siblings in slots 1, 2 and so on by the computed run and slot, and emits the run's digests in order, whose
-    digest is the parent. Each join has one row a run at most. A tree leaves when it has one node. One count a level reaches the driver."""
+    The node in slot 0 of a run asks for its siblings by their computed indices, run and slot offset, in a self-join of
+    the level, and emits the run's digests in order, whose digest is the parent. Every level is stored in buckets by
+    (tree, run), so neither that join nor the grouping of its rows, FAN a run at most, needs an exchange. A tree leaves
+    when it has one node. One count a level reaches the driver."""
     spark = nodes.sparkSession
     levels: list[tuple[DataFrame, DataFrame]] = []
     roots: DataFrame | None = None
@@ -63,10 +64,12 @@ def tree_levels(nodes: DataFrame, tables: Stored, name: str) -> tuple[list[tuple
         buckets = max(1, min(partitions(spark), -(-n // BUCKET_ROWS)))
         level = f"{name}-{len(levels)}"
         stored = tables.put_buckets(run.repartition(buckets, "tree", "run"), level, ["tree", "run"], buckets)
-        joined = stored.filter("slot = 0").select("tree", "run", F.col("node").alias("n0"))
-        for slot in range(1, FAN):
-            joined = joined.join(stored.filter(F.col("slot") == slot).select("tree", "run", F.col("node").alias(f"n{slot}")), ["tree", "run"], "left")
-        runs = joined.select("tree", "run", F.concat(*(F.coalesce(F.col(f"n{slot}"), F.lit("")) for slot in range(FAN))).alias("nodes"))
+        first = stored.filter("slot = 0").select("tree", "run", F.col("node").alias("own"))
+        asked = first.select("*", F.explode(F.sequence(F.lit(1), F.lit(FAN - 1))).alias("slot"))
+        found = asked.join(stored.select("tree", "run", "slot", "node"), ["tree", "run", "slot"], "left")
+        others = F.array_sort(F.collect_list(F.when(F.col("node").isNotNull(), F.struct("slot", "node"))))
+        runs = found.groupBy("tree", "run").agg(F.first("own").alias("own"), others.alias("others"))
+        runs = runs.select("tree", "run", F.concat("own", F.array_join(F.col("others.node"), "")).alias("nodes"))
         # Places in a tree are dense, so a tree with one node has a first run of one node.
         single = (F.col("run") == 0) & (F.length("nodes") == _HEX)
         runs = tables.put_buckets(runs.withColumn("parent", F.when(~single, digest(F.col("nodes")))), f"{level}-runs", ["tree", "run"], buckets)
