@@ -84,10 +84,22 @@ def pending_chunks(chunks: DataFrame, evidence: DataFrame, limit: int | None = N
     return todo.orderBy("id").limit(limit) if limit is not None else todo
 
 
-def relation_evidence(relations: DataFrame, evidence: DataFrame) -> DataFrame:
-    """relations with their evidence as an array ordered by id, and its size."""
-    rows = evidence.groupBy(F.col("relation_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col("id").alias("evidence_id"), "chunk_id", "quote"))).alias("evidence"))
-    return relations.join(rows, "id", "left").withColumn("evidence", F.coalesce("evidence", F.array())).withColumn("evidence_count", F.size("evidence"))
+def pages(rows: DataFrame, key: str, value: str, spread: str, per_row: int, name: str = "items") -> DataFrame:
+    """(key, page, items): the values of each key as sorted arrays, page 0 alone if there are up to per_row, else as many
+    pages as keep a page at about that, by a hash of `spread`. So no row and no task gathers all values of a key. Only keys of
+    more than one page, at most one in per_row rows, are joined back."""
+    large = rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > per_row)
+    page = F.coalesce(F.pmod(F.xxhash64(spread), F.ceil(F.col("_n") / per_row)), F.lit(0)).cast("int")
+    return rows.join(large, key, "left").groupBy(key, page.alias("page")).agg(F.array_sort(F.collect_list(value)).alias(name))
+
+
+def relation_evidence(relations: DataFrame, evidence: DataFrame, per_row: int = 10_000) -> DataFrame:
+    """relations with their evidence as an array ordered by id, and evidence_count, the number of all. A relation with more
+    than per_row has several rows, numbered by page, each with a part of it of about that size."""
+    rows = evidence.select(F.col("relation_id").alias("id"), F.struct(F.col("id").alias("evidence_id"), "chunk_id", "quote").alias("e"), F.col("id").alias("spread"))
+    counts = rows.groupBy("id").agg(F.count("*").alias("evidence_count"))
+    out = relations.join(pages(rows, "id", "e", "spread", per_row, "evidence"), "id", "left").join(counts, "id", "left")
+    return out.withColumns({"page": F.coalesce("page", F.lit(0)), "evidence": F.coalesce("evidence", F.array()), "evidence_count": F.coalesce("evidence_count", F.lit(0))})
 
 
 def triple_view(relations: DataFrame, entities: DataFrame, evidence: DataFrame, sure: float = 0.7) -> DataFrame:

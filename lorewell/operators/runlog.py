@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..vocabulary import TERMINAL_STATES
-from .build import build_relations, key_id
+from .build import key_id
 from .query import paginate
 
 
@@ -45,20 +45,6 @@ def diff_snapshots(old: DataFrame, new: DataFrame, keys: Sequence[str], table: s
     return both.select(F.lit(table).alias("table_name"), F.concat_ws("|", *(F.col(k).cast("string") for k in keys)).alias("record_id"), action.alias("action"), "old_data", "new_data")
 
 
-def merge_entities(entities: DataFrame, relations: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(entities, relations, audit rows) after merging source_id into target_id: edges point to targets and are
-    regrouped, names and aliases of sources become aliases of targets."""
-    sources = entities.join(mapping, entities["id"] == mapping["source_id"])
-    extra = sources.groupBy(F.col("target_id").alias("id")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))))).alias("more"))
-    kept = entities.join(mapping.select(F.col("source_id").alias("id")), "id", "left_anti").join(extra, "id", "left")
-    both = F.concat(F.coalesce("aliases", F.array().cast("array<string>")), F.coalesce("more", F.array().cast("array<string>")))
-    kept = kept.withColumn("aliases", F.filter(F.array_distinct(both), lambda a: F.lower(a) != F.lower("normalized_name"))).drop("more")
-    point = lambda df, end: df.join(mapping.select(F.col("source_id").alias(end), F.col("target_id").alias("_t")), end, "left").withColumn(end, F.coalesce("_t", end)).drop("_t")
-    edges = build_relations(point(point(relations, "head_id"), "tail_id"))
-    audit = sources.select(F.lit("entities").alias("table_name"), F.col("id").alias("record_id"), F.lit("MERGE").alias("action"), F.to_json(F.struct("name", "normalized_name", "type")).alias("old_data"), F.to_json(F.struct(F.col("target_id").alias("merged_into"))).alias("new_data"))
-    return kept, edges, audit
-
-
 def bulk_delete_audit(ids: DataFrame, table: str, reason: str | None = None, per_row: int = 10_000) -> DataFrame:
     """Audit rows that list deleted ids: one row up to per_row ids, and as many more as keep a row at about that, by a
     hash of the id, so that no row gathers all."""

@@ -166,6 +166,23 @@ _kg = {
     "r5_merge_entities": ", p as (select id from ent where normalized_name like '%\\_brand#1' escape '\\'), t as (select min(id) as id from p), e2 as (select case when head_id in (select id from p) then t.id else head_id end as head_id, case when tail_id in (select id from p) then t.id else tail_id end as tail_id, label, confidence from rel, t) select sha256(head_id || chr(1) || tail_id || chr(1) || label) as id, head_id, tail_id, label, max(confidence) as confidence from e2 group by 2, 3, 4",
 }
 
+CHAINS = KG.replace("with", "with recursive", 1) + r""",
+sk as (select s_suppkey as k, 'supplier#' as p from supplier),
+map0 as (
+  select sha256(p || lpad(k::varchar, 9, '0') || chr(1) || 'Gene') as source_id, sha256(p || lpad((case when k = 5 then 10 else k // 2 end)::varchar, 9, '0') || chr(1) || 'Gene') as target_id from sk where k >= 2 and k <> 7
+  union select sha256(p || lpad(k::varchar, 9, '0') || chr(1) || 'Gene'), sha256(p || lpad((k - 1)::varchar, 9, '0') || chr(1) || 'Gene') from sk where k > 0 and k % 9 = 0
+  union select sha256(p || lpad(k::varchar, 9, '0') || chr(1) || 'Gene'), 'nowhere' from sk where k = 7),
+chosen as (select source_id, min(target_id) as target_id from map0 group by 1),
+steps(source_id, last, n) as (select source_id, target_id, 1 from chosen union all select s.source_id, c.target_id, n + 1 from steps s join chosen c on c.source_id = s.last where n < 200),
+ends as (select source_id, last as target_id from steps where last not in (select source_id from chosen)),
+root as (select * from ends where target_id in (select id from ent)),
+sound as (select * from rel where head_id in (select id from ent) and tail_id in (select id from ent)),
+moved as (select s.id as old_id, coalesce(h.target_id, s.head_id) as head_id, coalesce(t.target_id, s.tail_id) as tail_id, label, confidence from sound s left join root h on h.source_id = s.head_id left join root t on t.source_id = s.tail_id),
+merged as (select sha256(head_id || chr(1) || tail_id || chr(1) || label) as id, head_id, tail_id, label, max(confidence) as confidence from moved group by 2, 3, 4),
+mev as (select sha256(n.id || chr(1) || quote_hash) as id, n.id as relation_id, first(chunk_id order by chunk_id, ev.id) as chunk_id, quote_hash
+        from ev join (select old_id, sha256(head_id || chr(1) || tail_id || chr(1) || label) as id from moved) n on n.old_id = ev.relation_id group by n.id, quote_hash)
+"""
+
 ORACLES = {
     "c3_chunk_sentences": SENTENCES % (1000, 200) + "select id as document_id, k::int as chunk_index, text, a::int as start_offset, b::int as end_offset, greatest(1, length(text) // 4)::int as token_count from packed",
     "c6_chunk_pending": SENTENCES % (1000, 200) + "select id as document_id, count(*) as chunks, sum(greatest(1, length(text) // 4))::bigint as tokens from packed group by 1",
@@ -189,5 +206,8 @@ ORACLES = {
     "r1_job_metrics": "with r as (select user_id as id, min(ts) as a, max(ts) as b, count(*) as n from events group by 1) select id, least(100, floor(n * 100 / 20))::int as progress, greatest(0, 20 - n)::int as items_remaining, round(epoch_us(b) / 1e6 - epoch_us(a) / 1e6, 3) as duration_seconds, n >= 20 as is_terminal from r",
     "r3_job_transitions": "with e as (select user_id as job_id, event_id, ts, case event_type when 'click' then 'pending' when 'view' then 'running' when 'purchase' then 'completed' when 'error' then 'failed' else 'cancelled' end as status from events), s as (select *, lag(status) over (partition by job_id order by ts, event_id) as before from e) select job_id, event_id, status, before from s where not case when before is null then status = 'pending' when before = 'pending' then status in ('running', 'cancelled') when before = 'running' then status in ('completed', 'failed', 'cancelled') else false end",
     "r4_diff_snapshots": "select 'customer' as table_name, c_custkey::varchar as record_id, case when c_custkey % 7 = 0 then 'DELETE' else 'UPDATE' end as action from customer where c_custkey % 7 = 0 or (c_custkey % 5 = 0 and c_nationkey <> 0)",
+    "r5_merge_chains": CHAINS + "select id, head_id, tail_id, label, confidence from merged",
+    "r5_merge_evidence": CHAINS + "select id, relation_id, chunk_id, quote_hash from mev",
+    "r5_merge_report": CHAINS + "select 'several targets' as what, count(*) as rows from map0 where (source_id, target_id) not in (select source_id, target_id from chosen) having count(*) > 0 union all select 'cycle', count(*) from chosen where source_id not in (select source_id from ends) having count(*) > 0 union all select 'no such target', count(*) from ends where target_id not in (select id from ent) having count(*) > 0 union all select 'merged', count(*) from root having count(*) > 0 union all select 'entities', (select count(*) from ent) - count(*) from root union all select 'orphan edges', 0 union all select 'orphan evidence', 0",
     **{name: KG + sql for name, sql in _kg.items()},
 }

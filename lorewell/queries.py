@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import build, chunking, evidence, parsing, quality, query, runlog
+from .operators import build, chunking, evidence, merge, parsing, quality, query, runlog
 from .plans import graph
 from .plans.kg import build_kg, extract_document
-from .plans.star import Star, entity_id
+from .plans.star import Star, entity_id, normal
 from .sources import tables
-from .sources.shared import shared_dir
+from .sources.shared import shared_dir, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SEGMENTS = ["Supplier#", "small", "HOUSE", "nowhere"]
@@ -705,7 +705,47 @@ def r5_merge_entities(spark, d):
     parts = s.entities.filter(F.col("normalized_name").endswith("_brand#1")).select("id")
     least = parts.agg(F.min("id").alias("target_id"))
     mapping = parts.join(least, F.col("id") != F.col("target_id")).select(F.col("id").alias("source_id"), "target_id")
-    return runlog.merge_entities(s.entities, s.relations, mapping)[1]
+    return merge.merge_entities(s.entities, s.relations, mapping)[1]
+
+
+def _supplier_chains(s: Star) -> tuple[DataFrame, merge.Merged]:
+    """The edges between entities that exist, and the graph after suppliers are merged: each into the one with half its
+    number, so in chains; 5 into 10, a cycle; every ninth also into the one before it; one into an entity that there is none of."""
+    n, at = F.col("s_suppkey"), lambda c: entity_id("Gene", normal(F.format_string("Supplier#%09d", c.cast("int"))))
+    keys = s.table("supplier").select("s_suppkey")
+    to = F.when(n == 5, F.lit(10)).otherwise(F.floor(n / 2))
+    mapping = keys.filter("s_suppkey >= 2 and s_suppkey <> 7").select(at(n).alias("source_id"), at(to).alias("target_id"))
+    mapping = mapping.union(keys.filter("s_suppkey > 0 and s_suppkey % 9 = 0").select(at(n), at(n - 1))).union(keys.filter("s_suppkey = 7").select(at(n), F.lit("nowhere")))
+    sound = s.relations.join(s.entities.select(F.col("id").alias("head_id")), "head_id", "left_semi").join(s.entities.select(F.col("id").alias("tail_id")), "tail_id", "left_semi").select(s.relations.columns)
+    return sound, merge.merge_graph(s.entities, sound, mapping, s.evidence)
+
+
+@query_of
+def r5_merge_chains(spark, d):
+    """Chains, cycles, several targets and a target that does not exist: the edges after the merge."""
+    return _supplier_chains(Star(spark, d, keep=True))[1].relations
+
+
+@query_of
+def r5_merge_evidence(spark, d):
+    """The evidence after the same merge."""
+    return _supplier_chains(Star(spark, d, keep=True))[1].evidence.select("id", "relation_id", "chunk_id", "quote_hash")
+
+
+@query_of
+def r5_merge_report(spark, d):
+    """The same merge: what was not followed, rows of the change log, and dangling edges and evidence, of which there are none."""
+    s = Star(spark, d, keep=True)
+    _, merged = _supplier_chains(s)
+    edges = store(merged.relations, "merged-relations")
+    counts = [
+        merged.problems.groupBy(F.col("problem").alias("what")).agg(F.count("*").alias("rows")),
+        merged.audit.select(F.lit("merged").alias("what")).groupBy("what").agg(F.count("*").alias("rows")),
+        merged.entities.agg(F.count("*").alias("rows")).select(F.lit("entities").alias("what"), "rows"),
+        quality.orphan_relations(edges, merged.entities).agg(F.count("*").alias("rows")).select(F.lit("orphan edges").alias("what"), "rows"),
+        merged.evidence.join(edges.select(F.col("id").alias("relation_id")), "relation_id", "left_anti").agg(F.count("*").alias("rows")).select(F.lit("orphan evidence").alias("what"), "rows"),
+    ]
+    return reduce(DataFrame.union, counts)
 
 
 @query_of

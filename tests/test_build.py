@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from lorewell import schemas
-from lorewell.operators import build, evidence, quality, runlog
+from lorewell.operators import build, evidence, merge, quality, runlog
 from lorewell.plans.kg import build_kg
 
 ENTITIES = '{"entities": [{"name": "GBA1", "type": "gene", "normalized_name": "gba1"}, {"name": "Parkinson", "type": "Disease", "normalized_name": "PD"}, {"name": "x", "type": "planet"}]}'
@@ -49,7 +49,7 @@ def test_overall_score(spark):
 def test_merge_and_diff(spark):
     e = spark.createDataFrame([("1", "A", "a", "Gene", ["x"]), ("2", "B", "b", "Gene", None)], "id string, name string, normalized_name string, type string, aliases array<string>")
     r = spark.createDataFrame([("r", "2", "1", "BINDS", 0.5), ("s", "1", "1", "BINDS", 0.7)], "id string, head_id string, tail_id string, label string, confidence double")
-    kept, edges, audit = runlog.merge_entities(e, r, spark.createDataFrame([("2", "1")], "source_id string, target_id string"))
+    kept, edges, audit = merge.merge_entities(e, r, spark.createDataFrame([("2", "1")], "source_id string, target_id string"))
     assert kept.first()["aliases"] == ["x", "B"] and [tuple(x)[1:] for x in edges.collect()] == [("1", "1", "BINDS", 0.7)] and audit.first()["action"] == "MERGE"
     diff = runlog.diff_snapshots(e, e.filter("id = '1'").withColumn("name", F.lit("Z")), ["id"], "entities").collect()
     assert {(d["record_id"], d["action"]) for d in diff} == {("1", "UPDATE"), ("2", "DELETE")}
