@@ -19,19 +19,6 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/lorewell-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def move(spark: SparkSession, old: str, new: str) -> None:
-    """Rename a folder over another one."""
-    delete(spark, new)
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    if not path(old).getFileSystem(spark._jsc.hadoopConfiguration()).rename(path(old), path(new)):
-        raise OSError(f"{old} cannot be renamed to {new}")
-
-
 def store(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet and read back, which cuts its lineage."""
     path = shared_dir(df.sparkSession, name)

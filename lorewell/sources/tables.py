@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 from functools import reduce
 from operator import and_, or_
@@ -11,32 +10,44 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
-from .shared import move
+from . import versions
 
 TABLES = {"documents": schemas.DOCUMENTS, "chunks": schemas.CHUNKS, "entities": schemas.ENTITIES, "relations": schemas.RELATIONS, "evidence": schemas.EVIDENCE}
 
 
 def read_tables(spark: SparkSession, path: str, tables: dict[str, str] = TABLES) -> dict[str, DataFrame]:
-    return {name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in tables.items()}
+    """The last complete version of each table, or a plain folder of Parquet files."""
+    return {name: versions.read(spark, f"{path}/{name}", schema) for name, schema in tables.items()}
 
 
 #: What a document's rows are dealt by, and into how many folders.
 DEALT, FOLDERS = {"chunks": "document_id", "evidence": "chunk_id"}, 64
 
 
-def write_tables(tables: dict[str, DataFrame], path: str, mode: str = "error", dealt: dict[str, str] = DEALT, folders: int = FOLDERS) -> None:
-    """Write tables under path. Those in `dealt` lie in folders by a hash of that column, `part`, which a reader that
-    knows the key can go to at once. mode "overwrite" writes beside the old table first and then renames, so that a
-    job which fails on the way leaves the old table whole, and so that a table may be made from itself."""
+def _part(key: str | Column, folders: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(folders)).cast("int")
+
+
+def write_tables(tables: dict[str, DataFrame], path: str, mode: str = "error", dealt: dict[str, str] = DEALT, folders: int = FOLDERS, keep: int = 1) -> None:
+    """Write tables under path, each as a version of its own: readers see the old table or the new one, whenever the
+    writer dies (`sources.versions`). Those in `dealt` lie in folders by a hash of that column, `part`, which `of_key`
+    goes to at once. mode is "error" (if there is a table), "append" or "overwrite"; a table may be made from itself. All but the last
+    `keep` versions are deleted; None keeps all, for readers that are at work meanwhile."""
     for name, df in tables.items():
-        spark, staged = df.sparkSession, f"{path}/_staged-{name}-{uuid.uuid4().hex}" if mode == "overwrite" else f"{path}/{name}"
-        if name in dealt:
-            part = F.pmod(F.xxhash64(dealt[name]), F.lit(folders)).cast("int")
-            df.withColumn("part", part).repartition("part").write.partitionBy("part").mode("error" if mode == "overwrite" else mode).parquet(staged)
-        else:
-            df.write.mode("error" if mode == "overwrite" else mode).parquet(staged)
-        if mode == "overwrite":
-            move(spark, staged, f"{path}/{name}")
+        table = f"{path}/{name}"
+        if mode == "error" and versions.current(df.sparkSession, table):
+            raise ValueError(f"{table} exists")
+        rows = df.withColumn("part", _part(dealt[name], folders)) if name in dealt else df
+        versions.add(rows, table, mode != "append", "part" if name in dealt else None)
+        if keep is not None:
+            versions.vacuum(df.sparkSession, table, keep)
+
+
+def of_key(spark: SparkSession, path: str, name: str, value: str, schema: str, dealt: dict[str, str] = DEALT, folders: int = FOLDERS) -> DataFrame:
+    """The rows of a dealt table with a key, from the key's folder alone."""
+    rows = versions.read(spark, f"{path}/{name}", f"{schema}, part int")
+    part = spark.range(1).select(_part(F.lit(value), folders)).first()[0]
+    return rows.filter((F.col("part") == part) & (F.col(dealt[name]) == value)).drop("part")
 
 
 def read_model_outputs(spark: SparkSession, path: str, format: str = "json") -> DataFrame:

@@ -1,81 +1,189 @@
 """Incremental runs with Structured Streaming: documents in, graph tables out.
 
-Tables are kept as one folder a batch under a path, which holds what the batch added or changed. A batch that runs again
-after a failure reads only batches before it and writes the same folder again, so each is applied once.
+What has been seen is kept by key in Spark's disk-backed state store, so a batch costs what its own keys cost, however
+large the tables are, and reads none of them. What a batch adds or changes is a folder of its own (`batch=<number>`), which a batch
+that runs again after a failure writes again, so each is applied once. `compact` merges older folders into one version.
 """
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.build import build_entities, build_relations
+from ..operators.build import build_entities, key_id
 from ..operators.chunking import chunk_sentences
 from ..plans.kg import build_kg
 from ..schemas import OUTPUTS
+from ..sources import versions
 from ..sources.tables import ingest_documents
 
+_ROCKS = "spark.sql.streaming.stateStore.rocksdb"
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_ROCKS}.changelogCheckpointing.enabled": "true",
+    f"{_ROCKS}.allowFAllocate": "false",
+}
+_FACTS = "kind string, key string, chunk_id string, position int, confidence double, row struct<normalized_name:string,type:string,name:string,head_id:string,tail_id:string,label:string,relation_id:string,quote:string,quote_hash:string,quote_start:int,quote_end:int>"
+_ROWS = {
+    "entities": ("normalized_name", "type", "name", "chunk_id", "position"),
+    "relations": ("head_id", "tail_id", "label", "confidence"),
+    "evidence": ("relation_id", "chunk_id", "quote", "quote_hash", "quote_start", "quote_end"),
+}
+
+
+def _own_session(spark: SparkSession) -> SparkSession:
+    """A session with the state store's settings, so that no other query of spark sees them."""
+    own = spark.newSession()
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(name, spark.conf.get(name))
+    for name, value in _STATE.items():
+        own.conf.set(name, value)
+    return own
+
 
-def _read(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+def first_seen(rows: DataFrame, keys: list[str], place: Column, *more: Column) -> DataFrame:
+    """Of a stream, the keys that a micro-batch touches, with `first`, the time of the batch that first had the key and
+    the smallest place there, and `latest`, that of this batch. The time of a batch is in its log, so it is the same when
+    the batch runs again. A key is new where first.at = latest. State is a row a key, on disk, and never expires."""
+    rows = rows.withColumn("now", F.current_timestamp())
+    return rows.groupBy(*keys).agg(F.min(F.struct(F.col("now").alias("at"), place.alias("place"))).alias("first"), F.max("now").alias("latest"), *more)
+
+
+def _start(query: DataFrame, batch, checkpoint: str) -> StreamingQuery:
+    return query.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _reader(spark: SparkSession, schema, files_per_batch: int | None):
+    reader = spark.readStream.schema(schema)
+    return reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader
 
 
 def stream_ingest(spark: SparkSession, source: str, target: str, checkpoint: str, schema: str, size: int = 1000, overlap: int = 200, files_per_batch: int | None = None) -> StreamingQuery:
     """Append each new pmid of the documents that arrive in source once to target/documents, and its chunks to
-    target/chunks."""
-
+    target/chunks. Of rows of one batch with a new pmid the first by id stays; a pmid that comes again in any later batch
+    is left out. Rows without a pmid are. State holds pmids, ids and the names of files, from which the batch's new documents are
+    read; no document of an earlier batch is."""
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{target}/documents/batch_none")
+    own = _own_session(spark)
+    rows = _reader(own, schema, files_per_batch).parquet(source).filter("pmid is not null")
+    seen = first_seen(rows.select("pmid", "id", F.col("_metadata.file_path").alias("file")), ["pmid"], F.struct("id", "file"))
 
-    def batch(df: DataFrame, number: int) -> None:
-        path = f"{target}/documents"
-        kept = _read(spark, path, df.schema).select("pmid", F.input_file_name().alias("_file")).filter(~F.contains("_file", F.lit(f"/batch_{number}/"))).drop("_file")
-        # Of the tables so far only the pmids are read.
-        fresh, _ = ingest_documents(df.limit(0), df.join(kept, "pmid", "left_anti"))
-        fresh.select(df.columns).write.mode("overwrite").parquet(f"{path}/batch_{number}")
-        chunk_sentences(spark.read.schema(df.schema).parquet(f"{path}/batch_{number}"), size, overlap).write.mode("overwrite").parquet(f"{target}/chunks/batch_{number}")
+    def batch(found: DataFrame, number: int) -> None:
+        fresh = found.filter("first.at = latest").select("pmid", "first.place.id", "first.place.file").persist()
+        try:
+            files = [unquote(r[0]) for r in fresh.select("file").distinct().collect()]  # of this batch
+            docs = found.sparkSession.read.schema(schema).parquet(*files or [f"{target}/documents/batch_none"])
+            docs = docs.join(fresh, ["pmid", "id"], "left_semi").select(docs.columns)
+            first, _ = ingest_documents(docs.limit(0), docs, order=("id", F.to_json(F.struct(*docs.columns))))
+            first.write.mode("overwrite").parquet(f"{target}/documents/batch_{number}")
+        finally:
+            fresh.unpersist()
+        chunk_sentences(spark.read.schema(docs.schema).parquet(f"{target}/documents/batch_{number}"), size, overlap).write.mode("overwrite").parquet(f"{target}/chunks/batch_{number}")
 
-    reader = spark.readStream.schema(schema)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return _start(seen, batch, checkpoint)
+
+
+def _facts(df: DataFrame, chunks: DataFrame) -> DataFrame:
+    """What a batch of answers says, as keyed facts: spellings of entities, relations, quotes."""
+    g = build_kg(df, chunks)
+    fields = {n: kind for n, kind in (x.split(":") for x in _FACTS.split("struct<")[1].rstrip(">").split(","))}
+
+    def facts(rows: DataFrame, kind: str, key: Column, position: Column, confidence: Column) -> DataFrame:
+        row = F.struct(*((F.col(n) if n in rows.columns else F.lit(None)).cast(t).alias(n) for n, t in fields.items()))
+        chunk = F.col("chunk_id") if "chunk_id" in rows.columns else F.lit(None)
+        return rows.select(F.lit(kind).alias("kind"), key.alias("key"), chunk.cast("string").alias("chunk_id"), position.cast("int").alias("position"), confidence.cast("double").alias("confidence"), row.alias("row"))
+
+    none = F.lit(None)
+    spellings = facts(g.mentions, "entities", key_id("normalized_name", "type", F.lower("name")), F.col("position"), none)
+    return spellings.union(facts(g.relations, "relations", F.col("id"), none, F.col("confidence"))).union(facts(g.evidence, "evidence", F.col("id"), none, none))
 
 
-def graph_table(spark: SparkSession, target: str, name: str, before: int | None = None) -> DataFrame | None:
-    """A table of the graph after all batches (or those before one): each row as the last batch that changed it left
-    it; None if no batch has written it."""
+def stream_build_kg(spark: SparkSession, source: str, chunks: DataFrame, target: str, checkpoint: str, format: str = "parquet", files_per_batch: int | None = None) -> StreamingQuery:
+    """Merge the model answers that arrive in source into the graph under target; `graph_table` reads it.
+
+    A first stream turns answers into keyed facts, a second one, which is returned, merges these by key in the state store: of a
+    spelling or a quote the first batch that has it counts, and in it the first by (chunk_id, position), of a relation the
+    highest confidence. Each batch writes the rows that are new or changed to target/<table>/deltas/batch=<number>. Both
+    answers of a chunk must arrive in one batch. State holds one row a spelling, relation and quote."""
+    own = _own_session(spark)
+
+    def parse(df: DataFrame, number: int) -> None:
+        _facts(df, chunks).write.mode("overwrite").parquet(f"{target}/facts/{number}")
+
+    _start(_reader(spark, OUTPUTS, files_per_batch).format(format).load(source), parse, f"{checkpoint}/facts").awaitTermination()
+
+    best = F.max(F.struct("confidence", (-F.unix_micros("now")).alias("before"))).alias("best")
+    facts = _reader(own, _FACTS, files_per_batch).option("recursiveFileLookup", "true").parquet(f"{target}/facts")
+    merged = first_seen(facts, ["kind", "key"], F.struct("chunk_id", "position", "row"), best)
+
+    def write(found: DataFrame, number: int) -> None:
+        new = F.when(F.col("kind") == "relations", -F.col("best.before") == F.unix_micros("latest")).otherwise(F.col("first.at") == F.col("latest"))
+        found = found.filter(new).select("kind", F.col("key").alias("id"), "first.place.row.*", "first.place.chunk_id", "first.place.position", "best.confidence").persist()
+        try:
+            for name, columns in _ROWS.items():
+                found.filter(F.col("kind") == name).select("id", *columns).write.mode("overwrite").parquet(f"{target}/{name}/deltas/batch={number}")
+        finally:
+            found.unpersist()
+
+    return _start(merged, write, f"{checkpoint}/merge")
+
+
+def _changes(spark: SparkSession, target: str, name: str) -> DataFrame | None:
+    """The rows of the compacted version and of the batches after it, with the number of the batch of each."""
+    base, deltas = versions.current(spark, f"{target}/{name}/base"), None
     try:
-        rows = spark.read.option("mergeSchema", "false").parquet(f"{target}/{name}")
+        deltas = spark.read.parquet(f"{target}/{name}/deltas")
     except AnalysisException:
-        return None
-    rows = rows if before is None else rows.filter(F.col("batch") < before)
-    columns = [c for c in rows.columns if c != "batch"]
-    return rows.groupBy("id").agg(F.max_by(F.struct(*columns), "batch").alias("r")).select("r.*")
+        pass  # no batch yet, or all are compacted
+    if base is None:
+        return deltas
+    rows = versions.read(spark, f"{target}/{name}/base")
+    return rows if deltas is None else rows.unionByName(deltas.filter(F.col("batch") > int(base.notes["through"])))
 
 
-def stream_build_kg(spark: SparkSession, source: str, chunks: DataFrame, target: str, checkpoint: str, format: str = "parquet", files_per_batch: int | None = None) -> StreamingQuery:
-    """Merge each micro-batch of model answers into the graph. A batch reads of the graph what its own keys touch and
-    writes only the rows that it adds or changes, to target/<table>/batch=<number>; `graph_table` reads the whole."""
-
-    def batch(df: DataFrame, number: int) -> None:
-        g = build_kg(df, chunks)
-        known = {n: graph_table(spark, target, n, number) for n in ("entities", "relations", "evidence")}
-        entities, relations, evidence = g.entities, g.relations, g.evidence
-        if known["entities"] is not None:
-            touched = g.mentions.select("normalized_name", "type").distinct()
-            entities = build_entities(g.mentions, known["entities"].join(touched, ["normalized_name", "type"], "left_semi"))
-        if known["relations"] is not None:
-            relations = build_relations(g.relations, known["relations"].join(g.relations.select("id"), "id", "left_semi"))
-        if known["evidence"] is not None:
-            evidence = evidence.join(known["evidence"].select("id"), "id", "left_anti")
-        for name, rows in (("entities", entities), ("relations", relations), ("evidence", evidence)):
-            rows.write.mode("overwrite").parquet(f"{target}/{name}/batch={number}")
-
-    reader = spark.readStream.schema(OUTPUTS).format(format)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.load(source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def _latest(rows: DataFrame) -> DataFrame:
+    columns = [c for c in rows.columns if c != "id"]
+    return rows.groupBy("id").agg(F.max_by(F.struct(*columns), "batch").alias("r")).select("id", "r.*")
+
+
+def graph_table(spark: SparkSession, target: str, name: str, ids: DataFrame | None = None) -> DataFrame | None:
+    """A table of the graph after all batches, or of it the rows whose id is in ids (id): those are chosen before anything is
+    aggregated. None if no batch has written it. Entities are put together from their spellings, in order of arrival."""
+    rows = _changes(spark, target, name)
+    if rows is None:
+        return None
+    if name == "entities":
+        rows = rows.withColumn("id", key_id("normalized_name", "type"))
+    if ids is not None:
+        rows = rows.join(ids.select("id"), "id", "left_semi")
+    if name != "entities":
+        return _latest(rows).drop("batch")
+    return build_entities(rows.withColumn("chunk_id", F.concat_ws(":", F.lpad(F.col("batch").cast("string"), 12, "0"), "chunk_id")))
+
+
+def compact(spark: SparkSession, target: str) -> dict[str, int]:
+    """Merge the deltas of each table into one version, through the last batch, and delete them; returns the last
+    batch by table. Readers see the table before or after, whenever this dies. Call it while no stream is at work."""
+    done = {}
+    for name in _ROWS:
+        rows = _changes(spark, target, name)
+        if rows is None:
+            continue
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{name}/deltas")
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        batches = [x.getPath() for x in fs.listStatus(at) if x.getPath().getName().startswith("batch=")] if fs.exists(at) else []
+        if not batches:
+            continue
+        done[name] = max(int(p.getName().removeprefix("batch=")) for p in batches)
+        versions.add(_latest(rows), f"{target}/{name}/base", True, notes={"through": str(done[name])})
+        versions.vacuum(spark, f"{target}/{name}/base", 1)
+        for path in batches:
+            fs.delete(path, True)
+    return done
 
 
 def stream_progress(results: DataFrame) -> DataFrame:

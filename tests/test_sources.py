@@ -1,6 +1,9 @@
 import datetime
 
-from lorewell.sources import articles, tables
+import pytest
+from pyspark.sql import functions as F
+
+from lorewell.sources import articles, tables, versions
 
 XML = """<PubmedArticleSet>
 <PubmedArticle><MedlineCitation><PMID Version="1">1</PMID><Article><Journal><JournalIssue><PubDate><MedlineDate>2021 Jan-Feb</MedlineDate></PubDate></JournalIssue><Title>J</Title></Journal><ArticleTitle>A <i>mixed</i> &amp; title</ArticleTitle>
@@ -47,8 +50,75 @@ def test_tables_are_replaced_whole(spark, tmp_path):
     tables.write_tables({"chunks": again.filter("document_id <> '0'")}, path, "overwrite")  # made from itself
     assert tables.read_tables(spark, path, schemas)["chunks"].count() == 32
     assert [p.name for p in (tmp_path / "t").iterdir()] == ["chunks"]
-    parts = spark.read.parquet(f"{path}/chunks").groupBy("document_id").agg({"part": "min"}).collect()
+    folder = versions.current(spark, f"{path}/chunks").folders[0]
+    parts = spark.read.parquet(f"{path}/chunks/{folder}").groupBy("document_id").agg({"part": "min"}).collect()
     assert len(parts) == 4
+    with pytest.raises(ValueError, match="exists"):
+        tables.write_tables({"chunks": one}, path)
+    tables.write_tables({"chunks": one.limit(3)}, path, "append")
+    assert tables.read_tables(spark, path, schemas)["chunks"].count() == 35
+
+
+def test_a_writer_that_dies_leaves_the_old_version(spark, tmp_path, monkeypatch):
+    """Killed between the data and the pointer, within the pointer, and between the new pointer and the old data's end."""
+    path, schemas = str(tmp_path / "t"), {"entities": "id string"}
+    ids = lambda: sorted(r["id"] for r in tables.read_tables(spark, path, schemas)["entities"].collect())
+    frame = lambda *x: spark.createDataFrame([(i,) for i in x], schemas["entities"])
+    tables.write_tables({"entities": frame("old")}, path)
+    real = versions.commit
+    for kind in ("before the pointer", "in the pointer"):
+
+        def die(spark, table, *_):
+            if kind == "in the pointer":  # noqa: B023
+                (tmp_path / "t" / "entities" / "_versions" / "000000002").write_text("folder v-half\n")
+            raise SystemExit
+
+        monkeypatch.setattr(versions, "commit", die)
+        with pytest.raises(SystemExit):
+            tables.write_tables({"entities": frame("new")}, path, "overwrite")
+        assert ids() == ["old"]
+    monkeypatch.setattr(versions, "commit", real)
+    monkeypatch.setattr(versions, "vacuum", lambda *_: (_ for _ in ()).throw(SystemExit))
+    with pytest.raises(SystemExit):
+        tables.write_tables({"entities": frame("newer")}, path, "overwrite")
+    assert ids() == ["newer"]
+    monkeypatch.undo()
+    tables.write_tables({"entities": frame("last")}, path, "overwrite")
+    assert ids() == ["last"] and len([p for p in (tmp_path / "t" / "entities").iterdir() if p.name.startswith("v-")]) == 1
+
+
+def test_a_reader_keeps_its_version_and_writers_do_not_lose_appends(spark, tmp_path):
+    table = str(tmp_path / "t")
+    frame = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    versions.add(frame("a"), table, True)
+    reader = versions.read(spark, table)
+    versions.add(frame("b"), table, True)
+    assert [r[0] for r in reader.collect()] == ["a"] and [r[0] for r in versions.read(spark, table).collect()] == ["b"]
+    frame("d").write.parquet(f"{table}/v-mine")
+    others = []
+
+    def folders(before):
+        if not others:  # another writer comes between
+            others.append(versions.add(frame("c"), table, False))
+        return [*before.folders, "v-mine"]
+
+    versions.commit(spark, table, folders)
+    assert sorted(r[0] for r in versions.read(spark, table).collect()) == ["b", "c", "d"]
+
+
+def test_a_key_is_read_from_its_folder(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "id string, chunk_id string"
+    tables.write_tables({"evidence": spark.createDataFrame([(str(i), str(i % 30)) for i in range(300)], schema)}, path)
+    rows = tables.of_key(spark, path, "evidence", "7", schema)
+    assert sorted(int(r["id"]) for r in rows.collect()) == list(range(7, 300, 30))
+    assert "PartitionFilters: [isnotnull(part" in rows._jdf.queryExecution().toString()
+    large = spark.range(200_000).select(F.col("id").cast("string"), F.lit("one").alias("chunk_id"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200k")
+    try:
+        tables.write_tables({"evidence": large}, path, "overwrite")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(tables.of_key(spark, path, "evidence", "one", schema).inputFiles()) > 1  # one key, many tasks
 
 
 def test_model_outputs(spark, tmp_path):
