@@ -1,4 +1,4 @@
-"""Documents dealt to groups by a hash of their id, as compressed blobs: a bounded piece of text for one task.
+"""Documents dealt to groups by a hash of their content and place, as compressed blobs: a bounded piece of text for one task.
 
 Operators that must look up something for every word or window group documents, ask once per group for the distinct
 keys (dealt to parts by key), and get the answers back per group. A key that every document holds is so asked
@@ -38,8 +38,9 @@ def unsqueeze(data: bytes, kind: str) -> np.ndarray:
 
 
 def deal(docs: DataFrame, groups: int, most_bytes: int = 24 << 20) -> DataFrame:
-    """(g, blob) for docs, whose first column decides the group: rows of a task that go to the same group are packed
-    together, at most about most_bytes at a time."""
+    """(g, blob) for docs: rows of a task that go to the same group are packed together, at most about most_bytes at a
+    time. The group follows from all columns and the task, so neither ids that repeat or are null nor copies of a
+    row gather in one; a task that runs again makes the same groups."""
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,7 +68,7 @@ def deal(docs: DataFrame, groups: int, most_bytes: int = 24 << 20) -> DataFrame:
             g, blobs = zip(*flush())
             yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array(blobs, pa.binary())], ["g", "blob"])
 
-    dealt = docs.withColumn("g", F.pmod(F.xxhash64(names[0]), F.lit(groups)).cast("int"))
+    dealt = docs.withColumn("g", F.pmod(F.xxhash64(*names, F.spark_partition_id()), F.lit(groups)).cast("int"))
     return dealt.mapInArrow(run, "g int, blob binary")
 
 

@@ -100,8 +100,8 @@ def drop_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text
     removed; removed lists the maximal runs [first word, words] of those.
 
     All windows are judged on the input. Nothing is kept of one occurrence: all go. Null text has no words; a text
-    under `span` words loses none; repeated rows and ids are texts like any other and repeat each other; an empty table
-    gives an empty result; other columns, whatever their names, are ignored."""
+    under `span` words loses none; rows that repeat, or share an id, or have a null one, are texts like any other and
+    repeat each other; an empty table gives an empty result; other columns, whatever their names, are ignored."""
     block = (span + 1) // 2
     parts = partitions(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
