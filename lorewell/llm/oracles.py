@@ -10,19 +10,23 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from w
 with p as (select page_id, case when instr(coalesce(url, ''), '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest,
              regexp_replace(regexp_replace(html, '(?s)<script\b.*?</script>|<style\b.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g') as seen from pages),
 q as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) as path,
-        len(regexp_extract_all(seen, '###|\*\*\*|\$\$\$|%%%|&amp;&amp;&amp;')) >= 0.05 * greatest(len(regexp_extract_all(seen, '[^\x20\x09-\x0D]+')), 1) as bad, seen from p),
-h as (select host, count(*)::double as n, sum(bad::int)::double as bad, list_aggregate(string_split(host, '.')[-2:], 'string_agg', '.') as domain, string_split(host, '.')[-1] as suffix from q where host <> '' and seen is not null group by host),
+        len(regexp_extract_all(seen, '###|\*\*\*|\$\$\$|%%%|&amp;&amp;&amp;')) >= 0.05 * greatest(len(regexp_extract_all(seen, '[^\x20\x09-\x0D]+')), 1) as junk, seen from p),
+o as (select host, junk or list_has_any(regexp_split_to_array(concat_ws('/', host, lower(path)), '[^a-z]+'), ['ads', 'adult', 'bet', 'bets', 'casino', 'escort', 'loan', 'pills', 'poker', 'porn', 'spam', 'viagra', 'xxx']) as bad from q where host <> '' and seen is not null),
+h1 as (select host, regexp_replace(host, ':\d*$', '') as name, count(*)::double as n, sum(bad::int)::double as bad from o group by host),
+h2 as (select *, array_to_string(string_split(name, '.')[-2:], '.') as two, array_to_string(string_split(name, '.')[-3:], '.') as three, regexp_full_match(name, '\d+\.\d+\.\d+\.\d+') or starts_with(name, '[') as address from h1),
+h as (select host, n, bad, case when address then name when many then three else two end as domain, case when address then '' when many then two else string_split(name, '.')[-1] end as suffix
+      from (select *, two in ('ac.uk', 'co.jp', 'co.nz', 'co.uk', 'com.au', 'com.br', 'com.cn', 'gov.uk', 'org.uk') as many from h2)),
 s0 as (select suffix, sum(n) as n, sum(bad) as bad, (select (sum(bad) + 0.5) / (sum(n) + 1) from h) as m from h group by 1),
-s1 as (select *, (select case when sum(n * (n - 1) * m * (1 - m)) > 0 and sum(pow(bad - n * m, 2)) > sum(n * m * (1 - m)) then least(1000, greatest(1, sum(n * (n - 1) * m * (1 - m)) / (sum(pow(bad - n * m, 2)) - sum(n * m * (1 - m))) - 1)) else 1000 end from s0) as k from s0),
-d0 as (select domain, h.suffix, sum(h.n) as n, sum(h.bad) as bad, any_value((k * m + s1.bad) / (k + s1.n)) as m from h join s1 on s1.suffix = h.suffix group by 1, 2),
-d1 as (select *, (select case when sum(n * (n - 1) * m * (1 - m)) > 0 and sum(pow(bad - n * m, 2)) > sum(n * m * (1 - m)) then least(1000, greatest(1, sum(n * (n - 1) * m * (1 - m)) / (sum(pow(bad - n * m, 2)) - sum(n * m * (1 - m))) - 1)) else 1000 end from d0) as k from d0),
-h0 as (select host, h.n, h.bad, (k * m + d1.bad) / (k + d1.n) as m from h join d1 on d1.domain = h.domain),
-h1 as (select *, (select case when sum(n * (n - 1) * m * (1 - m)) > 0 and sum(pow(bad - n * m, 2)) > sum(n * m * (1 - m)) then least(1000, greatest(1, sum(n * (n - 1) * m * (1 - m)) / (sum(pow(bad - n * m, 2)) - sum(n * m * (1 - m))) - 1)) else 1000 end from h0) as k from h0),
-post as (select host, k * m + bad as a, k * (1 - m) + n - bad as b from h1),
-rated as (select host, a / (a + b) - 1.645 * sqrt(a * b / (pow(a + b, 2) * (a + b + 1))) as bound from post),
+s1 as (select *, (select case when sum(n * (n - 1) * m * (1 - m)) > 0 and sum(pow(bad - n * m, 2)) > sum(n * m * (1 - m)) then greatest(1, sum(n * (n - 1) * m * (1 - m)) / (sum(pow(bad - n * m, 2)) - sum(n * m * (1 - m))) - 1) end from s0) as k from s0),
+d0 as (select domain, h.suffix, sum(h.n) as n, sum(h.bad) as bad, coalesce((any_value(k * m) + any_value(s1.bad) - sum(h.bad)) / (any_value(k) + any_value(s1.n) - sum(h.n)), any_value(m)) as m from h join s1 on s1.suffix = h.suffix group by 1, 2),
+d1 as (select *, (select case when sum(n * (n - 1) * m * (1 - m)) > 0 and sum(pow(bad - n * m, 2)) > sum(n * m * (1 - m)) then greatest(1, sum(n * (n - 1) * m * (1 - m)) / (sum(pow(bad - n * m, 2)) - sum(n * m * (1 - m))) - 1) end from d0) as k from d0),
+h0 as (select host, h.n, h.bad, coalesce((k * m + d1.bad - h.bad) / (k + d1.n - h.n), m) as m from h join d1 on d1.domain = h.domain),
+g1 as (select *, (select case when sum(n * (n - 1) * m * (1 - m)) > 0 and sum(pow(bad - n * m, 2)) > sum(n * m * (1 - m)) then greatest(1, sum(n * (n - 1) * m * (1 - m)) / (sum(pow(bad - n * m, 2)) - sum(n * m * (1 - m))) - 1) end from h0) as k from h0),
+post as (select host, m, k * m + bad as a, k * (1 - m) + n - bad as b from g1),
+rated as (select host, coalesce(a / (a + b) - 1.645 * sqrt(a * b / (pow(a + b, 2) * (a + b + 1))), m) as bound from post),
 r(rule_host, rule_path, verdict) as (values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
 fit as (select page_id, first(rule_host || rule_path order by length(rule_host || rule_path) desc) as rule, first(r.verdict order by length(rule_host || rule_path) desc) as verdict from q join r on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path) group by 1)
-select q.page_id, q.host, q.path, rule, coalesce(fit.verdict, case when bound > (select (sum(bad) + 0.5) / (sum(n) + 1) from h) then 'block' else 'allow' end) as verdict from q left join fit on fit.page_id = q.page_id left join rated on rated.host = q.host""",
+select q.page_id, q.host, q.path, rule, coalesce(fit.verdict, case when greatest(bound, 0) * (1 - overall) > 2 * overall * (1 - greatest(bound, 0)) then 'block' else 'allow' end) as verdict from q left join fit on fit.page_id = q.page_id left join rated on rated.host = q.host cross join (select (sum(bad) + 0.5) / (sum(n) + 1) as overall from h)""",
     "op11_exact_top_k": r"""
 with e as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings where len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score from e q join e c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),

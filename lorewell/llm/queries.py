@@ -48,7 +48,7 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = load(spark, sf_dir, "pages")
-    return urls.judge_urls(pages, urls.junk_outcomes(pages)).select("page_id", "host", "path", "rule", "verdict")
+    return urls.judge_urls(pages, urls.page_outcomes(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

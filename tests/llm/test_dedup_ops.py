@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from lorewell.llm import components, exact_dedup, jaccard, perplexity, substrings, urls
+from lorewell.llm import components, exact_dedup, groups, jaccard, perplexity, substrings, urls
 
 DOCS = "doc_id long, text string, node string, g string"
 
@@ -283,6 +283,44 @@ def test_components_of_many_tasks(spark):
         assert {r["node"]: r["root"] for r in components.components(frame, most=most).collect()} == want, most
 
 
+def test_a_url_limit_does_not_hang_on_the_size_of_the_corpus(spark):
+    """Forty hosts a little apart: none goes, on few pages or many. One that is far worse does on both."""
+    for n in (50, 100_000):
+        rates = spark.range(41).select(F.concat("id", F.lit(".com")).alias("host"), F.when(F.col("id") < 40, 0.034 + F.col("id") * 0.0001).otherwise(0.4).alias("rate"))
+        outcomes = rates.select("host", "rate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")).select("host", (F.col("k") < F.round(F.col("rate") * n)).cast("int").alias("bad"))
+        pages = rates.select(F.col("host").alias("page_id"), F.concat(F.lit("http://"), "host").alias("url"))
+        assert {r["page_id"] for r in urls.judge_urls(pages, outcomes).collect() if r["verdict"] == "block"} == {"40.com"}
+
+
+def test_page_outcomes_and_shrinkage_decide(spark):
+    """Words of urls and junk in texts label pages. A host of many bad pages goes; one bad page of two is no proof, though its own
+    rate is far above the limit; a null page says nothing."""
+    junk, clean = "<p>### *** $$$ word</p>", "<script>###</script><p>" + "word " * 60 + "### </p>"
+    rows = [(i, f"http://h{i % 20}.com/{i}", clean) for i in range(200)] + [(300 + i, "http://the-casino.com/x", clean) for i in range(8)]
+    rows += [(400 + i, "http://junk.com/x", junk) for i in range(8)] + [(500, "http://new.com/a", clean), (501, "http://new.com/Porn", clean), (502, "http://junk.com/", None), (503, "http://casinos.com/", clean)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    outcomes = urls.page_outcomes(pages)
+    assert outcomes.filter("bad = 1").count() == 17 and outcomes.count() == len(rows) - 1
+    out = {r["page_id"]: r for r in urls.judge_urls(pages, outcomes).collect()}
+    assert {i for i, r in out.items() if r["verdict"] == "block"} == {*range(300, 308), *range(400, 408), 502}
+    overall = urls.host_reputation(outcomes).first()["overall"]
+    assert 0.5 / 0.5 > 2 * overall / (1 - overall) and out[500]["bad_rate"] < 0.5  # shrinkage turned it
+
+
+def test_repeats_do_not_hang_on_ids(spark):
+    """Null ids, one id for all, or one row for a third of all: many groups, and the same words go."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passage = " ".join(word() for _ in range(50))
+    rows = [" ".join(word() for _ in range(40)) + (" " + passage if k < 30 else "") for k in range(200)] + ["same words " * 3] * 100
+    want = sorted(r["n_removed"] for r in substrings.drop_repeats(frame(spark, list(enumerate(rows)))).collect())
+    for ids in ([None] * 300, [7] * 300, [*range(200), *[0] * 100]):
+        docs = frame(spark, list(zip(ids, rows))).repartition(4)
+        assert sorted(r["n_removed"] for r in substrings.drop_repeats(docs).collect()) == want and max(want) == 50
+        sizes = groups.deal(docs.select("doc_id", "text"), 24).groupBy("g").count().count()
+        assert sizes > 15
+
+
 def test_urls(spark):
     cases = {
         "https://Blog.X.example.NET/en/1?a": ("blog.x.example.net", "/en/1", "example.net/en/", "allow"),
