@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..vocabulary import ENTITY_TYPES, RELATION_LABELS
 from .query import degree_of
+from .term_index import candidates
 
 
 def _one_row(*parts: DataFrame) -> DataFrame:
@@ -39,15 +40,6 @@ def unique_violations(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg((F.count("*") - 1).alias("extra")).filter("extra > 0")
 
 
-def fk_violations(df: DataFrame, column: str, parent: DataFrame, key: str = "id") -> DataFrame:
-    return df.filter(F.col(column).isNotNull()).join(parent.select(F.col(key).alias(column)), column, "left_anti")
-
-
-def check_violations(df: DataFrame, rule: Column) -> DataFrame:
-    """Rows for which the rule is false; null passes, as a CHECK does."""
-    return df.filter(~F.coalesce(rule, F.lit(True)))
-
-
 def duplicates(entities: DataFrame, relations: DataFrame, evidence: DataFrame) -> DataFrame:
     """(kind, duplicates): rows beyond the first of a key."""
     each = (("entities", entities, ["normalized_name", "type"]), ("relations", relations, ["head_id", "tail_id", "label"]), ("evidence", evidence, ["relation_id", "quote_hash"]))
@@ -80,13 +72,15 @@ def invalid_values(entities: DataFrame, relations: DataFrame, types: Sequence[st
     return bad(entities, "type", types).union(bad(relations, "label", labels))
 
 
-def matching(entities: DataFrame, term: str) -> DataFrame:
-    return entities.filter(F.col("normalized_name").ilike(f"%{term}%"))
+def matching(entities: DataFrame, term: str, index: str | None = None) -> DataFrame:
+    """Entities whose normalized name holds the term, of the candidates of an index if there is one."""
+    few = candidates(entities.sparkSession, index, term) if index else None
+    return (entities if few is None else entities.join(few, "id", "left_semi")).filter(F.col("normalized_name").ilike(f"%{term}%"))
 
 
-def term_has_edges(entities: DataFrame, relations: DataFrame, term: str, direction: str = "out") -> DataFrame:
+def term_has_edges(entities: DataFrame, relations: DataFrame, term: str, direction: str = "out", index: str | None = None) -> DataFrame:
     """(entities, edges, passed): entities that hold the term, and their outgoing (or incoming) edges."""
-    own = matching(entities, term).select("id")
+    own = matching(entities, term, index).select("id")
     end = "head_id" if direction == "out" else "tail_id"
     edges = relations.join(own.select(F.col("id").alias(end)), end, "left_semi").agg(F.count("*").alias("edges"))
     return _one_row(own.agg(F.count("*").alias("entities")), edges).withColumn("passed", F.col("edges") > 0)
@@ -111,20 +105,20 @@ def evidence_validity(evidence: DataFrame, chunks: DataFrame, sample: float | No
     return rows.agg(F.count_if(ok).alias("valid"), F.count_if(~ok).alias("invalid")).withColumn("passed", (F.col("invalid") == 0) | (F.col("valid") > F.col("invalid")))
 
 
-def common_neighbors(entities: DataFrame, relations: DataFrame, a: str, b: str) -> DataFrame:
+def common_neighbors(entities: DataFrame, relations: DataFrame, a: str, b: str, index: str | None = None) -> DataFrame:
     """(direct, common, passed) for the entities that hold term a and those that hold b: a->b edges, and entities between
     a's edges and edges into b."""
-    head = matching(entities, a).select(F.col("id").alias("head_id"))
-    tail = matching(entities, b).select(F.col("id").alias("tail_id"))
+    head = matching(entities, a, index).select(F.col("id").alias("head_id"))
+    tail = matching(entities, b, index).select(F.col("id").alias("tail_id"))
     out, into = relations.join(head, "head_id", "left_semi"), relations.join(tail, "tail_id", "left_semi")
     direct = out.join(tail, "tail_id", "left_semi").agg(F.count("*").alias("direct"))
     common = out.select(F.col("tail_id").alias("id")).distinct().join(into.select(F.col("head_id").alias("id")), "id", "left_semi").agg(F.count("*").alias("common"))
     return _one_row(direct, common).withColumn("passed", (F.col("direct") > 0) | (F.col("common") > 0))
 
 
-def terms_connected(entities: DataFrame, relations: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+def terms_connected(entities: DataFrame, relations: DataFrame, pairs: Sequence[tuple[str, str]], index: str | None = None) -> DataFrame:
     """(a, b, direct, common, passed) for pairs of terms: whether an edge or a shared neighbor connects them."""
-    return reduce(DataFrame.union, (common_neighbors(entities, relations, a, b).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "direct", "common", "passed") for a, b in pairs))
+    return reduce(DataFrame.union, (common_neighbors(entities, relations, a, b, index).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "direct", "common", "passed") for a, b in pairs))
 
 
 def example_queries(entities: DataFrame, relations: DataFrame, evidence: DataFrame, term: str, n: int = 5) -> DataFrame:
@@ -155,18 +149,40 @@ def extraction_progress(chunks: DataFrame, entities: DataFrame, relations: DataF
     return row.withColumn("remaining", F.col("total") - F.col("processed"))
 
 
+#: Of each table: unique keys, columns that point to another table, rules that a row must not break, columns that are never null.
+UNIQUE = {"documents": ["pmid"], "chunks": ["document_id", "chunk_index"], "entities": ["normalized_name", "type"], "relations": ["head_id", "tail_id", "label"], "evidence": ["relation_id", "chunk_id", "quote_hash"]}
+FOREIGN = (("chunks", "document_id", "documents"), ("relations", "head_id", "entities"), ("relations", "tail_id", "entities"), ("evidence", "relation_id", "relations"), ("evidence", "chunk_id", "chunks"))
+CHECKS = (("relations", "confidence between 0 and 1", "confidence between 0 and 1"), ("jobs", "progress between 0 and 100", "progress between 0 and 100"), ("jobs", "processed <= total", "processed_items <= total_items"))
+NOT_NULL = {"documents": ["pmid", "title"], "chunks": ["text", "chunk_index"], "entities": ["name", "normalized_name", "type"], "relations": ["label"], "evidence": ["quote", "quote_hash"]}
+
+
 def check_constraints(t: dict[str, DataFrame]) -> DataFrame:
-    """(rule, violations) for every unique, foreign key, check and not-null rule of the tables that are given."""
-    rules: list[tuple[str, DataFrame]] = []
-    unique = {"documents": ["pmid"], "chunks": ["document_id", "chunk_index"], "entities": ["normalized_name", "type"], "relations": ["head_id", "tail_id", "label"], "evidence": ["relation_id", "chunk_id", "quote_hash"]}
-    for name, keys in unique.items():
-        if name in t:
-            rules.append((f"{name}: unique {', '.join(keys)}", unique_violations(t[name], keys)))
-    for child, column, parent in (("chunks", "document_id", "documents"), ("relations", "head_id", "entities"), ("relations", "tail_id", "entities"), ("evidence", "relation_id", "relations"), ("evidence", "chunk_id", "chunks")):
-        if child in t and parent in t:
-            rules.append((f"{child}.{column} in {parent}", fk_violations(t[child], column, t[parent])))
-    checks = (("relations", "confidence between 0 and 1", F.col("confidence").between(0, 1)), ("jobs", "progress between 0 and 100", F.col("progress").between(0, 100)), ("jobs", "processed <= total", F.col("processed_items") <= F.col("total_items")))
-    not_null = {"documents": ["pmid", "title"], "chunks": ["text", "chunk_index"], "entities": ["name", "normalized_name", "type"], "relations": ["label"], "evidence": ["quote", "quote_hash"]}
-    rules += [(f"{n}: {text}", check_violations(t[n], rule)) for n, text, rule in checks if n in t]
-    rules += [(f"{n}.{c} not null", t[n].filter(F.col(c).isNull())) for n, cs in not_null.items() if n in t for c in cs]
-    return reduce(DataFrame.union, (df.agg(F.count("*").alias("violations")).select(F.lit(rule).alias("rule"), "violations") for rule, df in rules))
+    """(rule, violations) for every unique, foreign key, check and not-null rule of the tables that are given: keys that
+    occur more than once, rows that point to nothing, rows that break a rule.
+
+    Each table is read once: a row becomes one fact for each of its keys (the id that others may point to, those that it
+    points to, those that are unique) and for each rule that it breaks. Facts with one key meet in one exchange, added up in
+    each task first, so a key in a third of all rows is one row a task."""
+    foreign = [(c, column, p) for c, column, p in FOREIGN if c in t and p in t]
+    checks = [(n, f"{n}: {text}", F.coalesce(F.expr(rule), F.lit(True))) for n, text, rule in CHECKS if n in t]
+    checks += [(n, f"{n}.{c} not null", F.col(c).isNotNull()) for n, cs in NOT_NULL.items() if n in t for c in cs]
+    unique = [(n, f"{n}: unique {', '.join(keys)}", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})) for n, keys in UNIQUE.items() if n in t]
+    none = F.lit(None).cast("string")
+    fact = lambda kind, key, rule=none: F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key"), (F.lit(rule) if isinstance(rule, str) else rule).alias("rule"))
+    parts = []
+    for name, df in t.items():
+        facts = [fact(f"id of {name}", F.col("id"))] if any(p == name for _, _, p in foreign) else []
+        facts += [F.when(F.col(c).isNotNull(), fact(f"id of {p}", F.col(c), f"{n}.{c} in {p}")) for n, c, p in foreign if n == name]
+        facts += [fact("unique", key, rule) for n, rule, key in unique if n == name]
+        facts += [F.when(~ok, fact("check", none, rule)) for n, rule, ok in checks if n == name]
+        if facts:
+            parts.append(df.select(F.explode(F.array_compact(F.array(*facts))).alias("f")).select("f.*"))
+    rules = [r for _, r, _ in unique] + [f"{c}.{column} in {p}" for c, column, p in foreign] + [r for _, r, _ in checks]
+    listed = next(iter(t.values())).sparkSession.createDataFrame([(r,) for r in rules], "rule string")
+    counts = reduce(DataFrame.union, parts).groupBy("kind", "key", "rule").agg(F.count("*").alias("n"))
+    # Facts of one key beside each other: is there a row with that id?
+    here = counts.groupBy("kind", "key").agg(F.max(F.col("rule").isNull()).alias("there"), F.collect_list(F.when(F.col("rule").isNotNull(), F.struct("rule", "n"))).alias("facts"))
+    bad = here.select("kind", "there", F.explode("facts").alias("f")).select("kind", "there", "f.*")
+    broken = F.when(F.col("kind") == "unique", (F.col("n") > 1).cast("long")).when(F.col("kind") == "check", F.col("n")).otherwise(F.when(F.col("there"), 0).otherwise(F.col("n")))
+    found = bad.groupBy("rule").agg(F.sum(broken).alias("violations"))
+    return listed.join(found, "rule", "left").select("rule", F.coalesce("violations", F.lit(0)).alias("violations"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..vocabulary import ENTITY_TYPES
+from .term_index import find
 
 
 def page_meta(total: int, page: int = 1, size: int = 20) -> dict[str, int]:
@@ -38,17 +39,16 @@ def degree(entities: DataFrame, relations: DataFrame) -> DataFrame:
     return entities.join(counts, "id", "left").fillna(0, ["out_degree", "in_degree"]).withColumn("degree", F.col("out_degree") + F.col("in_degree"))
 
 
-def search_entities(entities: DataFrame, relations: DataFrame, q: str | None = None, type: str | None = None, types: Sequence[str] = ENTITY_TYPES) -> DataFrame:
+def search_entities(entities: DataFrame, relations: DataFrame, q: str | None = None, type: str | None = None, types: Sequence[str] = ENTITY_TYPES, index: str | None = None) -> DataFrame:
     """Entities whose normalized name, name or an alias holds q without case (% and _ are wildcards), of a type, with
     degrees, which only the edges at those entities are counted for. Order by name and page it with `paginate`; its
-    count is the total."""
+    count is the total. With `index`, where `build_term_index` wrote one, names are read of candidates only."""
     if type is not None:
         if type not in types:
             raise ValueError(f"{type!r} is not one of: {', '.join(types)}")
         entities = entities.filter(F.col("type") == type)
     if q:
-        p = f"%{q}%"
-        entities = entities.filter(F.col("normalized_name").ilike(p) | F.col("name").ilike(p) | F.exists(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: a.ilike(p)))
+        entities = find(entities, q, index)
     return degree(entities, relations) if q is None and type is None else degree_of(entities, relations)
 
 

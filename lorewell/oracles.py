@@ -209,5 +209,11 @@ ORACLES = {
     "r5_merge_chains": CHAINS + "select id, head_id, tail_id, label, confidence from merged",
     "r5_merge_evidence": CHAINS + "select id, relation_id, chunk_id, quote_hash from mev",
     "r5_merge_report": CHAINS + "select 'several targets' as what, count(*) as rows from map0 where (source_id, target_id) not in (select source_id, target_id from chosen) having count(*) > 0 union all select 'cycle', count(*) from chosen where source_id not in (select source_id from ends) having count(*) > 0 union all select 'no such target', count(*) from ends where target_id not in (select id from ent) having count(*) > 0 union all select 'merged', count(*) from root having count(*) > 0 union all select 'entities', (select count(*) from ent) - count(*) from root union all select 'orphan edges', 0 union all select 'orphan evidence', 0",
+    "i1_stream_ingest": "with x as (select doc_id, doc_id // 10 as pmid from documents), old as (select min(doc_id::varchar) as id, pmid from x where doc_id % 20 = 0 group by pmid) select id, pmid::varchar as pmid from old union all select min(doc_id::varchar), pmid::varchar from x where pmid not in (select pmid from old) group by pmid",
+    "i2_stream_relations": KG + _kg["g9_build_kg"],
+    "i2_stream_evidence": "select id, relation_id, quote from (" + KG + _kg["g9_build_kg_evidence"] + ")",
+    "i2_stream_entities": "select id, normalized_name, type from (" + KG + _kg["g9_build_kg_entities"] + ")",
+    "e8_term_has_edges_indexed": KG + _kg["e8_term_has_edges"],
+    "q1_search_indexed": KG + "select p as pattern, id, name from ent, (values ('RING_brand#1'), ('supplier#%7'), ('a_b'), ('er'), ('no such name')) v(p) where normalized_name ilike '%' || p || '%' or name ilike '%' || p || '%' or len(list_filter(string_split(aliases, '|'), lambda a: a ilike '%' || p || '%')) > 0",
     **{name: KG + sql for name, sql in _kg.items()},
 }

@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import build, chunking, evidence, merge, parsing, quality, query, runlog
+from .operators import build, chunking, evidence, merge, parsing, quality, query, runlog, term_index
 from .plans import graph
 from .plans.kg import build_kg, extract_document
 from .plans.star import Star, entity_id, normal
 from .sources import tables
 from .sources.shared import shared_dir, store
+from .streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SEGMENTS = ["Supplier#", "small", "HOUSE", "nowhere"]
@@ -289,6 +290,22 @@ def q1_search_entities(spark, d):
     return query.search_entities(s.entities, s.relations, "ring_brand#1").select("id", "name", "type", "out_degree", "in_degree", "degree")
 
 
+@query_of
+def q1_search_indexed(spark, d):
+    """Parts of names, with wildcards, with none that has three letters in a row, and that nothing holds, by an index of grams."""
+    s, path = Star(spark, d, keep=True), shared_dir(spark, "terms")
+    term_index.build_term_index(s.entities, path)
+    found = (term_index.find(s.entities, p, path).select(F.lit(p).alias("pattern"), "id", "name") for p in ("RING_brand#1", "supplier#%7", "a_b", "er", "no such name"))
+    return reduce(DataFrame.union, found)
+
+
+@query_of
+def e8_term_has_edges_indexed(spark, d):
+    s, path = Star(spark, d, keep=True), shared_dir(spark, "terms")
+    term_index.build_term_index(s.entities, path)
+    return quality.term_has_edges(s.entities, s.relations, "Supplier#00000000", index=path)
+
+
 @query_of
 def q2_entity_matches(spark, d):
     return query.entity_matches(Star(spark, d).entities, "RING BRAND").select("id", "name")
@@ -760,3 +777,46 @@ def r7_audit_history(spark, d):
     c = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_name")
     log = runlog.diff_snapshots(c, c.filter("c_custkey % 7 <> 0"), ["c_custkey"], "customer").withColumns({"created_at": F.col("record_id").cast("long"), "id": F.col("record_id")})
     return runlog.audit_history(log, "customer", action="DELETE").select("record_id", "old_data")
+
+
+# Streams
+
+
+@query_of
+def i1_stream_ingest(spark, d):
+    """Documents arrive in two runs of a stream: a twentieth, then all, so that many ids come again; pmid is the id without
+    its last digit."""
+    path = shared_dir(spark, "ingest")
+    docs = documents(spark, d).select(F.col("id").cast("string").alias("id"), F.floor(F.col("id") / 10).cast("string").alias("pmid"), "abstract")
+    for part in (docs.filter("cast(id as long) % 20 = 0"), docs):
+        part.write.mode("append").parquet(f"{path}/in")
+        incremental.stream_ingest(spark, f"{path}/in", f"{path}/out", f"{path}/state", docs.schema).awaitTermination()
+    return spark.read.schema(docs.schema).option("recursiveFileLookup", "true").parquet(f"{path}/out/documents").select("id", "pmid")
+
+
+def _streamed(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table of the graph after the answers came in two runs, half of the chunks each, and were compacted between."""
+    s, path = Star(spark, d, keep=True), shared_dir(spark, "graph")
+    answers = store(s.outputs, "answers")
+    for half in (0, 1):
+        answers.filter(F.pmod(F.xxhash64("chunk_id"), F.lit(2)) == half).write.mode("append").parquet(f"{path}/in")
+        incremental.stream_build_kg(spark, f"{path}/in", s.chunks, f"{path}/out", f"{path}/state").awaitTermination()
+        if not half:
+            incremental.compact(spark, f"{path}/out")
+    return incremental.graph_table(spark, f"{path}/out", name)
+
+
+@query_of
+def i2_stream_relations(spark, d):
+    return _streamed(spark, d, "relations").select("id", "head_id", "tail_id", "label", "confidence")
+
+
+@query_of
+def i2_stream_evidence(spark, d):
+    """Which chunk a quote is first seen in hangs on arrival; which quotes there are does not."""
+    return _streamed(spark, d, "evidence").select("id", "relation_id", "quote")
+
+
+@query_of
+def i2_stream_entities(spark, d):
+    return _streamed(spark, d, "entities").select("id", "normalized_name", "type")
