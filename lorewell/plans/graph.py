@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators.query import degree, first_of_each
 from ..sources.shared import store
 from ..vocabulary import RELATION_LABELS
+from .adjacency import Adjacency, both_ways, build_adjacency
 
 
 def allowed_edges(relations: DataFrame, labels: Sequence[str] | None = None, min_confidence: float = 0.0, known: Sequence[str] = RELATION_LABELS) -> DataFrame:
@@ -21,12 +22,6 @@ def allowed_edges(relations: DataFrame, labels: Sequence[str] | None = None, min
     return relations.filter(F.col("label").isin(labels)) if labels else relations
 
 
-def both_ways(relations: DataFrame) -> DataFrame:
-    """(node, neighbor, back, edge, label, confidence), every edge from either end; a loop twice."""
-    out = relations.select(F.col("head_id").alias("node"), F.col("tail_id").alias("neighbor"), F.lit(False).alias("back"), F.col("id").alias("edge"), "label", "confidence")
-    return out.unionByName(relations.select(F.col("tail_id").alias("node"), F.col("head_id").alias("neighbor"), F.lit(True).alias("back"), F.col("id").alias("edge"), "label", "confidence"))
-
-
 def subgraph(entities: DataFrame, relations: DataFrame, start: str, depth: int = 1, max_nodes: int = 50, max_edges: int = 100, labels: Sequence[str] | None = None, entity_types: Sequence[str] | None = None, min_confidence: float = 0.0, induced: bool = False) -> tuple[DataFrame, DataFrame]:
     """(nodes (id, depth), edges) around one entity, level by level, until a cap is reached. Order within a level: rank
     of the node, outgoing before incoming, edge id. An edge counts when its neighbor passes the type filter, even if the
@@ -72,31 +67,39 @@ def subgraph_summary(nodes: DataFrame, edges: DataFrame, max_nodes: int, max_edg
     return flat.union(by(nodes, "type")).union(by(edges, "label"))
 
 
-def shortest_hops(relations: DataFrame, sources: DataFrame, max_hops: int) -> DataFrame:
-    """(id, hops) for every node within max_hops of the sources (id), edges taken both ways. The steps are written
-    once, so that a hop is one join and not the edges' plan again."""
-    steps = store(both_ways(relations).select("node", F.col("neighbor").alias("id")).distinct(), "steps")
+def shortest_hops(relations: DataFrame, sources: DataFrame, max_hops: int, edges: Adjacency | None = None) -> DataFrame:
+    """(id, hops) for every node within max_hops of the sources (id), edges taken both ways. The edges are stored once
+    (or before, as `edges`); a hop brings the nodes of the last one to them."""
+    own = None if edges else build_adjacency(relations)
+    edges = edges or own
     seen = store(sources.select("id").distinct().withColumn("hops", F.lit(0)), "hops")
     for hop in range(1, max_hops + 1):
         near = seen.filter(F.col("hops") == hop - 1).select(F.col("id").alias("node"))
-        fresh = steps.join(near, "node").select("id").distinct().join(seen.select("id"), "id", "left_anti").withColumn("hops", F.lit(hop))
+        fresh = edges.hop(near).select(F.col("neighbor").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("hops", F.lit(hop))
         fresh = store(fresh, "hops")
         if fresh.isEmpty():
             break
         seen = store(seen.unionByName(fresh), "hops")
+    if own:
+        own.drop()
     return seen
 
 
-def find_paths(relations: DataFrame, source: str, target: str, max_hops: int = 3, labels: Sequence[str] | None = None, min_confidence: float = 0.0, max_paths: int = 5) -> DataFrame:
+def find_paths(relations: DataFrame, source: str, target: str, max_hops: int = 3, labels: Sequence[str] | None = None, min_confidence: float = 0.0, max_paths: int = 5, report: list[dict[str, int]] | None = None) -> DataFrame:
     """Up to max_paths paths (path_rank, path_length, total_confidence, steps) from source to target: a breadth-first tree
     over nodes seen once, and every edge from the tree to the target. Steps are (node, edge, back, confidence). Order:
-    length, rank of the tree node, outgoing before incoming, edge id. Search ends at the level that fills max_paths."""
+    length, rank of the tree node, outgoing before incoming, edge id. Search ends at the level that fills max_paths.
+
+    Distances to the target come first, as far as max_hops allows. Then only steps to nodes that can still arrive in the hops
+    left are taken; a node that cannot has no successor that can, so the tree over the others is the same. `report` gets
+    the steps taken and the tree nodes kept, level by level."""
     if source == target:
         raise ValueError("source and target must differ")
     if not 1 <= max_hops <= 5:
         raise ValueError("max_hops is 1 to 5")
-    steps = store(both_ways(allowed_edges(relations, labels, min_confidence)), "steps")
     spark = relations.sparkSession
+    edges = build_adjacency(allowed_edges(relations, labels, min_confidence))
+    to_go = shortest_hops(relations, spark.createDataFrame([(target,)], "id string"), max_hops - 1, edges)
     way = f"array<struct<back:boolean,edge:{relations.schema['id'].dataType.simpleString()}>>"
     kind = "array<struct<node:string,edge:string,back:boolean,confidence:double>>"
     tree = store(spark.createDataFrame([(source,)], "id string").withColumns({"at": F.array().cast(way), "steps": F.array().cast(kind)}), "tree")
@@ -104,16 +107,23 @@ def find_paths(relations: DataFrame, source: str, target: str, max_hops: int = 3
     for hop in range(1, max_hops + 1):
         near = tree.select(F.col("id").alias("node"), "at", "steps")
         step = F.struct(F.col("neighbor").alias("node"), F.col("edge").cast("string").alias("edge"), "back", "confidence")
+        arriving = to_go.filter(F.col("hops") <= max_hops - hop).select(F.col("id").alias("neighbor"))
         # The order of a path is its tree node's, then the direction and edge that lead on.
-        reached = store(steps.join(near, "node").select(F.col("neighbor").alias("id"), F.concat("at", F.array(F.struct("back", "edge"))).alias("at"), F.concat("steps", F.array(step)).alias("steps")), "reached")
+        taken = edges.hop(near).join(arriving, "neighbor", "left_semi")
+        reached = store(taken.select(F.col("neighbor").alias("id"), F.concat("at", F.array(F.struct("back", "edge"))).alias("at"), F.concat("steps", F.array(step)).alias("steps")), "reached")
         hits = reached.filter(F.col("id") == target).orderBy("at").limit(max_paths - n).withColumn("path_length", F.lit(hop))
         found = hits if found is None else found.unionByName(hits)
         n += hits.count()
-        if n >= max_paths or hop == max_hops:
+        done = n >= max_paths or hop == max_hops
+        if not done:
+            tree = reached.filter(F.col("id") != target).join(seen, "id", "left_anti").groupBy("id").agg(F.min_by(F.struct("at", "steps"), "at").alias("s")).select("id", "s.at", "s.steps")
+            tree = store(tree, "tree")
+            seen = seen.union(tree.select("id"))
+        if report is not None:
+            report.append({"hop": hop, "steps": reached.count(), "kept": 0 if done else tree.count(), "paths": n})
+        if done:
             break
-        tree = reached.filter(F.col("id") != target).join(seen, "id", "left_anti").groupBy("id").agg(F.min_by(F.struct("at", "steps"), "at").alias("s")).select("id", "s.at", "s.steps")
-        tree = store(tree, "tree")
-        seen = seen.union(tree.select("id"))
+    edges.drop()
     rank = F.row_number().over(Window.orderBy("path_length", "at")).alias("path_rank")
     return found.select(rank, "path_length", F.aggregate("steps", F.lit(1.0), lambda a, s: a * s["confidence"]).alias("total_confidence"), F.concat(F.array(F.struct(F.lit(source).alias("node"), F.lit(None).cast("string").alias("edge"), F.lit(None).cast("boolean").alias("back"), F.lit(None).cast("double").alias("confidence"))), "steps").alias("steps"))
 

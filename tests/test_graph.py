@@ -1,6 +1,8 @@
+import random
+
 import pytest
 
-from lorewell.plans import graph
+from lorewell.plans import adjacency, graph
 
 
 def edges(spark, *rows):
@@ -48,6 +50,58 @@ def test_paths_follow_edge_ids(spark):
     assert [p["steps"][1]["edge"] for p in paths] == ["azL0", "azL1", "azL2", "azL3"]
 
 
+def plain_paths(rows, source, target, max_hops, max_paths):
+    """The documented search without pruning: the tree over nodes seen once, level by level."""
+    steps = [(h, t, False, f"{h}{t}{label}") for h, t, label, _ in rows] + [(t, h, True, f"{h}{t}{label}") for h, t, label, _ in rows]
+    tree, seen, found = {source: []}, {source}, []
+    for _ in range(max_hops):
+        reached = [(way + [(back, edge)], there) for node, way in tree.items() for here, there, back, edge in steps if here == node]
+        found += sorted(way for way, there in reached if there == target)[: max_paths - len(found)]
+        fresh = {}
+        for way, there in sorted(reached):
+            if there not in seen and there != target:
+                fresh.setdefault(there, way)
+        tree = fresh
+        seen |= set(fresh)
+        if len(found) >= max_paths:
+            break
+    return found
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_pruned_paths_are_the_paths(spark, seed):
+    rng = random.Random(seed)
+    rows = sorted({(f"n{rng.randrange(14)}", f"n{rng.randrange(14)}", rng.choice("XYZ"), 0.5) for _ in range(26)} | {("n0", f"leaf{i}", "X", 0.5) for i in range(20)})
+    r, report = edges(spark, *rows), []
+    for hops in (1, 2, 4):
+        got = graph.find_paths(r, "n0", "n5", hops, max_paths=3, report=report).orderBy("path_rank").collect()
+        assert [[(s["back"], s["edge"]) for s in p["steps"][1:]] for p in got] == plain_paths(rows, "n0", "n5", hops, 3)
+    assert report[0].keys() == {"hop", "steps", "kept", "paths"}
+    assert all(x["steps"] < 20 for x in report if x["hop"] == 1)  # no leaf is walked to
+
+
+def test_a_hub_is_spread_and_edges_stay_where_they_are(spark):
+    rows = [("hub", f"n{i}", "X", 0.5) for i in range(400)] + [(f"n{i}", f"n{i + 1}", "X", 0.5) for i in range(200)]
+    r = edges(spark, *rows)
+    stored = adjacency.build_adjacency(r, shard_edges=50)
+    sizes = {(x["node"], x["shard"]): x["count"] for x in stored.steps.groupBy("node", "shard").count().collect()}
+    assert sum(n == "hub" for n, _ in sizes) == 8 and max(sizes.values()) < 100
+    near = spark.createDataFrame([("hub", 1), ("n7", 2)], "node string, tag int")
+    found = stored.hop(near)
+    assert sorted((x["node"], x["neighbor"], x["tag"]) for x in found.collect()) == sorted([("hub", f"n{i}", 1) for i in range(400)] + [("n7", x, 2) for x in ("hub", "n6", "n8")])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = stored.hop(near)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    join = plan[plan.index("SortMergeJoin [node") :]
+    steps = join[: join.index("Exchange")]  # the side of the steps comes first: a sort of the scanned buckets
+    assert "FileScan parquet" in steps and "Bucketed: true" in steps
+    before = {x["id"]: x["hops"] for x in graph.shortest_hops(r, spark.createDataFrame([("n3",)], "id string"), 3, stored).collect()}
+    assert before == {x["id"]: x["hops"] for x in graph.shortest_hops(r, spark.createDataFrame([("n3",)], "id string"), 3).collect()} and len(before) == 401
+    stored.drop()
+
+
 def test_first_of_each(spark):
     from lorewell.operators.query import first_of_each
 
