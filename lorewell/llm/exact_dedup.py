@@ -20,6 +20,8 @@ _STATE = {
 }
 _KEPT = ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone")
 SALTS = 16
+#: Up to so many hit digests (about 10 MB) are sent to every task, so that no other text is exchanged.
+SENT_HITS = 100_000
 
 
 def _own_session(spark: SparkSession) -> SparkSession:
@@ -50,15 +52,18 @@ def digest_state(keys: DataFrame) -> DataFrame:
     return state.select("digest", F.col("first.doc_id").alias("keep_id"), (-F.col("first.less")).alias("keep_chars"), F.col("first.place").alias("keep_place"), "group_size")
 
 
-def run_stream(keys: DataFrame, spark: SparkSession, folder: str, files_per_batch: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def run_stream(keys: DataFrame, spark: SparkSession, folder: str, files_per_batch: int | None = None, batch: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Append the keys to folder/keys, feed what is new there through the stream until all of it is consumed, and return
     the new keys, the older ones and the last state of each digest. The stream's state stays in folder/state, so the
     next call finds the copies of every row before. Every micro-batch writes the digests it touched to a folder of its
-    own, so a batch run twice replaces itself."""
-    source = shared_dir(spark, "x").rsplit("-", 1)[1]
+    own, so a batch run twice replaces itself. Keys of a `batch` that were written whole are not written again, so
+    the stream meets them once however often the call is made."""
+    source = f"batch-{batch}" if batch else shared_dir(spark, "x").rsplit("-", 1)[1]
     spark.createDataFrame([], keys.schema).write.mode("overwrite").parquet(f"{folder}/keys/none")
-    older = _read(spark, f"{folder}/keys", keys.schema)  # lists the files that are there now
-    keys.write.parquet(f"{folder}/keys/{source}")
+    written = f"{folder}/keys/{source}"
+    if not _exists(spark, f"{written}/_SUCCESS"):
+        keys.write.mode("overwrite").parquet(written)
+    older = _read(spark, f"{folder}/keys", keys.schema).filter(~F.contains(F.input_file_name(), F.lit(f"/keys/{source}/")))
     own = _own_session(spark)
     reader = own.readStream.schema(keys.schema).option("recursiveFileLookup", "true")
     if files_per_batch:
@@ -73,7 +78,12 @@ def run_stream(keys: DataFrame, spark: SparkSession, folder: str, files_per_batc
     query = groups.writeStream.outputMode("update").foreachBatch(append).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     latest = _read(spark, f"{folder}/groups", schema).groupBy("digest").agg(F.max_by(F.struct("keep_id", "keep_chars", "keep_place", "group_size"), "batch").alias("s"))
-    return spark.read.schema(keys.schema).parquet(f"{folder}/keys/{source}"), older, latest.select("digest", "s.*")
+    return spark.read.schema(keys.schema).parquet(written), older, latest.select("digest", "s.*")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 def _read(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -85,7 +95,7 @@ def _facts(docs: DataFrame, digest, body: bool = False) -> DataFrame:
     return docs.select("doc_id", *columns, *([normalised(F.col("text")).alias("body")] if body else []))
 
 
-def exact_dedup(docs: DataFrame, digest=sha256_digest, files_per_batch: int | None = None, id_col: str = "doc_id", text_col: str = "text", state: str | None = None) -> DataFrame:
+def exact_dedup(docs: DataFrame, digest=sha256_digest, files_per_batch: int | None = None, id_col: str = "doc_id", text_col: str = "text", state: str | None = None, batch: str | None = None) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, digest, keep_place), one row per row of docs.
 
     Rows are equal when their texts are identical without white space. The stream keeps one state per digest; every
@@ -96,7 +106,8 @@ def exact_dedup(docs: DataFrame, digest=sha256_digest, files_per_batch: int | No
     With `state`, a folder that all executors share, the state outlives the call: rows of a later call with the same
     folder meet those of all calls before, in groups that count both, and the texts of older rows that they hit are
     read back for the check from where the state's locators say they are (Parquet files with the same two columns,
-    still in place). Older rows are not returned again, and a row that was kept stays in what was returned then.
+    still in place). Older rows are not returned again, and a row that was kept stays in what was returned then. A call
+    that may be made again after a failure names its rows by a `batch`: with the same name they count once.
 
     Null text counts as empty. Repeated rows are rows: they count in group_size, and rows that share the id that
     stays are all kept. An id may stand on several texts, and each is judged by itself. Null ids sort first among
@@ -105,15 +116,18 @@ def exact_dedup(docs: DataFrame, digest=sha256_digest, files_per_batch: int | No
     spark = docs.sparkSession
     tables = Stored(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.input_file_name().alias("place"))
-    keys, older, groups = run_stream(_facts(rows, digest), spark, state or shared_dir(spark, "dedup"), files_per_batch)
+    keys, older, groups = run_stream(_facts(rows, digest), spark, state or shared_dir(spark, "dedup"), files_per_batch, batch)
     groups = tables.put(groups.join(keys.select("digest"), "digest", "left_semi"), "dedup-latest")
     out = keys.join(groups, "digest")
     bodies = _facts(rows, digest, body=True)
     if state:
         bodies = bodies.unionByName(_read_back(spark, older, groups, digest, id_col, text_col, docs.schema))
-    # Salted, so that the copies of one text are spread over SALTS tasks.
-    hits = groups.filter("group_size > 1").select("digest", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
-    hit = bodies.withColumn("salt", (F.monotonically_increasing_id() % SALTS).cast("int")).join(hits, ["digest", "salt"], "left_semi")
+    hits = groups.filter("group_size > 1").select("digest")
+    if hits.count() <= SENT_HITS:
+        hit = bodies.join(F.broadcast(hits), "digest", "left_semi")
+    else:  # salted, so that the copies of one text are spread over SALTS tasks
+        hits = hits.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+        hit = bodies.withColumn("salt", (F.monotonically_increasing_id() % SALTS).cast("int")).join(hits, ["digest", "salt"], "left_semi")
     differ = tables.put(hit.groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high")).filter("low <> high").select("digest"), "dedup-collisions")
     columns = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest", "keep_place"]
     if differ.isEmpty():

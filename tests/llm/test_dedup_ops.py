@@ -119,6 +119,32 @@ def test_exact_dedup_state_outlives_a_call(spark, tmp_path):
         assert calls == [[(1, 1, 1), (2, 2, 1), (3, 3, 1)], [(0, 6, 3), (4, 1, 2), (5, 5, 1), (6, 6, 3)]]
 
 
+def test_exact_dedup_called_again_counts_once(spark, tmp_path):
+    """A named batch that is run again, after it ended and after it died with its keys written, and one that died before."""
+    state, calls = str(tmp_path / "state"), []
+    for n, rows in enumerate(([(1, "a b"), (2, "c"), (3, "c ")], [(4, "ab"), (5, "e")])):
+        path = str(tmp_path / f"docs{n}")
+        frame(spark, rows).write.parquet(path)
+        if n:  # keys without their mark, as a job leaves them that died while it was committing
+            frame(spark, rows).write.parquet(f"{state}/keys/batch-{n}")
+            (tmp_path / "state" / "keys" / f"batch-{n}" / "_SUCCESS").unlink()
+        for _ in range(2):
+            out = exact_dedup.exact_dedup(spark.read.parquet(path), state=state, batch=str(n))
+            calls.append(sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in out.collect()))
+    assert calls == [[(1, 1, 1), (2, 3, 2), (3, 3, 2)]] * 2 + [[(4, 1, 2), (5, 5, 1)]] * 2
+
+
+def test_exact_dedup_with_many_hits(spark, monkeypatch):
+    """More hits than are sent to every task: the same rows by the salted join."""
+    rows = [(i, f"text {i % 7}  {'x' * (i % 3)}") for i in range(60)]
+    want = sorted(map(str, exact_dedup.exact_dedup(frame(spark, rows)).collect()))
+    monkeypatch.setattr(exact_dedup, "SENT_HITS", 3)
+    one = lambda text: F.substring(F.sha2(text, 256), 1, 1)
+    assert sorted(map(str, exact_dedup.exact_dedup(frame(spark, rows)).collect())) == want
+    key = lambda out: sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in out.collect())
+    assert key(exact_dedup.exact_dedup(frame(spark, rows), one)) == key(exact_dedup.exact_dedup(frame(spark, rows)))
+
+
 # Two words of 1,024 letters that every polynomial modulo 2**64 maps to the same number.
 MORSE = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
 ESROM = MORSE.translate(str.maketrans("ab", "ba"))
