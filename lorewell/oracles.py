@@ -209,6 +209,13 @@ ORACLES = {
     "r5_merge_chains": CHAINS + "select id, head_id, tail_id, label, confidence from merged",
     "r5_merge_evidence": CHAINS + "select id, relation_id, chunk_id, quote_hash from mev",
     "r5_merge_report": CHAINS + "select 'several targets' as what, count(*) as rows from map0 where (source_id, target_id) not in (select source_id, target_id from chosen) having count(*) > 0 union all select 'cycle', count(*) from chosen where source_id not in (select source_id from ends) having count(*) > 0 union all select 'no such target', count(*) from ends where target_id not in (select id from ent) having count(*) > 0 union all select 'merged', count(*) from root having count(*) > 0 union all select 'entities', (select count(*) from ent) - count(*) from root union all select 'orphan edges', 0 union all select 'orphan evidence', 0",
+    "s4_filter_corpus_dates": "with x as (select doc_id as id, lower(text) as t, date '2024-01-01' + (doc_id % 365)::int as publication_date from documents), y as (select id, contains(t, 'the')::int + contains(t, 'la ')::int + contains(t, 'der ')::int as score, publication_date from x where publication_date between date '2024-02-01' and date '2024-04-30') select id, score::int as score, publication_date::date as publication_date from y where score > 0 order by score desc, id limit 25",
+    "c11_preview_chunks": SENTENCES % (1000, 200) + "select id as document_id, k::int as chunk_index, text, a::int as start_offset, b::int as end_offset from packed where id in (select doc_id from documents order by doc_id limit 5)",
+    "q9_list_documents_newest": KG + ", n as (select c_custkey as id, count(o_orderkey) as chunk_count, count(u.chunk_id) > 0 as has_extractions, min(o_orderdate) as born from customer left join orders on o_custkey = c_custkey left join (select distinct chunk_id from ev) u on u.chunk_id = 'o' || o_orderkey group by 1) select id, chunk_count, has_extractions from n order by born desc nulls last, id limit 20 offset 20",
+    "g9_build_kg_drop_on_error": KG + "select chunk_id, (rn - 1)::int as position, name, type from m20 where substr(chunk_id, 2)::bigint % 50 <> 0",
+    "x2_repairs_parsed": KG + ", n as (select *, row_number() over (partition by chunk_id order by position) - 1 as rn, count(*) over (partition by chunk_id) as many from mention where chunk_id like 'o%') select chunk_id, rn::int as position, name, type, normalized_name from n where rn < 20 and (substr(chunk_id, 2)::bigint % 6 <> 5 or rn < many - 2)",
+    "x3_parse_capped": KG + ", n as (select 'c' || o_custkey as chunk_id, head, tail, row_number() over (partition by o_custkey order by o_orderkey, position) - 1 as p from line join orders on o_orderkey = l_orderkey) select chunk_id, (2 * p)::int as position, head as name, 'Gene' as type from n where p < 10 union all select chunk_id, (2 * p + 1)::int, tail, 'Compound/Drug' from n where p < 10",
+    "x4_parse_capped": KG + ", n as (select 'c' || o_custkey as chunk_id, head, tail, label, confidence, row_number() over (partition by o_custkey order by o_orderkey, position) - 1 as p from line join orders on o_orderkey = l_orderkey), r as (select *, row_number() over (partition by chunk_id order by confidence desc, p) as place from n where confidence >= 0.5) select chunk_id, p::int as position, head, tail, label, confidence from r where place <= 30",
     "i1_stream_ingest": "with x as (select doc_id, doc_id // 10 as pmid from documents), old as (select min(doc_id::varchar) as id, pmid from x where doc_id % 20 = 0 group by pmid) select id, pmid::varchar as pmid from old union all select min(doc_id::varchar), pmid::varchar from x where pmid not in (select pmid from old) group by pmid",
     "i2_stream_relations": KG + _kg["g9_build_kg"],
     "i2_stream_evidence": "select id, relation_id, quote from (" + KG + _kg["g9_build_kg_evidence"] + ")",

@@ -51,6 +51,13 @@ def s4_filter_corpus(spark, d):
     return tables.filter_corpus(documents(spark, d), [["the", "la "], ["tion", "ung"]], text=("abstract",)).select("id", "score")
 
 
+@query_of
+def s4_filter_corpus_dates(spark, d):
+    """Three months of a year, a document a day, the best 25."""
+    dated = documents(spark, d).withColumn("publication_date", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 365).cast("int")))
+    return tables.filter_corpus(dated, [["the", "la ", "der "]], min_date="2024-02-01", max_date="2024-04-30", limit=25, text=("abstract",)).select("id", "score", "publication_date")
+
+
 @query_of
 def s5_full_text(spark, d):
     return documents(spark, d).select("id", F.md5(T.full_text(F.col("source"), F.col("abstract"))).alias("h"))
@@ -127,6 +134,11 @@ def c9_chunk_at_offset_first(spark, d):
     return chunking.chunk_at_offset(char_chunks(spark, d), at, first=True).select("document_id", "offset", "chunk_index", "relative")
 
 
+@query_of
+def c11_preview_chunks(spark, d):
+    return chunking.preview_chunks(documents(spark, d), 5, size=1000, overlap=200).select("document_id", "chunk_index", "text", "start_offset", "end_offset")
+
+
 @query_of
 def c10_offsets(spark, d):
     a, b = F.col("start_offset"), F.col("end_offset")
@@ -152,6 +164,46 @@ def x2_repair_json(spark, d):
     return answers.select("chunk_id", F.md5(T.repair_json(T.extract_json(F.col("content")))).alias("h"))
 
 
+@query_of
+def x2_repairs_parsed(spark, d):
+    """The entity answers with every fault that is mended, a sixth of the chunks each: a comma too many, none between objects,
+    none after a string, a number or an object at a line's end, and answers that were cut off."""
+    lines = Star(spark, d).mentions.filter(F.col("chunk_id").startswith("o"))
+    kind = F.pmod(F.substring("chunk_id", 2, 20).cast("long"), F.lit(6))
+    item = F.to_json(F.struct("name", "type", "normalized_name"))
+    item = F.when(kind == 2, F.replace(item, F.lit(',"type"'), F.lit('\n"type"'))).when(kind == 3, F.concat(F.lit('{"score":1\n'), F.substring(item, 2, 2000))).when(kind == 4, F.concat(F.lit('{"of":{}\n'), F.substring(item, 2, 2000))).otherwise(item)
+    lines = lines.groupBy("chunk_id", kind.alias("kind")).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", item.alias("j")))), lambda x: x["j"]).alias("items"))
+    body = F.concat(F.lit('Sure: {"entities": ['), F.when(F.col("kind") == 1, F.array_join("items", " ")).otherwise(F.array_join("items", ", ")))
+    content = F.when(F.col("kind") == 5, F.expr("substring(body, 1, char_length(body) - 5)")).when(F.col("kind") == 0, F.concat("body", F.lit(",]}"))).otherwise(F.concat("body", F.lit("]}")))
+    answers = lines.withColumn("body", body).select(F.lit("run1").alias("run_id"), "chunk_id", F.lit("entities").alias("pass"), content.alias("content"))
+    return parsing.parse_entities(answers).select("chunk_id", "position", "name", "type", "normalized_name")
+
+
+def _long_answers(spark: SparkSession, d: str) -> DataFrame:
+    """All lines of a customer as one chunk: more entities and relations than are taken of one."""
+    s = Star(spark, d, keep=True)
+    lines = s.lines.join(s.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    named = lambda c, kind: F.struct(F.col(c).alias("name"), F.lit(kind).alias("type"), F.lower(F.translate(c, " -", "__")).alias("normalized_name"))
+    both = F.to_json(F.array(named("head", "Gene"), named("tail", "Compound/Drug")))
+    relation = F.to_json(F.struct("head", "tail", "label", "confidence", "evidence"))
+    rows = lines.withColumns({"both": both, "relation": relation}).select("o_custkey", F.struct("l_orderkey", "position", F.expr("substring(both, 2, char_length(both) - 2)").alias("both"), "relation").alias("x"))
+    rows = rows.groupBy("o_custkey").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    text = lambda name, field: F.concat(F.lit(f'{{"{name}": ['), F.array_join(F.col(f"xs.{field}"), ", "), F.lit("]}"))
+    rows = rows.select(F.concat(F.lit("c"), "o_custkey").alias("chunk_id"), F.explode(F.array(F.struct(F.lit("entities").alias("pass"), text("entities", "both").alias("content")), F.struct(F.lit("relations").alias("pass"), text("relations", "relation").alias("content")))).alias("a"))
+    return rows.select(F.lit("run1").alias("run_id"), "chunk_id", "a.*")
+
+
+@query_of
+def x3_parse_capped(spark, d):
+    return parsing.parse_entities(_long_answers(spark, d)).select("chunk_id", "position", "name", "type")
+
+
+@query_of
+def x4_parse_capped(spark, d):
+    answers = _long_answers(spark, d)
+    return parsing.parse_relations(answers, parsing.parse_entities(answers)).select("chunk_id", "position", "head", "tail", "label", "confidence")
+
+
 @query_of
 def x3_parse_entities(spark, d):
     return parsing.parse_entities(Star(spark, d).outputs).select("chunk_id", "position", "name", "type", "normalized_name")
@@ -251,6 +303,13 @@ def g9_build_kg(spark, d):
     return g.relations
 
 
+@query_of
+def g9_build_kg_drop_on_error(spark, d):
+    """A chunk whose relation answer is no JSON loses its mentions too."""
+    s = Star(spark, d, keep=True)
+    return build_kg(s.outputs, s.chunks, drop_on_error=True).mentions.select("chunk_id", "position", "name", "type")
+
+
 @query_of
 def g9_build_kg_evidence(spark, d):
     s = Star(spark, d, keep=True)
@@ -363,6 +422,16 @@ def q9_list_documents(spark, d):
     return query.list_documents(*_customers(s), s.evidence)
 
 
+@query_of
+def q9_list_documents_newest(spark, d):
+    """The second page of customers, those with the latest first order on top."""
+    s = Star(spark, d)
+    docs, chunks = _customers(s)
+    born = s.table("orders").groupBy(F.col("o_custkey").alias("id")).agg(F.min("o_orderdate").alias("created_at"))
+    listed = query.list_documents(docs.join(born, "id", "left"), chunks, s.evidence)
+    return query.paginate(listed, [F.desc_nulls_last("created_at")], 2, 20).select("id", "chunk_count", "has_extractions")
+
+
 @query_of
 def q10_get_document(spark, d):
     s = Star(spark, d)
@@ -656,6 +725,30 @@ def a8_repair_summary(spark, d):
     return out.select("repairs", *(F.round(c, 6).alias(c) for c in ("min_similarity", "avg_similarity", "max_similarity")), "single_sentence", "multi_sentence")
 
 
+def _repaired(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    quotes, chunks = benchmark_evidence(spark, d)
+    return quotes, store(evidence.repair_candidates(quotes, chunks), "candidates")
+
+
+@query_of
+def a7_repair_chain(spark, d):
+    """The candidates of A6 applied, then one row a relation and quote, which is checked."""
+    quotes, candidates = _repaired(spark, d)
+    done = evidence.dedup_evidence(evidence.apply_repairs(quotes, candidates), ("chunk_id", "id"))
+    return evidence.assert_unique(store(done, "repaired"), ["relation_id", "quote_hash"]).select("id", "relation_id", "quote", "quote_hash")
+
+
+@query_of
+def a8_repair_chain_summary(spark, d):
+    out = evidence.repair_summary(_repaired(spark, d)[1])
+    return out.select("repairs", *(F.round(c, 6).alias(c) for c in ("min_similarity", "avg_similarity", "max_similarity")), "single_sentence", "multi_sentence")
+
+
+@query_of
+def a14_diagnosis_chain(spark, d):
+    return evidence.diagnosis_recommendations(evidence.diagnose_quotes(*benchmark_evidence(spark, d))).select("cause", "count", "pct", "advice")
+
+
 @query_of
 def a9_diagnose_quotes(spark, d):
     return evidence.diagnosis_summary(evidence.diagnose_quotes(*benchmark_evidence(spark, d)))
