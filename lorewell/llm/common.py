@@ -51,8 +51,16 @@ def remove(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Bucketed tables made so far and not dropped.
+TABLES: set[str] = set()
+
+
 def remove_scratch(spark: SparkSession) -> None:
-    """Delete all intermediate tables of this application; call it when no result is read any more."""
+    """Delete all intermediate tables of this application, those in the catalogue too; call it when no result is read any
+    more."""
+    for table in sorted(TABLES):
+        spark.sql(f"drop table if exists {table}")
+    TABLES.clear()
     remove(spark, scratch(spark))
 
 
@@ -77,11 +85,13 @@ class Stored:
         df.write.bucketBy(n, *([by] if isinstance(by, str) else by)).option("path", path).format("parquet").saveAsTable(table)
         self.drop(name)
         self.paths[name], self.buckets[name] = path, table
+        TABLES.add(table)
         return self.spark.table(table)
 
     def drop(self, *names: str) -> None:
         for name in names:
             if name in self.buckets:
+                TABLES.discard(self.buckets[name])
                 self.spark.sql(f"drop table if exists {self.buckets.pop(name)}")
             if name in self.paths:
                 remove(self.spark, self.paths.pop(name))

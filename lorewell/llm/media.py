@@ -51,9 +51,12 @@ def _peaks(x: np.ndarray) -> np.ndarray:
     power = np.round(power, 2)
     inner = power[:, 1:-1]
     top = np.where((inner >= power[:, :-2]) & (inner > power[:, 2:]), inner, -1)
-    best = np.argpartition(-top, PEAKS, axis=1)[:, :PEAKS]
-    found = np.take_along_axis(top, best, axis=1) > 0
-    return np.where(found, best + 1, -1).astype(np.int64)
+    found, frame = [], np.arange(len(top))
+    for _ in range(PEAKS):
+        best = top.argmax(axis=1)  # the first, so the lowest frequency, among equal ones
+        found.append(np.where(top[frame, best] > 0, best + 1, -1))
+        top[frame, best] = -1
+    return np.stack(found, axis=1).astype(np.int64)
 
 
 def fingerprint(samples: bytes) -> np.ndarray:

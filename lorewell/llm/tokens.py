@@ -145,7 +145,8 @@ _PERSONAL = regex.compile(r"(?P<mail>[\w.+-]+@[\w-]+(?:\.[\w-]+)+)|(?P<address>\
 
 
 def personal_data_edits(docs: DataFrame) -> DataFrame:
-    """(id, text, edits) for (id, text): replace personal data by its kind in angle brackets."""
+    """(id, text, edits) for (id, text): replace personal data by its kind in angle brackets. Null and empty texts have
+    no edits; ids may be null or repeat."""
 
     def run(batches):
         for batch in batches:

@@ -64,6 +64,107 @@ def test_fingerprint_finds_a_tone():
     assert ((codes >> 22) & 1023 == 20).mean() > 0.2 and (np.diff(codes) >= 0).all()
 
 
+def plain_fingerprint(samples):
+    """Every frame by a plain Fourier sum, its peaks by sorting, all pairs by loops."""
+    n, k = media.FRAME, np.arange(media.FRAME // 2 + 1)
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
+    turn = np.exp(-2j * np.pi * np.outer(np.arange(n), k) / n)
+    peaks = []
+    for a in range(0, len(samples) - n + 1, media.HOP):
+        power = np.round(np.abs(((np.frombuffer(samples[a : a + n], np.uint8) - 128.0) * window) @ turn), 2)
+        tops = [f for f in k[1:-1] if power[f - 1] <= power[f] > power[f + 1]]
+        peaks.append(sorted(tops, key=lambda f: (-power[f], f))[: media.PEAKS])
+    codes = [(t << 32) | (int(f) << 22) | (int(g) << 12) | dt for t, fs in enumerate(peaks) for dt in range(1, media.AHEAD + 1) if t + dt < len(peaks) for f in fs for g in peaks[t + dt]]
+    return sorted(codes)
+
+
+def test_fingerprints_are_brute_force():
+    rng = np.random.default_rng(5)
+    t = np.arange(4000)
+    tones = np.round(128 + 40 * np.sin(2 * np.pi * 9 * t / media.FRAME) + 40 * np.sin(2 * np.pi * 31 * t / media.FRAME + 1)).astype(np.uint8)
+    for sound in (rng.integers(0, 256, 6000, np.uint8), tones, rng.integers(97, 123, media.UNIT, np.uint8)):
+        assert media.fingerprint(sound.tobytes()).tolist() == plain_fingerprint(sound.tobytes())
+
+
+def test_silence_has_no_peaks():
+    assert (media._peaks(np.full(media.FRAME, 128, np.uint8)) == -1).all()
+
+
+def test_long_sounds_are_cut_into_blocks_without_a_seam(monkeypatch):
+    sound = np.random.default_rng(6).integers(0, 256, media.FRAMES * media.HOP + 50_000, np.uint8).tobytes()
+    whole = media.fingerprint(sound)
+    assert whole.max() >> 32 > media.FRAMES
+    monkeypatch.setattr(media, "FRAMES", 1 << 20)
+    assert (media.fingerprint(sound) == whole).all()
+
+
+def test_media_names_that_clash(spark):
+    rows = [(1, "Some text. " * 30000, "x", "x", "x"), (1, None, "x", None, "x"), (None, "", None, "x", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, data string, media string, fingerprint string")
+    out = {(r["doc_id"], r["n_bytes"]): r for r in media.wav_columns(docs, keep_media=True).collect()}
+    assert set(out) == {(1, 330_000), (1, 0), (None, 0)} and out[1, 0]["media_sha256"] == out[None, 0]["media_sha256"]
+    assert media.wav_columns(docs.limit(0)).count() == 0
+
+
+def test_language_vectors_are_brute_force(spark):
+    """Counts by loops over letters, inverse frequencies over all rows, the nearest centroid by plain cosines."""
+    texts = ["Ab ab, ba!", "", "1 2", "héé Hé", "abc abd " * 40]
+    for text, got in zip(texts, langid.ngram_counts(texts)):
+        letters = bytes(b if b > 127 or 97 <= b <= 122 else 32 for b in (" " + text.lower() + " ").encode())
+        while b"  " in letters:
+            letters = letters.replace(b"  ", b" ")
+        want = np.zeros(langid.DIMS)
+        for n in (2, 3):
+            for i in range(len(letters) - n + 1):
+                gram = sum(letters[i + j] << (8 * j) for j in range(n)) + (n << 24)
+                want[(gram * 2654435761) % 2**32 >> (32 - langid.BITS)] += 1
+        assert (got == want).all(), text
+    rows = [(i, (EN if i % 2 else FR)[i % 7 :] * (1 + i % 3), "en" if i % 2 else "fr", None, None) for i in range(40)] + [(99, "zq " * 50, None, None, None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = langid.fit(docs.select(F.col("doc_id").alias("id"), "text", "lang"))
+    counts = langid.ngram_counts([r[1] for r in rows]).astype(float)
+    df = (counts[:40] > 0).sum(axis=0)
+    idf = np.log(41 / (1 + df)) + 1
+    assert np.allclose(model.idf, idf, rtol=1e-5) and np.allclose(np.linalg.norm(model.centroids, axis=1), 1, atol=1e-5)
+    v = np.log1p(counts) * idf
+    cos = v / np.linalg.norm(v, axis=1, keepdims=True) @ model.centroids.T
+    for r, c in zip(sorted(langid.predict(docs, model).collect(), key=lambda r: r["doc_id"]), cos):
+        assert r["lang_pred"] == model.langs[int(c.argmax())] and abs(r["score"] - max(0, c.max())) < 1e-4
+        assert r["rejected"] == (c.max() < model.floors[int(c.argmax())])
+
+
+def test_centroids_are_the_means_of_their_members():
+    rng = np.random.default_rng(8)
+    v = np.concatenate([rng.normal(m, 0.1, (30, 5)) for m in ([1, 0, 0, 0, 0], [0, 1, 0, 0, 0], [0, 0, 1, 1, 0])]).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    c = langid._cluster(v, 3, 8)
+    own = (v @ c.T).argmax(axis=1)
+    assert len(set(own[:30])) == len(set(own[30:60])) == len(set(own[60:])) == 1 and len(set(own)) == 3
+    for j in range(3):
+        mean = v[own == j].sum(axis=0)
+        assert np.allclose(c[j], mean / np.linalg.norm(mean), atol=1e-5)
+
+
+def test_token_edge_cases(spark):
+    """No rows, names that clash, nulls in every column, repeated rows."""
+    schema = "id long, text string, n_tokens string, tree string, n_edits string, n_encoded string"
+    rows = [(1, "call 1234567890", "x", None, "x", "x"), (1, "call 1234567890", "x", None, "x", "x"), (None, "a.b@c.de", None, None, None, None), (2, None, "x", "x", "x", "x")]
+    edited = tokens.personal_data_edits(spark.createDataFrame(rows, schema).select("id", "text"))
+    assert sorted((len(r["edits"]) for r in edited.collect())) == [0, 1, 1, 1]
+    out = sorted((str(r["id"]), r["n_edits"]) for r in tokens.count_edited(edited).collect())
+    assert out == [("1", 1), ("1", 1), ("2", 0), ("None", 1)]
+    none = spark.createDataFrame([], schema)
+    assert tokens.count_edited(tokens.personal_data_edits(none.select("id", "text"))).count() == 0 and tokens.build_trees(none).count() == 0
+    nothing = edited.withColumn("edits", F.lit(None).cast(edited.schema["edits"].dataType)).withColumns({c: F.lit("x") for c in ("n_tokens", "tree", "n_edits_after")})
+    assert {(r["n_edits"], r["n_tokens"] == r["n_tokens_after"]) for r in tokens.count_edited(nothing).collect()} == {(0, True)}
+
+
+def test_a_long_unbroken_text_comes_back_whole(spark):
+    rows = [(1, "x" * 60_000, "x"), (2, "é" * 5_000 + "🙂" * 300, "x"), (3, "".join(chr(0x4E00 + i % 5000) for i in range(12_000)), "x")]
+    out = pieces.encode_texts(spark.createDataFrame(rows, "doc_id long, text string, ids string"), decode_too=True)
+    assert out.filter(~F.col("decoded").eqNullSafe(F.col("text"))).count() == 0 and out.count() == 3
+
+
 def test_token_trees_match_recounts(spark):
     counter = tokens.Counter(tokens.VOCABULARY)
     full = lambda t: sum(counter.counts(counter.split.findall(t)))
