@@ -8,6 +8,9 @@ decided back on that number. Null ids are ids like others (the smallest), rows t
 and a row that is repeated whole is a copy of itself, of which one stays. Null and empty texts have no letter, so the
 first stage drops them. Rows travel as one struct beside the number, so that columns of any name pass through. Stages
 on a table without rows return one without rows.
+
+What a stage returns must be written before any stage is called again in the application: that call deletes the
+intermediate tables which the frame reads, unless it is that call's own docs.
 """
 
 from __future__ import annotations
