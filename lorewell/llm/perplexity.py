@@ -19,6 +19,7 @@ partitions changes nothing. Predictive probabilities are averaged over the sweep
 from __future__ import annotations
 
 import io
+import math
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 
@@ -38,8 +39,8 @@ STRENGTH = 1.0
 BLOCK, PART, SHARD = 1 << 20, 1 << 21, 1 << 22
 #: What a block is told: the numbers of its words, the tables of restaurants, the customers and tables of pairs and words.
 NUMBERS, TABLES, PAIRS = range(3)
-#: Up to this count a dish's conditional is summed by Stirling numbers; beyond, customers are drawn in blocks.
-TABLE = 512
+#: Up to this count Stirling numbers are kept in a table; beyond, those of a dish are computed by a contour integral.
+TABLE = 2048
 _U64 = np.uint64
 END = mix(np.array([1], np.uint64))[0]
 #: Keys of words that several parts share, beyond those of restaurants.
@@ -110,63 +111,70 @@ def draw_tables(key: np.ndarray, count: np.ndarray, tables_else: np.ndarray, bas
         w = stirling(discount, TABLE)[c, 1 : c + 1] + new + t * np.log(base[at])[:, None]
         w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
         out[at] = 1 + (w < u[at, None] * w[:, -1:]).sum(axis=1)
-    far = np.flatnonzero(count > TABLE)
-    for some in np.array_split(far, max(1, len(far) // 4096)):
-        if len(some):
-            out[some] = draw_far(key[some], count[some].astype(float), a[some], discount * base[some], discount)
+    for i in np.flatnonzero(count > TABLE).tolist():
+        t, w = conditional(int(count[i]), float(a[i]), float(base[i]), discount)
+        w = np.cumsum(w)
+        out[i] = t[min(int(np.searchsorted(w, u[i] * w[-1])), len(t) - 1)]
     return out
 
 
-def draw_far(key: np.ndarray, c: np.ndarray, a: np.ndarray, rate: np.ndarray, discount: float) -> np.ndarray:
-    """The same for large counts, where no table of Stirling numbers reaches. Customers come one after the other, in
-    blocks that grow with their number j: given that all c are to be of this dish, one opens a table with odds
-    rate (a + t) ahead / (j - discount t), where `ahead` is how much less likely the customers still to come make it.
-    d log ahead / d log j = (discount - rate ahead) / (1 - (discount t - rate (a + t) ahead) / j), ahead = 1 at the end: solved
-    backwards along the mean path, which itself is found with the solution for few tables, (j / c) ** discount."""
-    at, steps = 1, []
-    while at < c.max():
-        steps.append((at, max(1, at // 32)))
-        at += steps[-1][1]
-    size = [np.clip(c - j, 0, n) for j, n in steps]
-    ahead = np.stack([np.minimum((j + n / 2) / c, 1.0) ** discount for j, n in steps])
-    for _ in range(2):
-        t, path = np.ones(len(c)), []
-        for (j, _n), n, h in zip(steps, size, ahead):
-            path.append(t)
-            odds = rate * (a + t) * h / np.maximum(j + n / 2 - discount * t, 1e-9)
-            t = t + n * odds / (1 + odds)
-        log = np.zeros(len(c))
-        for i in range(len(steps) - 1, -1, -1):
-            j, n, t, h = steps[i][0], size[i], path[i], np.exp(log)
-            slope = (discount - rate * h) / np.maximum(1 - (discount * t - rate * (a + t) * h) / (j + n / 2), 0.05)
-            log = log - slope * np.log1p(n / j)
-            ahead[i] = np.exp(log + slope * np.log1p(n / j) / 2)
-    t = np.ones(len(c))
-    for i, ((j, _n), n, h) in enumerate(zip(steps, size, ahead)):
-        odds = rate * (a + t) * h / np.maximum(j + n / 2 - discount * t, 1e-9)
-        t = np.minimum(t + _binomial(_uniform(key + _U64(i + 1)), n, odds / (1 + odds)), j + n)
-    return t.astype(np.int64)
-
-
-def _binomial(u: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """By inversion; where many are expected, rounded from the normal distribution."""
-    out = np.zeros(len(u))
-    mean, spread = n * p, np.sqrt(n * p * (1 - p))
-    many = mean > 40
-    if many.any():
-        z = np.clip(u[many], 1e-12, 1 - 1e-12)
-        z = np.log(z / (1 - z)) / 1.702  # the logistic curve's quantile, near the normal one's
-        out[many] = np.clip(np.round(mean[many] + z * spread[many]), 0, n[many])
-    on = np.flatnonzero(~many & (mean > 0))
-    here = np.exp(n[on] * np.log1p(-p[on]))
-    total, k = here.copy(), 0
-    while len(on):
-        more = (u[on] > total) & (k < n[on])
-        on, here, total = on[more], here[more], total[more]
-        here = here * (n[on] - k) / (k + 1) * p[on] / (1 - p[on])
-        total, k = total + here, k + 1
-        out[on] = k
-    return out
+def _halve(falls, low: float = -500.0, high: float = -1e-12) -> float:
+    """Where a falling function of a negative number crosses 0."""
+    while low - high < 1e-9 * low:
+        middle = (low + high) / 2 if low > -1 else -math.sqrt(low * high)
+        low, high = (middle, high) if falls(middle) > 0 else (low, middle)
+    return low
+
+
+def _saddle_tables(v: float, c: int, discount: float) -> float:
+    """For which number of tables log(1 - x) = v is the saddle point of the integral below; rises with v."""
+    return c * math.expm1(discount * v) / math.expm1(v) * math.exp((1 - discount) * v) / discount
+
+
+def coefficients(c: int, t: np.ndarray, discount: float) -> np.ndarray:
+    """Logarithms, but for a constant, of c! / (t! discount**t) times generalised Stirling numbers, for numbers of tables t that
+    lie close together. They are the coefficients of x**c in (1 - (1 - x)**discount)**t, which Cauchy's integral gives. With
+    x = exp(-u / c) it is summed by the trapezoidal rule on a parabola u = u0 (1 + i y)**2 through the saddle point of the
+    middle t and around the cut, until terms have faded; where nearly all customers open tables, on the circle through it."""
+    at = float(t[len(t) // 2])
+    v = min(_halve(lambda v: at - _saddle_tables(v, c, discount)), -1e-4)
+    u0 = max(-c * math.log1p(-math.exp(v)), 2.0)
+    x, s = math.exp(-u0 / c), -math.expm1(-u0 / c)
+    fall = discount * s ** (discount - 1) * x / c / (1 - s**discount)
+    bend = at * (fall * ((1 - discount) * x / (c * s) + 1 / c) - fall * fall)
+    if v > math.log(0.1) and c - at < 1000:
+        u, weight = u0 + 1j * np.pi * c * (np.arange(192) + 0.5) / 192, np.ones(192)
+    else:
+        y = min(0.2, 0.3 / (u0 * math.sqrt(max(bend, 1e-300)))) * (np.arange(96) + 0.5)
+        y = y[2 * u0 * y < np.pi * c]
+        u, weight = u0 * (1 + 1j * y) ** 2, (1 + 1j * y) * (u0 * (y[1] - y[0]) * 2 / np.pi / c)
+    g, mean = np.log(1 - (-np.expm1(-u / c)) ** discount), math.log1p(-(s**discount))
+    size = u - u0 + at * (g - mean)
+    faded = np.flatnonzero(size.real < -45)[:1]
+    n = int(faded[0]) if len(faded) else len(u)
+    total = np.exp((t[:, None] - at) * (g[:n] - mean)) @ (np.exp(size[:n]) * weight[:n])
+    return np.log(np.maximum(total.real, 1e-300)) + t * mean + u0 - (math.log(192) if len(weight) == 192 else 0)
+
+
+def conditional(c: int, a: float, base: float, discount: float) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of tables, their weights) of a dish with so many customers that no table of Stirling numbers is kept: the
+    same full conditional, over all numbers whose weight is above 1e-13 of the largest."""
+    tables = lambda v: _saddle_tables(v, c, discount)
+    slope = lambda v: math.log(-math.expm1(discount * v) * base) + math.log((a + tables(v)) / max(tables(v), 1e-300))
+    v = _halve(slope)
+    step = 1e-4 * -v
+    fall = (slope(v + step) - slope(v - step)) / max(tables(v + step) - tables(v - step), 1e-300)
+    top, spread = tables(v), math.sqrt(-1 / fall if fall < 0 else c)
+    width, block = 9 * spread + 20, max(32, int(2 * spread))
+    while True:
+        low, high = max(1, int(top - width)), min(c, int(top + width))
+        t = np.arange(low, high + 1)
+        log = np.concatenate([coefficients(c, t[i : i + block], discount) for i in range(0, len(t), block)])
+        log += np.append(0, np.cumsum(np.log(base * (a + t[1:] - 1) / t[1:])))
+        w = np.exp(log - log.max())
+        if (w[0] < 1e-13 or low == 1) and (w[-1] < 1e-13 or high == c):
+            return t, w
+        width *= 2
 
 
 def _key(word: np.ndarray, before: np.ndarray, sweep: int) -> np.ndarray:

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lorewell.llm import components, exact_dedup, groups, jaccard, perplexity, substrings, urls
@@ -280,12 +281,81 @@ def test_tables_are_drawn_from_their_conditional():
     got = np.bincount(draw(perplexity.draw_tables, c), minlength=c + 1)
     for t in range(1, c + 1):
         assert abs(got[t] / n - weight[t] / total) < 0.012
-    # Beyond the table of Stirling numbers: the blocks' draws against the sums, at a count where there are both.
-    for base_, els in ((1e-3, 50), (0.01, 300), (1e-5, 3)):
-        key = np.arange(n, dtype=np.uint64)
-        exact = perplexity.draw_tables(key, np.full(n, 500), np.full(n, els), np.full(n, base_), d, b)
-        far = perplexity.draw_far(key, np.full(n, 500.0), np.full(n, b / d + els), np.full(n, d * base_), d)
-        assert abs(far.mean() - exact.mean()) < 0.04 * exact.mean() and far.max() <= 500 and far.min() >= 1
+
+
+@pytest.mark.parametrize("d", [0.05, 0.5, 0.8, 0.95])
+def test_large_counts_have_the_same_conditional(d):
+    """Beyond the table that is kept, against sums of Stirling numbers, from few tables to nearly a table each."""
+    c = 2300
+    s, t = perplexity.stirling(d, c)[c, 1:], np.arange(1, c + 1)
+    for a in (1 / d, 30.0, 1000.0, 1e6):
+        for base in (1e-7, 1e-3, 0.05, 0.5):
+            exact = s + np.cumsum(np.log(d * (a + t - 1))) + t * np.log(base)
+            exact = np.exp(exact - exact.max())
+            at, w = perplexity.conditional(c, a, base, d)
+            got = np.zeros(c)
+            got[at - 1] = w
+            assert abs(exact / exact.sum() - got / got.sum()).sum() / 2 < 1e-5
+    n = 4000
+    got = perplexity.draw_tables(np.arange(n, dtype=np.uint64), np.full(n, c), np.full(n, 300), np.full(n, 0.01), d, 1.0)
+    at, w = perplexity.conditional(c, 1 / d + 300, 0.01, d)
+    mean = (at * w).sum() / w.sum()
+    assert abs(got.mean() - mean) < 4 * math.sqrt(((at - mean) ** 2 * w).sum() / w.sum() / n) + 1e-9
+
+
+def plain_scores(rows):
+    """The model over dictionaries, a dish at a time, with the same draws; no parts, blocks or letters."""
+    train, texts = set(), []
+    for i, text in rows:
+        hashes = [int(x) for x in perplexity.word_hashes((text or "").encode(), lower=True)[0]] + [int(perplexity.END)]
+        held = zlib.crc32(str("" if i is None else i).encode()) % 7 == 2
+        texts.append((i, held, hashes))
+    seen = collections.Counter(w for _, held, words in texts if not held for w in words)
+    order = sorted({w for _, _, words in texts for w in words}, key=lambda w: (-seen[w].bit_length(), w))
+    number = {w: k + 1 for k, w in enumerate(order)}
+    count, customers = collections.Counter(), collections.Counter()
+    for i, held, words in texts:
+        for before, w in zip([0] + [number[x] for x in words], words):
+            if not held:
+                count[number[w], before] += 1
+                customers[before] += 1
+    rate = lambda counts: round(min(0.95, max(0.05, counts.count(1) / (counts.count(1) + 2 * counts.count(2)))), 3)
+    d, up = rate(list(count.values())), rate(list(collections.Counter(w for w, _ in count).values()))
+    base = 1 / (sum(n > 0 for n in seen.values()) + 1)
+    draw = lambda key, c, others, p, disc: int(perplexity.draw_tables(perplexity._key(np.array([key[0]]), np.array([key[1]]), key[2]), np.array([c]), np.array([max(others, 0)]), np.array([p]), disc, 1.0)[0])
+    tables, words = dict.fromkeys(count, 1), {w for w, _ in count}
+    top, history = dict.fromkeys(words, 1), []
+    parent = lambda w, mine, top, all_mine, all_top: (max(mine[w] - up * top.get(w, 0), 0) + (1 + up * all_top) * base) / (all_mine + 1)
+    for sweep in range(perplexity.SWEEPS):
+        mine, seats = collections.Counter(), collections.Counter()
+        for (w, before), n in tables.items():
+            mine[w] += n
+            seats[before] += n
+        all_mine, all_top = sum(mine.values()), sum(top.values())
+        top = {w: draw((w, perplexity._SHARED, sweep), mine[w], all_top - top[w], base, up) for w in words}
+        tables = {(w, b): n if (n := count[w, b]) == 1 else draw((w, b, sweep), n, seats[b] - tables[w, b], parent(w, mine, top, all_mine, all_top), d) for w, b in tables}
+        history.append((tables, mine, top, all_mine, sum(top.values())))
+    out = {}
+    kept = history[perplexity.BURN_IN :]
+    for at, (_, _, words_) in enumerate(texts):
+        total = 0.0
+        for before, w in zip([0] + [number[x] for x in words_], (number[x] for x in words_)):
+            p = 0.0
+            for tables, mine, top, all_mine, all_top in kept:
+                seats = sum(n for (_, b), n in tables.items() if b == before)
+                p += (count[w, before] - d * tables.get((w, before), 0) + (1 + d * seats) * parent(w, mine, top, all_mine, all_top)) / (customers[before] + 1)
+            total += math.log10(p / len(kept))
+        out[at] = total
+    return out
+
+
+def test_scores_are_brute_force(spark):
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choice(["the", "a", "of", f"w{rng.randrange(12)}"]) for _ in range(rng.randrange(12)))) for i in range(60)] + [(100, None), (102, "never seen words"), (103, "the of a")]
+    plain = plain_scores(rows)
+    for part, block in ((1 << 21, 1 << 20), (1 << 21, 60)):
+        got = {r["doc_id"]: r["score"] for r in perplexity.score_texts(frame(spark, rows), part=part, block=block).collect()}
+        assert max(abs(got[i] - plain[k]) for k, (i, _) in enumerate(rows)) < 1e-9
 
 
 def test_components(spark):
