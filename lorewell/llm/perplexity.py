@@ -104,13 +104,14 @@ def draw_tables(key: np.ndarray, count: np.ndarray, tables_else: np.ndarray, bas
     whose parents serve the dish with probability base, from their full conditional; key seeds each draw."""
     out = np.minimum(count, 1)
     a, u = strength / discount + tables_else, _uniform(key)
-    for c in np.unique(count[(count > 1) & (count <= TABLE)]).tolist():
-        at = np.flatnonzero(count == c)
-        t = np.arange(1, c + 1)
-        new = np.cumsum(np.log(discount * (a[at, None] + t - 1)), axis=1)
-        w = stirling(discount, TABLE)[c, 1 : c + 1] + new + t * np.log(base[at])[:, None]
-        w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
-        out[at] = 1 + (w < u[at, None] * w[:, -1:]).sum(axis=1)
+    order = np.argsort(count, kind="stable")
+    values, first = np.unique(count[order], return_index=True)
+    for c, at in zip(values.tolist(), np.split(order, first[1:])):
+        if 1 < c <= TABLE:
+            t = np.arange(1, c + 1)
+            w = stirling(discount, TABLE)[c, 1 : c + 1] + np.cumsum(np.log((discount * base[at])[:, None] * (a[at, None] + t - 1)), axis=1)
+            w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
+            out[at] = 1 + (w < u[at, None] * w[:, -1:]).sum(axis=1)
     for i in np.flatnonzero(count > TABLE).tolist():
         t, w = conditional(int(count[i]), float(a[i]), float(base[i]), discount)
         w = np.cumsum(w)
