@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from lorewell.operators import build
+from lorewell.operators import build, quality
 from lorewell.plans.star import Star
 
 SMALL = "/root/testdata/sf0.001"
@@ -33,3 +33,17 @@ def test_first_lines_are_those_of_the_operator(spark):
     assert s.evidence.exceptAll(build.build_evidence(s.resolved)).count() == 0 and build.build_evidence(s.resolved).exceptAll(s.evidence).count() == 0
     whole = build.build_entities(s.mentions)
     assert s.entities.exceptAll(whole).count() == 0 and whole.count() == s.entities.count()
+
+
+def test_edges_with_a_null_end_or_none(spark):
+    edges = spark.createDataFrame([("1", "a", "b"), ("2", None, "b"), ("3", "a", None), ("4", "a", "x"), ("5", "x", "y"), ("6", None, None)], "id string, head_id string, tail_id string")
+    entities = spark.createDataFrame([("a",), ("b",), ("a",)], "id string")
+    found = quality.orphan_relations(edges, entities)
+    assert sorted(r["id"] for r in found.collect()) == ["2", "3", "4", "5", "6"]
+    assert "SortMergeJoin" not in plan(found)
+
+
+def test_facts_are_counted_as_numbers(spark):
+    s = Star(spark, SMALL)
+    done = plan(quality.check_constraints({"relations": s.relations, "evidence": s.raw_evidence}))
+    assert "ObjectHashAggregate" not in done and "collect_list" not in done and "to_json" not in done
