@@ -55,3 +55,16 @@ def test_json_is_found_and_mended(spark):
 def test_pages():
     assert [page_meta(t, p, s)["pages"] for t, p, s in ((100, 1, 20), (101, 1, 20), (0, 1, 20), (5, 1, 0))] == [5, 6, 0, 0]
     assert page_meta(100, 3, 10)["offset"] == 20
+
+
+def test_an_answer_is_mended_once(spark):
+    from lorewell.operators import parsing
+
+    rows = [("r", "1", "entities", '{"entities": [{"name": "a", "type": "gene"},]}'), ("r", "2", "entities", "none"), ("r", "1", "relations", '{"relations": [{"head": "a", "tail": "b", "label": "BINDS", "confidence": "x"}]}'), ("r", "2", "relations", "none")]
+    outputs = spark.createDataFrame(rows, "run_id string, chunk_id string, pass string, content string")
+    mentions, errors = parsing.parse_entities(outputs), parsing.extraction_errors(outputs)
+    entity, relation = (parsing.parsed(outputs, kind).filter("json is null") for kind in ("entities", "relations"))
+    for df, times in ((mentions, 1), (entity, 2), (relation, 2)):  # a filter and, for the rows that pass it, the column
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("```(?:json)?") == times
+    assert [r["name"] for r in mentions.collect()] == ["a"]
+    assert sorted((r["chunk_id"], r["pass"], r["error"]) for r in errors.collect()) == [("1", "relations", "confidence is no number"), ("2", "entities", "not JSON"), ("2", "relations", "not JSON")]
