@@ -107,3 +107,28 @@ def test_first_of_each(spark):
 
     df = spark.createDataFrame([(k, i) for k in "ab" for i in range(30)], "k string, i int")
     assert sorted(map(tuple, first_of_each(df, ["k"], ["i"], 2, salts=4).collect())) == [("a", 0), ("a", 1), ("b", 0), ("b", 1)]
+
+
+def test_few_nodes_are_sent_to_the_edges(spark):
+    rng = random.Random(3)
+    r = edges(spark, *sorted({(f"n{rng.randrange(30)}", f"n{rng.randrange(30)}", "X", 0.5) for _ in range(45)}))
+    near = spark.createDataFrame([("n1", 1), ("n2", 2), ("nowhere", 3)], "node string, tag int")
+    stored, few, many = adjacency.build_adjacency(r), adjacency.Edges(r), adjacency.Edges(r, few=2)
+    rows = lambda x: sorted(map(str, x.hop(near).select("node", "neighbor", "back", "edge", "tag").collect()))
+    assert rows(few) == rows(stored) == rows(many) and few.stored is None and many.stored is not None
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = few.hop(near)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    first = next(line for line in plan.splitlines() if "LeftSemi" in line)
+    assert "BroadcastHashJoin [xxhash64(" in first
+    many.drop()
+    stored.drop()
+
+
+def test_edges_of_a_view_are_stored(spark):
+    r = edges(spark, ("a", "b", "X", 0.5), ("a", "c", "X", 0.5), ("b", "c", "X", 0.5), ("d", "a", "X", 0.5))
+    n, found = graph.top_degree_graph(nodes(spark, "abcd"), r, 3)
+    assert sorted(x["id"] for x in found.collect()) == ["abX", "acX", "bcX"]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
