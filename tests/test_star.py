@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from lorewell.functions import text as T
 from lorewell.operators import build, quality
 from lorewell.plans.star import Star
 
@@ -47,3 +48,36 @@ def test_facts_are_counted_as_numbers(spark):
     s = Star(spark, SMALL)
     done = plan(quality.check_constraints({"relations": s.relations, "evidence": s.raw_evidence}))
     assert "ObjectHashAggregate" not in done and "collect_list" not in done and "to_json" not in done
+
+
+def test_edges_and_evidence_take_numbers_and_no_positions(spark):
+    loose = Star(spark, SMALL)
+    for df in (loose.relations, loose.evidence):
+        assert "Window" not in plan(df)
+    stored = dict(spark.read.parquet(*Star(spark, SMALL, keep=True)._numbers.inputFiles()).dtypes)
+    assert "string" not in stored.values()
+
+
+def test_only_orders_that_name_something_first_are_placed(spark):
+    s = Star(spark, SMALL, keep=True)
+    orders = s._first_orders.select("l_orderkey").distinct().count()
+    assert orders <= s._first_orders.select("head").union(s._first_orders.select("tail")).distinct().count()
+    assert s.entities.exceptAll(build.build_entities(s.mentions)).count() == 0
+
+
+def test_ids_are_packed_and_unpacked(spark):
+    ids = ["a" * 64, "0f" * 32, "A" * 64, "a" * 63, "a" * 64 + "\n", "", "é", "\0", "x" * 32, None]
+    rows = spark.createDataFrame([(x,) for x in ids], "id string").withColumn("b", T.packed("id"))
+    assert [r["back"] for r in rows.select(T.unpacked("b").alias("back")).collect()] == ids
+    assert rows.select("b").distinct().count() == len(ids)
+    assert [r[0] for r in rows.limit(2).select(F.octet_length("b")).collect()] == [32, 32]
+
+
+def test_few_matches_are_broadcast_to_the_edges(spark):
+    s = Star(spark, SMALL, keep=True)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "30k")
+    try:
+        done = plan(quality.term_has_edges(s.entities, s.relations, "africa", "in"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in done
