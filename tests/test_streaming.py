@@ -123,3 +123,11 @@ def test_progress(spark, tmp_path):
     query = incremental.stream_progress(stream).writeStream.outputMode("complete").foreachBatch(lambda df, n: seen.extend(df.collect())).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert seen[-1].asDict() == {"processed": 3, "errors": 1}
+
+
+def test_facts_hold_a_spelling_once(spark):
+    from lorewell.plans.star import Star
+
+    s = Star(spark, "/root/testdata/sf0.001", keep=True)
+    found = incremental._facts(s.outputs, s.chunks).filter("kind = 'entities'")
+    assert found.count() == found.select("key").distinct().count()
