@@ -86,3 +86,34 @@ def test_graph_of_one_text(spark):
 
     g = kg_from_text(spark, "x", ENTITIES, RELATIONS)
     assert g.entities.count() > 0 and g.relations.count() > 0 and g.errors.count() == 0
+
+
+ODD = """{"entities": [{"name": "A", "type": "Gene", "normalized_name": "a"}, {"name": "A", "type": "Disease", "normalized_name": "other"}, null, {"type": "Gene"}, {"name": "B c", "type": "gene"}]}"""
+ODDER = """{"relations": [{"head": "A", "tail": "B c", "label": "BINDS", "confidence": 0.6, "evidence": " b "}, {"head": "A", "label": "inhibits", "confidence": 0.9}, null, {"head": "x", "tail": "A", "label": "BINDS"}, {"head": "A", "tail": "B c", "label": "BINDS", "confidence": 7}, {"head": "A", "tail": "A", "label": "BINDS", "confidence": "NaN"}]}"""
+
+
+def test_a_chunk_in_one_row_says_what_its_answers_say(spark):
+    from lorewell.operators import parsing
+    from lorewell.plans.kg import mentions_of, triples_of
+
+    many = '{"entities": [' + ", ".join(f'{{"name": "n{i}", "type": "{"Gene" if i % 3 else "planet"}"}}' for i in range(50)) + "]}"
+    long = '{"relations": [' + ", ".join(f'{{"head": "n{i}", "tail": "n{i + 1}", "label": "BINDS", "confidence": {0.5 + i % 4 / 10}}}' for i in range(48)) + "]}"
+    o = outputs(spark, ("1", "entities", ODD), ("1", "relations", ODDER), ("2", "entities", many), ("2", "relations", long), ("3", "relations", ODDER), ("4", "entities", ODD), ("4", "relations", "no"), (None, "entities", ODD), (None, "relations", ODDER))
+    mentions = parsing.parse_entities(o)
+    resolved = build.resolve_mentions(parsing.parse_relations(o, mentions), mentions)
+    parsed = parsing.parse_chunks(o)
+    rows = lambda df, like: sorted(map(str, df.select(like.columns).collect()))
+    assert rows(mentions_of(parsed), mentions) == rows(mentions, mentions) and mentions.count() > 20
+    triples = triples_of(parsed)
+    triples = triples.withColumns({"head_id": build.end_id(triples, "h"), "tail_id": build.end_id(triples, "t")})
+    assert rows(triples, resolved) == rows(resolved, resolved) and resolved.count() > 30
+    left = {r["chunk_id"] for r in mentions_of(parsing.parse_chunks(o, drop_on_error=True)).collect()}
+    assert left == {"1", "2", None}
+
+
+def test_answers_meet_once_and_edges_are_grouped_by_names(spark):
+    o = outputs(spark, ("1", "entities", ENTITIES), ("1", "relations", RELATIONS))
+    g = build_kg(o, chunks(spark))
+    for df, most in ((g.relations, 1), (g.evidence, 1)):
+        done = df._jdf.queryExecution().executedPlan().toString()
+        assert done.count("Exchange hashpartitioning") == most and "sha2" not in done[done.index("Exchange hashpartitioning") :]

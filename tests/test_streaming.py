@@ -131,3 +131,20 @@ def test_facts_hold_a_spelling_once(spark):
     s = Star(spark, "/root/testdata/sf0.001", keep=True)
     found = incremental._facts(s.outputs, s.chunks).filter("kind = 'entities'")
     assert found.count() == found.select("key").distinct().count()
+
+
+def test_facts_hold_no_digests_of_triples(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    answers(spark, source, range(3))
+    texts = spark.createDataFrame([(f"c{n}", "d", f"Here quote {n}.") for n in range(3)], "id string, document_id string, text string")
+    incremental.stream_build_kg(spark, source, texts, out, str(tmp_path / "check")).awaitTermination()
+    facts = spark.read.schema(incremental._FACTS).option("recursiveFileLookup", "true").parquet(f"{out}/facts")
+    assert facts.filter("kind = 'triples'").count() == 3 and facts.filter("kind = 'triples' and key is not null").count() == 0
+    assert not {"relation_id", "head_id", "quote_hash"} & set(facts.select("row.*").columns)
+    places = incremental.graph_table(spark, out, "evidence").select("quote_start", "quote_end").distinct().collect()
+    assert [tuple(r) for r in places] == [(5, 12)]
+    # A quote is written once, so compacting quotes needs no exchange, while a surer relation is written again.
+    answers(spark, source, [1, 2])
+    incremental.stream_build_kg(spark, source, texts, out, str(tmp_path / "check")).awaitTermination()
+    deltas = incremental._changes(spark, out, "evidence")
+    assert deltas.count() == deltas.select("id").distinct().count() == 3
